@@ -10,6 +10,7 @@ is far below a nanometre inside a zone.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame
@@ -104,25 +105,21 @@ def crs_to_proj(epsg) -> Column:
 SINU_PARAMETERS = "proj|R|a|b|lon_0|x_0|y_0|units|no_defs|wktext|type|nadgrids"
 
 
-def parse_sinu(proj) -> Column:
-    """A spherical sinusoidal definition to ``struct<radius,lon_0,x_0,y_0>`` (lon_0 in degrees).
+SINU_VALUES = ("proj", "R", "a", "b", "lon_0", "x_0", "y_0", "units", "nadgrids")
 
-    Ellipsoids, other projections, other units and unknown parameters give NULL.
-    """
-    proj = text_col(proj)
 
-    def raw(name: str) -> Column:
-        # the last one counts when a parameter is repeated
-        hit = F.regexp_extract(proj, rf"(?:^|.*\s)\+{name}=(\S*)", 1)
-        return F.when(hit != "", hit)
+def _parameter(proj: Column, name: str) -> Column:
+    """The text of one proj parameter; the last one counts when it is repeated."""
+    hit = F.regexp_extract(proj, rf"^(?:|.*\s)\+{name}=(\S*)", 1)
+    return F.when(hit != "", hit)
 
-    def number(name: str) -> Column:
-        return raw(name).try_cast("double")
 
-    good = proj.rlike(rf"^\s*(\+({SINU_PARAMETERS})(=\S*)?(\s+|$))+$") & (raw("proj") == "sinu")
-    good = good & F.coalesce(raw("units") == "m", F.lit(True)) & F.coalesce(raw("nadgrids") == "@null", F.lit(True))
+def _sinu_struct(proj: Column, raw: dict[str, Column]) -> Column:
+    number = lambda name: raw[name].try_cast("double")
+    good = proj.rlike(rf"^\s*(\+({SINU_PARAMETERS})(=\S*)?(\s+|$))+$") & (raw["proj"] == "sinu")
+    good = good & F.coalesce(raw["units"] == "m", F.lit(True)) & F.coalesce(raw["nadgrids"] == "@null", F.lit(True))
     for name in ("lon_0", "x_0", "y_0"):
-        good = good & (raw(name).isNull() | number(name).isNotNull())
+        good = good & (raw[name].isNull() | number(name).isNotNull())
     r, a, b = number("R"), number("a"), number("b")
     radius = F.when(r.isNotNull() & a.isNull() & b.isNull(), r).when(r.isNull() & (a == b), a)
     good = good & (radius > 0) & (radius < float("inf"))
@@ -138,6 +135,15 @@ def parse_sinu(proj) -> Column:
     )
 
 
+def parse_sinu(proj) -> Column:
+    """A spherical sinusoidal definition to ``struct<radius,lon_0,x_0,y_0>`` (lon_0 in degrees).
+
+    Ellipsoids, other projections, other units and unknown parameters give NULL.
+    """
+    proj = text_col(proj)
+    return _sinu_struct(proj, {n: _parameter(proj, n) for n in SINU_VALUES})
+
+
 # Points are ``struct<x,y>`` whose fields are NULL outside the domain. The domain is applied to the
 # inputs, not around the result: a heavy expression inside a conditional branch would keep the code
 # generator from computing shared parts (the series terms) once.
@@ -179,7 +185,7 @@ def _is_south(south) -> Column:
 
 
 def add_utm(df: DataFrame, lon: Column, lat: Column, zone, south, out: str) -> DataFrame:
-    """Add ``out = struct<x,y>`` in one UTM zone; ``zone`` and ``south`` may be columns.
+    """Add ``{out}_x, {out}_y`` in one UTM zone; ``zone`` and ``south`` may be columns.
 
     The series is laid out in projection steps, so every intermediate is computed once per row.
     """
@@ -199,12 +205,12 @@ def add_utm(df: DataFrame, lon: Column, lat: Column, zone, south, out: str) -> D
         eta = eta + F.lit(a) * F.cos(c("_xi") * (2.0 * j)) * F.sinh(c("_eta") * (2.0 * j))
     scale = F.lit(UTM_K0 * RECTIFYING_RADIUS)
     shift = F.when(_is_south(south), F.lit(UTM_FALSE_NORTHING)).otherwise(F.lit(0.0))
-    point = _point(F.lit(UTM_FALSE_EASTING) + scale * eta, scale * xi + shift)
-    return df.withColumn(out, point).drop("_lam", "_phi", "_tau", "_sigma", "_sin", "_cos", "_xi", "_eta")
+    moved = {f"{out}_x": F.lit(UTM_FALSE_EASTING) + scale * eta, f"{out}_y": scale * xi + shift}
+    return df.withColumns(moved).drop("_lam", "_phi", "_tau", "_sigma", "_sin", "_cos", "_xi", "_eta")
 
 
 def add_lonlat_of_utm(df: DataFrame, x: Column, y: Column, zone, south, out: str) -> DataFrame:
-    """Add ``out = struct<x,y>`` holding lon, lat of a UTM point, in projection steps."""
+    """Add ``{out}_x, {out}_y`` holding lon, lat of a UTM point, in projection steps."""
     scale = F.lit(UTM_K0 * RECTIFYING_RADIUS)
     shift = F.when(_is_south(south), F.lit(UTM_FALSE_NORTHING)).otherwise(F.lit(0.0))
     eta, xi = (x - F.lit(UTM_FALSE_EASTING)) / scale, (y - shift) / scale
@@ -223,7 +229,7 @@ def add_lonlat_of_utm(df: DataFrame, x: Column, y: Column, zone, south, out: str
     for j, d in enumerate(DELTA, start=1):
         phi = phi + F.lit(d) * F.sin(c("_chi") * (2.0 * j))
     lon = F.pmod(F.degrees(c("_lam")) + central_meridian(zone) + 180, F.lit(360.0)) - 180
-    return df.withColumn(out, _point(lon, F.degrees(phi))).drop("_xi", "_eta", "_chi", "_lam")
+    return df.withColumns({f"{out}_x": lon, f"{out}_y": F.degrees(phi)}).drop("_xi", "_eta", "_chi", "_lam")
 
 
 # --- spherical sinusoidal ---
@@ -259,40 +265,74 @@ def _zone_of(crs: str) -> tuple[int, bool] | None:
     return (epsg % 100, epsg // 100 == 327) if epsg // 100 in (326, 327) and 1 <= epsg % 100 <= 60 else None
 
 
+@dataclass(frozen=True)
+class ParsedCrs:
+    """A CRS column parsed ahead of time by ``with_crs``: parse once per raster, use per pixel."""
+
+    name: str
+
+    def __getitem__(self, part: str) -> Column:
+        return F.col(f"{self.name}_{part}")
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"{self.name}_{p}" for p in ("epsg", "zone", "sinu")]
+
+
+def with_crs(df: DataFrame, crs, name: str) -> DataFrame:
+    """Add the parsed form of a CRS text as ``{name}_epsg, {name}_zone, {name}_sinu``.
+
+    Flat columns on purpose: the optimizer repeats a struct's expression at every field access.
+    """
+    text = F.col(f"{name}_text")
+    df = df.withColumn(f"{name}_text", text_col(crs)).withColumn(f"{name}_epsg", crs_epsg(text))
+    sinu = F.when(text.startswith("+proj=sinu"), text)
+    raw = {n: f"{name}_raw_{n}" for n in SINU_VALUES}
+    df = df.withColumns({f"{name}_zone": utm_zone(f"{name}_epsg"), **{c: _parameter(sinu, n) for n, c in raw.items()}})
+    parsed = _sinu_struct(sinu, {n: F.col(c) for n, c in raw.items()})
+    return df.withColumn(f"{name}_sinu", parsed).drop(f"{name}_text", *raw.values())
+
+
+def _split(df: DataFrame, point: Column, out: str) -> DataFrame:
+    return df.withColumns({f"{out}_x": point["x"], f"{out}_y": point["y"]})
+
+
 def _add(df: DataFrame, x: Column, y: Column, crs, out: str, mercator, utm, sinu) -> DataFrame:
     if isinstance(crs, str):  # one branch, chosen now
         if crs == WGS84:
-            return df.withColumn(out, _lonlat_identity(x, y))
+            return _split(df, _lonlat_identity(x, y), out)
         if crs == WEB_MERCATOR:
-            return df.withColumn(out, mercator(x, y))
+            return _split(df, mercator(x, y), out)
         if _zone_of(crs):
             return utm(df, x, y, *_zone_of(crs), out)
         if crs.startswith("+proj=sinu"):
             p = parse_sinu(crs)
-            return df.withColumn(out, sinu(x, y, p["radius"], p["lon_0"], p["x_0"], p["y_0"]))
+            return _split(df, sinu(x, y, p["radius"], p["lon_0"], p["x_0"], p["y_0"]), out)
         raise ValueError(f"unsupported CRS {crs!r}")
     # All branches; each sees NULL inputs unless it applies, so exactly one result is not NULL and
     # ``greatest``, which skips NULLs, picks it without a conditional around the heavy arithmetic.
-    df = df.withColumns({"_epsg": crs_epsg(crs), "_sinu": parse_sinu(crs), "_px": x, "_py": y})
-    df = df.withColumn("_zone", utm_zone("_epsg"))
+    made = []
+    if not isinstance(crs, ParsedCrs):
+        df, crs = with_crs(df, crs, "_crs"), ParsedCrs("_crs")
+        made = crs.columns
+    df = df.withColumns({"_px": x, "_py": y})
+    epsg, zone, p = crs["epsg"], crs["zone"], crs["sinu"]
     only = lambda test: (F.when(test, F.col("_px")), F.when(test, F.col("_py")))
-    zone = F.col("_zone")
-    df = utm(df, *only(zone.isNotNull()), zone, F.col("_epsg") >= 32700, "_in_utm")
+    df = utm(df, *only(zone.isNotNull()), zone, epsg >= 32700, "_in_utm")
     points = [
-        F.col("_in_utm"),
-        _lonlat_identity(*only(F.col("_epsg") == 4326)),
-        mercator(*only(F.col("_epsg") == 3857)),
-        sinu(*only(F.col("_sinu").isNotNull()), *[F.col(f"_sinu.{k}") for k in ("radius", "lon_0", "x_0", "y_0")]),
+        _lonlat_identity(*only(epsg == 4326)),
+        mercator(*only(epsg == 3857)),
+        sinu(*only(p.isNotNull()), p["radius"], p["lon_0"], p["x_0"], p["y_0"]),
     ]
-    point = _point(F.greatest(*[q["x"] for q in points]), F.greatest(*[q["y"] for q in points]))
-    return df.withColumn(out, point).drop("_epsg", "_sinu", "_px", "_py", "_zone", "_in_utm")
+    best = lambda k: F.greatest(F.col(f"_in_utm_{k}"), *[q[k] for q in points])
+    return df.withColumns({f"{out}_x": best("x"), f"{out}_y": best("y")}).drop(*made, "_px", "_py", "_in_utm_x", "_in_utm_y")
 
 
 def add_lonlat(df: DataFrame, x, y, crs, out: str) -> DataFrame:
-    """Add ``out = struct<x,y>`` holding lon, lat of a point of any supported CRS (literal or column)."""
+    """Add ``{out}_x, {out}_y``: lon, lat of a point of any supported CRS (literal, column or parsed)."""
     return _add(df, col(x), col(y), crs, out, mercator_to_lonlat, add_lonlat_of_utm, sinu_to_lonlat)
 
 
 def add_projected(df: DataFrame, lon, lat, crs, out: str) -> DataFrame:
-    """Add ``out = struct<x,y>``: a lon/lat point in any supported CRS (literal or column)."""
+    """Add ``{out}_x, {out}_y``: a lon/lat point in any supported CRS (literal, column or parsed)."""
     return _add(df, col(lon), col(lat), crs, out, lonlat_to_mercator, add_utm, lonlat_to_sinu)

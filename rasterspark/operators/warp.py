@@ -24,23 +24,40 @@ DECIMATING = 0.95
 EXTENT = ["min_col", "max_col", "min_row", "max_row"]
 
 
-def project_points(df: DataFrame, x: str, y: str, source: Column | str, target: Column | str, out: str) -> DataFrame:
-    """Add ``out = struct<x,y>``: a point moved between two CRSs through lon/lat.
+def project_points(df: DataFrame, x: str, y: str, source, target, out: str) -> DataFrame:
+    """Add ``{out}_x, {out}_y``: a point moved between two CRSs through lon/lat.
 
-    CRSs are literals or columns; equal CRSs are the exact identity; fields are NULL outside a domain.
-    The hub is its own projection step, so it is computed once per row.
+    CRSs are literals, columns or parsed columns; equal CRSs are the exact identity; NULL outside a
+    domain. The hub is its own projection step, so it is computed once per row.
     """
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     if isinstance(source, str) and isinstance(target, str) and source == target:
-        return df.withColumn(out, F.struct(px.alias("x"), py.alias("y")))
-    hub = C.add_lonlat(df, px, py, source, "_hub")
+        return df.withColumns({f"{out}_x": px, f"{out}_y": py})
     if isinstance(source, str) and isinstance(target, str):
-        return C.add_projected(hub, "_hub.x", "_hub.y", target, out).drop("_hub")
-    same = C.text_col(source) == C.text_col(target)
-    hub = C.add_projected(hub, "_hub.x", "_hub.y", target, "_moved")
-    pick = lambda here, there: F.when(same, here).otherwise(there)
-    point = F.struct(pick(px, F.col("_moved.x")).alias("x"), pick(py, F.col("_moved.y")).alias("y"))
-    return hub.withColumn(out, point).drop("_hub", "_moved")
+        hub = C.add_lonlat(df, px, py, source, "_hub")
+        return C.add_projected(hub, "_hub_x", "_hub_y", target, out).drop("_hub_x", "_hub_y")
+    made = []
+    if not isinstance(source, C.ParsedCrs):
+        df, source = C.with_crs(df, source, "_from"), C.ParsedCrs("_from")
+        made += source.columns
+    if not isinstance(target, C.ParsedCrs):
+        df, target = C.with_crs(df, target, "_into"), C.ParsedCrs("_into")
+        made += target.columns
+    hub = C.add_lonlat(df, px, py, source, "_hub")
+    hub = C.add_projected(hub, "_hub_x", "_hub_y", target, "_moved")
+    same = source["epsg"].eqNullSafe(target["epsg"]) & source["sinu"].eqNullSafe(target["sinu"])
+    same = same & (source["epsg"].isNotNull() | source["sinu"].isNotNull())
+    pick = lambda here, there: F.when(same, here).otherwise(F.col(there))
+    moved = {f"{out}_x": pick(px, "_moved_x"), f"{out}_y": pick(py, "_moved_y")}
+    return hub.withColumns(moved).drop(*made, "_hub_x", "_hub_y", "_moved_x", "_moved_y")
+
+
+DST, SRC = C.ParsedCrs("_dst"), C.ParsedCrs("_src")
+
+
+def _parsed(df: DataFrame) -> DataFrame:
+    """CRS texts parsed once per target, before points are generated."""
+    return C.with_crs(C.with_crs(df, F.col("crs"), "_dst"), F.col("src_crs"), "_src")
 
 
 def raster_bounds(rasters: DataFrame, dst_crs: str = C.WGS84, edge_samples: int = 2) -> DataFrame:
@@ -61,7 +78,7 @@ def raster_bounds(rasters: DataFrame, dst_crs: str = C.WGS84, edge_samples: int
     placed = placed.select("asset", "crs", F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
     moved = project_points(placed, "_x", "_y", F.col("crs"), dst_crs, "_q")
     return moved.groupBy("asset").agg(
-        F.min("_q.x").alias("west"), F.min("_q.y").alias("south"), F.max("_q.x").alias("east"), F.max("_q.y").alias("north")
+        F.min("_q_x").alias("west"), F.min("_q_y").alias("south"), F.max("_q_x").alias("east"), F.max("_q_y").alias("north")
     )
 
 
@@ -73,14 +90,14 @@ def source_extent(pairs: DataFrame, keys: list[str]) -> DataFrame:
     point left drop out.
     """
     steps = F.sequence(F.lit(0), F.lit(EDGE_SAMPLES - 1))
-    points = pairs.withColumn("_t", F.explode(steps) / F.lit(float(EDGE_SAMPLES - 1)))
+    points = _parsed(pairs).withColumn("_t", F.explode(steps) / F.lit(float(EDGE_SAMPLES - 1)))
     x = F.col("min_x") + F.col("_t") * (F.col("max_x") - F.col("min_x"))
     y = F.col("min_y") + F.col("_t") * (F.col("max_y") - F.col("min_y"))
     edges = [(x, F.col("max_y")), (x, F.col("min_y")), (F.col("min_x"), y), (F.col("max_x"), y)]
     edge = F.explode(F.array(*[F.struct(ex.alias("x"), ey.alias("y")) for ex, ey in edges]))
     placed = points.withColumn("_e", edge).withColumn("_ex", F.col("_e.x")).withColumn("_ey", F.col("_e.y"))
-    moved = project_points(placed, "_ex", "_ey", F.col("crs"), F.col("src_crs"), "_p")
-    pixel = moved.withColumn("_px", crs_to_pixel("_p.x", "_p.y", F.col("transform"))).where(F.col("_px.col").isNotNull())
+    moved = project_points(placed, "_ex", "_ey", DST, SRC, "_p")
+    pixel = moved.withColumn("_px", crs_to_pixel("_p_x", "_p_y", F.col("transform"))).where(F.col("_px.col").isNotNull())
     return pixel.groupBy(*keys).agg(
         F.min("_px.col").alias("min_col"),
         F.max("_px.col").alias("max_col"),
@@ -155,7 +172,7 @@ def target_pixels(shaped: DataFrame, keys: list[str]) -> DataFrame:
     is shuffled, its pixels are made afterwards. Pixels whose point has no source position, or lies
     outside the kernel window, are left out (they are invalid).
     """
-    lines = shaped.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)))
+    lines = _parsed(shaped).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)))
     lines = lines.repartition(*keys, "row")
     pixels = lines.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)))
     dx = (F.col("max_x") - F.col("min_x")) / F.col("width")
@@ -163,8 +180,8 @@ def target_pixels(shaped: DataFrame, keys: list[str]) -> DataFrame:
     placed = pixels.withColumn("_x", F.col("min_x") + dx * (F.col("col") + 0.5)).withColumn(
         "_y", F.col("max_y") - dy * (F.col("row") + 0.5)
     )
-    moved = project_points(placed, "_x", "_y", F.col("crs"), F.col("src_crs"), "_p")
-    at = moved.withColumn("_f", crs_to_pixel("_p.x", "_p.y", F.col("transform")))
+    moved = project_points(placed, "_x", "_y", DST, SRC, "_p")
+    at = moved.withColumn("_f", crs_to_pixel("_p_x", "_p_y", F.col("transform")))
     geometry = ["scale_x", "scale_y", "radius_x", "radius_y", "raster_w", "raster_h"]
     framed = at.select(
         *keys, "row", "col", F.col("_f.col").alias("fcol"), F.col("_f.row").alias("frow"), *geometry,

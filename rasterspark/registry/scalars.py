@@ -198,7 +198,7 @@ u AS (SELECT id, lon, lat, zone,
 @query("utm_forward", f"WITH {X.GRANULES_SQL}, {UTM_SQL} SELECT id, zone, round(ux, 3) AS x, round(uy, 3) AS y FROM u")
 def utm_forward(spark, sf):
     c = C.add_utm(_utm_points(spark, sf), F.col("lon"), F.col("lat"), F.col("zone"), F.col("lat") < 0, "u")
-    return c.select("id", "zone", _r(F.col("u.x"), 3).alias("x"), (_r(F.col("u.y"), 3) + 0.0).alias("y"))
+    return c.select("id", "zone", _r(F.col("u_x"), 3).alias("x"), (_r(F.col("u_y"), 3) + 0.0).alias("y"))
 
 
 def _utm_points(spark, sf):
@@ -214,8 +214,8 @@ def _utm_points(spark, sf):
 def utm_roundtrip(spark, sf):
     south = F.col("lat") < 0
     c = C.add_utm(_utm_points(spark, sf), F.col("lon"), F.col("lat"), F.col("zone"), south, "u")
-    b = C.add_lonlat_of_utm(c, F.col("u.x"), F.col("u.y"), F.col("zone"), south, "b")
-    return b.select("id", _r(F.col("b.x"), 7).alias("lon"), (_r(F.col("b.y"), 7) + 0.0).alias("lat"))
+    b = C.add_lonlat_of_utm(c, F.col("u_x"), F.col("u_y"), F.col("zone"), south, "b")
+    return b.select("id", _r(F.col("b_x"), 7).alias("lon"), (_r(F.col("b_y"), 7) + 0.0).alias("lat"))
 
 
 @query(
@@ -242,7 +242,7 @@ def reproject_any(spark, sf):
     name = F.when(kind == 0, "EPSG:4326").when(kind == 1, "EPSG:3857").when(kind == 2, "sinu").otherwise("utm")
     points = _utm_points(spark, sf).withColumn("target", name)
     moved = project_points(points, "lon", "lat", "EPSG:4326", crs, "p")
-    return moved.select("id", "target", _r(F.col("p.x"), 3).alias("x"), (_r(F.col("p.y"), 3) + 0.0).alias("y"))
+    return moved.select("id", "target", _r(F.col("p_x"), 3).alias("x"), (_r(F.col("p_y"), 3) + 0.0).alias("y"))
 
 
 @query(
