@@ -90,7 +90,7 @@ def source_extent(pairs: DataFrame, keys: list[str]) -> DataFrame:
     point left drop out.
     """
     steps = F.sequence(F.lit(0), F.lit(EDGE_SAMPLES - 1))
-    points = _parsed(pairs).withColumn("_t", F.explode(steps) / F.lit(float(EDGE_SAMPLES - 1)))
+    points = _parsed(pairs).withColumn("_t", F.explode(steps)).withColumn("_t", F.col("_t") / F.lit(float(EDGE_SAMPLES - 1)))
     x = F.col("min_x") + F.col("_t") * (F.col("max_x") - F.col("min_x"))
     y = F.col("min_y") + F.col("_t") * (F.col("max_y") - F.col("min_y"))
     edges = [(x, F.col("max_y")), (x, F.col("min_y")), (F.col("min_x"), y), (F.col("max_x"), y)]

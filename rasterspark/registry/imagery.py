@@ -23,7 +23,7 @@ def rescale_sql(value: str, low: float, high: float) -> str:
 
 
 def quantize_sql(value: str) -> str:
-    return f"CAST(floor(least(greatest({value}, 0.0::DOUBLE), 255.0::DOUBLE)) AS SMALLINT)"
+    return f"CASE WHEN {value} IS NOT NULL THEN CAST(floor(least(greatest({value}, 0.0::DOUBLE), 255.0::DOUBLE)) AS SMALLINT) END"
 
 
 _stops = "[" + ", ".join(f"[{r}, {g}, {b}]" for r, g, b in RDYLGN_ANCHORS) + "]"
