@@ -97,13 +97,16 @@ def source_extent(pairs: DataFrame, keys: list[str]) -> DataFrame:
     edge = F.explode(F.array(*[F.struct(ex.alias("x"), ey.alias("y")) for ex, ey in edges]))
     placed = points.withColumn("_e", edge).withColumn("_ex", F.col("_e.x")).withColumn("_ey", F.col("_e.y"))
     moved = project_points(placed, "_ex", "_ey", DST, SRC, "_p")
-    pixel = moved.withColumn("_px", crs_to_pixel("_p_x", "_p_y", F.col("transform"))).where(F.col("_px.col").isNotNull())
-    return pixel.groupBy(*keys).agg(
-        F.min("_px.col").alias("min_col"),
-        F.max("_px.col").alias("max_col"),
-        F.min("_px.row").alias("min_row"),
-        F.max("_px.row").alias("max_row"),
+    # flat columns and no filter here: a filter would be pushed below the projection steps and
+    # repeat all of them; min and max skip the NULL points anyway
+    pixel = moved.withColumn("_px", crs_to_pixel("_p_x", "_p_y", F.col("transform")))
+    extent = pixel.select(*keys, F.col("_px.col").alias("_col"), F.col("_px.row").alias("_row")).groupBy(*keys).agg(
+        F.min("_col").alias("min_col"),
+        F.max("_col").alias("max_col"),
+        F.min("_row").alias("min_row"),
+        F.max("_row").alias("max_row"),
     )
+    return extent.where(F.col("min_col").isNotNull())
 
 
 def read_window(margin: Column | int, raster_w: str = "raster_w", raster_h: str = "raster_h") -> Column:
@@ -183,17 +186,20 @@ def target_pixels(shaped: DataFrame, keys: list[str]) -> DataFrame:
     moved = project_points(placed, "_x", "_y", DST, SRC, "_p")
     at = moved.withColumn("_f", crs_to_pixel("_p_x", "_p_y", F.col("transform")))
     geometry = ["scale_x", "scale_y", "radius_x", "radius_y", "raster_w", "raster_h"]
+    # The row number is a fence: a filter is never pushed below a projection that numbers its rows,
+    # so the projection steps are not repeated inside the predicate.
     framed = at.select(
         *keys, "row", "col", F.col("_f.col").alias("fcol"), F.col("_f.row").alias("frow"), *geometry,
-        "off_x", "off_y", "size_x", "size_y",
+        "off_x", "off_y", "size_x", "size_y", F.monotonically_increasing_id().alias("_fence"),
     )
     inside = (
-        (F.col("fcol") >= F.col("off_x"))
+        (F.col("_fence") >= 0)
+        & (F.col("fcol") >= F.col("off_x"))
         & (F.col("frow") >= F.col("off_y"))
         & (F.col("fcol") + INDEX_EPSILON <= F.col("off_x") + F.col("size_x"))
         & (F.col("frow") + INDEX_EPSILON <= F.col("off_y") + F.col("size_y"))
     )
-    return framed.where(inside).drop("off_x", "off_y", "size_x", "size_y")
+    return framed.where(inside).drop("off_x", "off_y", "size_x", "size_y", "_fence")
 
 
 def containing_cell(position: str) -> Column:
