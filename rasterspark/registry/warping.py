@@ -70,8 +70,8 @@ kernel AS (SELECT *, CAST(CASE WHEN scale_x < 1 THEN ceil({reach} / scale_x) ELS
 
 
 TARGETS_SQL = """cells AS (SELECT *, unnest(generate_series(0, dw - 1)) AS tc FROM (SELECT *, unnest(generate_series(0, dh - 1)) AS tr FROM kernel)),
-at AS (SELECT *, (x0 + sx / dw * (tc + 0.5)) / 100 AS fcol, -(y0 - sy / dh * (tr + 0.5)) / 100 AS frow FROM cells),
-placed AS (SELECT * FROM at WHERE fcol >= off_x AND frow >= off_y AND fcol + 1e-10 <= off_x + size_x AND frow + 1e-10 <= off_y + size_y)"""
+posn AS (SELECT *, (x0 + sx / dw * (tc + 0.5)) / 100 AS fcol, -(y0 - sy / dh * (tr + 0.5)) / 100 AS frow FROM cells),
+placed AS (SELECT * FROM posn WHERE fcol >= off_x AND frow >= off_y AND fcol + 1e-10 <= off_x + size_x AND frow + 1e-10 <= off_y + size_y)"""
 
 KEYS = ["asset", "kind"]
 
