@@ -22,17 +22,20 @@ def little_endian(value: Column, width: int) -> Column:
     return F.unhex(_reverse_bytes(digits, width))
 
 
-def _field(data: Column) -> Column:
+def _field(data: Column, length: int | None = None) -> Column:
     """A field preceded by its byte length as eight little-endian bytes."""
-    return F.concat(little_endian(F.octet_length(data).cast("long"), 8), data)
+    if length is not None:
+        return F.concat(F.unhex(F.lit(length.to_bytes(8, "little").hex())), data)
+    # a text is far below 4 GiB, so the upper four length bytes are zero
+    return F.concat(little_endian(F.octet_length(data).cast("long"), 4), F.unhex(F.lit("00000000")), data)
 
 
 def tile_key_hash(layer, version, plan_json, tms, z, x, y, tile_size, domain: str = KEY_DOMAIN) -> Column:
     """SHA-256 over length-prefixed fields; equal keys mean equal tiles."""
     texts = [F.lit(domain), *[col(c) for c in (layer, version, plan_json, tms)]]
     fields = [_field(t.cast("binary")) for t in texts]
-    fields.append(_field(little_endian(col(z), 1)))
-    fields += [_field(little_endian(col(c), 4)) for c in (x, y, tile_size)]
+    fields.append(_field(little_endian(col(z), 1), 1))
+    fields += [_field(little_endian(col(c), 4), 4) for c in (x, y, tile_size)]
     return F.sha2(F.concat(*fields), 256)
 
 

@@ -1,11 +1,293 @@
-"""Composite jobs."""
+"""Composite jobs: rendering tables of tiles, cached rendering, pyramids, registration, frame loops.
+
+A job takes tables and gives tables. Geometry, resolution choice and granule resolution are small
+per-tile rows; the one large join is pixels against target pixels.
+"""
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands as B
+from ..functions import grid as G
+from ..functions import keys as K
+from ..functions import tiles as T
+from ..functions.crs import WEB_MERCATOR
+from ..functions.palettes import apply_palette
+from ..functions.text import size_bytes
+from ..operators import catalog as C
+from ..operators import pyramid as PY
+from ..operators import resolve as R
+from ..operators import warp as W
+from ..operators.chunks import pack_chunks
+from ..operators.images import CHANNELS
+from ..operators.pixels import pivot_bands
+from ..operators.spatial import deepest_containing_tile
+from ..session import cut_lineage
+from .materialization import materialization_plan, missing_tiles
+
+TILE = ["z", "x", "y", "granule_id"]
+
+
+@dataclass(frozen=True)
+class Layer:
+    """How a dataset is shown: an expression tuple (gray) or three bands (RGB), stretch and palette."""
+
+    id: str
+    dataset: str
+    inputs: tuple[str, ...]
+    expression: tuple | None = None
+    rgb: tuple[str, str, str] | None = None
+    low: float = 0.0
+    high: float = 255.0
+    palette: str = "grayscale"
+    resampling: str = "bilinear"
+    tile_size: int = 256
+
+    def __post_init__(self) -> None:
+        if (self.expression is None) == (self.rgb is None):
+            raise ValueError("a layer has either an expression or three bands")
+        used = self.rgb or B.referenced_bands(self.expression)
+        if missing := [b for b in used if b not in self.inputs]:
+            raise ValueError(f"layer {self.id!r} uses undeclared bands {missing}")
+        if not self.low < self.high:
+            raise ValueError("degenerate stretch")
+
+    def plan_json(self) -> str:
+        """Canonical text of everything that shapes the pixels."""
+        plan = {k: v for k, v in asdict(self).items() if k not in ("id", "dataset")}
+        return json.dumps(plan, sort_keys=True)
+
+
+def resolve_tiles(layer: Layer, tiles: DataFrame, granules: DataFrame) -> DataFrame:
+    """Requested tiles (``z, x, y, t_ms``) with the granule that answers them, each pair once.
+
+    Requests of different times that resolve to one granule are one tile. Tiles nothing answers drop out.
+    """
+    asked = tiles.withColumn("dataset", F.lit(layer.dataset))
+    found = R.asof_latest(asked, granules.where(F.col("dataset") == layer.dataset))
+    return found.where(F.col("granule_id").isNotNull()).select(*TILE).distinct()
+
+
+def _targets(layer: Layer, resolved: DataFrame, granules: DataFrame, rasters: DataFrame) -> DataFrame:
+    """One row per tile and input band: target grid, source raster. Tiles with a missing band or mixed
+    CRSs drop out."""
+    files = granules.where(F.col("dataset") == layer.dataset).select(
+        F.col("id").alias("granule_id"), F.explode("assets").alias("band", "_a")
+    )
+    files = files.where(F.col("band").isin(list(layer.inputs))).select("granule_id", "band", F.col("_a.href").alias("asset"))
+    # full resolution rows of the rasters, and per granule whether the inputs fit together
+    rows = files.join(rasters, "asset")
+    fit = rows.groupBy("granule_id").agg(F.count("*").alias("_n"), F.min("crs").alias("_lo"), F.max("crs").alias("_hi"))
+    fit = fit.where((F.col("_n") == len(layer.inputs)) & (F.col("_lo") == F.col("_hi"))).select("granule_id")
+    rows = rows.join(fit, "granule_id", "left_semi")
+    placed = resolved.join(rows, "granule_id").withColumn("_b", T.tile_bounds_xy("z", "x", "y"))
+    return placed.select(
+        *TILE, "band", "asset", F.col("crs").alias("src_crs"), F.lit(WEB_MERCATOR).alias("crs"), "transform", "dtype",
+        "overview_levels", F.col("width").alias("full_w"), F.col("height").alias("full_h"),
+        F.lit(layer.tile_size).alias("width"), F.lit(layer.tile_size).alias("height"),
+        "_b.min_x", "_b.min_y", "_b.max_x", "_b.max_y",
+    )
+
+
+def plan_tiles(layer: Layer, targets: DataFrame, max_live_bytes: int | None = None) -> DataFrame:
+    """Per tile the resolution to read (see ``materialization_plan``)."""
+    keys = [*TILE, "band"]
+    extent = W.source_extent(targets, keys)
+    spans = targets.join(extent, keys).select(
+        *TILE, (F.col("max_col") - F.col("min_col")).alias("cols"), (F.col("max_row") - F.col("min_row")).alias("rows"),
+        size_bytes("dtype").alias("bytes_per_sample"), F.col("overview_levels").alias("factors"),
+    )
+    return materialization_plan(spans, TILE, None, layer.tile_size, max_live_bytes)
+
+
+def warp_tiles(layer: Layer, targets: DataFrame, plan: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Band values of every planned tile pixel: ``z, x, y, granule_id, row, col, <inputs>``.
+
+    ``pixels`` is ``asset, level, row, col, value``; ``level`` is the decimation factor.
+    """
+    factor = F.col("factor")
+    chosen = targets.join(plan.where("chosen <> 'refuse'").select(*TILE, factor.cast("int").alias("factor")), TILE)
+    level = chosen.withColumns(
+        {
+            "transform": G.level_transform(F.col("transform"), "full_w", "full_h", "factor"),
+            "raster_w": G.level_dim("full_w", "factor"),
+            "raster_h": G.level_dim("full_h", "factor"),
+            "level": factor,
+        }
+    )
+    keys = [*TILE, "band", "asset", "level"]
+    bilinear = layer.resampling == "bilinear"
+    shaped = W.kernel_shape(level.join(W.source_extent(level, keys), keys), 1 if bilinear else 0)
+    points = W.target_pixels(shaped, keys)
+    warp = W.warp_bilinear if bilinear else W.warp_nearest
+    values = warp(points, pixels, keys, ["asset", "level"])
+    return pivot_bands(values, [*TILE, "row", "col"], list(layer.inputs))
+
+
+def paint(layer: Layer, wide: DataFrame) -> DataFrame:
+    """Band values to ``r, g, b, a``; every declared input must be valid."""
+    valid = B.all_valid(*layer.inputs)
+    if layer.rgb:
+        shade = [B.rescale(b, layer.low, layer.high) for b in layer.rgb]
+        color = F.when(valid, F.struct(*[B.quantize(s).alias(n) for s, n in zip(shade, "rgb")]))
+    else:
+        gray = B.rescale(F.when(valid, B.expression_column(layer.expression)), layer.low, layer.high)
+        color = apply_palette(gray, layer.palette)
+    painted = wide.withColumn("_c", color)
+    zero = F.lit(0).cast("short")
+    shown = F.col("_c.r").isNotNull() & F.col("_c.g").isNotNull() & F.col("_c.b").isNotNull()
+    return painted.select(
+        F.lit(layer.id).alias("layer"), *TILE, "row", "col", *[F.when(shown, F.col(f"_c.{c}")).otherwise(zero).alias(c) for c in "rgb"],
+        F.when(shown, F.lit(255)).otherwise(0).cast("short").alias("a"),
+    )
+
+
+def fill_transparent(painted: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """Complete tiles: pixels nothing covers become transparent black. ``tiles`` has the tile key columns."""
+    steps = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
+    keys = [c for c in tiles.columns if c in ("layer", *TILE)]
+    grid = tiles.select(*keys).withColumn("row", F.explode(steps)).withColumn("col", F.explode(steps))
+    zero = F.lit(0).cast("short")
+    return grid.join(painted.select(*keys, "row", "col", *CHANNELS), [*keys, "row", "col"], "left").select(
+        *keys, "row", "col", *[F.coalesce(c, zero).alias(c) for c in CHANNELS]
+    )
+
+
+def trace_rows(layer: Layer, targets: DataFrame, plan: DataFrame) -> DataFrame:
+    """One trace per tile: decision, estimated bytes, sources, source CRS."""
+    about = targets.groupBy(*TILE).agg(F.array_sort(F.collect_set("asset")).alias("sources"), F.max("src_crs").alias("crs_from"))
+    decision = F.when(F.col("chosen") == "overview", F.concat(F.lit("overview:"), F.col("factor").cast("string"))).otherwise(F.col("chosen"))
+    return plan.join(about, TILE).select(
+        F.lit(layer.id).alias("layer"), T.tile_key("z", "x", "y").alias("tile"), "granule_id", decision.alias("decision"),
+        F.col("cost").alias("bytes_read"), "sources", "crs_from", F.lit(WEB_MERCATOR).alias("crs_to"),
+    )
+
+
+def render(
+    layer: Layer,
+    tiles: DataFrame,
+    granules: DataFrame,
+    rasters: DataFrame,
+    pixels: DataFrame,
+    max_live_bytes: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Render a table of tiles: (tile pixels that a raster covers, traces)."""
+    resolved = resolve_tiles(layer, tiles, granules)
+    targets = _targets(layer, resolved, granules, rasters)
+    plan = plan_tiles(layer, targets, max_live_bytes)
+    return paint(layer, warp_tiles(layer, targets, plan, pixels)), trace_rows(layer, targets, plan)
+
+
+def tile_keys(layer: Layer, resolved: DataFrame) -> DataFrame:
+    """Resolved tiles with their content key."""
+    plan = F.lit(layer.plan_json())
+    versioned = resolved.withColumn("version", K.layer_version("granule_id", plan))
+    key = K.tile_key_hash(F.lit(layer.id), "version", plan, F.lit("WebMercatorQuad"), "z", "x", "y", F.lit(layer.tile_size))
+    return versioned.withColumn("tile_key", key)
+
+
+def render_cached(
+    layer: Layer, tiles: DataFrame, granules: DataFrame, rasters: DataFrame, pixels: DataFrame, stored: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Render only tiles whose key is not among ``stored`` (``tile_key``): (new pixels, traces of all).
+
+    Stored tiles are traced as hits that read no bytes.
+    """
+    keyed = tile_keys(layer, resolve_tiles(layer, tiles, granules))
+    todo = missing_tiles(keyed, stored)
+    targets = _targets(layer, todo.select(*TILE), granules, rasters)
+    plan = plan_tiles(layer, targets)
+    fresh = paint(layer, warp_tiles(layer, targets, plan, pixels)).join(todo.select(*TILE, "tile_key"), TILE)
+    hits = keyed.join(stored.select("tile_key"), "tile_key", "left_semi").select(
+        F.lit(layer.id).alias("layer"), T.tile_key("z", "x", "y").alias("tile"), "granule_id", F.lit("cache_hit").alias("decision"),
+        F.lit(0).cast("long").alias("bytes_read"), F.array().cast("array<string>").alias("sources"),
+        F.lit(None).cast("string").alias("crs_from"), F.lit(WEB_MERCATOR).alias("crs_to"),
+    )
+    return fresh, trace_rows(layer, targets, plan).unionByName(hits)
+
+
+def preview(layer: Layer, boxes: DataFrame, granules: DataFrame, rasters: DataFrame, pixels: DataFrame, max_live_bytes: int):
+    """One small render per bbox: the deepest tile that holds it whole, under a byte ceiling."""
+    b = F.col("bbox")
+    tile = deepest_containing_tile(b["west"], b["south"], b["east"], b["north"])
+    tiles = boxes.select(tile.alias("t")).select("t.*", F.lit(None).cast("long").alias("t_ms")).distinct()
+    return render(layer, tiles, granules, rasters, pixels, max_live_bytes)
+
+
+def frame_loop(
+    layer: Layer, tiles: DataFrame, instants_ms: list[int], granules: DataFrame, rasters: DataFrame, pixels: DataFrame, stored: DataFrame
+):
+    """Every tile at every instant through the cache; the instants are a short literal list."""
+    times = F.explode(F.array(*[F.lit(int(t)).cast("long") for t in instants_ms]))
+    return render_cached(layer, tiles.select("z", "x", "y", times.alias("t_ms")), granules, rasters, pixels, stored)
+
+
+# --- pyramids ---
+
+
+def materialize(
+    rasters: DataFrame, pixels: DataFrame, layer_assets: DataFrame, path: str, chunk: int = 256, min_dim: int = 256, fill: float = 0.0
+) -> list[int]:
+    """Build and store every missing overview level of the layers' assets; gives the factors written.
+
+    ``pixels`` is ``asset, level, row, col, value`` (embedded levels included); ``layer_assets`` is
+    ``asset, resampling``. All assets of one factor are one job; a level is read back from storage to
+    build the next, and storing it makes it visible at once. Conflicting resamplings refuse the job.
+    """
+    wanted = PY.dedup_assets(layer_assets)
+    if not wanted.where("conflict").isEmpty():
+        raise ValueError("an asset is used with two resamplings")
+    assets = rasters.join(wanted.select("asset", F.col("resamplings")[0].alias("resampling")), "asset").withColumn(
+        "ladder", PY.ladder_column("width", "height", F.col("overview_levels"), min_dim)
+    )
+    deepest = assets.agg(F.max(F.array_max("ladder"))).first()[0]
+    written, factor = [], 2
+    grid = pixels.where("level = 1").select("asset", "row", "col", "value")
+    while deepest and factor <= deepest:
+        needs = assets.select("asset", "resampling", "dtype", F.array_contains("ladder", factor).alias("build"))
+        source = grid.join(needs, "asset")
+        corner = (F.col("row") % 2 == 0) & (F.col("col") % 2 == 0)
+        kept = source.where((F.col("resampling") != "nearest") | corner)
+        level = kept.groupBy("asset", "dtype", F.floor(F.col("row") / 2).alias("row"), F.floor(F.col("col") / 2).alias("col"))
+        level = level.agg(F.avg("value").alias("value"))
+        encoded = F.col("value")
+        for dtype in (*PY.RANGES, "float32"):
+            encoded = F.when(F.col("dtype") == dtype, PY.encode_sample(F.col("value"), dtype)).otherwise(encoded)
+        level = level.select("asset", "row", "col", encoded.alias("value"))
+        embedded = pixels.where(F.col("level") == factor).select("asset", "row", "col", "value")
+        own = embedded.select("asset").distinct()
+        level = cut_lineage(level.join(own, "asset", "left_anti").unionByName(embedded))
+        building = needs.where("build").select("asset")
+        blocks = pack_chunks(level.join(building, "asset", "left_semi"), ["asset"], chunk, fill)
+        blocks.withColumn("factor", F.lit(factor)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "factor"
+        ).parquet(path)
+        written.append(factor)
+        grid, factor = level, factor * 2
+    return written
+
+
+# --- registration ---
+
+
+def register(granules: DataFrame, catalog: DataFrame, datasets: DataFrame, rasters: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Validate and upsert granules: (new catalog, datasets with extents derived again, quarantined).
+
+    A granule without a bbox gets the box of its first asset's raster. Both granule tables have
+    ``dataset, id, bbox, datetime, assets, version``.
+    """
+    good, bad = C.validate_granules(granules, datasets)
+    first = F.get(F.array_sort(F.map_keys("assets")), F.lit(0))
+    named = good.withColumn("_asset", F.when(F.col("bbox").isNull(), F.element_at("assets", first)["href"]))
+    boxes = W.raster_bounds(rasters).select(F.col("asset").alias("_asset"), F.struct("west", "south", "east", "north").alias("_box"))
+    placed = named.join(boxes, "_asset", "left").withColumn("bbox", F.coalesce("bbox", "_box")).select(*good.columns)
+    merged = C.upsert(catalog, placed, ["dataset", "id"], "version")
+    return merged, C.heal_extents(datasets, merged), bad
 
 
 def burn_severity(series: DataFrame, keys: list[str], before: Column, nir: str, swir: str) -> DataFrame:

@@ -1 +1,260 @@
-"""Checked queries."""
+"""Chunks, windows, pyramids, the choice of resolution, incremental materialisation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixtures as X
+from ..functions import keys as K
+from ..functions.text import SAMPLE_BYTES
+from ..operators import chunks as CH
+from ..operators import pyramid as PY
+from ..plans import materialization as M
+from . import query
+
+CHUNKS_SQL = f"""{X.DENSE_SQL}, chunks AS (SELECT prow // 16 AS cy, pcol // 16 AS cx, prow % 16 * 16 + pcol % 16 AS pos, value FROM dense)"""
+
+
+def packed(spark, sf, fill=None):
+    return CH.pack_chunks(X.dense(spark, sf), [], 16, fill)
+
+
+@query(
+    "pack_chunks",
+    f"""WITH {CHUNKS_SQL} SELECT cy, cx, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * (pos + 1)) AS BIGINT) AS weighted, 256 AS samples, 256 - count(*) AS padding FROM chunks GROUP BY ALL""",
+)
+def pack_chunks(spark, sf):
+    c = packed(spark, sf)
+    at = F.transform("values", lambda v, i: F.coalesce(v, F.lit(0.0)) * (i + 1))
+    add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, v: a + v).cast("long")
+    holes = F.size(F.filter("values", lambda v: v.isNull()))
+    return c.select(
+        "cy", "cx", add(F.transform("values", lambda v: F.coalesce(v, F.lit(0.0)))).alias("total"), add(at).alias("weighted"),
+        F.size("values").alias("samples"), holes.cast("long").alias("padding"),
+    )
+
+
+@query("explode_chunks", f'WITH {X.DENSE_SQL} SELECT prow AS "row", pcol AS col, CAST(value AS DOUBLE) AS value FROM dense')
+def explode_chunks(spark, sf):
+    return CH.explode_chunks(packed(spark, sf), []).where("value IS NOT NULL")
+
+
+@query(
+    "chunk_grid",
+    """WITH a AS (SELECT p_partkey AS id, 30 + p_partkey % 70 AS h, p_size + 10 AS w, 16 + p_partkey % 9 AS ch, 8 + p_partkey % 5 AS cw FROM part),
+g AS (SELECT id, cy, unnest(generate_series(0, CAST(ceil(w / CAST(cw AS DOUBLE)) AS BIGINT) - 1)) AS cx FROM (SELECT *, unnest(generate_series(0, CAST(ceil(h / CAST(ch AS DOUBLE)) AS BIGINT) - 1)) AS cy FROM a))
+SELECT id, cy, cx, cy || '.' || cx AS key FROM g""",
+)
+def chunk_grid(spark, sf):
+    return CH.chunk_grid(_arrays(spark, sf), ["id"])
+
+
+def _arrays(spark, sf):
+    k = F.col("p_partkey")
+    return X.table(spark, sf, "part").select(
+        k.alias("id"),
+        F.array(30 + k % 70, (F.col("p_size") + 10).cast("long")).alias("shape"),
+        F.array(16 + k % 9, 8 + k % 5).alias("chunks"),
+    )
+
+
+WINDOWS_SQL = """windows AS (SELECT c_custkey AS window_id, (c_custkey * 7) % 60 AS col_off, (c_custkey * 13) % (SELECT count(*) FROM embeddings) AS row_off, c_custkey % 20 AS width, 1 + c_custkey % 9 AS height FROM customer)"""
+
+
+def windows(spark, sf):
+    c = F.col("c_custkey")
+    rows = X.table(spark, sf, "embeddings").agg(F.count("*").alias("n"))
+    w = X.table(spark, sf, "customer").withColumn("_k", F.lit(1)).join(F.broadcast(rows.withColumn("_k", F.lit(1))), "_k")
+    return w.select(
+        c.alias("window_id"), ((c * 7) % 60).alias("col_off"), ((c * 13) % F.col("n")).alias("row_off"), (c % 20).alias("width"), (1 + c % 9).alias("height")
+    )
+
+
+@query(
+    "chunks_touching",
+    f"""WITH {WINDOWS_SQL}, t AS (SELECT window_id, cy, unnest(generate_series(col_off // 16, (col_off + width - 1) // 16)) AS cx FROM (SELECT *, unnest(generate_series(row_off // 16, (row_off + height - 1) // 16)) AS cy FROM windows WHERE width > 0))
+SELECT window_id, cy, cx FROM t""",
+)
+def chunks_touching(spark, sf):
+    return CH.chunks_touching(windows(spark, sf), ["window_id"], F.lit(16), F.lit(16))
+
+
+@query(
+    "read_windows",
+    f"""WITH {X.DENSE_SQL}, {WINDOWS_SQL} SELECT window_id, prow AS "row", pcol AS col, CAST(value AS DOUBLE) AS value FROM windows JOIN dense ON prow >= row_off AND prow < row_off + height AND pcol >= col_off AND pcol < col_off + width""",
+)
+def read_windows(spark, sf):
+    return CH.read_windows(windows(spark, sf), packed(spark, sf), [], 16, 16).where("value IS NOT NULL")
+
+
+@query(
+    "fill_missing_chunks",
+    f"""WITH {CHUNKS_SQL}, g AS (SELECT DISTINCT cy, unnest([0, 1, 2, 3, 4]) AS cx FROM chunks), s AS (SELECT cy, cx, sum(value) AS total, count(*) AS n FROM chunks GROUP BY ALL)
+SELECT g.cy, CAST(g.cx AS BIGINT) AS cx, s.n IS NOT NULL AS allocated, CAST(coalesce(s.total - 9999 * (256 - s.n), -9999 * 256) AS BIGINT) AS total FROM g LEFT JOIN s ON s.cy = g.cy AND s.cx = g.cx""",
+)
+def fill_missing_chunks(spark, sf):
+    stored = packed(spark, sf, -9999.0)
+    grid = stored.select("cy").distinct().withColumn("cx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    grid = grid.withColumns({"h": F.lit(16), "w": F.lit(16)})
+    out = CH.fill_missing_chunks(grid, stored, [], F.lit(-9999.0))
+    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v).cast("long")
+    return out.select("cy", "cx", "allocated", total.alias("total"))
+
+
+@query(
+    "missing_chunks",
+    f"""WITH {CHUNKS_SQL}, g AS (SELECT DISTINCT cy, CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT) AS cx FROM chunks) SELECT cy, cx FROM g WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.cy = g.cy AND c.cx = g.cx)""",
+)
+def missing_chunks(spark, sf):
+    stored = packed(spark, sf)
+    grid = stored.select("cy").distinct().withColumn("cx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    return CH.missing_chunks(grid, stored, [])
+
+
+# --- pyramids ---
+
+FACTORS = [2, 4, 8]
+
+
+@query(
+    "build_pyramid",
+    f"""WITH {X.DENSE_SQL}, f AS (SELECT prow, pcol, CASE WHEN value % 17 <> 0 THEN CAST(value AS DOUBLE) END AS value FROM dense),
+l2 AS (SELECT prow // 2 AS prow, pcol // 2 AS pcol, least(greatest(round(avg(value)), -32768), 32767) AS value FROM f GROUP BY ALL),
+l4 AS (SELECT prow // 2 AS prow, pcol // 2 AS pcol, least(greatest(round(avg(value)), -32768), 32767) AS value FROM l2 GROUP BY ALL),
+l8 AS (SELECT prow // 2 AS prow, pcol // 2 AS pcol, least(greatest(round(avg(value)), -32768), 32767) AS value FROM l4 GROUP BY ALL)
+SELECT 2 AS factor, prow AS "row", pcol AS col, value FROM l2 UNION ALL SELECT 4, prow, pcol, value FROM l4 UNION ALL SELECT 8, prow, pcol, value FROM l8""",
+)
+def build_pyramid(spark, sf):
+    v = F.col("value")
+    full = X.dense(spark, sf).select("row", "col", F.when(v % 17 != 0, v.cast("double")).alias("value"))
+    out = PY.build_pyramid(full, [], FACTORS, "average", "int16")
+    return out.withColumn("value", F.col("value") + 0.0).select("factor", "row", "col", "value")
+
+
+@query(
+    "build_level_nearest",
+    f"""WITH {X.DENSE_SQL} SELECT prow // 4 AS "row", pcol // 4 AS col, value FROM dense WHERE prow % 4 = 0 AND pcol % 4 = 0""",
+)
+def build_level_nearest(spark, sf):
+    return PY.build_level(X.dense(spark, sf), [], 4, "nearest")
+
+
+RASTERS_SQL = """rasters AS (SELECT p_partkey AS asset, 300 + (p_partkey * 37) % 4000 AS width, 200 + p_size * 60 AS height, CASE p_partkey % 3 WHEN 0 THEN []::INTEGER[] WHEN 1 THEN [2] ELSE [2, 8] END AS embedded FROM part)"""
+
+
+def rasters(spark, sf):
+    k = F.col("p_partkey")
+    none = F.array().cast("array<int>")
+    embedded = F.when(k % 3 == 0, none).when(k % 3 == 1, F.array(F.lit(2))).otherwise(F.array(F.lit(2), F.lit(8)))
+    return X.table(spark, sf, "part").select(
+        k.alias("asset"), (300 + (k * 37) % 4000).alias("width"), (200 + F.col("p_size") * 60).cast("long").alias("height"), embedded.alias("overview_levels")
+    )
+
+
+@query(
+    "pyramid_ladder",
+    f"""WITH {RASTERS_SQL}, f AS (SELECT asset, embedded, CAST(power(2, k) AS BIGINT) AS factor, greatest(width, height) AS big FROM rasters, generate_series(1, 12) AS s(k))
+SELECT asset, factor FROM f WHERE big > 256 AND ceil(big / (factor / 2)) > 256 AND NOT list_contains(embedded, factor)""",
+)
+def pyramid_ladder(spark, sf):
+    ladder = PY.ladder_column("width", "height", F.col("overview_levels"), 256)
+    return rasters(spark, sf).select("asset", F.explode(ladder).alias("factor"))
+
+
+@query(
+    "dedup_assets",
+    """SELECT l_partkey AS asset, string_agg(DISTINCT CASE WHEN l_returnflag = 'N' OR l_linenumber > 5 THEN 'nearest' ELSE 'average' END, ',' ORDER BY CASE WHEN l_returnflag = 'N' OR l_linenumber > 5 THEN 'nearest' ELSE 'average' END) AS resamplings,
+  count(DISTINCT CASE WHEN l_returnflag = 'N' OR l_linenumber > 5 THEN 'nearest' ELSE 'average' END) > 1 AS conflict FROM lineitem GROUP BY ALL""",
+)
+def dedup_assets(spark, sf):
+    kind = F.when((F.col("l_returnflag") == "N") | (F.col("l_linenumber") > 5), "nearest").otherwise("average")
+    df = X.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("asset"), kind.alias("resampling"))
+    return PY.dedup_assets(df).withColumn("resamplings", F.array_join("resamplings", ","))
+
+
+@query(
+    "merge_overviews",
+    f"""WITH {RASTERS_SQL} SELECT asset, width, height, array_to_string(list_sort(list_distinct(CASE WHEN asset % 5 = 0 THEN embedded ELSE list_concat(embedded, [4, 8]) END)), ',') AS levels FROM rasters""",
+)
+def merge_overviews(spark, sf):
+    r = rasters(spark, sf).withColumn("dtype", F.lit("int16"))
+    done = F.array(F.lit(4), F.lit(8))
+    stale = F.when(F.col("asset") % 5 == 0, F.col("width") + 1).otherwise(F.col("width"))
+    p = r.select("asset", stale.alias("width"), "height", "dtype", done.alias("completed"))
+    return PY.merge_overviews(r, p).select("asset", "width", "height", F.array_join("overview_levels", ",").alias("levels"))
+
+
+@query(
+    "materialize_report",
+    f"""WITH {RASTERS_SQL}, l AS (SELECT asset, f AS factor, CAST(ceil(ceil(width / f) / 256) AS BIGINT) AS nx, CAST(ceil(ceil(height / f) / 256) AS BIGINT) AS ny FROM rasters, (VALUES (2.0), (4.0)) AS v(f)),
+g AS (SELECT asset, factor, cy, unnest(generate_series(0, nx - 1)) AS cx FROM (SELECT *, unnest(generate_series(0, ny - 1)) AS cy FROM l)),
+m AS (SELECT *, NOT (factor = 2 AND (cy + cx + asset) % 3 = 0 OR factor = 4 AND asset % 2 = 0) AS todo FROM g)
+SELECT asset, CAST(factor AS INTEGER) AS factor, count(CASE WHEN todo THEN 1 END) AS to_write, count(CASE WHEN NOT todo THEN 1 END) AS skipped, count(CASE WHEN todo THEN 1 END) = 0 AS complete FROM m GROUP BY ALL""",
+)
+def materialize_report(spark, sf):
+    grid = PY.level_grid(rasters(spark, sf), F.array(F.lit(2), F.lit(4)), 256)
+    stored = grid.where("factor = 2 AND (cy + cx + asset) % 3 = 0 OR factor = 4 AND asset % 2 = 0")
+    return PY.materialize_report(grid, stored)
+
+
+# --- resolution choice ---
+
+BANDS_SQL = """tile_bands AS (SELECT l_orderkey AS tile, l_linenumber + 10 * l_suppkey + 1000000 * l_partkey AS band, l_quantity * 40 AS cols, 100.0 + l_partkey % 1500 AS rws, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END AS bps,
+  CASE WHEN l_orderkey % 4 = 0 THEN []::BIGINT[] WHEN l_suppkey % 2 = 0 THEN [2, 4, 8]::BIGINT[] ELSE [2, 4]::BIGINT[] END AS factors FROM lineitem)"""
+
+
+def tile_bands(spark, sf):
+    flag = F.col("l_returnflag")
+    arr = lambda *v: F.array(*map(F.lit, v)).cast("array<int>")
+    factors = F.when(F.col("l_orderkey") % 4 == 0, arr()).when(F.col("l_suppkey") % 2 == 0, arr(2, 4, 8)).otherwise(arr(2, 4))
+    return X.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("tile"), (F.col("l_quantity") * 40).alias("cols"), (F.lit(100.0) + F.col("l_partkey") % 1500).alias("rows"),
+        F.when(flag == "A", SAMPLE_BYTES["uint8"]).when(flag == "N", SAMPLE_BYTES["int16"]).otherwise(SAMPLE_BYTES["float32"]).alias("bytes_per_sample"),
+        factors.alias("factors"),
+    )
+
+
+@query("estimate_bytes", f"WITH {BANDS_SQL} SELECT tile, CAST(sum(CAST(ceil(cols / 2.0) * ceil(rws / 2.0) AS BIGINT) * bps) AS BIGINT) AS estimated_bytes FROM tile_bands GROUP BY tile")
+def estimate_bytes(spark, sf):
+    return M.estimate_bytes(tile_bands(spark, sf), ["tile"], 2)
+
+
+COMMON_SQL = f"""{BANDS_SQL}, n AS (SELECT tile, count(*) AS n, CAST(sum(CAST(ceil(cols) * ceil(rws) AS BIGINT) * bps) AS BIGINT) AS live, max(len(factors)) AS most FROM tile_bands GROUP BY tile),
+e AS (SELECT tile, f, count(*) AS k, CAST(sum(CAST(ceil(cols / CAST(f AS DOUBLE)) * ceil(rws / CAST(f AS DOUBLE)) AS BIGINT) * bps) AS BIGINT) AS cost FROM tile_bands, unnest(factors) AS u(f) WHERE f > 1 AND f <= least(cols / 256.0, rws / 256.0) * 1.2::DOUBLE GROUP BY ALL),
+common AS (SELECT e.tile, max(f) AS factor, arg_max(cost, f) AS cost FROM e JOIN n ON n.tile = e.tile AND e.k = n.n GROUP BY e.tile)"""
+
+
+@query("common_overview", f"WITH {COMMON_SQL} SELECT tile, CAST(factor AS INTEGER) AS factor FROM common")
+def common_overview(spark, sf):
+    return M.common_overview(tile_bands(spark, sf), ["tile"])
+
+
+@query(
+    "materialization_plan",
+    f"""WITH {COMMON_SQL}, c AS (SELECT o_orderkey AS tile, CASE WHEN o_custkey % 9 = 0 THEN o_custkey + 100 END AS payload FROM orders),
+p AS (SELECT n.tile, live, factor, cost, payload, live <= 6000000 AS ok, most FROM n LEFT JOIN common ON common.tile = n.tile LEFT JOIN c ON c.tile = n.tile)
+SELECT tile, CASE WHEN payload IS NOT NULL THEN 'cache_hit' WHEN factor IS NOT NULL AND (cost <= live OR NOT ok) THEN 'overview' WHEN ok THEN 'live' ELSE 'refuse' END AS chosen,
+  CASE WHEN payload IS NOT NULL THEN 0 WHEN factor IS NOT NULL AND (cost <= live OR NOT ok) THEN factor WHEN ok THEN 1 END AS factor,
+  CASE WHEN payload IS NOT NULL THEN payload WHEN factor IS NOT NULL AND (cost <= live OR NOT ok) THEN cost ELSE live END AS cost,
+  CASE WHEN payload IS NOT NULL THEN 'not estimated: cache hit short-circuits' WHEN factor IS NOT NULL THEN 'coarsest overview within the oversample threshold' WHEN most = 0 THEN 'source has no overviews' ELSE 'no overview factor eligible at this zoom' END AS overview_reason FROM p""",
+)
+def materialization_plan(spark, sf):
+    cache = X.table(spark, sf, "orders").where(F.col("o_custkey") % 9 == 0).select(F.col("o_orderkey").alias("tile"), (F.col("o_custkey") + 100).alias("payload_bytes"))
+    plan = M.materialization_plan(tile_bands(spark, sf), ["tile"], cache, 256, 6_000_000)
+    return plan.select("tile", "chosen", "factor", "cost", F.col("considered")[1]["reason"].alias("overview_reason"))
+
+
+@query(
+    "missing_tiles",
+    f"""WITH {X.TRACES_SQL}, w AS (SELECT DISTINCT layer, tile FROM traces), h AS (SELECT layer, tile FROM traces GROUP BY ALL HAVING count(CASE WHEN decision = 'cache_hit' THEN 1 END) > 0)
+SELECT w.layer, w.tile FROM w LEFT JOIN h ON h.layer = w.layer AND h.tile = w.tile WHERE h.layer IS NULL""",
+)
+def missing_tiles(spark, sf):
+    from ..functions import tiles as T
+
+    t = X.traces(spark, sf).withColumn("t", T.parse_tile_key("tile"))
+    key = K.tile_key_hash("layer", F.lit("v"), F.lit("{}"), F.lit("WebMercatorQuad"), "t.z", "t.x", "t.y", F.lit(256))
+    keyed = t.withColumn("tile_key", key)
+    wanted = keyed.select("tile_key", "layer", "tile").distinct()
+    stored = keyed.where("decision = 'cache_hit'").select("tile_key").distinct()
+    return M.missing_tiles(wanted, stored).select("layer", "tile")

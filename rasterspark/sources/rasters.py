@@ -46,7 +46,7 @@ def raster_info(ifds: DataFrame) -> DataFrame:
         .when(F.col("p.no_tiepoint"), "no tiepoint")
         .when(F.col("p.nodata_text").isNotNull() & number.isNull(), "unparseable nodata")
     )
-    factors = F.array_sort(F.transform("_widths", lambda w: F.round(F.col("p.width") / w, 0).cast("int")))
+    factors = F.array_sort(F.transform("_widths", lambda w: F.round(F.try_divide(F.col("p.width").cast("double"), w), 0).cast("int")))
     return files.select(
         F.col("path").alias("asset"),
         F.concat(F.lit("EPSG:"), F.col("p.epsg").cast("string")).alias("crs"),
