@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def _band():
     flag = F.col("l_returnflag")
     return F.when(flag == "A", "red").when(flag == "N", "nir").otherwise("green")
@@ -52,11 +58,11 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("row", F.col("col").cast("long").alias("col"), F.round(F.col("v").cast("double") * 1000, 0).cast("int").alias("value"))
 
 
-def granules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1: acquisitions with footprints: ``id, dataset, datetime, bbox``."""
+def granules(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """G1: acquisitions with footprints: ``id, dataset, datetime, bbox`` (from a stream when given)."""
     west = F.lit(-180.0) + (F.col("o_orderkey") % 350)
     south = F.lit(-80.0) + (F.col("o_custkey") % 150)
-    return table(spark, sf_dir, "orders").select(
+    return (orders if orders is not None else table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderpriority").alias("dataset"),
         F.col("o_orderdate").cast("timestamp").alias("datetime"),
@@ -112,11 +118,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T1: render traces: ``id, layer, tile, decision, total_ms, bytes_read, ts``."""
+def traces(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """T1: render traces: ``id, layer, tile, decision, total_ms, bytes_read, ts`` (from a stream when given)."""
     k = F.get_json_object("props", "$.k").cast("long")
     kind = F.col("user_id") % 3
-    return table(spark, sf_dir, "events").select(
+    return (events if events is not None else table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("id"),
         F.col("event_type").alias("layer"),
         F.concat(F.lit("7/"), (k % 10).cast("string"), F.lit("/"), F.floor(k / 10).cast("string")).alias("tile"),

@@ -1 +1,161 @@
-"""Checked queries."""
+"""Streams over the tables, and whole jobs."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import fixtures as X
+from ..functions import temporal as TM
+from ..operators import spatial as S
+from ..operators import warp as W
+from ..plans import jobs as J
+from ..session import checkpoint_dir
+from ..sources import granules as SG
+from ..streaming import ingest as SI
+from ..streaming import traces as ST
+from . import query
+from .imagery import quantize_sql, rescale_sql
+from .traces import MIX
+from .warping import SIZE, UTM_WARP_SQL, ZOOM, asset_pixels, utm_rasters
+
+
+def drain(df: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
+    """Run a stream over everything available and read its output back.
+
+    Complete output replaces itself per micro-batch; append and update output accumulates.
+    """
+    base = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    schema = df.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        target = f"{base}/out" if mode == "complete" else f"{base}/out/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
+
+    started = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    started.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+def _traces(spark, sf):
+    return X.traces(spark, sf, X.stream(spark, sf, "events"))
+
+
+@query(
+    "stream_trace_metrics",
+    f"WITH {X.TRACES_SQL} SELECT layer, {MIX}, count(CASE WHEN decision = 'cache_hit' THEN 1 END) / CAST(count(*) AS DOUBLE) AS hit_rate, min(CAST(round(total_ms * 10) AS BIGINT)) AS ingest_to_pixel_ms FROM traces GROUP BY layer",
+)
+def stream_trace_metrics(spark, sf):
+    t = _traces(spark, sf).withColumn("ingest_to_pixel_ms", F.round(F.col("total_ms") * 10, 0).cast("long"))
+    return drain(ST.trace_metrics(t, ["layer"]), spark, "complete")
+
+
+@query(
+    "stream_rolling_quantiles",
+    f"""WITH {X.TRACES_SQL} SELECT layer, id, round(quantile_cont(total_ms, 0.5) OVER w, 6) AS p50, round(quantile_cont(total_ms, 0.95) OVER w, 6) AS p95 FROM traces
+WINDOW w AS (PARTITION BY layer ORDER BY id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)""",
+)
+def stream_rolling_quantiles(spark, sf):
+    out = drain(ST.rolling_quantile_stream(_traces(spark, sf)), spark, "append")
+    return out.select("layer", "id", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+@query("stream_latest_tiles", f"WITH {X.TRACES_SQL} SELECT layer, tile, max(id) AS id, arg_max(decision, id) AS decision FROM traces GROUP BY ALL")
+def stream_latest_tiles(spark, sf):
+    out = drain(ST.latest_tile_stream(_traces(spark, sf).withWatermark("ts", "1 hour")), spark, "update")
+    newest = out.groupBy("layer", "tile").agg(F.max(F.struct("id", "decision")).alias("t"))
+    return newest.select("layer", "tile", "t.id", "t.decision")
+
+
+@query("stream_lag_report", f"WITH {X.TRACES_SQL} SELECT layer AS producer, count(*) AS received, max(id) - min(id) + 1 - count(*) AS missed, max(id) AS last_id FROM traces GROUP BY layer")
+def stream_lag_report(spark, sf):
+    return drain(ST.lag_report(_traces(spark, sf)), spark, "complete")
+
+
+@query(
+    "stream_widen_extents",
+    f"WITH {X.GRANULES_SQL} SELECT dataset, min(dt_ms) AS t_start, max(dt_ms) AS t_end, min(west) AS west, min(south) AS south, max(east) AS east, max(north) AS north FROM granules GROUP BY dataset",
+)
+def stream_widen_extents(spark, sf):
+    out = drain(SI.widen_extents(X.granules(spark, sf, X.stream(spark, sf, "orders"))), spark, "complete")
+    return out.withColumns({"t_start": TM.instant_ms("t_start"), "t_end": TM.instant_ms("t_end")})
+
+
+@query(
+    "drop_manifests",
+    f"""WITH {X.GRANULES_SQL} SELECT id AS n, CASE WHEN id % 9 NOT IN (2, 4, 6, 8) THEN dataset END AS dataset, CASE WHEN id % 9 NOT IN (2, 4, 6, 8) THEN dt_ms END AS dt_ms, CASE WHEN id % 9 NOT IN (2, 4, 6, 8) THEN east END AS east,
+  CASE id % 9 WHEN 2 THEN 'unknown field' WHEN 4 THEN 'datetime is not RFC 3339 UTC' WHEN 6 THEN 'not a JSON object' WHEN 8 THEN 'bbox is not four numbers' END AS issue FROM granules""",
+)
+def drop_manifests(spark, sf):
+    g, k = X.granules(spark, sf), F.col("id") % 9
+    b = [F.col(f"bbox.{c}") for c in ("west", "south", "east", "north")]
+    stamp = TM.from_unix_millis(TM.instant_ms("datetime"))
+    doc = F.to_json(
+        F.struct(
+            "dataset", F.col("id").cast("string").alias("granule"), F.when(k == 8, F.array(b[0], b[1])).otherwise(F.array(*b)).alias("bbox"),
+            F.when(k == 4, F.lit("yesterday")).otherwise(stamp).alias("datetime"), F.create_map(F.lit("red"), F.lit("r.tif")).alias("assets"),
+            F.when(k == 2, F.lit(1)).alias("extra"),
+        )
+    )
+    raw = g.select(F.when(k == 6, F.substring(doc, 1, 25)).otherwise(doc).alias("value"), F.col("id").alias("n"))
+    out, fine = SG.parse_drop_manifests(raw), F.col("issue").isNull()
+    return out.select(
+        "n", F.when(fine, F.col("dataset")).alias("dataset"), F.when(fine, TM.instant_ms("datetime")).alias("dt_ms"),
+        F.when(fine, F.col("bbox.east")).alias("east"), "issue",
+    )
+
+
+# --- whole jobs ---
+
+NDVI = ("divide", ("subtract", "nir", "red"), ("add", "nir", "red"))
+
+
+def scene(spark, sf):
+    """Granules, rasters, pixels and tile requests of the derived UTM scene: one granule per asset and day."""
+    base = utm_rasters(spark, sf)
+    bands = F.array(F.lit("nir"), F.lit("red"))
+    name = F.concat(F.col("asset").cast("string"), F.lit("."), F.col("_band"))
+    rasters = base.withColumn("_band", F.explode(bands)).withColumn("asset", name).drop("_band")
+    rasters = rasters.withColumns({"dtype": F.lit("int16"), "overview_levels": F.array().cast("array<int>")})
+    href = lambda band: F.struct(F.concat(F.col("asset").cast("string"), F.lit("." + band)).alias("href"), F.lit("raster").alias("kind"))
+    granules = base.select(
+        F.lit("scene").alias("dataset"), F.col("asset").cast("string").alias("id"), F.timestamp_millis(F.col("asset") * 86400000).alias("datetime"),
+        F.create_map(F.lit("nir"), href("nir"), F.lit("red"), href("red")).alias("assets"),
+    )
+    v = F.col("value")
+    both = asset_pixels(spark, sf).where(v.isNotNull()).withColumn("_s", F.explode(F.array(
+        F.struct(F.lit("nir").alias("b"), (F.abs(v) + 1).alias("v")), F.struct(F.lit("red").alias("b"), (F.abs(v * 3) % 700 + 1).alias("v")))))
+    pixels = both.select(F.concat(F.col("asset").cast("string"), F.lit("."), F.col("_s.b")).alias("asset"), F.lit(1).alias("level"), "row", "col", F.col("_s.v").alias("value"))
+    boxes = W.raster_bounds(base).select("asset", F.struct("west", "south", "east", "north").alias("bbox"))
+    tiles = S.tiles_for_footprints(boxes, ZOOM).select("z", "x", "y", (F.col("asset") * 86400000).alias("t_ms"))
+    return granules, rasters, pixels, tiles
+
+
+LAYER = J.Layer("ndvi", "scene", ("nir", "red"), NDVI, None, -1.0, 1.0, "grayscale", "nearest", SIZE)
+
+RENDER_SQL = f"""{UTM_WARP_SQL}, hit AS (SELECT p.asset, x, y, i, j, abs(value) + 1 AS nir, abs(value * 3) % 700 + 1 AS red FROM pos p JOIN px ON px.asset = p.asset AND px.prow = floor(frow + 1e-10) AND px.pcol = floor(fcol + 1e-10)
+  JOIN assets a ON a.asset = p.asset WHERE value IS NOT NULL AND fcol >= 0 AND frow >= 0 AND fcol + 1e-10 <= a.w AND frow + 1e-10 <= a.h),
+gray AS (SELECT asset, x, y, i, j, {quantize_sql(rescale_sql('((nir - red) / (nir + red))', -1.0, 1.0))} AS v FROM hit)"""
+
+
+@query(
+    "render_tiles",
+    f"""WITH {RENDER_SQL} SELECT CAST(asset AS VARCHAR) AS granule_id, x, y, j AS "row", i AS col, v AS r, v AS g, v AS b, 255::SMALLINT AS a FROM gray""",
+)
+def render_tiles(spark, sf):
+    granules, rasters, pixels, tiles = scene(spark, sf)
+    painted, _ = J.render(LAYER, tiles, granules, rasters, pixels)
+    return painted.select("granule_id", "x", "y", "row", "col", "r", "g", "b", "a")
+
+
+@query(
+    "render_cached",
+    f"""WITH {RENDER_SQL} SELECT CAST(asset AS VARCHAR) AS granule_id, x, y, count(*) AS pixels, CAST(sum(v) AS BIGINT) AS total FROM gray WHERE (x + y) % 2 = 1 GROUP BY ALL""",
+)
+def render_cached(spark, sf):
+    granules, rasters, pixels, tiles = scene(spark, sf)
+    stored = J.tile_keys(LAYER, J.resolve_tiles(LAYER, tiles, granules)).where("(x + y) % 2 = 0").select("tile_key")
+    fresh, _ = J.render_cached(LAYER, tiles, granules, rasters, pixels, stored)
+    return fresh.groupBy("granule_id", "x", "y").agg(F.count("*").alias("pixels"), F.sum("r").alias("total"))
