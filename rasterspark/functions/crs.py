@@ -107,41 +107,40 @@ SINU_PARAMETERS = "proj|R|a|b|lon_0|x_0|y_0|units|no_defs|wktext|type|nadgrids"
 
 SINU_VALUES = ("proj", "R", "a", "b", "lon_0", "x_0", "y_0", "units", "nadgrids")
 
+# Long expressions are given as SQL text: one call to the JVM instead of one per operator.
+_SINU_SQL = r"""CASE WHEN {text} RLIKE '^\\s*(\\+({known})(=\\S*)?(\\s+|$))+$' AND {proj} = 'sinu'
+  AND coalesce({units} = 'm', true) AND coalesce({nadgrids} = '@null', true)
+  AND ({lon_0} IS NULL OR try_cast({lon_0} AS double) IS NOT NULL)
+  AND ({x_0} IS NULL OR try_cast({x_0} AS double) IS NOT NULL)
+  AND ({y_0} IS NULL OR try_cast({y_0} AS double) IS NOT NULL)
+  AND {radius} > 0 AND {radius} < double('infinity')
+  THEN named_struct('radius', {radius}, 'lon_0', coalesce(try_cast({lon_0} AS double), 0D),
+    'x_0', coalesce(try_cast({x_0} AS double), 0D), 'y_0', coalesce(try_cast({y_0} AS double), 0D)) END"""
 
-def _parameter(proj: Column, name: str) -> Column:
-    """The text of one proj parameter; the last one counts when it is repeated."""
-    hit = F.regexp_extract(proj, rf"^(?:|.*\s)\+{name}=(\S*)", 1)
-    return F.when(hit != "", hit)
-
-
-def _sinu_struct(proj: Column, raw: dict[str, Column]) -> Column:
-    number = lambda name: raw[name].try_cast("double")
-    good = proj.rlike(rf"^\s*(\+({SINU_PARAMETERS})(=\S*)?(\s+|$))+$") & (raw["proj"] == "sinu")
-    good = good & F.coalesce(raw["units"] == "m", F.lit(True)) & F.coalesce(raw["nadgrids"] == "@null", F.lit(True))
-    for name in ("lon_0", "x_0", "y_0"):
-        good = good & (raw[name].isNull() | number(name).isNotNull())
-    r, a, b = number("R"), number("a"), number("b")
-    radius = F.when(r.isNotNull() & a.isNull() & b.isNull(), r).when(r.isNull() & (a == b), a)
-    good = good & (radius > 0) & (radius < float("inf"))
-    zero = F.lit(0.0)
-    return F.when(
-        good,
-        F.struct(
-            radius.alias("radius"),
-            F.coalesce(number("lon_0"), zero).alias("lon_0"),
-            F.coalesce(number("x_0"), zero).alias("x_0"),
-            F.coalesce(number("y_0"), zero).alias("y_0"),
-        ),
-    )
+_RADIUS_SQL = """(CASE WHEN try_cast({R} AS double) IS NOT NULL AND {a} IS NULL AND {b} IS NULL THEN try_cast({R} AS double)
+  WHEN {R} IS NULL AND try_cast({a} AS double) = try_cast({b} AS double) THEN try_cast({a} AS double) END)"""
+
+
+def _parameter_sql(text: str, name: str) -> str:
+    """One proj parameter; the last one counts when it is repeated."""
+    return rf"nullif(regexp_extract({text}, '^(?:|.*\\s)\\+{name}=(\\S*)', 1), '')"
+
+
+def _sinu_sql(text: str, raw: dict[str, str]) -> str:
+    return _SINU_SQL.format(text=text, known=SINU_PARAMETERS, radius=_RADIUS_SQL.format(**raw), **raw)
 
 
-def parse_sinu(proj) -> Column:
-    """A spherical sinusoidal definition to ``struct<radius,lon_0,x_0,y_0>`` (lon_0 in degrees).
+def with_sinu(df: DataFrame, proj, out: str) -> DataFrame:
+    """Add ``out``: a spherical sinusoidal definition as ``struct<radius,lon_0,x_0,y_0>`` (lon_0 in degrees).
 
     Ellipsoids, other projections, other units and unknown parameters give NULL.
     """
+    text = f"{out}_def"
+    raw = {n: f"{out}_raw_{n}" for n in SINU_VALUES}
     proj = text_col(proj)
-    return _sinu_struct(proj, {n: _parameter(proj, n) for n in SINU_VALUES})
+    df = df.withColumn(text, F.when(proj.startswith("+proj=sinu"), proj))
+    df = df.withColumns({c: F.expr(_parameter_sql(text, n)) for n, c in raw.items()})
+    return df.withColumn(out, F.expr(_sinu_sql(text, raw))).drop(text, *raw.values())
 
 
 # Points are ``struct<x,y>`` whose fields are NULL outside the domain. The domain is applied to the
@@ -176,60 +175,76 @@ def mercator_to_lonlat(x, y) -> Column:
 # --- UTM ---
 
 
-def central_meridian(zone) -> Column:
-    return col(zone) * 6 - 183
-
-
 def _is_south(south) -> Column:
     return south if isinstance(south, Column) else F.lit(bool(south))
 
 
-def add_utm(df: DataFrame, lon: Column, lat: Column, zone, south, out: str) -> DataFrame:
+def _num(value: float) -> str:
+    return f"{value!r}D"
+
+
+def _terms(sign: str, coefficients: list[float], first: str, second: str | None = None) -> str:
+    """Series text: sum of c_j * first(2j * a) * second(2j * b) with ``first`` like ``sin(_xi``."""
+    parts = []
+    for j, c in enumerate(coefficients, start=1):
+        factors = [_num(c), f"{first} * {2 * j}D)"] + ([f"{second} * {2 * j}D)"] if second else [])
+        parts.append(f"{sign} " + " * ".join(factors))
+    return " ".join(parts)
+
+
+_SHIFT = f"(CASE WHEN _south THEN {_num(UTM_FALSE_NORTHING)} ELSE 0D END)"
+_UTM_SCALE = _num(UTM_K0 * RECTIFYING_RADIUS)
+_E = _num(ECCENTRICITY)
+
+
+def _steps(df: DataFrame, *steps: dict[str, str]) -> DataFrame:
+    """Projection steps given as SQL text."""
+    for step in steps:
+        df = df.withColumns({name: F.expr(text) for name, text in step.items()})
+    return df
+
+
+def add_utm(df: DataFrame, lon, lat, zone, south, out: str) -> DataFrame:
     """Add ``{out}_x, {out}_y`` in one UTM zone; ``zone`` and ``south`` may be columns.
 
     The series is laid out in projection steps, so every intermediate is computed once per row.
     """
-    away = F.pmod(lon - central_meridian(zone) + 180, F.lit(360.0)) - 180
-    away, lat = _inside(away, lat, (F.abs(lat) < 90) & (F.abs(away) < 85))
-    e, one = F.lit(ECCENTRICITY), F.lit(1.0)
-    c = F.col
-    df = df.withColumns({"_lam": F.radians(away), "_phi": F.radians(lat)})
-    df = df.withColumns({"_tau": F.tan(c("_phi")), "_sigma": F.sinh(e * F.atanh(e * F.sin(c("_phi"))))})
-    conformal = c("_tau") * F.sqrt(one + c("_sigma") * c("_sigma")) - c("_sigma") * F.sqrt(one + c("_tau") * c("_tau"))
-    df = df.withColumns({"_tau": conformal, "_sin": F.sin(c("_lam")), "_cos": F.cos(c("_lam"))})
-    flat = F.sqrt(c("_tau") * c("_tau") + c("_cos") * c("_cos"))
-    df = df.withColumns({"_xi": F.atan2(c("_tau"), c("_cos")), "_eta": F.asinh(F.try_divide(c("_sin"), flat))})
-    xi, eta = c("_xi"), c("_eta")
-    for j, a in enumerate(ALPHA, start=1):
-        xi = xi + F.lit(a) * F.sin(c("_xi") * (2.0 * j)) * F.cosh(c("_eta") * (2.0 * j))
-        eta = eta + F.lit(a) * F.cos(c("_xi") * (2.0 * j)) * F.sinh(c("_eta") * (2.0 * j))
-    scale = F.lit(UTM_K0 * RECTIFYING_RADIUS)
-    shift = F.when(_is_south(south), F.lit(UTM_FALSE_NORTHING)).otherwise(F.lit(0.0))
-    moved = {f"{out}_x": F.lit(UTM_FALSE_EASTING) + scale * eta, f"{out}_y": scale * xi + shift}
-    return df.withColumns(moved).drop("_lam", "_phi", "_tau", "_sigma", "_sin", "_cos", "_xi", "_eta")
-
-
-def add_lonlat_of_utm(df: DataFrame, x: Column, y: Column, zone, south, out: str) -> DataFrame:
+    df = df.withColumns({"_ulon": col(lon), "_ulat": col(lat), "_uzone": col(zone), "_south": _is_south(south)})
+    inside = "abs(_ulat) < 90 AND abs(_away) < 85"
+    moved = _steps(
+        df,
+        {"_away": "pmod(_ulon - (_uzone * 6 - 183) + 180, 360D) - 180"},
+        {"_lam": f"radians(CASE WHEN {inside} THEN _away END)", "_phi": f"radians(CASE WHEN {inside} THEN _ulat END)"},
+        {"_tau": "tan(_phi)", "_sigma": f"sinh({_E} * atanh({_E} * sin(_phi)))", "_sin": "sin(_lam)", "_cos": "cos(_lam)"},
+        {"_tau": "_tau * sqrt(1 + _sigma * _sigma) - _sigma * sqrt(1 + _tau * _tau)"},
+        {"_xi": "atan2(_tau, _cos)", "_eta": "asinh(try_divide(_sin, sqrt(_tau * _tau + _cos * _cos)))"},
+        {
+            f"{out}_x": f"{_num(UTM_FALSE_EASTING)} + {_UTM_SCALE} * (_eta {_terms('+', ALPHA, 'cos(_xi', 'sinh(_eta')})",
+            f"{out}_y": f"{_UTM_SCALE} * (_xi {_terms('+', ALPHA, 'sin(_xi', 'cosh(_eta')}) + {_SHIFT}",
+        },
+    )
+    return moved.drop("_ulon", "_ulat", "_uzone", "_south", "_away", "_lam", "_phi", "_tau", "_sigma", "_sin", "_cos", "_xi", "_eta")
+
+
+def add_lonlat_of_utm(df: DataFrame, x, y, zone, south, out: str) -> DataFrame:
     """Add ``{out}_x, {out}_y`` holding lon, lat of a UTM point, in projection steps."""
-    scale = F.lit(UTM_K0 * RECTIFYING_RADIUS)
-    shift = F.when(_is_south(south), F.lit(UTM_FALSE_NORTHING)).otherwise(F.lit(0.0))
-    eta, xi = (x - F.lit(UTM_FALSE_EASTING)) / scale, (y - shift) / scale
-    eta, xi = _inside(eta, xi, (F.abs(eta) < 3) & (F.abs(xi) <= 1.5708))
-    c = F.col
-    df = df.withColumns({"_xi": xi, "_eta": eta})
-    xi0, eta0 = c("_xi"), c("_eta")
-    for j, b in enumerate(BETA, start=1):
-        xi0 = xi0 - F.lit(b) * F.sin(c("_xi") * (2.0 * j)) * F.cosh(c("_eta") * (2.0 * j))
-        eta0 = eta0 - F.lit(b) * F.cos(c("_xi") * (2.0 * j)) * F.sinh(c("_eta") * (2.0 * j))
-    df = df.withColumns({"_xi": xi0, "_eta": eta0})
-    df = df.withColumns(
-        {"_chi": F.asin(F.sin(c("_xi")) / F.cosh(c("_eta"))), "_lam": F.atan2(F.sinh(c("_eta")), F.cos(c("_xi")))}
+    df = df.withColumns({"_ux": col(x), "_uy": col(y), "_uzone": col(zone), "_south": _is_south(south)})
+    inside = "abs(_eta) < 3 AND abs(_xi) <= 1.5708"
+    moved = _steps(
+        df,
+        {"_eta": f"(_ux - {_num(UTM_FALSE_EASTING)}) / {_UTM_SCALE}", "_xi": f"(_uy - {_SHIFT}) / {_UTM_SCALE}"},
+        {"_xi": f"CASE WHEN {inside} THEN _xi END", "_eta": f"CASE WHEN {inside} THEN _eta END"},
+        {
+            "_xi": f"_xi {_terms('-', BETA, 'sin(_xi', 'cosh(_eta')}",
+            "_eta": f"_eta {_terms('-', BETA, 'cos(_xi', 'sinh(_eta')}",
+        },
+        {"_chi": "asin(sin(_xi) / cosh(_eta))", "_lam": "atan2(sinh(_eta), cos(_xi))"},
+        {
+            f"{out}_x": "pmod(degrees(_lam) + (_uzone * 6 - 183) + 180, 360D) - 180",
+            f"{out}_y": f"degrees(_chi {_terms('+', DELTA, 'sin(_chi')})",
+        },
     )
-    phi = c("_chi")
-    for j, d in enumerate(DELTA, start=1):
-        phi = phi + F.lit(d) * F.sin(c("_chi") * (2.0 * j))
-    lon = F.pmod(F.degrees(c("_lam")) + central_meridian(zone) + 180, F.lit(360.0)) - 180
-    return df.withColumns({f"{out}_x": lon, f"{out}_y": F.degrees(phi)}).drop("_xi", "_eta", "_chi", "_lam")
+    return moved.drop("_ux", "_uy", "_uzone", "_south", "_xi", "_eta", "_chi", "_lam")
 
 
 # --- spherical sinusoidal ---
@@ -284,13 +299,9 @@ def with_crs(df: DataFrame, crs, name: str) -> DataFrame:
 
     Flat columns on purpose: the optimizer repeats a struct's expression at every field access.
     """
-    text = F.col(f"{name}_text")
-    df = df.withColumn(f"{name}_text", text_col(crs)).withColumn(f"{name}_epsg", crs_epsg(text))
-    sinu = F.when(text.startswith("+proj=sinu"), text)
-    raw = {n: f"{name}_raw_{n}" for n in SINU_VALUES}
-    df = df.withColumns({f"{name}_zone": utm_zone(f"{name}_epsg"), **{c: _parameter(sinu, n) for n, c in raw.items()}})
-    parsed = _sinu_struct(sinu, {n: F.col(c) for n, c in raw.items()})
-    return df.withColumn(f"{name}_sinu", parsed).drop(f"{name}_text", *raw.values())
+    df = df.withColumn(f"{name}_text", text_col(crs))
+    df = df.withColumn(f"{name}_epsg", crs_epsg(F.col(f"{name}_text"))).withColumn(f"{name}_zone", utm_zone(f"{name}_epsg"))
+    return with_sinu(df, F.col(f"{name}_text"), f"{name}_sinu").drop(f"{name}_text")
 
 
 def _split(df: DataFrame, point: Column, out: str) -> DataFrame:
@@ -306,8 +317,9 @@ def _add(df: DataFrame, x: Column, y: Column, crs, out: str, mercator, utm, sinu
         if _zone_of(crs):
             return utm(df, x, y, *_zone_of(crs), out)
         if crs.startswith("+proj=sinu"):
-            p = parse_sinu(crs)
-            return _split(df, sinu(x, y, p["radius"], p["lon_0"], p["x_0"], p["y_0"]), out)
+            p = lambda k: F.col(f"_sinu.{k}")
+            df = with_sinu(df, crs, "_sinu")
+            return _split(df, sinu(x, y, p("radius"), p("lon_0"), p("x_0"), p("y_0")), out).drop("_sinu")
         raise ValueError(f"unsupported CRS {crs!r}")
     # All branches; each sees NULL inputs unless it applies, so exactly one result is not NULL and
     # ``greatest``, which skips NULLs, picks it without a conditional around the heavy arithmetic.

@@ -275,7 +275,7 @@ def sinu_definitions(spark, sf):
         .when(k % 4 == 2, F.concat(F.lit("+proj=laea +R="), r, tail))
         .otherwise(F.concat(F.lit("+proj=sinu +a="), r, F.lit(" +b="), r, tail))
     )
-    df = X.table(spark, sf, "supplier").withColumn("s", C.parse_sinu(text))
+    df = C.with_sinu(X.table(spark, sf, "supplier"), text, "s")
     return df.select(k.alias("id"), F.col("s.radius").alias("radius"), F.col("s.lon_0").alias("lon_0"))
 
 
