@@ -37,27 +37,35 @@ def project_points(df: DataFrame, x: str, y: str, source, target, out: str) -> D
         hub = C.add_lonlat(df, px, py, source, "_hub")
         return C.add_projected(hub, "_hub_x", "_hub_y", target, out).drop("_hub_x", "_hub_y")
     made = []
-    if not isinstance(source, C.ParsedCrs):
+    if not isinstance(source, (str, C.ParsedCrs)):
         df, source = C.with_crs(df, source, "_from"), C.ParsedCrs("_from")
         made += source.columns
-    if not isinstance(target, C.ParsedCrs):
+    if not isinstance(target, (str, C.ParsedCrs)):
         df, target = C.with_crs(df, target, "_into"), C.ParsedCrs("_into")
         made += target.columns
     hub = C.add_lonlat(df, px, py, source, "_hub")
     hub = C.add_projected(hub, "_hub_x", "_hub_y", target, "_moved")
-    same = source["epsg"].eqNullSafe(target["epsg"]) & source["sinu"].eqNullSafe(target["sinu"])
-    same = same & (source["epsg"].isNotNull() | source["sinu"].isNotNull())
-    pick = lambda here, there: F.when(same, here).otherwise(F.col(there))
+    pick = lambda here, there: F.when(_same_crs(source, target), here).otherwise(F.col(there))
     moved = {f"{out}_x": pick(px, "_moved_x"), f"{out}_y": pick(py, "_moved_y")}
     return hub.withColumns(moved).drop(*made, "_hub_x", "_hub_y", "_moved_x", "_moved_y")
 
 
-DST, SRC = C.ParsedCrs("_dst"), C.ParsedCrs("_src")
+def _same_crs(a, b) -> Column:
+    """Whether two CRSs, at most one of them a literal, are equal."""
+    if isinstance(b, str):
+        a, b = b, a
+    if isinstance(a, str):
+        return b["epsg"].eqNullSafe(F.lit(int(a[5:]))) if a.startswith("EPSG:") else F.lit(False)
+    both = a["epsg"].eqNullSafe(b["epsg"]) & a["sinu"].eqNullSafe(b["sinu"])
+    return both & (a["epsg"].isNotNull() | a["sinu"].isNotNull())
 
 
-def _parsed(df: DataFrame) -> DataFrame:
-    """CRS texts parsed once per target, before points are generated."""
-    return C.with_crs(C.with_crs(df, F.col("crs"), "_dst"), F.col("src_crs"), "_src")
+def _parsed(df: DataFrame, crs: str | None):
+    """CRS texts parsed once per target, before points are generated: (table, target CRS, source CRS)."""
+    df = C.with_crs(df, F.col("src_crs"), "_src")
+    if crs is not None:
+        return df, crs, C.ParsedCrs("_src")
+    return C.with_crs(df, F.col("crs"), "_dst"), C.ParsedCrs("_dst"), C.ParsedCrs("_src")
 
 
 def raster_bounds(rasters: DataFrame, dst_crs: str = C.WGS84, edge_samples: int = 2) -> DataFrame:
@@ -82,21 +90,22 @@ def raster_bounds(rasters: DataFrame, dst_crs: str = C.WGS84, edge_samples: int
     )
 
 
-def source_extent(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def source_extent(pairs: DataFrame, keys: list[str], crs: str | None = None) -> DataFrame:
     """Fractional source-pixel box of each target's densified boundary.
 
     ``pairs`` has ``keys``, the target (``min_x..max_y, crs``) and the raster
     (``src_crs, transform``). Points outside the projection's domain are skipped; targets with no
-    point left drop out.
+    point left drop out. ``crs`` names the target CRS when it is one literal for all targets.
     """
     steps = F.sequence(F.lit(0), F.lit(EDGE_SAMPLES - 1))
-    points = _parsed(pairs).withColumn("_t", F.explode(steps)).withColumn("_t", F.col("_t") / F.lit(float(EDGE_SAMPLES - 1)))
+    pairs, dst, src = _parsed(pairs, crs)
+    points = pairs.withColumn("_t", F.explode(steps)).withColumn("_t", F.col("_t") / F.lit(float(EDGE_SAMPLES - 1)))
     x = F.col("min_x") + F.col("_t") * (F.col("max_x") - F.col("min_x"))
     y = F.col("min_y") + F.col("_t") * (F.col("max_y") - F.col("min_y"))
     edges = [(x, F.col("max_y")), (x, F.col("min_y")), (F.col("min_x"), y), (F.col("max_x"), y)]
     edge = F.explode(F.array(*[F.struct(ex.alias("x"), ey.alias("y")) for ex, ey in edges]))
     placed = points.withColumn("_e", edge).withColumn("_ex", F.col("_e.x")).withColumn("_ey", F.col("_e.y"))
-    moved = project_points(placed, "_ex", "_ey", DST, SRC, "_p")
+    moved = project_points(placed, "_ex", "_ey", dst, src, "_p")
     # flat columns and no filter here: a filter would be pushed below the projection steps and
     # repeat all of them; min and max skip the NULL points anyway
     pixel = moved.withColumn("_px", crs_to_pixel("_p_x", "_p_y", F.col("transform")))
@@ -168,14 +177,15 @@ def kernel_shape(extents: DataFrame, filter_radius: int) -> DataFrame:
     return df.drop("_lo", "_hi", "_pad", "_plain")
 
 
-def target_pixels(shaped: DataFrame, keys: list[str]) -> DataFrame:
+def target_pixels(shaped: DataFrame, keys: list[str], crs: str | None = None) -> DataFrame:
     """Pixels of every target with their fractional source position ``fcol, frow``.
 
     Rows are spread over the cluster before columns are generated: one target row is the unit that
     is shuffled, its pixels are made afterwards. Pixels whose point has no source position, or lies
     outside the kernel window, are left out (they are invalid).
     """
-    lines = _parsed(shaped).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)))
+    shaped, dst, src = _parsed(shaped, crs)
+    lines = shaped.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)))
     lines = lines.repartition(*keys, "row")
     pixels = lines.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)))
     dx = (F.col("max_x") - F.col("min_x")) / F.col("width")
@@ -183,7 +193,7 @@ def target_pixels(shaped: DataFrame, keys: list[str]) -> DataFrame:
     placed = pixels.withColumn("_x", F.col("min_x") + dx * (F.col("col") + 0.5)).withColumn(
         "_y", F.col("max_y") - dy * (F.col("row") + 0.5)
     )
-    moved = project_points(placed, "_x", "_y", DST, SRC, "_p")
+    moved = project_points(placed, "_x", "_y", dst, src, "_p")
     at = moved.withColumn("_f", crs_to_pixel("_p_x", "_p_y", F.col("transform")))
     geometry = ["scale_x", "scale_y", "radius_x", "radius_y", "raster_w", "raster_h"]
     # The row number is a fence: a filter is never pushed below a projection that numbers its rows,

@@ -1,7 +1,8 @@
 """Composite jobs: rendering tables of tiles, cached rendering, pyramids, registration, frame loops.
 
 A job takes tables and gives tables. Geometry, resolution choice and granule resolution are small
-per-tile rows; the one large join is pixels against target pixels.
+per-tile rows, computed once and stored in the checkpoint folder because several steps read them;
+the one large join is pixels against target pixels.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def _targets(layer: Layer, resolved: DataFrame, granules: DataFrame, rasters: Da
 def plan_tiles(layer: Layer, targets: DataFrame, max_live_bytes: int | None = None) -> DataFrame:
     """Per tile the resolution to read (see ``materialization_plan``)."""
     keys = [*TILE, "band"]
-    extent = W.source_extent(targets, keys)
+    extent = W.source_extent(targets, keys, WEB_MERCATOR)
     spans = targets.join(extent, keys).select(
         *TILE, (F.col("max_col") - F.col("min_col")).alias("cols"), (F.col("max_row") - F.col("min_row")).alias("rows"),
         size_bytes("dtype").alias("bytes_per_sample"), F.col("overview_levels").alias("factors"),
@@ -122,8 +123,9 @@ def warp_tiles(layer: Layer, targets: DataFrame, plan: DataFrame, pixels: DataFr
     )
     keys = [*TILE, "band", "asset", "level"]
     bilinear = layer.resampling == "bilinear"
-    shaped = W.kernel_shape(level.join(W.source_extent(level, keys), keys), 1 if bilinear else 0)
-    points = W.target_pixels(shaped, keys)
+    extent = W.source_extent(level, keys, WEB_MERCATOR)
+    shaped = cut_lineage(W.kernel_shape(level.join(extent, keys), 1 if bilinear else 0))
+    points = W.target_pixels(shaped, keys, WEB_MERCATOR)
     warp = W.warp_bilinear if bilinear else W.warp_nearest
     values = warp(points, pixels, keys, ["asset", "level"])
     return pivot_bands(values, [*TILE, "row", "col"], list(layer.inputs))
@@ -178,8 +180,8 @@ def render(
 ) -> tuple[DataFrame, DataFrame]:
     """Render a table of tiles: (tile pixels that a raster covers, traces)."""
     resolved = resolve_tiles(layer, tiles, granules)
-    targets = _targets(layer, resolved, granules, rasters)
-    plan = plan_tiles(layer, targets, max_live_bytes)
+    targets = cut_lineage(_targets(layer, resolved, granules, rasters))
+    plan = cut_lineage(plan_tiles(layer, targets, max_live_bytes))
     return paint(layer, warp_tiles(layer, targets, plan, pixels)), trace_rows(layer, targets, plan)
 
 
@@ -198,10 +200,10 @@ def render_cached(
 
     Stored tiles are traced as hits that read no bytes.
     """
-    keyed = tile_keys(layer, resolve_tiles(layer, tiles, granules))
+    keyed = cut_lineage(tile_keys(layer, resolve_tiles(layer, tiles, granules)))
     todo = missing_tiles(keyed, stored)
-    targets = _targets(layer, todo.select(*TILE), granules, rasters)
-    plan = plan_tiles(layer, targets)
+    targets = cut_lineage(_targets(layer, todo.select(*TILE), granules, rasters))
+    plan = cut_lineage(plan_tiles(layer, targets))
     fresh = paint(layer, warp_tiles(layer, targets, plan, pixels)).join(todo.select(*TILE, "tile_key"), TILE)
     hits = keyed.join(stored.select("tile_key"), "tile_key", "left_semi").select(
         F.lit(layer.id).alias("layer"), T.tile_key("z", "x", "y").alias("tile"), "granule_id", F.lit("cache_hit").alias("decision"),

@@ -77,7 +77,7 @@ KEYS = ["asset", "kind"]
 
 
 def _shaped(targets, reach, keys):
-    extent = W.source_extent(targets, keys)
+    extent = W.source_extent(targets, keys, "EPSG:3857")
     return W.kernel_shape(targets.join(extent, keys), reach)
 
 
@@ -103,7 +103,7 @@ SELECT asset, kind, CAST(a0 AS BIGINT) AS col_off, CAST(b0 AS BIGINT) AS row_off
 )
 def read_window(spark, sf):
     t = plain_targets(spark, sf)
-    e = t.join(W.source_extent(t, KEYS), KEYS).withColumn("win", W.read_window(4)).where("win IS NOT NULL")
+    e = t.join(W.source_extent(t, KEYS, "EPSG:3857"), KEYS).withColumn("win", W.read_window(4)).where("win IS NOT NULL")
     return e.select("asset", "kind", "win.col_off", "win.row_off", "win.width", "win.height")
 
 
@@ -113,7 +113,7 @@ def read_window(spark, sf):
 SELECT p.asset, kind, tr AS "row", tc AS col, value FROM placed p JOIN px ON px.asset = p.asset AND px.prow = floor(frow + 1e-10) AND px.pcol = floor(fcol + 1e-10) WHERE value IS NOT NULL""",
 )
 def warp_nearest(spark, sf):
-    targets = W.target_pixels(_shaped(plain_targets(spark, sf), 0, KEYS), KEYS)
+    targets = W.target_pixels(_shaped(plain_targets(spark, sf), 0, KEYS), KEYS, "EPSG:3857")
     return W.warp_nearest(targets, asset_pixels(spark, sf), KEYS, ["asset"])
 
 
@@ -131,7 +131,7 @@ acc AS (SELECT asset, kind, tr, tc, sum(wt * v) FILTER (WHERE wt > 0) AS a, sum(
     f"""WITH {BILINEAR_SQL} SELECT asset, kind, tr AS "row", tc AS col, round(CASE WHEN abs(sw - 1) <= 1e-5 THEN a ELSE a / sw END, 5) AS value FROM acc WHERE NOT blocked AND sw >= 1e-6""",
 )
 def warp_bilinear(spark, sf):
-    targets = W.target_pixels(_shaped(plain_targets(spark, sf), 1, KEYS), KEYS)
+    targets = W.target_pixels(_shaped(plain_targets(spark, sf), 1, KEYS), KEYS, "EPSG:3857")
     out = W.warp_bilinear(targets, asset_pixels(spark, sf), KEYS, ["asset"])
     return out.withColumn("value", F.round("value", 5) + 0.0)
 
@@ -141,7 +141,7 @@ def warp_bilinear(spark, sf):
     f"""WITH {BILINEAR_SQL} SELECT asset, kind, tr AS "row", tc AS col, round(CASE WHEN abs(sw - 1) <= 1e-5 THEN a ELSE a / sw END, 5) AS value FROM acc WHERE NOT blocked AND NOT missing AND sw >= 1e-6""",
 )
 def warp_bilinear_propagate(spark, sf):
-    targets = W.target_pixels(_shaped(plain_targets(spark, sf), 1, KEYS), KEYS)
+    targets = W.target_pixels(_shaped(plain_targets(spark, sf), 1, KEYS), KEYS, "EPSG:3857")
     out = W.warp_bilinear(targets, asset_pixels(spark, sf), KEYS, ["asset"], propagate=True)
     return out.withColumn("value", F.round("value", 5) + 0.0)
 
@@ -215,5 +215,5 @@ pos AS (SELECT asset, x, y, i, j, (ux - 453720.0 - asset * 2500.0) / 30.0 AS fco
 )
 def warp_utm_nearest(spark, sf):
     keys = ["asset", "z", "x", "y"]
-    targets = W.target_pixels(_shaped(mercator_targets(utm_rasters(spark, sf), ZOOM, SIZE), 0, keys), keys)
+    targets = W.target_pixels(_shaped(mercator_targets(utm_rasters(spark, sf), ZOOM, SIZE), 0, keys), keys, "EPSG:3857")
     return W.warp_nearest(targets, asset_pixels(spark, sf), keys, ["asset"]).drop("z")
