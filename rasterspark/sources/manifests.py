@@ -83,24 +83,29 @@ def compare_refs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def compare_manifests(arrays_a: DataFrame, refs_a: DataFrame, arrays_b: DataFrame, refs_b: DataFrame) -> DataFrame:
     """One row per source: array counts, mismatch counts and ``equivalent``."""
-    grids = compare_arrays(arrays_a, arrays_b).groupBy("source").agg(
+    left = refs_a.select("source", "name", "key", F.struct("offset", "length").alias("_a"))
+    right = refs_b.select("source", "name", "key", F.struct("offset", "length").alias("_b"))
+    chunks = left.join(right, ["source", "name", "key"], "full").groupBy("source", "name").agg(
+        F.count_if(F.col("_a").isNotNull() & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("_bad"),
+        (F.count("_a") != F.count("_b")).cast("int").alias("_uneven"),
+    )
+    # chunk differences only count for arrays both sides have; the others are grid mismatches already
+    matched = F.col("in_a") & F.col("in_b")
+    issues = F.when(matched, F.coalesce(F.col("_bad") + F.col("_uneven"), F.lit(0))).otherwise(0)
+    report = compare_arrays(arrays_a, arrays_b).join(chunks, ["source", "name"], "left").groupBy("source").agg(
         F.count_if("in_a").alias("arrays_a"),
         F.count_if("in_b").alias("arrays_b"),
-        F.count_if(F.col("in_a") & F.col("in_b")).alias("matched_arrays"),
+        F.count_if(matched).alias("matched_arrays"),
         F.count_if(F.col("in_a") & ~F.col("same_grid")).alias("grid_mismatches"),
+        F.sum(issues).alias("chunk_mismatches"),
     )
-    matched = compare_arrays(arrays_a, arrays_b).where("in_a AND in_b").select("source", "name")
-    ours = refs_a.join(matched, ["source", "name"], "left_semi")
-    theirs = refs_b.join(matched, ["source", "name"], "left_semi")
-    chunks = compare_refs(ours, theirs).groupBy("source").agg(F.count("*").alias("chunk_mismatches"))
-    joined = grids.join(chunks, "source", "left").withColumn("chunk_mismatches", F.coalesce("chunk_mismatches", F.lit(0)))
     same = (
         (F.col("arrays_a") == F.col("arrays_b"))
         & (F.col("matched_arrays") == F.col("arrays_a"))
         & (F.col("grid_mismatches") == 0)
         & (F.col("chunk_mismatches") == 0)
     )
-    return joined.withColumn("equivalent", same)
+    return report.withColumn("equivalent", same)
 
 
 # --- summaries ---
