@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHANNELS = ("r", "g", "b", "a")
 
@@ -84,7 +85,7 @@ def _png_bytes(rgba: bytes, size: int) -> bytes:
 
 def encode_png(tiles: DataFrame, size: int) -> DataFrame:
     """Add ``png`` bytes to packed tiles."""
-    schema = tiles.schema.add("png", "binary")
+    schema = T.StructType([*tiles.schema.fields, T.StructField("png", T.BinaryType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
