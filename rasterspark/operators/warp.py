@@ -220,14 +220,46 @@ def _samples(source: DataFrame, join_keys: list[str], value: str) -> DataFrame:
     return source.select(*join_keys, F.col("row").alias("_sr"), F.col("col").alias("_sc"), F.col("value").alias(value))
 
 
-def warp_nearest(targets: DataFrame, source: DataFrame, keys: list[str], join_keys: list[str]) -> DataFrame:
+def attach_samples(
+    points: DataFrame, source: DataFrame, keys: list[str], join_keys: list[str], chunk: tuple[int, int] | None
+) -> DataFrame:
+    """Add ``v``, the source sample at ``_sr, _sc`` (NULL when invalid or absent).
+
+    ``source`` is pixel rows ``join_keys..., row, col, value``, or, with ``chunk = (h, w)``, stored
+    blocks ``join_keys..., cy, cx, values``. With blocks the points of one target row and one block
+    travel as one array (at most a row times the kernel support), blocks are joined whole and looked
+    up in place, so the source is never exploded and only touched blocks take part.
+    """
+    if chunk is None:
+        samples = _samples(source.where(F.col("value").isNotNull()), join_keys, "v")
+        return points.join(samples, [*join_keys, "_sr", "_sc"], "left")
+    h, w = chunk
+    group = list(dict.fromkeys([*keys, *join_keys, "row"]))
+    rest = [c for c in points.columns if c not in group and c not in ("_sr", "_sc")]
+    at = ((F.col("_sr") % h) * w + F.col("_sc") % w).cast("int")
+    inside = (F.col("_sr") >= 0) & (F.col("_sc") >= 0)
+    placed = points.select(
+        *group, F.floor(F.col("_sr") / h).alias("cy"), F.floor(F.col("_sc") / w).alias("cx"),
+        F.struct(*rest, F.when(inside, at).alias("_pos")).alias("_point"),
+    )
+    grouped = placed.groupBy(*group, "cy", "cx").agg(F.collect_list("_point").alias("_points"))
+    blocks = source.select(*join_keys, "cy", "cx", F.col("values").alias("_values"))
+    joined = grouped.join(blocks, [*join_keys, "cy", "cx"], "left")
+    spread = joined.select(*group, "_values", F.explode("_points").alias("_p"))
+    return spread.select(*group, *[F.col(f"_p.{c}").alias(c) for c in rest], F.get("_values", F.col("_p._pos")).alias("v"))
+
+
+def warp_nearest(
+    targets: DataFrame, source: DataFrame, keys: list[str], join_keys: list[str], chunk: tuple[int, int] | None = None
+) -> DataFrame:
     """``keys..., row, col, value`` of valid target pixels: the sample of the pixel holding the point.
 
-    ``source`` is ``join_keys..., row, col, value`` with NULL (or no row) for invalid samples.
+    ``source`` holds pixels or, with ``chunk``, blocks; NULL (or absent) samples are invalid.
     """
-    placed = targets.withColumn("_sr", containing_cell("frow")).withColumn("_sc", containing_cell("fcol"))
-    samples = _samples(source.where(F.col("value").isNotNull()), join_keys, "value")
-    return placed.join(samples, [*join_keys, "_sr", "_sc"]).select(*keys, "row", "col", "value")
+    cell = {"_sr": containing_cell("frow"), "_sc": containing_cell("fcol")}
+    placed = targets.withColumns(cell).select(*dict.fromkeys([*keys, *join_keys]), "row", "col", "_sr", "_sc")
+    hit = attach_samples(placed, source, keys, join_keys, chunk)
+    return hit.where(F.col("v").isNotNull()).select(*keys, "row", "col", F.col("v").alias("value"))
 
 
 def kernel_weights(targets: DataFrame) -> DataFrame:
@@ -279,9 +311,17 @@ def weighted_mean(support: DataFrame, keys: list[str], value: str = "v", propaga
 
 
 def warp_bilinear(
-    targets: DataFrame, source: DataFrame, keys: list[str], join_keys: list[str], propagate: bool = False
+    targets: DataFrame,
+    source: DataFrame,
+    keys: list[str],
+    join_keys: list[str],
+    propagate: bool = False,
+    chunk: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """``keys..., row, col, value`` of valid target pixels under the (scaled) triangle filter."""
+    """``keys..., row, col, value`` of valid target pixels under the (scaled) triangle filter.
+
+    ``source`` holds pixels or, with ``chunk``, blocks; NULL (or absent) samples are invalid.
+    """
     support = kernel_weights(targets)
     inside = (
         (F.col("_sr") >= 0) & (F.col("_sc") >= 0) & (F.col("_sr") < F.col("raster_h")) & (F.col("_sc") < F.col("raster_w"))
@@ -289,6 +329,5 @@ def warp_bilinear(
     slim = support.select(
         *dict.fromkeys([*keys, *join_keys]), "row", "col", "_sr", "_sc", "w", "gate", inside.alias("gate_counts")
     )
-    samples = _samples(source.where(F.col("value").isNotNull()), join_keys, "v")
-    joined = slim.join(samples, [*join_keys, "_sr", "_sc"], "left")
+    joined = attach_samples(slim, source, keys, join_keys, chunk)
     return weighted_mean(joined, [*keys, "row", "col"], "v", propagate).where(F.col("value").isNotNull())

@@ -10,7 +10,7 @@ from ..functions import grid as G
 from ..functions import tiles as T
 from ..operators import spatial as S
 from ..operators import warp as W
-from . import query
+from . import SQL, query
 from .scalars import _sum_sql, lat_y, lon_x
 
 # Rasters: every hundred embedding rows are one 64-wide asset. Multiples of 17 are nodata.
@@ -146,6 +146,28 @@ def warp_bilinear_propagate(spark, sf):
     return out.withColumn("value", F.round("value", 5) + 0.0)
 
 
+# --- the same from stored blocks, which are looked up in place ---
+
+
+def asset_blocks(spark, sf):
+    from ..operators.chunks import pack_chunks
+
+    return pack_chunks(asset_pixels(spark, sf), ["asset"], 16)
+
+
+@query("warp_nearest_chunks", SQL["warp_nearest"])
+def warp_nearest_chunks(spark, sf):
+    targets = W.target_pixels(_shaped(plain_targets(spark, sf), 0, KEYS), KEYS, "EPSG:3857")
+    return W.warp_nearest(targets, asset_blocks(spark, sf), KEYS, ["asset"], (16, 16))
+
+
+@query("warp_bilinear_chunks", SQL["warp_bilinear"])
+def warp_bilinear_chunks(spark, sf):
+    targets = W.target_pixels(_shaped(plain_targets(spark, sf), 1, KEYS), KEYS, "EPSG:3857")
+    out = W.warp_bilinear(targets, asset_blocks(spark, sf), KEYS, ["asset"], chunk=(16, 16))
+    return out.withColumn("value", F.round("value", 5) + 0.0)
+
+
 # --- across projections: rasters in UTM zone 13 north, tiles in web mercator ---
 
 _SCALE = repr(C.UTM_K0 * C.RECTIFYING_RADIUS)
