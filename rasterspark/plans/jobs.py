@@ -198,7 +198,8 @@ def render_cached(
 ) -> tuple[DataFrame, DataFrame]:
     """Render only tiles whose key is not among ``stored`` (``tile_key``): (new pixels, traces of all).
 
-    Stored tiles are traced as hits that read no bytes.
+    Stored tiles are traced as hits that read no bytes. Traces carry ``tile_key``; a tile no pixel of
+    which is covered has a trace but no pixels, so the traces say what is done.
     """
     keyed = cut_lineage(tile_keys(layer, resolve_tiles(layer, tiles, granules)))
     todo = missing_tiles(keyed, stored)
@@ -208,9 +209,15 @@ def render_cached(
     hits = keyed.join(stored.select("tile_key"), "tile_key", "left_semi").select(
         F.lit(layer.id).alias("layer"), T.tile_key("z", "x", "y").alias("tile"), "granule_id", F.lit("cache_hit").alias("decision"),
         F.lit(0).cast("long").alias("bytes_read"), F.array().cast("array<string>").alias("sources"),
-        F.lit(None).cast("string").alias("crs_from"), F.lit(WEB_MERCATOR).alias("crs_to"),
+        F.lit(None).cast("string").alias("crs_from"), F.lit(WEB_MERCATOR).alias("crs_to"), "tile_key",
     )
-    return fresh, trace_rows(layer, targets, plan).unionByName(hits)
+    named = todo.select(T.tile_key("z", "x", "y").alias("tile"), "granule_id", "tile_key")
+    return fresh, trace_rows(layer, targets, plan).join(named, ["tile", "granule_id"]).unionByName(hits)
+
+
+def rendered_keys(traces: DataFrame) -> DataFrame:
+    """Keys a cached render has newly done: what to add to the stored ones."""
+    return traces.where(~F.col("decision").isin("cache_hit", "refuse")).select("tile_key").distinct()
 
 
 def preview(layer: Layer, boxes: DataFrame, granules: DataFrame, rasters: DataFrame, pixels: DataFrame, max_live_bytes: int):

@@ -46,7 +46,8 @@ def test_frame_loop_and_cache(spark, sf_dir):
     none = spark.createDataFrame([], "tile_key string")
     where = tiles.select("z", "x", "y").distinct()
     fresh, traces = J.frame_loop(LAYER, where, [0, 1, 86400000 * 2], granules, rasters, pixels, none)
-    stored = fresh.select("tile_key").distinct()
+    stored = J.rendered_keys(traces)
+    assert fresh.select("tile_key").distinct().join(stored, "tile_key", "left_anti").count() == 0
     again, hits = J.frame_loop(LAYER, where, [0, 1, 86400000 * 2], granules, rasters, pixels, stored)
     kinds = {r["decision"] for r in traces.collect()}
     assert kinds == {"live"}
@@ -60,3 +61,40 @@ def test_materialize(spark, tmp_path):
     assert J.materialize(rasters, pixels, uses, str(tmp_path / "p"), 4, 4) == [2, 4]
     top = spark.read.parquet(str(tmp_path / "p")).where("factor = 4").first()
     assert len(top["values"]) == 16 and top["values"][0] == 26.0
+
+
+def test_fresh_granules_are_rendered_once(spark, sf_dir, tmp_path):
+    from rasterspark.operators.warp import raster_bounds
+    from rasterspark.registry.warping import ZOOM, utm_rasters
+    from rasterspark.streaming.render import render_after
+
+    granules, rasters, pixels, _ = scene(spark, sf_dir)
+    boxes = raster_bounds(utm_rasters(spark, sf_dir)).select(F.col("asset").cast("string").alias("id"), F.struct("west", "south", "east", "north").alias("bbox"))
+    arrived = granules.join(boxes, "id")
+    out = str(tmp_path / "out")
+    hook = render_after(LAYER, ZOOM, lambda: rasters, lambda: pixels, out)
+    hook(arrived, 0)
+    first = spark.read.parquet(f"{out}/pixels/batch=0")
+    assert first.select("granule_id").distinct().count() == granules.count()
+    hook(arrived, 1)
+    assert spark.read.parquet(f"{out}/pixels/batch=1").count() == 0
+    assert {r["decision"] for r in spark.read.parquet(f"{out}/traces/batch=1").collect()} == {"cache_hit"}
+
+
+def test_preview_is_one_tile_under_a_ceiling(spark, sf_dir):
+    granules, rasters, pixels, _ = scene(spark, sf_dir)
+    box = spark.createDataFrame([((-105.53, 39.31, -105.52, 39.32),)], "bbox struct<west:double,south:double,east:double,north:double>")
+    painted, traces = J.preview(LAYER, box, granules, rasters, pixels, 10**9)
+    assert painted.select("z", "x", "y").distinct().count() <= 1 and traces.count() == 1
+    _, refused = J.preview(LAYER, box, granules, rasters, pixels, 1)
+    assert [r["decision"] for r in refused.collect()] == ["refuse"]
+
+
+def test_traces_round_trip(spark, tmp_path):
+    from rasterspark.sources.exports import read_traces, write_traces
+
+    row = (1, "3/1/2", "l", ("live", ["a"], 5))
+    df = spark.createDataFrame([row, (2, "3/9/2", "l", ("live", [], 0))], "id long, tile string, layer string, trace struct<decision:string,sources:array<string>,bytes_read:long>")
+    write_traces(df, str(tmp_path / "t"))
+    got = read_traces(spark, str(tmp_path / "t")).collect()
+    assert [(r["id"], r["x"], r["trace"]["bytes_read"]) for r in got] == [(1, 1, 5)]
