@@ -199,7 +199,7 @@ def materialize_report(spark, sf):
 
 # --- resolution choice ---
 
-BANDS_SQL = """tile_bands AS (SELECT l_orderkey AS tile, l_linenumber + 10 * l_suppkey + 1000000 * l_partkey AS band, l_quantity * 40 AS cols, 100.0 + l_partkey % 1500 AS rws, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END AS bps,
+BANDS_SQL = """tile_bands AS (SELECT l_orderkey AS tile, l_linenumber + 10 * l_suppkey + 1000000 * l_partkey AS band, l_quantity * 40 AS cols, 100.0 + (l_partkey * 7) % 1500 AS rws, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END AS bps,
   CASE WHEN l_orderkey % 4 = 0 THEN []::BIGINT[] WHEN l_suppkey % 2 = 0 THEN [2, 4, 8]::BIGINT[] ELSE [2, 4]::BIGINT[] END AS factors FROM lineitem)"""
 
 
@@ -208,7 +208,7 @@ def tile_bands(spark, sf):
     arr = lambda *v: F.array(*map(F.lit, v)).cast("array<int>")
     factors = F.when(F.col("l_orderkey") % 4 == 0, arr()).when(F.col("l_suppkey") % 2 == 0, arr(2, 4, 8)).otherwise(arr(2, 4))
     return X.table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("tile"), (F.col("l_quantity") * 40).alias("cols"), (F.lit(100.0) + F.col("l_partkey") % 1500).alias("rows"),
+        F.col("l_orderkey").alias("tile"), (F.col("l_quantity") * 40).alias("cols"), (F.lit(100.0) + (F.col("l_partkey") * 7) % 1500).alias("rows"),
         F.when(flag == "A", SAMPLE_BYTES["uint8"]).when(flag == "N", SAMPLE_BYTES["int16"]).otherwise(SAMPLE_BYTES["float32"]).alias("bytes_per_sample"),
         factors.alias("factors"),
     )
