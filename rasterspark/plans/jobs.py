@@ -106,10 +106,13 @@ def plan_tiles(layer: Layer, targets: DataFrame, max_live_bytes: int | None = No
     return materialization_plan(spans, TILE, None, layer.tile_size, max_live_bytes)
 
 
-def warp_tiles(layer: Layer, targets: DataFrame, plan: DataFrame, pixels: DataFrame) -> DataFrame:
+def warp_tiles(
+    layer: Layer, targets: DataFrame, plan: DataFrame, pixels: DataFrame, chunk: tuple[int, int] | None = None
+) -> DataFrame:
     """Band values of every planned tile pixel: ``z, x, y, granule_id, row, col, <inputs>``.
 
-    ``pixels`` is ``asset, level, row, col, value``; ``level`` is the decimation factor.
+    ``pixels`` is ``asset, level, row, col, value``; ``level`` is the decimation factor. With ``chunk``
+    it is stored blocks ``asset, level, cy, cx, values`` of that shape, which are never exploded.
     """
     factor = F.col("factor")
     chosen = targets.join(plan.where("chosen <> 'refuse'").select(*TILE, factor.cast("int").alias("factor")), TILE)
@@ -127,7 +130,7 @@ def warp_tiles(layer: Layer, targets: DataFrame, plan: DataFrame, pixels: DataFr
     shaped = cut_lineage(W.kernel_shape(level.join(extent, keys), 1 if bilinear else 0))
     points = W.target_pixels(shaped, keys, WEB_MERCATOR)
     warp = W.warp_bilinear if bilinear else W.warp_nearest
-    values = warp(points, pixels, keys, ["asset", "level"])
+    values = warp(points, pixels, keys, ["asset", "level"], chunk=chunk)
     return pivot_bands(values, [*TILE, "row", "col"], list(layer.inputs))
 
 
@@ -177,12 +180,13 @@ def render(
     rasters: DataFrame,
     pixels: DataFrame,
     max_live_bytes: int | None = None,
+    chunk: tuple[int, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Render a table of tiles: (tile pixels that a raster covers, traces)."""
+    """Render a table of tiles: (tile pixels that a raster covers, traces). See ``warp_tiles`` for ``chunk``."""
     resolved = resolve_tiles(layer, tiles, granules)
     targets = cut_lineage(_targets(layer, resolved, granules, rasters))
     plan = cut_lineage(plan_tiles(layer, targets, max_live_bytes))
-    return paint(layer, warp_tiles(layer, targets, plan, pixels)), trace_rows(layer, targets, plan)
+    return paint(layer, warp_tiles(layer, targets, plan, pixels, chunk)), trace_rows(layer, targets, plan)
 
 
 def tile_keys(layer: Layer, resolved: DataFrame) -> DataFrame:
