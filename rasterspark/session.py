@@ -36,7 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def use_utc(spark: SparkSession) -> None:
     """Instants are compared as UTC milliseconds, so the session clock must be UTC."""
-    if spark.conf.get("spark.sql.session.timeZone", "") != "UTC":
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
