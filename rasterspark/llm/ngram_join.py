@@ -5,7 +5,7 @@ needs: two of them link exactly if they share such a subset, so nothing is verif
 set at or above the boundary ("heavy") are found by scanning inverted lists of the rare end of each
 set. The boundary is where the counted cost of subsets passes that of lists.
 
-Equal sets are one class throughout. Lists are first scanned with one leader each, which links large
+Equal sets are one class throughout. Lists are first scanned with a few leaders each, which links large
 groups of copies in linear work; after those links are contracted, every list that still holds two
 components is scanned for all its pairs, so no link is lost.
 """
@@ -33,6 +33,10 @@ SLICES = 64
 LIGHT_LIMIT = 16
 #: Cost of one posting (shuffled, sorted, scanned and its candidates verified) in subset rows.
 POSTING_COST = 4
+#: Leaders that a set may meet in each round before all pairs of mixed lists are scanned.
+COLOURS = (1, 16, 32)
+#: Rows of the bit set that spares texts a shuffle: 64 bits each, 1.5 MB in all.
+FILTER_CELLS = 1 << 16
 FLUSH = 2_000_000
 POSTINGS_PER_TASK = 4_000_000
 
@@ -157,39 +161,49 @@ def _light_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     ).filter("a != b").distinct()
 
 
-def _star_pairs(sets: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): each member of an inverted list with that list's leader, the smallest id; distinct per task."""
+def _star_pairs(sets: DataFrame, buckets: int, colours: int) -> DataFrame:
+    """(a, b): members of inverted lists with a leader of that list, for leaders of another component.
 
-    def leaders(tokens: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((reps, tokens))
-        tokens, reps = tokens[order], reps[order]
+    The leader is the least by a hash of the id that takes the token's colour in, so one set meets up
+    to ``colours`` leaders; with one colour it is the smallest id. A leader meets each component once
+    in a task. Tasks send only leaders on, so a list never has more entries than there are tasks.
+    """
+
+    def leaders(tokens: np.ndarray, reps: np.ndarray, comps: np.ndarray) -> tuple:
+        rank = reps if colours == 1 else mix(reps.view(np.uint64) * np.uint64(colours) + mix(tokens) % np.uint64(colours))
+        order = np.lexsort((rank, tokens))
+        tokens, reps, comps = tokens[order], reps[order], comps[order]
         starts = run_starts(tokens)
-        lengths = np.diff(np.append(starts, len(tokens)))
-        lead = np.repeat(reps[starts], lengths)
-        pairs = np.stack([lead, reps], 1)[lead != reps]
-        return tokens[starts], reps[starts], np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2)
+        each = np.repeat(starts, np.diff(np.append(starts, len(tokens))))
+        apart = comps[each] != comps
+        pairs = np.stack([reps[each], reps, comps], 1)[apart]
+        if len(pairs):
+            _, first = np.unique(pairs[:, [0, 2]], axis=0, return_index=True)
+            pairs = pairs[first, :2]
+        return tokens[starts], reps[starts], comps[starts], pairs[:, :2]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
         size = 0
 
         def flush() -> pd.DataFrame:
-            tokens, reps, pairs = leaders(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            to = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
+            *posts, pairs = leaders(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            to = (mix(posts[0]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            tokens, reps, to = tokens[order], reps[order], to[order]
+            tokens, reps, comps, to = *(x[order] for x in posts), to[order]
             cuts = np.append(run_starts(to), len(to))
             rows = [
-                (int(to[x]), pack(tokens[x:y]), pack(reps[x:y]), None) for x, y in zip(cuts[:-1], cuts[1:], strict=True)
+                (int(to[x]), pack(tokens[x:y]), pack(reps[x:y]), pack(comps[x:y]), None)
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True)
             ]
             if len(pairs):
-                rows.append((int(pairs[0, 0] % buckets), None, None, pack(pairs)))
-            return pd.DataFrame(rows, columns=["bucket", "tokens", "reps", "pairs"])
+                rows.append((int(pairs[0, 0] % buckets), None, None, None, pack(pairs)))
+            return pd.DataFrame(rows, columns=["bucket", "tokens", "reps", "comps", "pairs"])
 
         for batch in batches:
-            for rep, blob in zip(batch["rep"], batch["tokens"], strict=True):
+            for rep, comp, blob in zip(batch["rep"], batch["component"], batch["tokens"], strict=True):
                 t = np.frombuffer(blob, np.uint64)
-                held.append((t, np.full(len(t), rep, np.int64)))
+                held.append((t, np.full(len(t), rep, np.int64), np.full(len(t), comp, np.int64)))
                 size += len(t)
                 if size >= FLUSH:
                     yield flush()
@@ -199,13 +213,17 @@ def _star_pairs(sets: DataFrame, buckets: int) -> DataFrame:
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         own = [unpack(x, np.int64).reshape(-1, 2) for x in rows["pairs"].dropna()]
-        tokens = [unpack(x, np.uint64) for x in rows["tokens"].dropna()]
-        if tokens:
-            own.append(leaders(np.concatenate(tokens), np.concatenate([unpack(x, np.int64) for x in rows["reps"].dropna()]))[2])
-        pairs = np.unique(np.concatenate(own), axis=0)
+        posts = rows.dropna(subset=["tokens"])
+        if len(posts):
+            kinds = (("tokens", np.uint64), ("reps", np.int64), ("comps", np.int64))
+            own.append(leaders(*(np.concatenate([unpack(x, kind) for x in posts[name]]) for name, kind in kinds))[3])
+        pairs = np.concatenate(own)
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    parts = sets.select("rep", "tokens").mapInPandas(scan, "bucket int, tokens binary, reps binary, pairs binary")
+    parts = sets.select("rep", "component", "tokens").mapInPandas(
+        scan, "bucket int, tokens binary, reps binary, comps binary, pairs binary"
+    )
     return parts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
 
 
@@ -284,9 +302,20 @@ def _list_pairs(sets: DataFrame, mixed: DataFrame, boundary: int, percent: int)
     )
 
 
+def _named(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id may be among ``ids``: a bit set of fixed size (a Bloom filter of one hash) keeps most others out of the shuffle."""
+    cell, bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_CELLS)), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).cast("int")
+    bits = ids.select(cell.alias("cell"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, 1), 64) as int))").alias("bits"))
+    bits = bits.groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+    # at most FILTER_CELLS rows, whatever the input
+    met = docs.select("doc_id", "text", cell.alias("cell"), bit.alias("bit")).join(F.broadcast(bits), "cell")
+    return met.filter(F.expr("getbit(bits, bit) = 1")).select("doc_id", "text")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that link, by their whole sets."""
-    texts = docs.filter("doc_id is not null").select("doc_id", "text")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
+    texts = _named(docs.filter("doc_id is not null"), ids)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -329,30 +358,37 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
 
     key = ["n", "h1", "h2"]
     classes = signs.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    member = signs.join(classes, key, "left").select(
-        "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "tokens"
+    member = signs.select("doc_id", *key).join(classes, key, "left").select(
+        "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")
+    )
+    sets = cut_lineage(
+        signs.filter("n > 0").join(classes, key).filter("doc_id = rep").select("rep", "n", "tokens")
     )
-    sets = member.filter("n > 0 and doc_id = rep").select("rep", "n", "tokens")
     heavy = sets.filter(F.col("n") >= percent * boundary // 100).select(
         "rep", "n", F.when(F.col("n") > LIGHT_LIMIT, F.col("tokens")).otherwise(
             F.substring("tokens", F.lit(1), (8 * (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).cast("int"))
         ).alias("tokens"),
     )
 
-    stars = cut_lineage(_star_pairs(heavy, buckets))
-    links = cut_lineage(_light_links(sets, boundary, percent).unionAll(_verified(stars, docs, words, percent)))
-    first = components(links)
-
-    shared = stars.select(F.col("a").alias("rep")).unionAll(stars.select(F.col("b").alias("rep"))).distinct()
-    left = heavy.join(shared, "rep", "left_semi").join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", "n", "tokens", F.coalesce("component", "rep").alias("component")
+    links, left = _light_links(sets, boundary, percent), heavy.withColumn("component", F.col("rep"))
+    found = None
+    for colours in COLOURS:
+        stars = cut_lineage(_star_pairs(left, buckets, colours))
+        links = links.unionAll(_verified(stars, docs, words, percent))
+        found = components(links)
+        if colours == 1:  # sets that share no rare token with another one are done
+            shared = stars.select(F.col("a").alias("rep")).unionAll(stars.select(F.col("b").alias("rep"))).distinct()
+            heavy = heavy.join(shared, "rep", "left_semi")
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        left = cut_lineage(heavy.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "rep", "n", "tokens", F.coalesce("component", "rep").alias("component")
+        ))
+    more = _verified(
+        cut_lineage(_list_pairs(left, _mixed_tokens(left, buckets), boundary, percent)), docs, words, percent
     )
-    left = cut_lineage(left)
-    mixed = _mixed_tokens(left, buckets)
-    more = _verified(_list_pairs(left, mixed, boundary, percent), docs, words, percent)
-    # rows with one doc_id and several texts are one node: all their classes meet
+    # all documents of a class, also those whose doc_id has several texts, meet
     same = member.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more).unionAll(same))
+    last = components(links.unionAll(more).unionAll(same))
 
     named = member.select("doc_id", F.col("n").alias("n_shingles")).join(
         last.withColumnRenamed("node", "doc_id"), "doc_id", "left"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixture, ngram_join, quality, suffix_dedup
+from . import decontaminate, html_content, licenses, lm_scoring, mixture, ngram_join, quality, revisits, suffix_dedup, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,93 @@ n as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items
 select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256,
   coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) contaminated from d left join p using (doc_id) left join n using (doc_id)
 """
+
+
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the clause grammar."""
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """A crawl log of the pages: each is captured in full as a version of its section, and asked for again later.
+
+    Record ids, times and validators follow from page_id; every answer to a repeated request says "not
+    modified" with the ETag, the date or nothing.
+    """
+    tag = F.md5("html")
+    at = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("page_id") * 3600)
+    section = F.regexp_replace("url", r"/\d+", "")
+    day = F.date_format(at, "yyyy-MM-dd")
+    full = pages.select(
+        (F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("type"), section.alias("url"), at.alias("at"),
+        F.map_filter(F.create_map(
+            F.lit("etag"), tag, F.lit("last-modified"), day, F.lit("content-type"), F.lit("text/html"),
+            F.lit("date"), F.date_format(at, "yyyy-MM-dd HH:mm"),
+        ), lambda k, v: ~((k == "etag") & (F.col("page_id") % 4 == 3))).alias("headers"), F.col("html").alias("payload"),
+    )
+    later = F.timestamp_seconds(F.lit(1_600_001_800) + (F.col("page_id") + F.pmod("page_id", F.lit(5)) * 40 - 20) * 3600)
+    again = pages.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("type"), section.alias("url"), later.alias("at"),
+        F.map_filter(F.create_map(
+            F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("last-modified"), day, F.lit("content-type"), F.lit("text/plain"),
+            F.lit("date"), F.date_format(later, "yyyy-MM-dd HH:mm"),
+        ), lambda k, v: ~(((k == "etag") & (F.col("page_id") % 3 == 0)) | ((k == "last-modified") & (F.col("page_id") % 9 == 0)))).alias("headers"),
+        F.lit(None).cast("string").alias("payload"),
+    )
+    return full.unionByName(again)
+
+
+@_query
+def op4_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every not-modified answer of a crawl log of the pages, with the full response it stands for."""
+    found = revisits.resolve_revisits(crawl_records(table(spark, sf_dir, "pages")))
+    return found.select(
+        "record_id", "canonical", "status", "response_id", F.md5("payload").alias("payload_md5"),
+        *(F.col("headers")[k].alias(k.replace("-", "_")) for k in ("etag", "last-modified", "content-type", "date")),
+    )
+
+
+SQL["op4_revisit_resolution"] = r"""
+with p as (select page_id, html, md5(html) tag, regexp_replace(url, '/\d+', '', 'g') u, 1600000000 + page_id * 3600 t0,
+  1600001800 + (page_id + (page_id % 5) * 40 - 20) * 3600 t1 from pages),
+n as (select *, regexp_replace(regexp_replace(trim(u), '#.*$', ''), '^https?://', '', 'i') s from p),
+c as (select *, regexp_replace(lower(regexp_extract(s, '^([^/?]*)', 1)), ':(80|443)$', '') || regexp_replace(regexp_extract(s, '^[^/?]*([^?]*)', 1), '/+$', '')
+  || case when len(q) > 0 then '?' || array_to_string(list_sort(q), '&') else '' end canonical
+  from (select *, list_filter(string_split(regexp_extract(s, '\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')) q from n)),
+m as (select a.page_id * 2 + 1 record_id, a.canonical canonical, a.tag atag, a.page_id apage, a.t0 at0, a.t1 at1, b.page_id bpage, b.tag btag, b.t0 bt0, b.html bhtml,
+  row_number() over (partition by a.page_id order by b.t0 desc nulls last, b.page_id desc) k from c a left join c b on a.canonical = b.canonical and b.t0 < a.t1),
+v as (select *, case when apage % 3 = 0 then null else atag end aetag, case when bpage % 4 = 3 then null else btag end betag,
+  case when apage % 9 = 0 then null else strftime(make_timestamp(at0 * 1000000), '%Y-%m-%d') end amod, strftime(make_timestamp(bt0 * 1000000), '%Y-%m-%d') bmod from m where k = 1),
+w as (select *, case when bpage is null then 'orphan' when aetag is not null and betag is not null then case when aetag = betag then 'resolved' else 'changed' end
+  when amod is not null and bmod is not null then case when amod = bmod then 'resolved' else 'changed' end else 'unchecked' end status from v)
+select record_id, canonical, status, bpage * 2 response_id, case when status in ('resolved', 'unchecked') then md5(bhtml) end payload_md5,
+  case when status in ('resolved', 'unchecked') then coalesce('W/' || aetag, betag) end etag,
+  case when status in ('resolved', 'unchecked') then bmod end last_modified, case when status in ('resolved', 'unchecked') then 'text/html' end content_type,
+  case when status in ('resolved', 'unchecked') then strftime(make_timestamp(at1 * 1000000), '%Y-%m-%d %H:%M') end "date" from w
+"""
+
+
+@_query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document: lines that may hold one, those confirmed, and their licenses."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    named = F.filter("findings", lambda f: f["license"].isNotNull())
+    return found.select(
+        "doc_id", F.size("findings").cast("long").alias("n_blocks"), F.size(named).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(named, lambda f: f["license"]))), ",").alias("licenses"),
+    )
+
+
+@_query
+def op8_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_content.extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document under the unigram base and the model."""
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
