@@ -27,9 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that occurred before; a character that is cut goes whole. Emptied documents go."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = suffix_dedup.remove_repeats(docs, carry=rest).select("*", F.col("kept").cast("string").alias("raw"))
+    found = suffix_dedup.remove_repeats(docs, carry=rest).select("doc_id", "carried", F.col("kept").cast("string").alias("raw"))
     text = F.when(F.is_valid_utf8("raw"), F.col("raw")).otherwise(F.replace(F.make_valid_utf8("raw"), F.lit("\ufffd"), F.lit("")))
-    out = kept.select("doc_id", *rest, text.alias("text")).filter("text != ''")
+    out = found.select("doc_id", *(F.col("carried")[c].alias(c) for c in rest), text.alias("text")).filter("text != ''")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -282,7 +282,7 @@ def remove_repeats(
     ``spans`` are the removed runs and ``kept`` the other bytes. Overlapping strings count; matches
     don't cross documents. A null doc_id comes after all others. Rows that share a doc_id are ordered
     by their bytes, and repeated rows after one another, as documents of their own. Other columns are
-    left out but for those named in ``carry``, which come after doc_id.
+    left out but for those named in ``carry``, which come last as a struct ``carried``.
     """
     spark = docs.sparkSession
     own = [F.col(c).alias(f"own_{i}") for i, c in enumerate(carry)]
@@ -422,9 +422,8 @@ def remove_repeats(
     done = by_block.cogroup(covered.groupBy("bucket")).applyInPandas(
         remove, f"doc_id long{kinds}, n_bytes long, spans array<struct<start: long, length: long>>, kept binary"
     )
-    return done.select(
-        "doc_id", *(F.col(f"own_{i}").alias(c) for i, c in enumerate(carry)), "n_bytes", "spans", "kept"
-    )
+    carried = [F.struct(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(carry))).alias("carried")] if carry else []
+    return done.select("doc_id", "n_bytes", "spans", "kept", *carried)
 
 
 _HOMED = _ROUTE + ", home int"
