@@ -33,10 +33,14 @@ SLICES = 64
 LIGHT_LIMIT = 16
 #: Cost of one posting (shuffled, sorted, scanned and its candidates verified) in subset rows.
 POSTING_COST = 4
+#: Parts that sets are counted in: two sets differ at least by what these counts differ.
+SPREAD = 256
 #: Leaders that a set may meet in each round before all pairs of mixed lists are scanned.
-COLOURS = (1, 16, 32)
+COLOURS = (1, 16)
 #: Rows of the bit set that spares texts a shuffle: 64 bits each, 1.5 MB in all.
 FILTER_CELLS = 1 << 16
+#: Tokens before a posting that it carries, to find a pair once instead of at each token.
+RECENT = 8
 FLUSH = 2_000_000
 POSTINGS_PER_TASK = 4_000_000
 
@@ -100,7 +104,7 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, tokens): identity of the set, and its rarest members, rarest first."""
+    """(doc_id, n, h1, h2, tokens, spread): identity of the set, its rarest members, rarest first, and how its members fall into SPREAD parts."""
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(_sketch(docs, words))
 
@@ -114,11 +118,14 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if n > LIGHT_LIMIT:
                     keep = keep[: prefix_length(n, percent)]
                 h1, h2 = s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)
-                rows.append((ids[i], n, h1.astype(np.int64), h2.astype(np.int64), keep.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "tokens"])
+                spread = np.bincount((mix(s) & np.uint64(SPREAD - 1)).astype(np.int64), minlength=SPREAD)
+                rows.append((
+                    ids[i], n, h1.astype(np.int64), h2.astype(np.int64), keep.tobytes(), np.minimum(spread, 255).astype(np.uint8).tobytes()
+                ))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "tokens", "spread"])
 
     return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(
-        sign, "doc_id long, n long, h1 long, h2 long, tokens binary"
+        sign, "doc_id long, n long, h1 long, h2 long, tokens binary, spread binary"
     )
 
 
@@ -161,49 +168,53 @@ def _light_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     ).filter("a != b").distinct()
 
 
-def _star_pairs(sets: DataFrame, buckets: int, colours: int) -> DataFrame:
-    """(a, b): members of inverted lists with a leader of that list, for leaders of another component.
+def _star_pairs(sets: DataFrame, buckets: int, colours: int, percent: int) -> DataFrame:
+    """(a, b): members of inverted lists with a leader of that list, of another component and a fitting size.
+
+    Rows with an ``a`` of null hold, packed in ``touched``, the sets that share a list with any other one.
 
     The leader is the least by a hash of the id that takes the token's colour in, so one set meets up
     to ``colours`` leaders; with one colour it is the smallest id. A leader meets each component once
     in a task. Tasks send only leaders on, so a list never has more entries than there are tasks.
     """
 
-    def leaders(tokens: np.ndarray, reps: np.ndarray, comps: np.ndarray) -> tuple:
+    def leaders(tokens: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes: np.ndarray) -> tuple:
         rank = reps if colours == 1 else mix(reps.view(np.uint64) * np.uint64(colours) + mix(tokens) % np.uint64(colours))
         order = np.lexsort((rank, tokens))
-        tokens, reps, comps = tokens[order], reps[order], comps[order]
+        tokens, reps, comps, sizes = tokens[order], reps[order], comps[order], sizes[order]
         starts = run_starts(tokens)
-        each = np.repeat(starts, np.diff(np.append(starts, len(tokens))))
-        apart = comps[each] != comps
+        length = np.diff(np.append(starts, len(tokens)))
+        each, shared = np.repeat(starts, length), np.repeat(length > 1, length)
+        small, large = np.minimum(sizes[each], sizes), np.maximum(sizes[each], sizes)
+        apart = (comps[each] != comps) & (100 * small >= percent * large)
         pairs = np.stack([reps[each], reps, comps], 1)[apart]
         if len(pairs):
             _, first = np.unique(pairs[:, [0, 2]], axis=0, return_index=True)
             pairs = pairs[first, :2]
-        return tokens[starts], reps[starts], comps[starts], pairs[:, :2]
+        return tokens[starts], reps[starts], comps[starts], sizes[starts], pairs[:, :2], np.unique(reps[shared])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
         size = 0
 
         def flush() -> pd.DataFrame:
-            *posts, pairs = leaders(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            *posts, pairs, touched = leaders(*(np.concatenate(x) for x in zip(*held, strict=True)))
             to = (mix(posts[0]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            tokens, reps, comps, to = *(x[order] for x in posts), to[order]
+            *posts, to = *(x[order] for x in posts), to[order]
             cuts = np.append(run_starts(to), len(to))
             rows = [
-                (int(to[x]), pack(tokens[x:y]), pack(reps[x:y]), pack(comps[x:y]), None)
+                (int(to[x]), *(pack(p[x:y]) for p in posts), None, None)
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True)
             ]
-            if len(pairs):
-                rows.append((int(pairs[0, 0] % buckets), None, None, None, pack(pairs)))
-            return pd.DataFrame(rows, columns=["bucket", "tokens", "reps", "comps", "pairs"])
+            if len(touched):
+                rows.append((int(touched[0] % buckets), None, None, None, None, pack(pairs), pack(touched)))
+            return pd.DataFrame(rows, columns=["bucket", "tokens", "reps", "comps", "sizes", "pairs", "touched"])
 
         for batch in batches:
-            for rep, comp, blob in zip(batch["rep"], batch["component"], batch["tokens"], strict=True):
+            for rep, comp, n, blob in zip(batch["rep"], batch["component"], batch["n"], batch["tokens"], strict=True):
                 t = np.frombuffer(blob, np.uint64)
-                held.append((t, np.full(len(t), rep, np.int64), np.full(len(t), comp, np.int64)))
+                held.append((t, *(np.full(len(t), x, np.int64) for x in (rep, comp, n))))
                 size += len(t)
                 if size >= FLUSH:
                     yield flush()
@@ -213,18 +224,49 @@ def _star_pairs(sets: DataFrame, buckets: int, colours: int) -> DataFrame:
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         own = [unpack(x, np.int64).reshape(-1, 2) for x in rows["pairs"].dropna()]
+        touched = [unpack(x, np.int64) for x in rows["touched"].dropna()]
         posts = rows.dropna(subset=["tokens"])
         if len(posts):
-            kinds = (("tokens", np.uint64), ("reps", np.int64), ("comps", np.int64))
-            own.append(leaders(*(np.concatenate([unpack(x, kind) for x in posts[name]]) for name, kind in kinds))[3])
+            kinds = (("tokens", np.uint64), ("reps", np.int64), ("comps", np.int64), ("sizes", np.int64))
+            *_, pairs, more = leaders(*(np.concatenate([unpack(x, kind) for x in posts[name]]) for name, kind in kinds))
+            own.append(pairs)
+            touched.append(more)
         pairs = np.concatenate(own)
         pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "touched": None}).astype({"a": "Int64", "b": "Int64"})
+        last = pd.DataFrame({"a": [None], "b": [None], "touched": [pack(np.unique(np.concatenate(touched)))]})
+        return pd.concat([out, last.astype({"a": "Int64", "b": "Int64"})], ignore_index=True)
 
-    parts = sets.select("rep", "component", "tokens").mapInPandas(
-        scan, "bucket int, tokens binary, reps binary, comps binary, pairs binary"
+    parts = sets.select("rep", "component", "n", "tokens").mapInPandas(
+        scan, "bucket int, tokens binary, reps binary, comps binary, sizes binary, pairs binary, touched binary"
     )
-    return parts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
+    return parts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "a long, b long, touched binary")
+
+
+def _touched(stars: DataFrame) -> DataFrame:
+    """(rep) of every set that shares a list with another one."""
+
+    def spread_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for blob in batch["touched"]:
+                yield pd.DataFrame({"rep": unpack(blob, np.int64)})
+
+    return stars.filter("touched is not null").select("touched").mapInPandas(spread_out, "rep long").distinct()
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by how their sets fall into parts. What the counts differ by, the sets differ by at least."""
+    mine = sets.select("rep", "n", "spread")
+    both = pairs.join(mine.toDF("a", "n_a", "spread_a"), "a").join(mine.toDF("b", "n_b", "spread_b"), "b")
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, SPREAD).astype(np.int32) for c in ("spread_a", "spread_b"))
+            total = (batch["n_a"] + batch["n_b"]).to_numpy()
+            most = total - 2 * -(-percent * total // (100 + percent))
+            yield batch.loc[np.abs(x - y).sum(1) <= most, ["a", "b"]]
+
+    return both.mapInPandas(keep, "a long, b long").distinct()
 
 
 def _mixed_tokens(sets: DataFrame, buckets: int) -> DataFrame:
@@ -276,7 +318,10 @@ def _mixed_tokens(sets: DataFrame, buckets: int) -> DataFrame:
 
 
 def _list_pairs(sets: DataFrame, mixed: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """All pairs of different components that share a rare token and may link by size and place in their lists."""
+    """All pairs of different components that share a rare token and may link by size and place in their lists.
+
+    A pair that also shares one of the tokens just before is left to that one: its places are better, so it holds the pair if this one does.
+    """
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -284,19 +329,20 @@ def _list_pairs(sets: DataFrame, mixed: DataFrame, boundary: int, percent: int)
             each = [len(t) for t in tokens]
             if sum(each):
                 yield pd.DataFrame({
+                    "recent": [t[max(0, k - RECENT) : k] for t in tokens for k in range(len(t))],
                     "token": np.concatenate(tokens), "place": np.concatenate([np.arange(k) for k in each]),
                     "rep": np.repeat(batch["rep"].to_numpy(), each), "component": np.repeat(batch["component"].to_numpy(), each),
                     "n": np.repeat(batch["n"].to_numpy(), each),
                 })
 
-    kind = "token long, place long, rep long, component long, n long"
+    kind = "recent array<long>, token long, place long, rep long, component long, n long"
     posts = sets.select("rep", "component", "n", "tokens").mapInPandas(post, kind).join(mixed, "token", "left_semi")
     x, y = posts.alias("x"), posts.alias("y")
     common = F.ceil(F.expr(f"{percent} * (x.n + y.n)") / (100 + percent))
     return (
         x.join(y, F.expr(
             f"x.token = y.token and x.component != y.component and (x.n < y.n or x.n = y.n and x.rep < y.rep)"
-            f" and 100 * x.n >= {percent} * y.n and y.n >= {boundary}"
+            f" and 100 * x.n >= {percent} * y.n and y.n >= {boundary} and not arrays_overlap(x.recent, y.recent)"
         ) & (F.expr("1 + least(x.n - x.place - 1, y.n - y.place - 1)") >= common))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     )
@@ -362,7 +408,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
         "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")
     )
     sets = cut_lineage(
-        signs.filter("n > 0").join(classes, key).filter("doc_id = rep").select("rep", "n", "tokens")
+        signs.filter("n > 0").join(classes, key).filter("doc_id = rep").select("rep", "n", "tokens", "spread")
     )
     heavy = sets.filter(F.col("n") >= percent * boundary // 100).select(
         "rep", "n", F.when(F.col("n") > LIGHT_LIMIT, F.col("tokens")).otherwise(
@@ -373,19 +419,18 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     links, left = _light_links(sets, boundary, percent), heavy.withColumn("component", F.col("rep"))
     found = None
     for colours in COLOURS:
-        stars = cut_lineage(_star_pairs(left, buckets, colours))
-        links = links.unionAll(_verified(stars, docs, words, percent))
+        stars = cut_lineage(_star_pairs(left, buckets, colours, percent))
+        near = cut_lineage(_near(stars.filter("touched is null").select("a", "b"), sets, percent))
+        links = links.unionAll(_verified(near, docs, words, percent))
         found = components(links)
         if colours == 1:  # sets that share no rare token with another one are done
-            shared = stars.select(F.col("a").alias("rep")).unionAll(stars.select(F.col("b").alias("rep"))).distinct()
-            heavy = heavy.join(shared, "rep", "left_semi")
+            heavy = heavy.join(_touched(stars), "rep", "left_semi")
         links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         left = cut_lineage(heavy.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
             "rep", "n", "tokens", F.coalesce("component", "rep").alias("component")
         ))
-    more = _verified(
-        cut_lineage(_list_pairs(left, _mixed_tokens(left, buckets), boundary, percent)), docs, words, percent
-    )
+    rest = cut_lineage(_near(_list_pairs(left, _mixed_tokens(left, buckets), boundary, percent), sets, percent))
+    more = _verified(rest, docs, words, percent)
     # all documents of a class, also those whose doc_id has several texts, meet
     same = member.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     last = components(links.unionAll(more).unionAll(same))
