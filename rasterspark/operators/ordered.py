@@ -74,12 +74,11 @@ def trailing_rows(
     """Cut each key's sequence into blocks that carry the ``size - 1`` rows before them.
 
     Adds ``_block`` and ``_home``; a window of ``size`` rows partitioned by key and ``_block`` is
-    complete for every row with ``_home`` true.
+    complete for every row with ``_home`` true, also where it reaches over several blocks.
     """
     placed = position(df, keys, order, "_pos", width)
     home = F.floor(F.col("_pos") / F.lit(block))
-    copied = (F.col("_pos") % block) >= (block - (size - 1))
-    blocks = F.when(copied, F.array(home, home + 1)).otherwise(F.array(home))
+    blocks = F.sequence(home, F.floor((F.col("_pos") + (size - 1)) / F.lit(block)))
     return (
         placed.withColumn("_b", home)
         .withColumn("_block", F.explode(blocks))

@@ -150,11 +150,12 @@ def rolling_quantiles(traces: DataFrame, keys: list[str], value: str = "total_ms
     return rows.select(*keys, order, quantile(0.5).alias("p50"), quantile(0.95).alias("p95"))
 
 
-def latest_per_tile(traces: DataFrame, cap: int = 500) -> DataFrame:
-    """Newest trace per layer and tile, the ``cap`` most recently updated of them."""
+def latest_per_tile(traces: DataFrame, cap: int | None = None) -> DataFrame:
+    """Newest trace per layer and tile; with a ``cap``, the most recently updated of them only."""
     columns = [c for c in traces.columns if c not in ("layer", "tile")]
     newest = traces.groupBy("layer", "tile").agg(F.max_by(F.struct(*columns), F.col("id")).alias("_t"))
-    return newest.select("layer", "tile", "_t.*").orderBy(F.col("id").desc()).limit(cap)
+    found = newest.select("layer", "tile", "_t.*")
+    return found if cap is None else found.orderBy(F.col("id").desc()).limit(cap)
 
 
 def sequence_gaps(traces: DataFrame, keys: list[str], order: str = "id") -> DataFrame:

@@ -29,6 +29,7 @@ from ..operators.images import CHANNELS
 from ..operators.pixels import pivot_bands
 from ..operators.spatial import deepest_containing_tile
 from ..session import cut_lineage
+from ..sources.exports import append_blocks
 from .materialization import materialization_plan, missing_tiles
 
 TILE = ["z", "x", "y", "granule_id"]
@@ -277,9 +278,7 @@ def materialize(
         level = cut_lineage(level.join(own, "asset", "left_anti").unionByName(embedded))
         building = needs.where("build").select("asset")
         blocks = pack_chunks(level.join(building, "asset", "left_semi"), ["asset"], chunk, fill)
-        blocks.withColumn("factor", F.lit(factor)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "factor"
-        ).parquet(path)
+        append_blocks(blocks.withColumn("factor", F.lit(factor)), path)
         written.append(factor)
         grid, factor = level, factor * 2
     return written

@@ -41,7 +41,7 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder lineage is cut into; a scratch one only where none is configured."""
+    """The shared folder lineage is cut into; a scratch one only where none is configured and all runs on this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", ""
     )
@@ -53,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     context.setCheckpointDir(scratch)
     return scratch

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,25 +13,42 @@ from ..operators.traces import parse_traces, trace_json
 IDENTITY = ["asset", "width", "height", "dtype", "chunk", "resampling"]
 
 
+#: Folders that the assets of a level are dealt to.
+ASSET_BUCKETS = 64
+
+
+def stored_pyramid(spark: SparkSession, path: str) -> DataFrame | None:
+    """What ``read_pyramid`` gives, or None where nothing is stored yet."""
+    try:
+        return read_pyramid(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def append_blocks(blocks: DataFrame, path: str) -> None:
+    """Add blocks (``asset, factor, cy, cx, h, w, values``) that are not stored yet; stored ones stay as they are."""
+    stored = stored_pyramid(blocks.sparkSession, path)
+    if stored is not None:
+        blocks = blocks.join(stored.select("asset", "factor", "cy", "cx"), ["asset", "factor", "cy", "cx"], "left_anti")
+    bucket = F.pmod(F.xxhash64("asset"), F.lit(ASSET_BUCKETS)).cast("int")
+    blocks.withColumn("bucket", bucket).write.mode("append").partitionBy("factor", "bucket").parquet(path)
+
+
 def write_pyramid(levels: DataFrame, path: str, chunk: int, fill: float = 0.0) -> None:
-    """Persist levels (``asset, factor, row, col, value``) as padded blocks.
+    """Persist levels (``asset, factor, row, col, value``) as padded blocks, resuming what is stored.
 
-    A level folder appears with the job commit, so a reader never sees half a level; writing again
-    replaces exactly the levels that are written.
+    Blocks appear with the job commit; those stored before, of these or other assets, are never touched.
+    Check ``pyramid_conflicts`` first: a changed raster needs a path of its own.
     """
-    blocks = pack_chunks(levels, ["asset", "factor"], chunk, fill)
-    (
-        blocks.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("asset", "factor")
-        .parquet(path)
-    )
+    append_blocks(pack_chunks(levels, ["asset", "factor"], chunk, fill), path)
 
 
 def read_pyramid(spark: SparkSession, path: str) -> DataFrame:
     """Stored blocks ``asset, factor, cy, cx, h, w, values``."""
-    schema = "cy long, cx long, h int, w int, values array<double>, asset string, factor int"
-    return spark.read.schema(schema).parquet(path)
+    schema = "asset string, cy long, cx long, h int, w int, values array<double>, factor int, bucket int"
+    return spark.read.schema(schema).parquet(path).select("asset", "factor", "cy", "cx", "h", "w", "values")
 
 
 def pyramid_conflicts(wanted: DataFrame, stored: DataFrame) -> DataFrame:
@@ -41,14 +59,14 @@ def pyramid_conflicts(wanted: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def export_tiles(pixels: DataFrame, path: str, size: int, png: bool = False) -> None:
-    """Write packed tiles under ``layer=/z=``; an incomplete tile fails the job."""
+    """Write packed tiles under ``layer=/z=``; other layers and levels stay, an incomplete tile fails the job."""
     tiles = pack_tiles(pixels, ["layer", "z", "x", "y"], size)
     message = F.concat(F.lit("incomplete tile "), F.concat_ws("/", "layer", "z", "x", "y"))
     checked = tiles.withColumn("rgba", F.when(F.col("complete"), F.col("rgba")).otherwise(F.raise_error(message)))
     out = checked.drop("complete")
     if png:
         out = encode_png(out, size)
-    out.write.mode("overwrite").partitionBy("layer", "z").parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer", "z").parquet(path)
 
 
 def write_traces(traces: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rasterspark.functions import grid as G
 from rasterspark.operators import catalog as C
@@ -165,3 +166,32 @@ def test_export_tiles_png(spark, tmp_path):
     assert bytes(tile["rgba"][4:8]) == bytes([1, 2, 3, 255]) and bytes(tile["png"][:8]) == b"\x89PNG\r\n\x1a\n"
     with pytest.raises(Exception):
         EX.export_tiles(px.where("row < 3"), str(tmp_path / "u"), 4)
+
+
+def test_stored_levels_survive_other_assets_and_resumes(spark, tmp_path):
+    path, z = str(tmp_path / "p"), np.arange(64, dtype=float).reshape(8, 8)
+    levels = PY.build_pyramid(_raster(spark, z), ["asset"], [2], "average", "int16").select("asset", "factor", "row", "col", "value")
+    EX.write_pyramid(levels.where("row < 2"), path, 2)
+    EX.write_pyramid(levels.withColumn("asset", F.lit("other")), path, 2)
+    EX.write_pyramid(levels, path, 2)
+    stored = EX.read_pyramid(spark, path)
+    assert {(r["asset"] == "other", r["n"]) for r in stored.groupBy("asset").agg(F.count("*").alias("n")).collect()} == {(True, 4), (False, 4)}
+    assert stored.select("asset", "factor", "cy", "cx").distinct().count() == 8
+
+
+def test_exported_layers_stay(spark, tmp_path):
+    px = spark.range(4).select(
+        F.lit("l").alias("layer"), F.lit(1).alias("z"), F.lit(0).alias("x"), F.lit(1).alias("y"), F.floor(F.col("id") / 2).alias("row"),
+        (F.col("id") % 2).alias("col"), F.col("id").alias("r"), F.lit(2).alias("g"), F.lit(3).alias("b"), F.lit(255).alias("a"),
+    )
+    for layer in ("one", "two", "two"):
+        EX.export_tiles(px.withColumn("layer", F.lit(layer)), str(tmp_path / "t"), 2)
+    assert sorted(r["layer"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["one", "two"]
+
+
+def test_windows_longer_than_a_block(spark):
+    df = spark.range(700).select(F.lit("k").alias("k"), "id")
+    blocks = O.trailing_rows(df, ["k"], "id", 300, 100, 100)
+    window = Window.partitionBy("k", "_block").orderBy("id").rowsBetween(-299, 0)
+    got = blocks.withColumn("n", F.count("*").over(window)).where("_home").select("id", "n").collect()
+    assert {r["id"]: r["n"] for r in got} == {i: min(i + 1, 300) for i in range(700)}
