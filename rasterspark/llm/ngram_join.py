@@ -40,7 +40,7 @@ COLOURS = (1, 16)
 #: Rows of the bit set that spares texts a shuffle: 64 bits each, 1.5 MB in all.
 FILTER_CELLS = 1 << 16
 #: Tokens before a posting that it carries, to find a pair once instead of at each token.
-RECENT = 8
+RECENT = 4
 FLUSH = 2_000_000
 POSTINGS_PER_TASK = 4_000_000
 
