@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source_mixture", source_mixture),
 ]
 
-#: Shingle groups and byte positions are not expressible in SQL at this size; tests hold run() against brute force.
+#: Shingle groups and byte positions are not expressible in SQL at this size; the operators are held against brute force one by one.
 ORACLE_SQL = None
 
 
