@@ -37,8 +37,8 @@ POSTING_COST = 4
 SPREAD = 256
 #: Leaders that a set may meet in each round before all pairs of mixed lists are scanned.
 COLOURS = (1, 16)
-#: Rows of the bit set that spares texts a shuffle: 64 bits each, 1.5 MB in all.
-FILTER_CELLS = 1 << 16
+#: Rows of the bit sets that spare rows a shuffle: 64 bits each, 6 MB in all.
+FILTER_CELLS = 1 << 18
 #: Tokens before a posting that it carries, to find a pair once instead of at each token.
 RECENT = 4
 FLUSH = 2_000_000
@@ -137,6 +137,43 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
     return min(range(1, LIGHT_LIMIT + 2), key=lambda x: (cost(x), x))
 
 
+def _marked(rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false where ``name`` is surely not in the first column of ``ids``.
+
+    A bit set of fixed size (a Bloom filter of one hash), so that most rows are spared a shuffle. Where ids
+    outnumber its bits more rows move, and the results are the same.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_CELLS))
+    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(64)).cast("int")
+    known = F.col(ids.columns[0])
+    bits = ids.select(cell(known).alias("_cell"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(known)).alias("_bits"))
+    bits = bits.groupBy("_cell").agg(F.bit_or("_bits").alias("_bits"))
+    # at most FILTER_CELLS rows, whatever the input
+    met = rows.withColumn("_cell", cell(F.col(name))).join(F.broadcast(bits), "_cell", "left")
+    maybe = F.coalesce(F.getbit("_bits", bit(F.col(name))) == 1, F.lit(False))
+    return met.select(*rows.columns, maybe.alias("maybe"))
+
+
+def _maybe(rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``name`` is not in the first column of ``ids``."""
+    return _marked(rows, name, ids).filter("maybe").drop("maybe")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` without those that ``gone`` holds; they are told by all columns of ``gone``, the first one not null."""
+    marked = _marked(rows, gone.columns[0], gone)
+    rest = marked.filter("maybe").drop("maybe").join(gone, gone.columns, "left_anti")
+    return marked.filter("not maybe").drop("maybe").unionByName(rest)
+
+
+def _with_components(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """``sets`` with the component of each; sets that ``found`` does not name are their own."""
+    marked = _marked(sets, "rep", found.select("node"))
+    named = marked.filter("maybe").drop("maybe").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.withColumn("component", F.coalesce("component", "rep"))
+    return marked.filter("not maybe").drop("maybe").withColumn("component", F.col("rep")).unionByName(named)
+
+
 def _light_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     """Links between sets below the boundary, by shared subsets."""
 
@@ -200,7 +237,7 @@ def _star_pairs(sets: DataFrame, buckets: int, colours: int, percent: int) -> Da
         def flush() -> pd.DataFrame:
             *posts, pairs, touched = leaders(*(np.concatenate(x) for x in zip(*held, strict=True)))
             to = (mix(posts[0]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
+            order = np.lexsort((posts[1], to))  # by set, so that all but the tokens compresses
             *posts, to = *(x[order] for x in posts), to[order]
             cuts = np.append(run_starts(to), len(to))
             rows = [
@@ -256,7 +293,8 @@ def _touched(stars: DataFrame) -> DataFrame:
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that may link by how their sets fall into parts. What the counts differ by, the sets differ by at least."""
-    mine = sets.select("rep", "n", "spread")
+    ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep")))
+    mine = _maybe(sets.select("rep", "n", "spread"), "rep", ids)
     both = pairs.join(mine.toDF("a", "n_a", "spread_a"), "a").join(mine.toDF("b", "n_b", "spread_b"), "b")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,7 +324,7 @@ def _mixed_tokens(sets: DataFrame, buckets: int) -> DataFrame:
             comps = np.concatenate([x[1] for x in held])
             tokens, low, high = ends(np.concatenate([x[0] for x in held]), comps, comps)
             to = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
+            order = np.lexsort((low, to))
             tokens, low, high, to = tokens[order], low[order], high[order], to[order]
             cuts = np.append(run_starts(to), len(to))
             return pd.DataFrame(
@@ -336,7 +374,8 @@ def _list_pairs(sets: DataFrame, mixed: DataFrame, boundary: int, percent: int)
                 })
 
     kind = "recent array<long>, token long, place long, rep long, component long, n long"
-    posts = sets.select("rep", "component", "n", "tokens").mapInPandas(post, kind).join(mixed, "token", "left_semi")
+    posts = _maybe(sets.select("rep", "component", "n", "tokens").mapInPandas(post, kind), "token", mixed)
+    posts = posts.join(mixed, "token", "left_semi")
     x, y = posts.alias("x"), posts.alias("y")
     common = F.ceil(F.expr(f"{percent} * (x.n + y.n)") / (100 + percent))
     return (
@@ -348,20 +387,10 @@ def _list_pairs(sets: DataFrame, mixed: DataFrame, boundary: int, percent: int)
     )
 
 
-def _named(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id may be among ``ids``: a bit set of fixed size (a Bloom filter of one hash) keeps most others out of the shuffle."""
-    cell, bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_CELLS)), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).cast("int")
-    bits = ids.select(cell.alias("cell"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, 1), 64) as int))").alias("bits"))
-    bits = bits.groupBy("cell").agg(F.bit_or("bits").alias("bits"))
-    # at most FILTER_CELLS rows, whatever the input
-    met = docs.select("doc_id", "text", cell.alias("cell"), bit.alias("bit")).join(F.broadcast(bits), "cell")
-    return met.filter(F.expr("getbit(bits, bit) = 1")).select("doc_id", "text")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that link, by their whole sets."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
-    texts = _named(docs.filter("doc_id is not null"), ids)
+    texts = _maybe(docs.filter("doc_id is not null").select("doc_id", "text"), "doc_id", ids)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -407,9 +436,8 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     member = signs.select("doc_id", *key).join(classes, key, "left").select(
         "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")
     )
-    sets = cut_lineage(
-        signs.filter("n > 0").join(classes, key).filter("doc_id = rep").select("rep", "n", "tokens", "spread")
-    )
+    copies = cut_lineage(signs.filter("n > 0").select("doc_id", *key).join(classes, key).filter("doc_id != rep").drop("rep").distinct())
+    sets = _without(signs.filter("n > 0"), copies.select("doc_id", *key)).select(F.col("doc_id").alias("rep"), "n", "tokens", "spread")
     heavy = sets.filter(F.col("n") >= percent * boundary // 100).select(
         "rep", "n", F.when(F.col("n") > LIGHT_LIMIT, F.col("tokens")).otherwise(
             F.substring("tokens", F.lit(1), (8 * (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).cast("int"))
@@ -423,13 +451,13 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
         near = cut_lineage(_near(stars.filter("touched is null").select("a", "b"), sets, percent))
         links = links.unionAll(_verified(near, docs, words, percent))
         found = components(links)
-        if colours == 1:  # sets that share no rare token with another one are done
-            heavy = heavy.join(_touched(stars), "rep", "left_semi")
+        if colours == 1:  # sets that share no rare token with another one are done; some of them may stay
+            heavy = _maybe(heavy, "rep", _touched(stars))
         links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        left = cut_lineage(heavy.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "rep", "n", "tokens", F.coalesce("component", "rep").alias("component")
-        ))
-    rest = cut_lineage(_near(_list_pairs(left, _mixed_tokens(left, buckets), boundary, percent), sets, percent))
+        left = _with_components(heavy, found)
+    mixed = cut_lineage(_mixed_tokens(left, buckets))
+    listed = cut_lineage(_list_pairs(left, mixed, boundary, percent))
+    rest = cut_lineage(_near(listed, sets, percent))
     more = _verified(rest, docs, words, percent)
     # all documents of a class, also those whose doc_id has several texts, meet
     same = member.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
