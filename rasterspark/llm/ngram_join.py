@@ -18,6 +18,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ COLOURS = (1, 16)
 FILTER_CELLS = 1 << 18
 #: Tokens before a posting that it carries, to find a pair once instead of at each token.
 RECENT = 4
-FLUSH = 2_000_000
-POSTINGS_PER_TASK = 4_000_000
+FLUSH = 500_000
+POSTINGS_PER_TASK = 1_000_000
 
 
 def least_common(n: int, m: int, percent: int) -> int:
@@ -361,20 +362,24 @@ def _list_pairs(sets: DataFrame, mixed: DataFrame, boundary: int, percent: int)
     A pair that also shares one of the tokens just before is left to that one: its places are better, so it holds the pair if this one does.
     """
 
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tokens = [np.frombuffer(x, np.int64) for x in batch["tokens"]]
-            each = [len(t) for t in tokens]
-            if sum(each):
-                yield pd.DataFrame({
-                    "recent": [t[max(0, k - RECENT) : k] for t in tokens for k in range(len(t))],
-                    "token": np.concatenate(tokens), "place": np.concatenate([np.arange(k) for k in each]),
-                    "rep": np.repeat(batch["rep"].to_numpy(), each), "component": np.repeat(batch["component"].to_numpy(), each),
-                    "n": np.repeat(batch["n"].to_numpy(), each),
-                })
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, lo in ((batch, lo) for batch in batches for lo in range(0, batch.num_rows, 256)):
+            part = batch.slice(lo, 256)
+            tokens = [np.frombuffer(x, np.int64) for x in part.column("tokens").to_pylist()]
+            each = np.array([len(t) for t in tokens])
+            token, at = np.concatenate(tokens), np.arange(each.sum())
+            place = at - np.repeat(np.cumsum(each) - each, each)
+            back = np.minimum(place, RECENT)
+            ends = np.append(0, np.cumsum(back))
+            before = np.repeat(at - back - ends[:-1], back) + np.arange(ends[-1])
+            same = [np.repeat(part.column(c).to_numpy(), each) for c in ("rep", "component", "n")]
+            recent = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(token[before]))
+            yield pa.RecordBatch.from_arrays(
+                [recent, *map(pa.array, (token, place, *same))], names=["recent", "token", "place", "rep", "component", "n"]
+            )
 
     kind = "recent array<long>, token long, place long, rep long, component long, n long"
-    posts = _maybe(sets.select("rep", "component", "n", "tokens").mapInPandas(post, kind), "token", mixed)
+    posts = _maybe(sets.select("rep", "component", "n", "tokens").mapInArrow(post, kind), "token", mixed)
     posts = posts.join(mixed, "token", "left_semi")
     x, y = posts.alias("x"), posts.alias("y")
     common = F.ceil(F.expr(f"{percent} * (x.n + y.n)") / (100 + percent))
@@ -392,24 +397,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
     texts = _maybe(docs.filter("doc_id is not null").select("doc_id", "text"), "doc_id", ids)
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo : lo + 256]
+            for lo in range(0, batch.num_rows, 256):  # few texts at once become Python strings
+                part = batch.slice(lo, 256)
+                left, right = (part.column(c).to_pylist() for c in ("text_a", "text_b"))
                 names = {}
-                for text in [*part["text_a"], *part["text_b"]]:
+                for text in [*left, *right]:
                     names.setdefault(text, len(names))
                 sets = shingle_sets([encode(t) for t in names], words)
-                for a, b in zip(part["text_a"], part["text_b"], strict=True):
+                for a, b in zip(left, right, strict=True):
                     s, t = sets[names[a]], sets[names[b]]
                     common = len(np.intersect1d(s, t, assume_unique=True))
                     good.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield batch.loc[good, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
