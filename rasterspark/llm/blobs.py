@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import SparkSession
 
@@ -27,3 +31,29 @@ def run_starts(values: np.ndarray) -> np.ndarray:
     if not len(values):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+
+
+#: Rows of an Arrow batch while jobs over whole texts run; Spark's default lets a batch of them grow beyond a task's memory.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs run inside use Arrow batches of at most ``rows`` rows; the session's own setting comes back after them."""
+    before = spark.conf.get(_ROWS)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(_ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows, so that few texts at once become Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)

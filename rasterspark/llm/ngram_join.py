@@ -19,11 +19,11 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .blobs import pack, partitions, run_starts, unpack
+from .blobs import arrow_batches, pack, partitions, pieces, run_starts, unpack
 from .bytewords import encode, mix, shingle_sets
 from .components import components
 
@@ -68,7 +68,7 @@ def _partners(n: int, percent: int) -> range:
 def _sketch(docs: DataFrame, words: int) -> np.ndarray:
     """About how many documents hold a shingle, by the top bits of its hash, on a log scale of bytes."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, held, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
         shift = np.uint64(64 - SKETCH_BITS)
 
@@ -78,8 +78,8 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
                 cells[:] += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=len(cells))
             held, size = [], 0
 
-        for batch in batches:
-            for s in shingle_sets([encode(t) for t in batch["text"]], words):
+        for part in pieces(batches):
+            for s in shingle_sets([encode(t) for t in part.column("text").to_pylist()], words):
                 held.append(s)
                 size += len(s)
                 if size > FLUSH:
@@ -87,7 +87,9 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
         add()
         if cells.any():
             part = np.minimum(cells, 65535).astype(np.uint16).reshape(SLICES, -1)
-            yield pd.DataFrame({"slice": range(SLICES), "cells": [pack(x) for x in part]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(SLICES), pa.int32()), pa.array([pack(x) for x in part], pa.binary())], names=["slice", "cells"]
+            )
 
     def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cells = np.zeros((1 << SKETCH_BITS) // SLICES, np.int64)
@@ -96,7 +98,7 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
         levels = np.minimum(255, np.round(8 * np.log2(1 + cells))).astype(np.uint8)
         return pd.DataFrame({"slice": [key[0]], "cells": [levels.tobytes()]})
 
-    parts = docs.select("text").mapInPandas(count, "slice int, cells binary")
+    parts = docs.select("text").mapInArrow(count, "slice int, cells binary")
     found = parts.groupBy("slice").applyInPandas(total, "slice int, cells binary").collect()
     levels = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
     for row in found:
@@ -109,23 +111,24 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(_sketch(docs, words))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"n": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "tokens": pa.binary(), "spread": pa.binary()}
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, shift = levels.value, np.uint64(64 - SKETCH_BITS)
-        for batch in batches:
-            ids, rows = batch["doc_id"].to_numpy(), []
-            for i, s in enumerate(shingle_sets([encode(t) for t in batch["text"]], words)):
+        for part in pieces(batches):
+            rows = []
+            for s in shingle_sets([encode(t) for t in part.column("text").to_pylist()], words):
                 n = len(s)
                 keep = s[np.lexsort((s, level[(s >> shift).astype(np.int64)]))]
                 if n > LIGHT_LIMIT:
                     keep = keep[: prefix_length(n, percent)]
                 h1, h2 = s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)
                 spread = np.bincount((mix(s) & np.uint64(SPREAD - 1)).astype(np.int64), minlength=SPREAD)
-                rows.append((
-                    ids[i], n, h1.astype(np.int64), h2.astype(np.int64), keep.tobytes(), np.minimum(spread, 255).astype(np.uint8).tobytes()
-                ))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "tokens", "spread"])
+                rows.append((n, h1.astype(np.int64), h2.astype(np.int64), keep.tobytes(), np.minimum(spread, 255).astype(np.uint8).tobytes()))
+            made = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], names=["doc_id", *kinds])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(
         sign, "doc_id long, n long, h1 long, h2 long, tokens binary, spread binary"
     )
 
@@ -138,20 +141,30 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
     return min(range(1, LIGHT_LIMIT + 2), key=lambda x: (cost(x), x))
 
 
+def _cell_of(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_CELLS))
+
+
+def _bit_of(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c, F.lit(1)), F.lit(64)).cast("int")
+
+
 def _marked(rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:
     """``rows`` with ``maybe``: false where ``name`` is surely not in the first column of ``ids``.
 
     A bit set of fixed size (a Bloom filter of one hash), so that most rows are spared a shuffle. Where ids
     outnumber its bits more rows move, and the results are the same.
     """
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_CELLS))
-    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(64)).cast("int")
     known = F.col(ids.columns[0])
-    bits = ids.select(cell(known).alias("_cell"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(known)).alias("_bits"))
+    bits = ids.select(_cell_of(known).alias("_cell"), F.call_function("shiftleft", F.lit(1).cast("long"), _bit_of(known)).alias("_bits"))
     bits = bits.groupBy("_cell").agg(F.bit_or("_bits").alias("_bits"))
+    return _by_bits(rows, bits, _cell_of(F.col(name)), _bit_of(F.col(name)))
+
+
+def _by_bits(rows: DataFrame, bits: DataFrame, cell: Column, bit: Column) -> DataFrame:
     # at most FILTER_CELLS rows, whatever the input
-    met = rows.withColumn("_cell", cell(F.col(name))).join(F.broadcast(bits), "_cell", "left")
-    maybe = F.coalesce(F.getbit("_bits", bit(F.col(name))) == 1, F.lit(False))
+    met = rows.withColumn("_cell", cell).join(F.broadcast(bits), "_cell", "left")
+    maybe = F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False))
     return met.select(*rows.columns, maybe.alias("maybe"))
 
 
@@ -281,15 +294,43 @@ def _star_pairs(sets: DataFrame, buckets: int, colours: int, percent: int) -> Da
     return parts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "a long, b long, touched binary")
 
 
-def _touched(stars: DataFrame) -> DataFrame:
-    """(rep) of every set that shares a list with another one."""
+def _only_touched(sets: DataFrame, stars: DataFrame) -> DataFrame:
+    """``sets`` without most of those that share no list with another one.
 
-    def spread_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for blob in batch["touched"]:
-                yield pd.DataFrame({"rep": unpack(blob, np.int64)})
+    The ids meet as bit sets of fixed size, in slices: a list per bucket names an id again in each bucket.
+    """
+    width = FILTER_CELLS // SLICES
 
-    return stars.filter("touched is not null").select("touched").mapInPandas(spread_out, "rep long").distinct()
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_CELLS, np.uint64)
+        for batch in batches:
+            for blob in batch.column("touched"):
+                folded = _fold(unpack(blob.as_py(), np.uint64))
+                at = (folded % np.uint64(FILTER_CELLS)).astype(np.int64)
+                np.bitwise_or.at(bits, at, np.uint64(1) << (folded // np.uint64(FILTER_CELLS) % np.uint64(64)))
+        used = [i for i in range(SLICES) if bits[i * width : (i + 1) * width].any()]
+        if used:
+            blobs = [pack(bits[i * width : (i + 1) * width]) for i in used]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "bits"])
+
+    def unite(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(width, np.uint64)
+        for blob in rows["bits"]:
+            bits |= unpack(blob, np.uint64)
+        cells = np.flatnonzero(bits)
+        return pd.DataFrame({"_cell": cells + int(rows["slice"].iloc[0]) * width, "_bits": bits[cells].view(np.int64)})
+
+    slices = stars.filter("touched is not null").select("touched").mapInArrow(mark, "slice int, bits binary")
+    bits = slices.groupBy("slice").applyInPandas(unite, "_cell long, _bits long")
+    right = lambda c, n: F.call_function("shiftrightunsigned", c, F.lit(n))
+    folded = F.col("rep").bitwiseXOR(right(F.col("rep"), 24)).bitwiseXOR(right(F.col("rep"), 48))
+    bit = F.pmod(right(folded, FILTER_CELLS.bit_length() - 1), F.lit(64)).cast("int")
+    return _by_bits(sets, bits, F.pmod(folded, F.lit(FILTER_CELLS)), bit).filter("maybe").drop("maybe")
+
+
+def _fold(ids: np.ndarray) -> np.ndarray:
+    """Ids whose low bits take all bits in, by steps that columns have too."""
+    return ids ^ (ids >> np.uint64(24)) ^ (ids >> np.uint64(48))
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -363,8 +404,7 @@ def _list_pairs(sets: DataFrame, mixed: DataFrame, boundary: int, percent: int)
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lo in ((batch, lo) for batch in batches for lo in range(0, batch.num_rows, 256)):
-            part = batch.slice(lo, 256)
+        for part in pieces(batches):
             tokens = [np.frombuffer(x, np.int64) for x in part.column("tokens").to_pylist()]
             each = np.array([len(t) for t in tokens])
             token, at = np.concatenate(tokens), np.arange(each.sum())
@@ -395,23 +435,29 @@ def _list_pairs(sets: DataFrame, mixed: DataFrame, boundary: int, percent: int)
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that link, by their whole sets."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
-    texts = _maybe(docs.filter("doc_id is not null").select("doc_id", "text"), "doc_id", ids)
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            blobs = [None if t is None else pack(np.frombuffer(encode(t), np.uint8)) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "text"])
+
+    # a text moves once for each of its pairs, so it moves compressed
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    texts = _maybe(texts, "doc_id", ids).mapInArrow(press, "doc_id long, text binary")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in pieces(batches):
+            left, right = (part.column(c).to_pylist() for c in ("text_a", "text_b"))
+            names = {}
+            for blob in [*left, *right]:
+                names.setdefault(blob, len(names))
+            sets = shingle_sets([b"" if x is None else unpack(x, np.uint8).tobytes() for x in names], words)
             good = []
-            for lo in range(0, batch.num_rows, 256):  # few texts at once become Python strings
-                part = batch.slice(lo, 256)
-                left, right = (part.column(c).to_pylist() for c in ("text_a", "text_b"))
-                names = {}
-                for text in [*left, *right]:
-                    names.setdefault(text, len(names))
-                sets = shingle_sets([encode(t) for t in names], words)
-                for a, b in zip(left, right, strict=True):
-                    s, t = sets[names[a]], sets[names[b]]
-                    common = len(np.intersect1d(s, t, assume_unique=True))
-                    good.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for a, b in zip(left, right, strict=True):
+                s, t = sets[names[a]], sets[names[b]]
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                good.append(100 * common >= percent * (len(s) + len(t) - common))
+            yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -428,8 +474,12 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     are one node. A null doc_id gives n_shingles and a null component_id: it can't name a component.
     Repeated rows come out as often as they went in; other columns are ignored.
     """
+    with arrow_batches(docs.sparkSession):
+        return _similar(docs.select("doc_id", "text"), words, percent)
+
+
+def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     signs = cut_lineage(_signatures(docs, words, percent))
     stats = signs.filter("n > 0").groupBy(F.least("n", F.lit(LIGHT_LIMIT + 1)).alias("n")).agg(
         F.count("*").alias("k"), F.sum(F.length("tokens") / 8).alias("postings")
@@ -458,7 +508,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
         links = links.unionAll(_verified(near, docs, words, percent))
         found = components(links)
         if colours == 1:  # sets that share no rare token with another one are done; some of them may stay
-            heavy = _maybe(heavy, "rep", _touched(stars))
+            heavy = _only_touched(heavy, stars)
         links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         left = _with_components(heavy, found)
     mixed = cut_lineage(_mixed_tokens(left, buckets))
