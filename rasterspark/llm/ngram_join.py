@@ -504,7 +504,8 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     found = None
     for colours in COLOURS:
         stars = cut_lineage(_star_pairs(left, buckets, colours, percent))
-        near = cut_lineage(_near(stars.filter("touched is null").select("a", "b"), sets, percent))
+        # buckets name a pair again, and what is known of its sets is much wider
+        near = cut_lineage(_near(stars.filter("touched is null").select("a", "b").distinct(), sets, percent))
         links = links.unionAll(_verified(near, docs, words, percent))
         found = components(links)
         if colours == 1:  # sets that share no rare token with another one are done; some of them may stay
