@@ -36,6 +36,8 @@ LIGHT_LIMIT = 16
 POSTING_COST = 4
 #: Parts that sets are counted in: two sets differ at least by what these counts differ.
 SPREAD = 256
+#: Columns of 64 bits that tell which of those parts hold an odd number.
+PARITY = [f"parity{i}" for i in range(SPREAD // 64)]
 #: Leaders that a set may meet in each round before all pairs of mixed lists are scanned.
 COLOURS = (1, 16)
 #: Rows of the bit sets that spare rows a shuffle: 64 bits each, 6 MB in all.
@@ -107,11 +109,11 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, tokens, spread): identity of the set, its rarest members, rarest first, and how its members fall into SPREAD parts."""
+    """(doc_id, n, h1, h2, tokens, spread, parity): identity of the set, its rarest members, rarest first, how its members fall into SPREAD parts, and which parts hold an odd number."""
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(_sketch(docs, words))
 
-    kinds = {"n": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "tokens": pa.binary(), "spread": pa.binary()}
+    kinds = {"n": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "tokens": pa.binary(), "spread": pa.binary()} | dict.fromkeys(PARITY, pa.int64())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, shift = levels.value, np.uint64(64 - SKETCH_BITS)
@@ -124,12 +126,14 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     keep = keep[: prefix_length(n, percent)]
                 h1, h2 = s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)
                 spread = np.bincount((mix(s) & np.uint64(SPREAD - 1)).astype(np.int64), minlength=SPREAD)
-                rows.append((n, h1.astype(np.int64), h2.astype(np.int64), keep.tobytes(), np.minimum(spread, 255).astype(np.uint8).tobytes()))
+                parity = np.packbits((spread & 1).astype(np.uint8)).view(np.int64)
+                counts = np.minimum(spread, 255).astype(np.uint8).tobytes()
+                rows.append((n, h1.astype(np.int64), h2.astype(np.int64), keep.tobytes(), counts, *parity))
             made = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], names=["doc_id", *kinds])
 
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        sign, "doc_id long, n long, h1 long, h2 long, tokens binary, spread binary"
+        sign, "doc_id long, n long, h1 long, h2 long, tokens binary, spread binary" + "".join(f", {c} long" for c in PARITY)
     )
 
 
@@ -400,6 +404,8 @@ def _mixed_tokens(sets: DataFrame, buckets: int) -> DataFrame:
 def _list_pairs(sets: DataFrame, mixed: DataFrame, boundary: int, percent: int) -> DataFrame:
     """All pairs of different components that share a rare token and may link by size and place in their lists.
 
+    Parts whose parity differs hold a member that the sets don't share. The conditions are alike for both sides, so that
+    the postings are shuffled once.
     A pair that also shares one of the tokens just before is left to that one: its places are better, so it holds the pair if this one does.
     """
 
@@ -412,22 +418,23 @@ def _list_pairs(sets: DataFrame, mixed: DataFrame, boundary: int, percent: int)
             back = np.minimum(place, RECENT)
             ends = np.append(0, np.cumsum(back))
             before = np.repeat(at - back - ends[:-1], back) + np.arange(ends[-1])
-            same = [np.repeat(part.column(c).to_numpy(), each) for c in ("rep", "component", "n")]
+            same = [np.repeat(part.column(c).to_numpy(), each) for c in ("rep", "component", "n", *PARITY)]
             recent = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(token[before]))
             yield pa.RecordBatch.from_arrays(
-                [recent, *map(pa.array, (token, place, *same))], names=["recent", "token", "place", "rep", "component", "n"]
+                [recent, *map(pa.array, (token, place, *same))], names=["recent", "token", "place", "rep", "component", "n", *PARITY]
             )
 
-    kind = "recent array<long>, token long, place long, rep long, component long, n long"
-    posts = _maybe(sets.select("rep", "component", "n", "tokens").mapInArrow(post, kind), "token", mixed)
+    kind = "recent array<long>, token long, place long, rep long, component long, n long" + "".join(f", {c} long" for c in PARITY)
+    posts = _maybe(sets.select("rep", "component", "n", *PARITY, "tokens").mapInArrow(post, kind), "token", mixed)
     posts = posts.join(mixed, "token", "left_semi")
     x, y = posts.alias("x"), posts.alias("y")
     common = F.ceil(F.expr(f"{percent} * (x.n + y.n)") / (100 + percent))
     return (
         x.join(y, F.expr(
             f"x.token = y.token and x.component != y.component and (x.n < y.n or x.n = y.n and x.rep < y.rep)"
-            f" and 100 * x.n >= {percent} * y.n and y.n >= {boundary} and not arrays_overlap(x.recent, y.recent)"
-        ) & (F.expr("1 + least(x.n - x.place - 1, y.n - y.place - 1)") >= common))
+            f" and 100 * x.n >= {percent} * y.n and greatest(x.n, y.n) >= {boundary} and not arrays_overlap(x.recent, y.recent)"
+        ) & (F.expr("1 + least(x.n - x.place - 1, y.n - y.place - 1)") >= common)
+            & (F.expr(" + ".join(f"bit_count(x.{c} ^ y.{c})" for c in PARITY)) <= F.expr("x.n + y.n") - 2 * common))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     )
 
@@ -493,9 +500,9 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
         "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")
     )
     copies = cut_lineage(signs.filter("n > 0").select("doc_id", *key).join(classes, key).filter("doc_id != rep").drop("rep").distinct())
-    sets = _without(signs.filter("n > 0"), copies.select("doc_id", *key)).select(F.col("doc_id").alias("rep"), "n", "tokens", "spread")
+    sets = _without(signs.filter("n > 0"), copies.select("doc_id", *key)).select(F.col("doc_id").alias("rep"), "n", "tokens", "spread", *PARITY)
     heavy = sets.filter(F.col("n") >= percent * boundary // 100).select(
-        "rep", "n", F.when(F.col("n") > LIGHT_LIMIT, F.col("tokens")).otherwise(
+        "rep", "n", *PARITY, F.when(F.col("n") > LIGHT_LIMIT, F.col("tokens")).otherwise(
             F.substring("tokens", F.lit(1), (8 * (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).cast("int"))
         ).alias("tokens"),
     )
