@@ -14,6 +14,7 @@ from rasterspark.operators import catalog as C
 from rasterspark.operators import ordered as O
 from rasterspark.operators import pyramid as PY
 from rasterspark.operators import resolve as R
+from rasterspark.operators import spatial as S
 from rasterspark.operators import udf as U
 from rasterspark.operators import warp as W
 from rasterspark.sources import chunk_reader as CR
@@ -195,3 +196,14 @@ def test_windows_longer_than_a_block(spark):
     window = Window.partitionBy("k", "_block").orderBy("id").rowsBetween(-299, 0)
     got = blocks.withColumn("n", F.count("*").over(window)).where("_home").select("id", "n").collect()
     assert {r["id"]: r["n"] for r in got} == {i: min(i + 1, 300) for i in range(700)}
+
+
+def test_crossing_boxes_meet_once(spark):
+    box = "id string, bbox struct<west double, south double, east double, north double>"
+    left = spark.createDataFrame([("a", (170.0, -10.0, -170.0, 10.0)), ("b", (10.0, 1.0, 5.0, 2.0))], box)
+    right = spark.createDataFrame([("r", (175.0, -5.0, -175.0, 5.0)), ("w", (-180.0, -5.0, 180.0, 5.0)), ("n", (6.0, 0.0, 9.0, 5.0))], box)
+    got = sorted(tuple(r) for r in S.bbox_join(left, right).collect())
+    assert got == [("a", "r"), ("a", "w"), ("b", "r"), ("b", "w")]
+    for z in (0, 1, 4):
+        tiles = [tuple(r) for r in S.tiles_for_footprints(left, z).select("id", "z", "x", "y").collect()]
+        assert len(tiles) == len(set(tiles)) > 0
