@@ -31,7 +31,6 @@ class Rules:
     max_repeat_percent: int = 30
     repeat_window: int = 8
     common_words: int = 64
-    max_languages: int = 64
     min_reference_words: int = 2000
     min_class_chars: int = 400
     max_class_distance: float = 0.25
@@ -112,8 +111,8 @@ def language_references(docs: DataFrame, rules: Rules = Rules()) -> list[dict]:
     """For each language its class counts, its commonest words with counts, and its words.
 
     Counted over all documents with a language; words are lower-cased in A-Z. Languages with fewer
-    than ``min_reference_words`` words give none. At most ``max_languages`` of the largest, with
-    ``common_words`` words each, come to the driver: the references are the model and have this bound.
+    than ``min_reference_words`` words give none, all others do, in order of their names. The references
+    are the model and come to the driver: ``common_words`` words for each language.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,13 +149,13 @@ def language_references(docs: DataFrame, rules: Rules = Rules()) -> list[dict]:
         F.sum(F.when(F.col("place") == 1, F.col("total"))).alias("total"),
         F.slice(F.sort_array(F.collect_list(F.when(~is_class, F.struct((-F.col("n")).alias("n"), "word")))), 1, rules.common_words).alias("words"),
         F.map_from_entries(F.collect_list(F.when(is_class, F.struct("word", "n")))).alias("classes"),
-    ).filter(F.col("total") >= rules.min_reference_words).orderBy(F.desc("total"), "lang").limit(rules.max_languages)
+    ).filter(F.col("total") >= rules.min_reference_words)
     return [
         {
             "lang": r["lang"], "total": r["total"], "words": {w["word"]: -w["n"] for w in r["words"]},
             "classes": [r["classes"].get(f" {name}", 0) for name in CLASSES],
         }
-        for r in lists.collect()
+        for r in sorted(lists.collect(), key=lambda r: r["lang"])
     ]
 
 
@@ -167,8 +166,8 @@ class _Judge:
         self.rules = rules
         self.names = {w.encode(): i for i, w in enumerate(sorted({w for r in references for w in r["words"]}))}
         shares = lambda rows: [x / x.sum(-1, keepdims=True) for x in [np.array(rows, float)]][0]
-        self.known = bool(references)
-        if not self.known:
+        self.languages = {r["lang"] for r in references}
+        if not references:
             return
         self.classes = shares([r["classes"] for r in references])
         width = max(len(r["words"]) for r in references)
@@ -181,8 +180,8 @@ class _Judge:
             words[i, -1] = r["total"] - sum(r["words"].values())
         self.words = shares(words)
 
-    def __call__(self, data: bytes, words: list[bytes]) -> tuple[float | None, float | None, bool]:
-        if not self.known:
+    def __call__(self, data: bytes, words: list[bytes], lang: str | None) -> tuple[float | None, float | None, bool]:
+        if not self.languages or (isinstance(lang, str) and lang not in self.languages):
             return None, None, True
         rules, classes = self.rules, class_counts(data)
         near = np.ones(len(self.classes), bool)
@@ -212,24 +211,25 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep_columns: bool = False) -
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_percent`` % of them in
     repeated windows. ``kept``: not base_failed, and near enough in both histograms to one and the same
-    language reference, whatever the document's own ``lang`` says. A test is left out for texts below
-    its minimum length (its distance is null if so) and where no language has a reference. Null and
-    empty texts have no words and fail. Repeated rows are judged alike; a null lang only keeps a row out
+    language reference, of whichever language. A test is left out (its distance is null then) for texts
+    below its minimum length; both are where the document's own ``lang`` has no reference, as those of
+    other languages don't speak for it, and where no language has one. A document with a null ``lang`` is
+    held against all references. Null and empty texts have no words and fail. Repeated rows are judged alike; a null lang only keeps a row out
     of the references. Of other columns, those named like a result are replaced.
     """
     references = docs.sparkSession.sparkContext.broadcast(language_references(docs, rules))
     names = [c.split()[0] for c in _FOUND.split(", ")]
     rest = [c for c in docs.columns if c not in names] if keep_columns else ["doc_id"]
-    source = docs.select(*rest, F.col("text").alias("__text"))
+    source = docs.select(*rest, F.col("text").alias("__text"), F.col("lang").alias("__lang"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judged = _Judge(references.value, rules)
         for batch in batches:
             rows = []
-            for text in batch["__text"]:
+            for text, lang in zip(batch["__text"], batch["__lang"], strict=True):
                 data = encode(text)
                 words, counts = plain_counts(data, rules)
-                near = (None, None, False) if counts["base_failed"] else judged(data, words)
+                near = (None, None, False) if counts["base_failed"] else judged(data, words, lang)
                 rows.append((*counts.values(), *near))
             found = pd.DataFrame(rows, columns=names, index=batch.index)
             yield pd.concat([batch[rest], found], axis=1)

@@ -99,6 +99,23 @@ def test_quality(docs, none):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_quality_of_many_languages(spark):
+    rng, rows = random.Random(5), []
+    for k in range(66):  # words of its own for each language, the 66th in other letters and below the least size of a reference
+        first = 0x4E00 + 40 * k if k == 65 else 0x61
+        words = [f"{chr(first + k % 26)}{chr(first + k // 26)}{chr(first + i % 26)}{chr(first + i // 26)}" for i in range(40)]
+        for j in range(2 if k == 65 else 12):
+            rows.append((100 * k + j, " ".join(rng.choices(words, k=200 + 10 * (k < 64))), f"l{k:02}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r["lang"] for r in quality.language_references(docs)] == [f"l{k:02}" for k in range(65)]
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert all(r.kept for r in got.values())
+    assert got[6400].word_distance < 0.45  # the 65th language by size is held against its own reference
+    assert got[6500].class_distance is None and got[6500].word_distance is None
+    stray = spark.createDataFrame([(9000, rows[-1][1], "l00"), (9001, rows[-1][1], None)], docs.schema)
+    assert {r.doc_id: r.kept for r in quality.judge(docs.unionByName(stray)).collect() if r.doc_id >= 9000} == {9000: False, 9001: False}
+
+
 def test_repeated_words_by_brute_force():
     rng = random.Random(5)
     for _ in range(200):
