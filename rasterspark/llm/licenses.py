@@ -1,16 +1,17 @@
 """License scans by conditional compression.
 
-A block of text that repeats a license notice compresses far better once the notice is known. Each
-candidate block is compressed plainly and with every template as a raw zstandard dictionary; templates
-are ranked by the size that saves, and the winner is confirmed by comparing the wording word by word.
+Words that repeat a license notice compress far better once the notice is known. Around lines with a
+cue, overlapping windows of about a template's length, across line ends, are compressed plainly and with
+the template as a raw zstandard dictionary. Where that saves enough, the wording is compared word by
+word; confirmed notices are ranked by the size saved, and of those that share words the first stays.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -27,7 +28,9 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 CUES = ("licen", "rights reserved", "redistribution", "creative commons", "copyright", "permission is")
-#: Share of the plain size that a winner must save, and of words that may differ from its template.
+#: Of each cue a word; a text without any of them has no cue.
+_RARE = ("licen", "reserved", "redistribution", "commons", "copyright", "permission")
+#: Share of the plain size that a window must save, and of words that may differ from its template.
 MIN_SAVED = 0.3
 MAX_DIFFERENCE = 0.2
 _WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
@@ -39,66 +42,132 @@ def words_of(text: str) -> list[str]:
 
 
 class Scanner:
-    """The templates as compressors, and the verdict on a block."""
+    """The templates as compressors, and the findings of a text."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        self.words = {k: words_of(t) for k, t in templates.items()}
+        self.words = {k: w for k, t in templates.items() if (w := words_of(t))}
         self.with_template = {
             k: zstandard.ZstdCompressor(
                 level=3, write_content_size=False,
-                dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
             )
-            for k, t in templates.items()
+            for k, w in self.words.items()
         }
+        self.ids = {w: i for i, w in enumerate(sorted({w for x in self.words.values() for w in x}))}
+        self.own = {k: np.isin(np.arange(len(self.ids) + 1), [self.ids[w] for w in x]) for k, x in self.words.items()}
+        self.spare = {k: int(len(w) * MAX_DIFFERENCE + 1e-9) for k, w in self.words.items()}
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Share of the plain compressed size that each template saves, best first."""
-        data = block.encode("utf-8", "surrogatepass")
+    def saved(self, words: list[str], name: str) -> float:
+        """Share of the plain compressed size that a template saves."""
+        data = " ".join(words).encode()
         size = len(self.plain.compress(data))
-        saved = [((size - len(c.compress(data))) / size, k) for k, c in self.with_template.items()]
-        return sorted(saved, key=lambda x: (-x[0], x[1]))
-
-    def difference(self, block: str, name: str) -> tuple[float, list[str]]:
-        """Share of the template's words that differ inside the best stretch of the block, and the differences."""
-        have, want = words_of(block), self.words[name]
-        match = difflib.SequenceMatcher(None, want, have, autojunk=False)
-        blocks = [b for b in match.get_matching_blocks() if b.size]
-        if not blocks:
-            return 1.0, [f"-{w}" for w in want]
-        lo, hi = blocks[0].b, blocks[-1].b + blocks[-1].size
-        changes: list[str] = []
-        for op, a, b, c, d in difflib.SequenceMatcher(None, want, have[lo:hi], autojunk=False).get_opcodes():
-            if op != "equal":
-                changes += [f"-{w}" for w in want[a:b]] + [f"+{w}" for w in have[lo:hi][c:d]]
-        return len(changes) / len(want), changes
+        return (size - len(self.with_template[name].compress(data))) / size
+
+    def stretches(self, words: list[str], name: str) -> list[tuple[int, int, int]]:
+        """(words that differ, begin, end) of all disjoint stretches that confirm the template, best first."""
+        want = self.words[name]
+        n = len(want)
+        cost, begin, found = list(range(n + 1)), [0] * (n + 1), []
+        for j, word in enumerate(words):  # cost[i]: fewest differences of the template's first i words and a stretch that ends here
+            before, before_at = cost, begin
+            cost, begin = [0] * (n + 1), [j + 1] * (n + 1)
+            for i in range(1, n + 1):
+                if want[i - 1] == word:
+                    cost[i], begin[i] = before[i - 1], before_at[i - 1] if i > 1 else j
+                else:
+                    cost[i], start = min((before[i] + 1, -before_at[i]), (cost[i - 1] + 1, -begin[i - 1]))
+                    begin[i] = -start
+            if cost[n] <= self.spare[name]:
+                found.append((cost[n], begin[n], j + 1))
+        out: list[tuple[int, int, int]] = []
+        for one in sorted(found, key=lambda x: (x[0], x[2] - x[1], x[1])):
+            if all(one[2] <= x[1] or x[2] <= one[1] for x in out):
+                out.append(one)
+        return out
+
+    def changes(self, words: list[str], name: str) -> list[str]:
+        """Fewest words to take from (-) and to add to (+) the template."""
+        want = self.words[name]
+        same = [[0] * (len(words) + 1) for _ in range(len(want) + 1)]
+        for i in range(len(want) - 1, -1, -1):
+            for j in range(len(words) - 1, -1, -1):
+                same[i][j] = same[i + 1][j + 1] + 1 if want[i] == words[j] else max(same[i + 1][j], same[i][j + 1])
+        i, j, out = 0, 0, []
+        while i < len(want) or j < len(words):
+            if i < len(want) and j < len(words) and want[i] == words[j]:
+                i, j = i + 1, j + 1
+            elif j == len(words) or (i < len(want) and same[i + 1][j] >= same[i][j + 1]):
+                out.append(f"-{want[i]}")
+                i += 1
+            else:
+                out.append(f"+{words[j]}")
+                j += 1
+        return out
 
     def scan(self, text: str | None) -> list[dict]:
-        """A finding for each candidate block (a line with a cue word)."""
-        found = []
-        for i, line in enumerate((text or "").split("\n")):
-            low = line.lower()
-            if not any(c in low for c in CUES):
-                continue
-            ranks = [r for r in self.ranked(line) if r[0] >= MIN_SAVED]
-            best = {"line": i, "license": None, "saved": ranks[0][0] if ranks else 0.0, "changes": []}
-            for saved, name in ranks:
-                share, changes = self.difference(line, name)
-                if share <= MAX_DIFFERENCE:
-                    best = {"line": i, "license": name, "saved": saved, "changes": changes}
-                    break
-            found.append(best)
-        return found
+        """The confirmed notices, and the lines with a cue and without any, by line."""
+        low = (text or "").lower()
+        if not any(x in low for x in _RARE):
+            return []
+        at = list(_WORD.finditer(low))
+        words = [m[0] for m in at]
+        breaks = np.flatnonzero(np.array([c == "\n" for c in low]))
+        line = np.searchsorted(breaks, [m.start() for m in at])
+        joined = " ".join(words)
+        first = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cues = [m.start() for c in CUES for m in re.finditer(c, joined)]
+        cue_lines = {int(line[i]) for i in np.searchsorted(first, cues, "right") - 1}
+        if not cue_lines:
+            return []
+        sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+        near = sums(np.isin(line, list(cue_lines)))
+        ids = np.array([self.ids.get(w, len(self.ids)) for w in words])
+        best: dict[int, float] = {}
+        confirmed = []
+        for name, want in self.words.items():
+            # windows that hold every stretch which may confirm the template: it has its words but for the spare ones
+            step = max(1, len(want) // 4)
+            lo = np.arange(0, len(words), step)
+            hi = np.minimum(lo + len(want) + self.spare[name] + step - 1, len(words))
+            own = sums(self.own[name][ids])
+            good = np.flatnonzero((near[hi] > near[lo]) & (own[hi] - own[lo] >= len(want) - self.spare[name]))
+            spans: list[list[int]] = []
+            for a, b in zip(lo[good].tolist(), hi[good].tolist(), strict=True):
+                saved = self.saved(words[a:b], name)
+                if saved < MIN_SAVED:
+                    continue
+                for k in set(line[a:b].tolist()):
+                    best[k] = max(best.get(k, 0.0), saved)
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+            for a, b in spans:
+                for _, c, d in self.stretches(words[a:b], name):
+                    confirmed.append((-self.saved(words[a + c : a + d], name), name, a + c, a + d))
+        taken, found = np.zeros(len(words), bool), []
+        for saved, name, a, b in sorted(confirmed):
+            if not taken[a:b].any():
+                taken[a:b] = True
+                found.append((a, {"line": int(line[a]), "license": name, "saved": -saved, "changes": self.changes(words[a:b], name)}))
+        found = [x for _, x in sorted(found, key=lambda x: x[0])]
+        for k in cue_lines - set(line[taken].tolist()):
+            found.append({"line": k, "license": None, "saved": best.get(k, 0.0), "changes": []})
+        return sorted(found, key=lambda x: x["line"])
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, findings array<struct<line, license, saved, changes>>) of every row of ``docs``.
 
-    Lines of a text that hold a cue word are its candidate blocks, whole texts are read. A finding
-    names the template that saves most among those whose wording the block confirms, the share of the
-    compressed size saved and the words that differ; license is null where no template is confirmed.
-    Ties go to the smaller name. Null and empty texts have no findings, repeated rows equal ones, other
-    columns are ignored.
+    Whole texts are read. A finding is a confirmed notice, anywhere in a line or over several, with the
+    line (from 0) of its first word, the template, the share of the compressed size saved and the words that
+    differ; notices that share words are one finding, of the template that saves most (ties go to the smaller
+    name). Or it is a line with a cue that no confirmed notice touches: its license is null, and ``saved`` is
+    the best of the windows that touch it and hold enough of a template's words, 0 below ``MIN_SAVED``.
+    Notices are looked for in windows that touch a line with a cue; words are letters, digits and inner
+    points, lower-cased, so marks of comments are nothing. Null and empty texts have no findings, repeated
+    rows equal ones, other columns are ignored.
     """
     known = dict(TEMPLATES if templates is None else templates)
 

@@ -223,6 +223,26 @@ def test_licenses(spark, docs, none):
     assert len(licenses.scan_licenses(docs).collect()) == len(ROWS) and licenses.scan_licenses(none).collect() == []
 
 
+def test_licenses_anywhere_in_a_text():
+    rng, scan = random.Random(2), licenses.Scanner(licenses.TEMPLATES).scan
+    prose = lambda n: " ".join(rng.choice("the river and of a house under old work in stone light".split()) for _ in range(n))
+    for name, notice in licenses.TEMPLATES.items():
+        words = notice.split()
+        assert [(f["line"], f["license"]) for f in scan(f"{prose(90)} {notice} {prose(90)}")] == [(0, name)]
+        wrapped = "".join(f" * {' '.join(words[i : i + 3])}\n" for i in range(0, len(words), 3))
+        assert [(f["line"], f["license"]) for f in scan(f"/*\n{wrapped} */\n{prose(9)}")] == [(1, name)]
+        assert [f["license"] for f in scan(f"{prose(9)} {notice.upper()} {prose(9)}")] == [name]
+        for other, more in licenses.TEMPLATES.items():
+            assert [f["license"] for f in scan(f"{prose(20)} {notice} {more} {prose(20)}")] == [name, other]
+        for _ in range(20):  # as many differences as are allowed
+            edited, spare = list(words), len(licenses.words_of(notice)) // 5
+            for _ in range(spare):
+                edited.insert(rng.randrange(1, len(edited)), "river")
+            (f,) = scan(f"{prose(rng.randrange(60))} {' '.join(edited)} {prose(rng.randrange(60))}")
+            assert f["license"] == name and len(f["changes"]) <= spare
+    assert [(f["line"], f["license"]) for f in scan("my licence\nRights\nReserved by us\n")] == [(0, None), (1, None)]
+
+
 def test_pages(spark):
     page = (
         "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><div class='ad'>Buy</div>"
