@@ -7,6 +7,14 @@ import tempfile
 import numpy as np
 
 
+#: Values looked up at once, which fit the processor's caches.
+_PIECE = 1 << 14
+
+
+#: Place of each one in each byte.
+_BIT = np.array([([i for i in range(8) if x >> i & 1] + [0] * 8)[:8] for x in range(256)])
+
+
 def mapped(values: np.ndarray) -> np.ndarray:
     """The same array, memory-mapped from a nameless file that goes with it."""
     if not values.nbytes:
@@ -35,6 +43,8 @@ class EliasFano:
         ones = np.bitwise_count(packed.view(np.uint64)).astype(np.int64)
         self.high = mapped(packed.view(np.uint64))
         self.ones = mapped(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32 if self.n < 1 << 32 else np.int64))
+        self.before = self.ones.astype(np.int64)
+        self.zeros = np.arange(len(self.before)) * 64 - self.before
         self.low = mapped(self._pack(values & np.uint64((1 << self.low_bits) - 1)))
 
     def _pack(self, low: np.ndarray) -> np.ndarray:
@@ -60,19 +70,17 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Position of the k-th one, or of the k-th zero, of the high bits."""
-        known = self.ones.astype(np.int64)
-        before = known if ones else np.arange(len(known)) * 64 - known
+        before = self.before if ones else self.zeros
         word = np.searchsorted(before, k, "right") - 1
         rest = k - before[word]
         bits = self.high[word] if ones else ~self.high[word]
-        place = np.zeros(len(k), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):  # halve the word, keep the side that holds the bit
-            left = bits & np.uint64((1 << half) - 1)
-            count = np.bitwise_count(left).astype(np.int64)
-            go = rest >= count
-            rest = np.where(go, rest - count, rest)
-            bits = np.where(go, bits >> np.uint64(half), left)
-            place += go * half
+        # the byte of the word that holds the bit, by its ones so far, and the bit by a table
+        data = np.ascontiguousarray(bits).view(np.uint8)
+        so_far = np.bitwise_count(data).view(np.uint64) * np.uint64(0x0101010101010101)
+        byte = (so_far.view(np.uint8).reshape(-1, 8) <= rest.astype(np.uint8)[:, None]).sum(1)
+        at = np.arange(len(k)) * 8 + byte
+        rest = rest - (so_far << np.uint64(8)).view(np.uint8)[at]
+        place = byte * 8 + _BIT[data[at], rest]
         return word * 64 + place
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
@@ -86,10 +94,13 @@ class EliasFano:
         lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - np.maximum(high - 1, 0), 0)
         hi = self._select(high, False) - high
         low = values & np.uint64((1 << self.low_bits) - 1)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) // 2
-            smaller = open_ & (self._low(np.minimum(mid, self.n - 1)) < low)
-            lo, hi = np.where(smaller, mid + 1, lo), np.where(open_ & ~smaller, mid, hi)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) // 2
+            smaller = self._low(np.minimum(mid, self.n - 1)) < low[open_]
+            lo[open_[smaller]] = mid[smaller] + 1
+            hi[open_[~smaller]] = mid[~smaller]
+            open_ = open_[lo[open_] < hi[open_]]
         return lo
 
     @property
@@ -123,20 +134,28 @@ class BigramTrie:
         top = int(level[np.array([level.n - 1])][0])
         inside = values <= top
         i = np.zeros(len(values), np.int64)
-        i[inside] = level.find(values[inside])
-        return i, inside & (level[np.minimum(i, level.n - 1)] == values.astype(np.uint64))
+        for lo in range(0, len(values), _PIECE):
+            part, good = slice(lo, lo + _PIECE), inside[lo : lo + _PIECE]
+            i[part][good] = level.find(values[part][good])
+            good &= level[np.minimum(i[part], level.n - 1)] == values[part].astype(np.uint64)
+        return i, inside
 
     def lookup(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(code, whether the pair is there)."""
-        c, known = self._at(self.contexts, context)
-        w, there = self._at(self.words, word)
-        good = known & there
+        # each context and word is searched once
+        names, own = np.unique(context, return_inverse=True)
+        c, known = self._at(self.contexts, names)
+        words, which = np.unique(word, return_inverse=True)
+        w, there = self._at(self.words, words)
         found, code = np.zeros(len(context), bool), np.zeros(len(context), np.uint16)
-        at = np.flatnonzero(good)
+        at = np.flatnonzero(known[own] & there[which])
         if len(at):
-            i, hit = self._at(self.successors, c[at] * self.width + w[at])
+            own = own[at]
+            i, hit = self._at(self.successors, c[own] * self.width + w[which[at]])
             # the pointers bound the context's range
-            hit &= (i >= self.pointers[c[at]].astype(np.int64)) & (i < self.pointers[c[at] + 1].astype(np.int64))
+            c = np.where(known, c, 0)
+            begin, end = self.pointers[c].astype(np.int64), self.pointers[c + 1].astype(np.int64)
+            hit &= (i >= begin[own]) & (i < end[own])
             found[at] = hit
             code[at[hit]] = self.codes[i[hit]]
         return code, found

@@ -1,14 +1,18 @@
 """Scores of texts under an n-gram model of the corpus, kept as Elias-Fano tries that are spread over tasks.
 
-The model is a bigram one, interpolated with the smoothed unigram: p(w|v) = (1 - r) c(v w) / c(v) + r p(w).
-r depends on how often v occurs: for each power of two, the share of pairs seen once (the mass of unseen
-pairs after Good and Turing). All of it sums to one over the known words and one unknown word.
-
-Texts are dealt into blocks. A block asks for each of its words once and for each of its pairs once; both
-questions carry the block's training counts, so the same exchange counts the corpus and looks it up, and a
-frequent word or pair is one entry per block. Pairs go to the shard of their context, or of context and
-word for contexts too frequent for one shard. Each shard builds its trie in memory-mapped files and looks
-all its questions up.
+The model is a trigram one (ORDER), interpolated with the orders below down to the smoothed unigram:
+p(w|v) = (1 - r) c(v w) / c(v) + r p(w), and p(w|u v) = (1 - s) c(u v w) / c(u v) + s p(w|v). r depends on
+how often v occurs, s on how often u v does: for each power of two, the share of pairs, or of triples, seen
+once (the mass of unseen ones after Good and Turing). A text's first token has the end before it and no
+more; where a context is unknown the order below stands. All of it sums to one over the known words and
+one unknown word.
+
+Texts are dealt into blocks. A block asks for each of its words once, for each of its pairs once and for
+each of its triples of two known pairs once (no other was seen); all questions carry the block's training
+counts, so the same exchange counts the corpus and looks it up, and what is frequent is one entry per
+block. Pairs go to the shard of their context, triples to that of the pair which is their context (or of
+context and word for contexts too frequent for one shard). Each shard builds its level of the trie in
+memory-mapped files and looks all its questions up; it numbers its pairs, and the level below points to them.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import pack, partitions, run_starts, unpack
+from . import blobs
+from .blobs import partitions, run_starts
 from .bytewords import chunks, encode, mix, word_hashes
 from .elias_fano import BigramTrie
 
@@ -31,8 +36,22 @@ HOT_CONTEXT = 1_000_000
 STEP = 2000
 _END = np.uint64(0x454E44454E44454E)
 _KIND = "bucket int, block int, kind int, a binary, b binary, c binary, d binary, e binary, n long, v long"
-_WORDS, _PAIRS, _TOTALS = 0, 1, 2
+_WORDS, _PAIRS, _TOTALS, _TRIPLES = 0, 1, 2, 3
 _LEVELS = 64
+#: Words of the longest n-grams.
+ORDER = 3
+
+
+def pack(values: np.ndarray) -> bytes:
+    """A numpy array as zstandard bytes, with its numbers' first bytes first, then their second bytes, and so on."""
+    values = np.ascontiguousarray(values)
+    return blobs.pack(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+
+
+def unpack(blob: bytes, dtype: type) -> np.ndarray:
+    """The array that ``pack`` was given."""
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(blobs.unpack(blob, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
 def held_out(doc_id: int | None) -> bool | None:
@@ -88,15 +107,60 @@ class _Block:
         unique, inverse = np.unique(key, return_inverse=True)
         v, w = unique // len(self.words), unique % len(self.words)
         seen = np.bincount(inverse[self.teach[good]], minlength=len(unique))
-        salts = (self.total[v] // HOT_CONTEXT + 1).astype(np.uint64)
-        salt = mix(self.number[w].astype(np.uint64)) % salts
-        to = (mix(self.number[v].astype(np.uint64) * np.uint64(0x9E3779B1) + salt) % np.uint64(shards)).astype(np.int64)
+        to = _shard(self.number[v], self.number[w], self.total[v], shards)
         order = np.argsort(to, kind="stable")
         self.place = np.empty(len(unique), np.int64)
         self.place[order] = np.arange(len(unique))
         self.inverse, self.shard = inverse, to[order]
         self.v, self.w, self.seen = v[order], w[order], seen[order]
 
+    def pair_answers(self, rows: pd.DataFrame) -> None:
+        """Take the codes, corpus counts and numbers of the pairs, and set what each token's pair and context are."""
+        size = len(self.shard)
+        self.code, self.pair_total, self.pair_number = np.zeros(size, np.uint16), np.zeros(size, np.int64), np.full(size, -1)
+        begin = _begins(self.shard)
+        for shard, *packed in zip(rows["n"], rows["a"], rows["b"], rows["c"], strict=True):
+            code, total, number = map(unpack, packed, (np.uint16, np.int64, np.int64))
+            at = slice(begin[int(shard)], begin[int(shard)] + len(code))
+            self.code[at], self.pair_total[at], self.pair_number[at] = code, total, number
+        self.pair = np.full(len(self.own), -1)
+        self.pair[self.known_pair] = self.place[self.inverse]
+        self.context = np.full(len(self.own), -1)  # the pair before, if training has it
+        follows = np.flatnonzero((self.doc[1:] == self.doc[:-1]) & (self.pair[:-1] >= 0))
+        follows = follows[self.pair_total[self.pair[follows]] > 0]
+        self.context[follows + 1] = self.pair[follows]
+
+    def triples(self, shards: int) -> None:
+        """The distinct triples of known pairs, in order of their shard and context."""
+        good = (self.context >= 0) & (self.pair >= 0)
+        good[good] = self.pair_total[self.pair[good]] > 0
+        self.known_triple = good
+        key = self.context[good] * len(self.words) + self.own[good]
+        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        context, w = unique // max(len(self.words), 1), unique % max(len(self.words), 1)
+        seen = np.bincount(inverse[self.teach[good]], minlength=len(unique))
+        to = _shard(self.pair_number[context], self.number[w], self.pair_total[context], shards)
+        order = np.lexsort((self.number[w], self.pair_number[context], to))
+        self.triple_place = np.empty(len(unique), np.int64)
+        self.triple_place[order] = np.arange(len(unique))
+        self.triple_inverse, self.triple_shard = inverse, to[order]
+        self.triple_context, self.triple_w, self.triple_seen = context[order], w[order], seen[order]
+        self.below = self.code[self.pair[good][first]][order]
+
+
+def _shard(context: np.ndarray, word: np.ndarray, total: np.ndarray, shards: int) -> np.ndarray:
+    salt = mix(word.astype(np.uint64)) % (total // HOT_CONTEXT + 1).astype(np.uint64)
+    return (mix(context.astype(np.uint64) * np.uint64(0x9E3779B1) + salt) % np.uint64(shards)).astype(np.int64)
+
+
+def _begins(shard: np.ndarray) -> dict[int, int]:
+    starts = run_starts(shard)
+    return dict(zip(shard[starts].tolist(), starts.tolist(), strict=True))
+
+
+def _codes(chance: np.ndarray) -> np.ndarray:
+    return np.minimum(65535, np.round(-np.log10(np.maximum(chance, 1e-33)) * STEP)).astype(np.uint16)
+
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _KIND.split(", ")])
@@ -111,7 +175,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Texts are lower-cased in A-Z; tokens are their words at white space and one end. Documents whose
     crc32(doc_id as text) modulo 5 is 1 are held out. base_score is the log10 probability under the
-    smoothed unigram, score under the model. Null and empty texts are an end alone. Rows with a null
+    smoothed unigram, score under the model of ``ORDER`` words. Null and empty texts are an end alone. Rows with a null
     doc_id have a null held_out and teach nothing; repeated rows teach and score each on their own.
     Other columns are ignored.
     """
@@ -160,39 +224,73 @@ def score_documents(docs: DataFrame) -> DataFrame:
             for a, b in zip(cuts[:-1], cuts[1:], strict=True)
         ])
 
+    def ask_triples(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return _frame([])
+        block, name = _Block(rows), int(rows["bucket"].iloc[0])
+        block.answers(answers[answers["kind"] == _WORDS], shards)
+        block.pairs(shards)
+        block.pair_answers(answers[answers["kind"] == _PAIRS])
+        block.triples(shards)
+        cuts = np.append(run_starts(block.triple_shard), len(block.triple_shard))
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            context = block.pair_number[block.triple_context[a:b]]
+            out.append((
+                int(block.triple_shard[a]), name, _TRIPLES, pack(np.diff(context, prepend=0)), pack(block.number[block.triple_w[a:b]]), pack(block.triple_seen[a:b]),
+                pack(block.pair_total[block.triple_context[a:b]][run_starts(context)]), pack(block.below[a:b]), None, None,
+            ))
+        return _frame(out)
+
+    def asked(row: tuple) -> tuple[np.ndarray, ...]:
+        """Context, word, training count, count of the context, and count of the word (or code of the pair below) of a block's questions."""
+        kind, *packed = row
+        a, b, c, d, e = map(unpack, packed, (np.int64,) * 4 + (np.int64 if kind == _PAIRS else np.uint16,))
+        if kind == _TRIPLES:
+            a = np.cumsum(a)
+            d = np.repeat(d, np.diff(np.append(run_starts(a), len(a))))
+        return a, b, c, d, e
+
     def gathered(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        """Distinct pairs in order with their counts, and which of them each question is."""
-        v, w, seen, cv, cw = (np.concatenate([unpack(x, np.int64) for x in rows[k]]) for k in "abcde")
-        order = np.lexsort((w, v))
+        """Distinct pairs or triples in order with their counts, which of them each question is, and where each block's questions begin."""
+        parts = [asked(x) for x in zip(rows["kind"], *(rows[k] for k in "abcde"), strict=True)]
+        v, w, seen, cv, below = map(np.concatenate, zip(*parts, strict=True))
+        width = int(w.max()) + 1
+        order = np.argsort(v * width + w) if int(v.max()) + 1 < (1 << 63) // width else np.lexsort((w, v))
         new = np.concatenate([[True], (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])])
         which = np.empty(len(v), np.int64)
         which[order] = np.cumsum(new) - 1
         first = order[new]
-        return v, w, which, first, np.bincount(which, seen).astype(np.int64), cv, cw
+        return v, w, which, first, np.bincount(which, seen).astype(np.int64), cv, below, np.cumsum([0, *(len(x[0]) for x in parts)])
 
     def spread(rows: pd.DataFrame) -> pd.DataFrame:
-        """For each power of two of the context's count: pairs seen once, and occurrences."""
-        _, _, _, first, seen, cv, _ = gathered(rows)
+        """For each power of two of the context's count: pairs (or triples) seen once, and occurrences."""
+        _, _, _, first, seen, cv, _, _ = gathered(rows)
         level = _level(cv[first])
         return pd.DataFrame({
             "level": np.arange(_LEVELS), "once": np.bincount(level, seen == 1, _LEVELS), "all": np.bincount(level, seen, _LEVELS),
         })
 
     def look_up(rows: pd.DataFrame) -> pd.DataFrame:
-        v, w, which, first, seen, cv, cw = gathered(rows)
-        rest = np.array(rows["rest"].iloc[0])[_level(cv)]
-        scale = rows["all_n"].iloc[0] + 0.5 * (rows["all_v"].iloc[0] + 1)
-        chance = (1 - rest[first]) * seen / np.maximum(cv[first], 1) + rest[first] * (cw[first] + 0.5) / scale
+        v, w, which, first, seen, cv, below, cuts = gathered(rows)
+        kind, shard = int(rows["kind"].iloc[0]), int(rows["bucket"].iloc[0])
+        if kind == _PAIRS:
+            share = np.array(rows["rest"].iloc[0])[_level(cv)]
+            lower = (below + 0.5) / (rows["all_n"].iloc[0] + 0.5 * (rows["all_v"].iloc[0] + 1))
+        else:
+            share, lower = np.array(rows["rest3"].iloc[0])[_level(cv)], 10.0 ** (below / -float(STEP))
         there = seen > 0
-        code = np.minimum(65535, np.round(-np.log10(chance[there]) * STEP)).astype(np.uint16)
-        trie = BigramTrie(v[first][there], w[first][there], code)
-        found, hit = trie.lookup(v, w)
-        unseen = np.minimum(65535, np.round(-np.log10(np.maximum(rest * (cw + 0.5) / scale, 1e-30)) * STEP)).astype(np.uint16)
-        codes = np.where(hit, found, unseen)
-        cuts = np.cumsum([0, *(len(unpack(x, np.int64)) for x in rows["a"])])
-        shard = int(rows["bucket"].iloc[0])
+        chance = (1 - share[first]) * seen / np.maximum(cv[first], 1) + share[first] * lower[first]
+        trie = BigramTrie(v[first][there], w[first][there], _codes(chance[there]))
+        found, hit = trie.lookup(v[first], w[first])
+        codes = np.where(hit, found, _codes(share[first] * lower[first]))[which]
+        if kind == _TRIPLES:
+            more = lambda a, b: (None, None)
+        else:
+            number = np.where(there, (np.cumsum(there) - 1) * shards + shard, -1)
+            more = lambda a, b: (pack(seen[which[a:b]]), pack(number[which[a:b]]))
         return _frame([
-            (int(block), int(block), _PAIRS, pack(codes[a:b]), None, None, None, None, shard, None)
+            (int(block), int(block), kind, pack(codes[a:b]), *more(a, b), None, None, shard, None)
             for block, a, b in zip(rows["block"], cuts[:-1], cuts[1:], strict=True)
         ])
 
@@ -202,18 +300,23 @@ def score_documents(docs: DataFrame) -> DataFrame:
         block = _Block(rows)
         block.answers(answers[answers["kind"] == _WORDS], shards)
         block.pairs(shards)
-        codes = np.zeros(len(block.shard), np.uint16)
-        starts = run_starts(block.shard)
-        begin = dict(zip(block.shard[starts].tolist(), starts.tolist(), strict=True))
-        pairs = answers[answers["kind"] == _PAIRS]
-        for shard, blob in zip(pairs["n"], pairs["a"], strict=True):
+        block.pair_answers(answers[answers["kind"] == _PAIRS])
+        block.triples(shards)
+        codes = np.zeros(len(block.triple_shard), np.uint16)
+        begin = _begins(block.triple_shard)
+        triples = answers[answers["kind"] == _TRIPLES]
+        for shard, blob in zip(triples["n"], triples["a"], strict=True):
             part = unpack(blob, np.uint16)
             codes[begin[int(shard)] : begin[int(shard)] + len(part)] = part
-        n, v, rest = int(answers["all_n"].iloc[0]), int(answers["all_v"].iloc[0]), np.array(answers["rest"].iloc[0])
+        n, v = int(answers["all_n"].iloc[0]), int(answers["all_v"].iloc[0])
+        rest, rest3 = (np.array(answers[k].iloc[0]) for k in ("rest", "rest3"))
         base = np.log10((block.total + 0.5) / (n + 0.5 * (v + 1)))[block.own]
         after = block.total[block.before]
         model = base + np.where(after > 0, np.log10(np.maximum(rest[_level(after)], 1e-12)), 0.0)
-        model[block.known_pair] = codes[block.place[block.inverse]] / -float(STEP)
+        model[block.known_pair] = block.code[block.pair[block.known_pair]] / -float(STEP)
+        known = block.context >= 0
+        model[known] += np.log10(np.maximum(rest3[_level(block.pair_total[block.context[known]])], 1e-12))
+        model[block.known_triple] = codes[block.triple_place[block.triple_inverse]] / -float(STEP)
         count = len(block.ids)
         return pd.DataFrame({
             "doc_id": pd.array(block.ids, "Int64"), "held_out": pd.array([held_out(i) for i in block.ids], "boolean"),
@@ -221,19 +324,28 @@ def score_documents(docs: DataFrame) -> DataFrame:
             "train_tokens": n, "base_score": np.bincount(block.doc, base, count), "score": np.bincount(block.doc, model, count),
         })
 
+    def shares(questions: DataFrame, name: str) -> DataFrame:
+        """One row: the share of unseen pairs or triples for each of 64 levels."""
+        levels = questions.groupBy("bucket").applyInPandas(spread, "level int, once double, all double")
+        share = F.when(F.sum("all") > 0, F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.sum("once") / F.sum("all")))).otherwise(1.0)
+        row = levels.groupBy("level").agg(share.alias("share")).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("level", "share"))), lambda x: x["share"]).alias(name)
+        )
+        return F.broadcast(row.select(F.when(F.size(name) > 0, F.col(name)).otherwise(F.array_repeat(F.lit(1.0), _LEVELS)).alias(name)))
+
     by_block = texts.groupBy("bucket")
     words = by_block.applyInPandas(ask, _KIND).repartition(shards, "bucket").groupBy("bucket").applyInPandas(count_words, _KIND)
     totals = words.filter(F.col("kind") == _TOTALS).agg(F.sum("n").alias("all_n"), F.sum("v").alias("all_v"))
     answers = words.filter(F.col("kind") == _WORDS)
     pairs = by_block.cogroup(answers.groupBy("bucket")).applyInPandas(ask_pairs, _KIND).repartition(shards, "bucket")
-    levels = pairs.groupBy("bucket").applyInPandas(spread, "level int, once double, all double")
-    share = F.when(F.sum("all") > 0, F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.sum("once") / F.sum("all")))).otherwise(1.0)
-    by_level = levels.groupBy("level").agg(share.alias("rest"))
-    # one row: the totals, and 64 shares
-    rest = by_level.agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "rest"))), lambda x: x["rest"]).alias("rest"))
-    model = totals.crossJoin(F.broadcast(rest.select(F.when(F.size("rest") > 0, F.col("rest")).otherwise(F.array_repeat(F.lit(1.0), _LEVELS)).alias("rest"))))
+    model = totals.crossJoin(shares(pairs, "rest"))
     found = pairs.crossJoin(F.broadcast(model)).groupBy("bucket").applyInPandas(look_up, _KIND)
-    back = answers.unionByName(found).crossJoin(F.broadcast(model))
+    # shuffled once for both readers
+    known_pairs = answers.unionByName(found).repartition(blocks, "bucket")
+    triples = by_block.cogroup(known_pairs.groupBy("bucket")).applyInPandas(ask_triples, _KIND).repartition(shards, "bucket")
+    model = model.crossJoin(shares(triples, "rest3"))
+    found = triples.crossJoin(F.broadcast(model)).groupBy("bucket").applyInPandas(look_up, _KIND)
+    back = known_pairs.unionByName(found.repartition(blocks, "bucket")).crossJoin(F.broadcast(model))
     return by_block.cogroup(back.groupBy("bucket")).applyInPandas(
         score,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

@@ -1,9 +1,11 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, clashing columns and an empty table."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -213,6 +215,38 @@ def test_language_model(docs, none):
     assert lm_scoring.score_documents(none).collect() == []
 
 
+@pytest.mark.parametrize("block_bytes", [300, lm_scoring.BLOCK_BYTES])
+def test_language_model_by_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "d", f"x{rng.randrange(30)}"]) for _ in range(rng.randrange(40)))) for i in range(60)]
+    seqs = {i: ["$", *t.split(), "$"] for i, t in rows}
+    one, two, three = Counter(), Counter(), Counter()
+    for i, s in seqs.items():
+        if not lm_scoring.held_out(i):
+            one.update(s[1:])
+            two.update(zip(s, s[1:]))
+            three.update(zip(s, s[1:], s[2:]))
+    def shares(grams, context):  # noqa: E306
+        once, every = Counter(), Counter()
+        for g, n in grams.items():
+            level = context[g[:-1] if len(g) > 2 else g[0]].bit_length()
+            once[level] += n == 1
+            every[level] += n
+        return {k: min(0.98, max(0.02, once[k] / every[k])) for k in every}
+    r, s3, n = shares(two, one), shares(three, two), sum(one.values())
+    def p2(v, w):  # noqa: E306
+        p = (one[w] + 0.5) / (n + 0.5 * (len(one) + 1))
+        return p if not one[v] else (1 - r[one[v].bit_length()]) * two[v, w] / one[v] + r[one[v].bit_length()] * p
+    def p3(u, v, w):  # noqa: E306
+        c = two[u, v]
+        return p2(v, w) if not c else (1 - s3[c.bit_length()]) * three[u, v, w] / c + s3[c.bit_length()] * p2(v, w)
+    got = {x.doc_id: x for x in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, s in seqs.items():
+        want = math.log10(p2(s[0], s[1])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:]))
+        assert abs(got[i].score - want) <= len(s) * 1.5 / lm_scoring.STEP
+
+
 def test_licenses(spark, docs, none):
     texts = spark.createDataFrame(
         [(1, "a\nreleased under the  MIT license\nb"), (2, "Licensed under the Apache License, Version 2.0."), (3, "my licence to drive"),
