@@ -9,6 +9,7 @@ words score nothing.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -109,13 +110,14 @@ class Matcher:
             start = end - size + 1
             if start == 0 or not low[start - 1].isalnum():
                 heads[start] = symbol  # longer stems come later and count
-        done = -1
+        if not heads:
+            return found
+        ends, done = [m.start() for m in _END.finditer(low)], -1
         for at in sorted(heads):
             if at < done:
                 continue
-            start = max((m.end() for m in _END.finditer(low, max(0, at - 2000), at)), default=max(0, at - 2000))
-            stop = _END.search(low, at)
-            done = stop.start() if stop else len(low)
+            k = bisect.bisect(ends, at)  # the clause is whole, however far its ends are
+            start, done = ends[k - 1] + 1 if k else 0, ends[k] if k < len(ends) else len(low)
             symbols = [heads.get(m.start()) or self.plain.get(m.group(), "O") for m in _WORD.finditer(low, start, done)]
             state, written = self.machine.start, []
             for s in symbols:

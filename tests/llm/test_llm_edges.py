@@ -183,6 +183,15 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, labels).collect() == [] and all(r.score == 0 for r in toxicity.score(docs, labels.limit(0)).collect())
 
 
+def test_toxicity_reads_whole_clauses():
+    matcher = toxicity.Matcher({})
+    event = lambda t: dict(zip(toxicity.EVENTS, matcher.events(t), strict=True))
+    for fill in (10, 400, 5000):
+        far = "river " * fill
+        assert event(f"you {far}idiot")["targeted"] == 1 and event(f"she. he said {far}idiot")["reported"] == 1
+        assert event(f"said you. {far}idiot")["insult"] == 1 and event(f"idiot {far}. you {far}moron")["clauses"] == 2
+
+
 def test_revisits(spark):
     from datetime import datetime
 
