@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_WIDTH = 1_000_000
 
 
@@ -17,6 +19,30 @@ def _with_range(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn("_range", F.floor(F.col(order) / F.lit(width)))
 
 
+def sampled_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` sorted by ``order`` and stored as ranges of about equal row counts.
+
+    Adds ``_range`` and ``_at``, the row's place in its range. Spark samples the cuts, so sparse or
+    uneven values don't matter; rows equal in ``order`` share a range. Give enough columns to order all.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # the id that Spark gives holds the partition above 33 bits of the row's place in it
+    place = F.monotonically_increasing_id()
+    return cut_lineage(ordered.select("*", F.shiftright(place, 33).alias("_range"), place.bitwiseAND((1 << 33) - 1).alias("_at")))
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Zero-based position of every row in the order of the whole table, beside ``_range`` and ``_at``."""
+    rows = sampled_ranges(df, order)
+    # one row per range, whose number is the session's setting
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_range"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    joined = rows.join(F.broadcast(starts), "_range")
+    return joined.select(*df.columns, (F.col("_start") + F.col("_at")).alias(name), "_range", "_at")
+
+
 def _keys(keys: list[str]) -> list[Column]:
     return [F.col(k) for k in keys]
 
