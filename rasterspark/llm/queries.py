@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_content, licenses, lm_scoring, mixture, ngram_join, quality, revisits, suffix_dedup, toxicity
+from . import decontaminate, html_content, licenses, lm_scoring, merkle, mixture, ngram_join, quality, revisits, suffix_dedup, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -186,3 +186,55 @@ def op8_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probabilities of every document under the unigram base and the model."""
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of an ASCII text in DuckDB SQL, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, {0} + 1), lambda i: {1}::bigint)), lambda c, b:
+  list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint)"""
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclusion proof of every document, checked against documents of which a fifth was tampered with."""
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    found = merkle.verify(table(spark, sf_dir, "documents"), {"text": merkle.ascii_lower(F.col("text"))}, tampered)
+    return found.select(F.col("row_key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Trees of up to 16 ** levels rows a source and as many sources."""
+    field = lambda c, v=None: f"coalesce(strlen({v or c}::varchar)::varchar || ':' || {v or c}::varchar, '-')"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join([*(field(c) for c in ("doc_id", "source", "lang", "n_chars")), field("text", text)]) + ")"
+    crc = _CRC.format("strlen(doc_id::varchar)", "ascii((doc_id::varchar)[i])")
+    parts = [f"""with d as (select *, {leaf('text')} leaf, case when ({crc}) % 5 = 0 then {leaf(low)} end changed from documents),
+a0 as (select doc_id, source tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 p, leaf h from d)"""]
+
+    def up(name: str) -> None:
+        for k in range(levels):
+            parts.append(f"""{name}s{k} as (select *, count(*) over (partition by tree) size from {name}{k}),
+{name}{k + 1} as (select tree, p // 16 p, case when any_value(size) = 1 then any_value(h) else sha256(string_agg(h, '' order by p)) end h from {name}s{k} group by tree, p // 16),
+{name}f{k} as (select tree, p, h, size, coalesce(string_agg(h, '' order by p) over (partition by tree, p // 16 order by p rows between unbounded preceding and 1 preceding), '') l,
+  coalesce(string_agg(h, '' order by p) over (partition by tree, p // 16 order by p rows between 1 following and unbounded following), '') r from {name}s{k})""")
+
+    up("a")
+    parts.append(f"b0 as (select 0 tree, tree source, row_number() over (order by tree nulls first) - 1 p, h from a{levels})")
+    up("b")
+    n = levels
+    chain, joins = [], []
+    for k in range(n):
+        joins.append(f"join af{k} f{k} on f{k}.tree is not distinct from t.tree and f{k}.p = t.p // {16 ** k}")
+        chain.append(f"f{k}")
+    joins.append("join b0 s on s.source is not distinct from t.tree")
+    for k in range(n):
+        joins.append(f"join bf{k} g{k} on g{k}.p = s.p // {16 ** k}")
+        chain.append(f"g{k}")
+    steps = ", ".join(f"case when {c}.size > 1 then {{'l': {c}.l, 'r': {c}.r}} end" for c in chain)
+    parts.append(f"""j as (select t.doc_id, d.leaf, d.changed, s.h subroot, (select h from b{n}) root, list_filter([{steps}], lambda x: x is not null) proof
+  from (select a0.*, row_number() over (partition by doc_id order by tree, p) k from a0) t
+  join (select *, row_number() over (partition by doc_id order by source, leaf) k from d) d on d.doc_id is not distinct from t.doc_id and d.k = t.k {' '.join(joins)}),
+w as (select *, list_reduce(list_prepend({{'l': '', 'r': coalesce(changed, leaf)}}, proof), lambda h, x: {{'l': '', 'r': sha256(x.l || h.r || x.r)}}).r folded_root from j)""")
+    return ",\n".join(parts) + "\nselect doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(proof, lambda x: x.l || x.r), '')) proof_sha256, folded_root, folded_root = root verified from w"
+
+
+SQL["op13_merkle_manifest"] = _merkle_sql()
