@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_content, licenses, lm_scoring, merkle, mixture, ngram_join, quality, revisits, suffix_dedup, toxicity
+from . import (
+    cover_anchors, decontaminate, html_content, licenses, lm_scoring, merkle, mixture, ngram_join, quality, revisits, spelling, suffix_dedup,
+    toxicity,
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -188,9 +191,64 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
 
 
-#: CRC-32 of an ASCII text in DuckDB SQL, bit by bit.
-_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, {0} + 1), lambda i: {1}::bigint)), lambda c, b:
-  list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint)"""
+def _crc_table() -> str:
+    rows = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        rows.append(c)
+    return f"{rows}::bigint[]"
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in DuckDB SQL."""
+    octets = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::bigint)"
+    step = f"lambda c, b: xor(c >> 8, ({_crc_table()})[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), {step}), 4294967295::bigint)"
+
+
+@_query
+def op11_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside 20-word windows that occurred before, removed."""
+    found = cover_anchors.remove_repeated_words(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"]).alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+SQL["op11_cover_anchors"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+g as (select doc_id, i, array_to_string(w[i : i + 19], ' ') k from (select doc_id, w, unnest(generate_series(1, len(w) - 19)) i from d where len(w) >= 20)),
+c as (select doc_id, i, row_number() over (partition by k order by doc_id, i) n from g),
+r as (select distinct doc_id, i + j p from (select doc_id, i, unnest(generate_series(0, 19)) j from c where n > 1)),
+u as (select doc_id, unnest(w) word, unnest(generate_series(1, len(w))) p from d),
+k as (select doc_id, string_agg(word, ' ' order by p) kept, count(*) n from u anti join r using (doc_id, p) group by doc_id)
+select doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join k using (doc_id)
+"""
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the corpus with their near words, preferred forms and roots."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"), slip=199).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+SQL["op12_spelling_variants"] = f"""
+with recursive t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) r from documents),
+c as (select r, n, {crc_sql("(doc_id::varchar || ':' || r)")} h from (select doc_id, r, count(*) n from t group by doc_id, r)),
+v as (select case when h % 199 = 0 then substr(r, 1, (h % length(r))::bigint) || substr(r, (h % length(r))::bigint + 2) else r end word, sum(n)::bigint n from c group by 1),
+w as (select word, n, length(word) len from v where length(word) >= 6 and n >= 5),
+s as (select word, n, len, unnest(generate_series(1, len)) i from w),
+x as (select word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) gap, substr(word, 1, i - 1) || substr(word, i + 1) less from s),
+p as (select a.word a, a.n an, b.word b, b.n bn from x a join x b on a.gap = b.gap and a.word <> b.word),
+q as (select distinct x.word a, x.n an, w.word b, w.n bn from x join w on x.less = w.word),
+m as (select a, an, b, bn from p union all select a, an, b, bn from q union all select b, bn, a, an from q),
+f as (select a word, count(*) n_near, max(bn) form_n, arg_min(b, (-bn, b)) form from m group by a),
+o as (select w.word, w.n, coalesce(n_near, 0)::bigint n_near, case when form_n >= 5 * w.n then form end form, case when form_n >= 5 * w.n then form_n end form_n from w left join f on f.word = w.word),
+y as (select word, word root, 0 depth from o union all select y.word, o.form, depth + 1 from y join o on o.word = y.root where o.form is not null)
+select word, form, arg_max(y.root, depth) root, any_value(n) n, any_value(n_near) n_near, any_value(form_n) form_n from o join y using (word) group by word, form
+"""
 
 
 @_query
@@ -206,7 +264,7 @@ def _merkle_sql(levels: int = 6) -> str:
     field = lambda c, v=None: f"coalesce(strlen({v or c}::varchar)::varchar || ':' || {v or c}::varchar, '-')"
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     leaf = lambda text: "sha256(" + " || ".join([*(field(c) for c in ("doc_id", "source", "lang", "n_chars")), field("text", text)]) + ")"
-    crc = _CRC.format("strlen(doc_id::varchar)", "ascii((doc_id::varchar)[i])")
+    crc = crc_sql("doc_id::varchar")
     parts = [f"""with d as (select *, {leaf('text')} leaf, case when ({crc}) % 5 = 0 then {leaf(low)} end changed from documents),
 a0 as (select doc_id, source tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 p, leaf h from d)"""]
 
