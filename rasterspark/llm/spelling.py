@@ -72,7 +72,9 @@ def count_words(docs: DataFrame, min_length: int, min_count: int, slip: int | No
 
 
 def _counts(total: Counter) -> pd.DataFrame:
-    return pd.DataFrame({"word": [w.decode("latin-1") for w in total], "n": np.fromiter(total.values(), np.int64, len(total))})
+    # a task without words still sends a column of texts
+    words = pd.Series([w.decode("latin-1") for w in total], dtype=object)
+    return pd.DataFrame({"word": words, "n": np.fromiter(total.values(), np.int64, len(total))})
 
 
 class EditHashes:
