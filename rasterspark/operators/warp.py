@@ -177,16 +177,21 @@ def kernel_shape(extents: DataFrame, filter_radius: int) -> DataFrame:
     return df.drop("_lo", "_hi", "_pad", "_plain")
 
 
-def target_pixels(shaped: DataFrame, keys: list[str], crs: str | None = None) -> DataFrame:
+def target_pixels(
+    shaped: DataFrame, keys: list[str], crs: str | None = None, band: int | None = None, keep: list[str] = ()
+) -> DataFrame:
     """Pixels of every target with their fractional source position ``fcol, frow``.
 
     Rows are spread over the cluster before columns are generated: one target row is the unit that
-    is shuffled, its pixels are made afterwards. Pixels whose point has no source position, or lies
+    is shuffled, its pixels are made afterwards. With ``band`` so many rows stay together, numbered in a
+    column ``band``. ``keep`` names further columns of ``shaped`` to hand on. Pixels whose point has no source position, or lies
     outside the kernel window, are left out (they are invalid).
     """
     shaped, dst, src = _parsed(shaped, crs)
     lines = shaped.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)))
-    lines = lines.repartition(*keys, "row")
+    if band is not None:
+        lines = lines.withColumn("band", F.floor(F.col("row") / band))
+    lines = lines.repartition(*keys, "row" if band is None else "band")
     pixels = lines.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)))
     dx = (F.col("max_x") - F.col("min_x")) / F.col("width")
     dy = (F.col("max_y") - F.col("min_y")) / F.col("height")
@@ -195,7 +200,7 @@ def target_pixels(shaped: DataFrame, keys: list[str], crs: str | None = None) ->
     )
     moved = project_points(placed, "_x", "_y", dst, src, "_p")
     at = moved.withColumn("_f", crs_to_pixel("_p_x", "_p_y", F.col("transform")))
-    geometry = ["scale_x", "scale_y", "radius_x", "radius_y", "raster_w", "raster_h"]
+    geometry = ["scale_x", "scale_y", "radius_x", "radius_y", "raster_w", "raster_h", *keep, *(["band"] if band is not None else [])]
     # The row number is a fence: a filter is never pushed below a projection that numbers its rows,
     # so the projection steps are not repeated inside the predicate.
     framed = at.select(
@@ -220,45 +225,20 @@ def _samples(source: DataFrame, join_keys: list[str], value: str) -> DataFrame:
     return source.select(*join_keys, F.col("row").alias("_sr"), F.col("col").alias("_sc"), F.col("value").alias(value))
 
 
-def attach_samples(
-    points: DataFrame, source: DataFrame, keys: list[str], join_keys: list[str], chunk: tuple[int, int] | None
-) -> DataFrame:
-    """Add ``v``, the source sample at ``_sr, _sc`` (NULL when invalid or absent).
-
-    ``source`` is pixel rows ``join_keys..., row, col, value``, or, with ``chunk = (h, w)``, stored
-    blocks ``join_keys..., cy, cx, values``. With blocks the points of one target row and one block
-    travel as one array (at most a row times the kernel support), blocks are joined whole and looked
-    up in place, so the source is never exploded and only touched blocks take part.
-    """
-    if chunk is None:
-        samples = _samples(source.where(F.col("value").isNotNull()), join_keys, "v")
-        return points.join(samples, [*join_keys, "_sr", "_sc"], "left")
-    h, w = chunk
-    group = list(dict.fromkeys([*keys, *join_keys, "row"]))
-    rest = [c for c in points.columns if c not in group and c not in ("_sr", "_sc")]
-    at = ((F.col("_sr") % h) * w + F.col("_sc") % w).cast("int")
-    inside = (F.col("_sr") >= 0) & (F.col("_sc") >= 0)
-    placed = points.select(
-        *group, F.floor(F.col("_sr") / h).alias("cy"), F.floor(F.col("_sc") / w).alias("cx"),
-        F.struct(*rest, F.when(inside, at).alias("_pos")).alias("_point"),
-    )
-    grouped = placed.groupBy(*group, "cy", "cx").agg(F.collect_list("_point").alias("_points"))
-    blocks = source.select(*join_keys, "cy", "cx", F.col("values").alias("_values"))
-    joined = grouped.join(blocks, [*join_keys, "cy", "cx"], "left")
-    spread = joined.select(*group, "_values", F.explode("_points").alias("_p"))
-    return spread.select(*group, *[F.col(f"_p.{c}").alias(c) for c in rest], F.get("_values", F.col("_p._pos")).alias("v"))
+def attach_samples(points: DataFrame, source: DataFrame, join_keys: list[str]) -> DataFrame:
+    """Add ``v``, the source sample (``join_keys..., row, col, value``) at ``_sr, _sc``; NULL when invalid or absent."""
+    samples = _samples(source.where(F.col("value").isNotNull()), join_keys, "v")
+    return points.join(samples, [*join_keys, "_sr", "_sc"], "left")
 
 
-def warp_nearest(
-    targets: DataFrame, source: DataFrame, keys: list[str], join_keys: list[str], chunk: tuple[int, int] | None = None
-) -> DataFrame:
+def warp_nearest(targets: DataFrame, source: DataFrame, keys: list[str], join_keys: list[str]) -> DataFrame:
     """``keys..., row, col, value`` of valid target pixels: the sample of the pixel holding the point.
 
-    ``source`` holds pixels or, with ``chunk``, blocks; NULL (or absent) samples are invalid.
+    ``source`` holds pixel rows; NULL (or absent) samples are invalid. Stored blocks: ``warp_blocks``.
     """
     cell = {"_sr": containing_cell("frow"), "_sc": containing_cell("fcol")}
     placed = targets.withColumns(cell).select(*dict.fromkeys([*keys, *join_keys]), "row", "col", "_sr", "_sc")
-    hit = attach_samples(placed, source, keys, join_keys, chunk)
+    hit = attach_samples(placed, source, join_keys)
     return hit.where(F.col("v").isNotNull()).select(*keys, "row", "col", F.col("v").alias("value"))
 
 
@@ -302,6 +282,11 @@ def weighted_mean(support: DataFrame, keys: list[str], value: str = "v", propaga
         F.max(F.when(v.isNull() & (w > 0), 1).otherwise(0)).alias("_missing"),
         F.max(F.when(v.isNull() & F.col("gate") & F.col("gate_counts"), 1).otherwise(0)).alias("_blocked"),
     )
+    return settled_mean(sums, keys, propagate)
+
+
+def settled_mean(sums: DataFrame, keys: list[str], propagate: bool) -> DataFrame:
+    """``keys..., value`` from ``_acc, _weight, _missing, _blocked`` per pixel; NULL where invalid."""
     ok = (F.col("_blocked") == 0) & (F.col("_weight") >= MIN_WEIGHT)
     if propagate:
         ok = ok & (F.col("_missing") == 0)
@@ -316,11 +301,10 @@ def warp_bilinear(
     keys: list[str],
     join_keys: list[str],
     propagate: bool = False,
-    chunk: tuple[int, int] | None = None,
 ) -> DataFrame:
     """``keys..., row, col, value`` of valid target pixels under the (scaled) triangle filter.
 
-    ``source`` holds pixels or, with ``chunk``, blocks; NULL (or absent) samples are invalid.
+    ``source`` holds pixel rows; NULL (or absent) samples are invalid. Stored blocks: ``warp_blocks``.
     """
     support = kernel_weights(targets)
     inside = (
@@ -329,5 +313,5 @@ def warp_bilinear(
     slim = support.select(
         *dict.fromkeys([*keys, *join_keys]), "row", "col", "_sr", "_sc", "w", "gate", inside.alias("gate_counts")
     )
-    joined = attach_samples(slim, source, keys, join_keys, chunk)
+    joined = attach_samples(slim, source, join_keys)
     return weighted_mean(joined, [*keys, "row", "col"], "v", propagate).where(F.col("value").isNotNull())

@@ -20,6 +20,7 @@ from ..functions import tiles as T
 from ..functions.crs import WEB_MERCATOR
 from ..functions.palettes import apply_palette
 from ..functions.text import size_bytes
+from ..operators import block_warp as BW
 from ..operators import catalog as C
 from ..operators import pyramid as PY
 from ..operators import resolve as R
@@ -129,9 +130,11 @@ def warp_tiles(
     bilinear = layer.resampling == "bilinear"
     extent = W.source_extent(level, keys, WEB_MERCATOR)
     shaped = cut_lineage(W.kernel_shape(level.join(extent, keys), 1 if bilinear else 0))
-    points = W.target_pixels(shaped, keys, WEB_MERCATOR)
-    warp = W.warp_bilinear if bilinear else W.warp_nearest
-    values = warp(points, pixels, keys, ["asset", "level"], chunk=chunk)
+    if chunk is not None:
+        values = BW.warp_blocks(BW.with_block_shape(shaped, chunk), pixels, keys, ["asset", "level"], layer.resampling, WEB_MERCATOR)
+    else:
+        points = W.target_pixels(shaped, keys, WEB_MERCATOR)
+        values = (W.warp_bilinear if bilinear else W.warp_nearest)(points, pixels, keys, ["asset", "level"])
     return pivot_bands(values, [*TILE, "row", "col"], list(layer.inputs))
 
 

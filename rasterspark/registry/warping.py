@@ -8,6 +8,7 @@ from .. import fixtures as X
 from ..functions import crs as C
 from ..functions import grid as G
 from ..functions import tiles as T
+from ..operators import block_warp as BW
 from ..operators import spatial as S
 from ..operators import warp as W
 from . import SQL, query
@@ -155,16 +156,24 @@ def asset_blocks(spark, sf):
     return pack_chunks(asset_pixels(spark, sf), ["asset"], 16)
 
 
+def _block_targets(spark, sf, reach):
+    return BW.with_block_shape(_shaped(plain_targets(spark, sf), reach, KEYS), (16, 16))
+
+
 @query("warp_nearest_chunks", SQL["warp_nearest"])
 def warp_nearest_chunks(spark, sf):
-    targets = W.target_pixels(_shaped(plain_targets(spark, sf), 0, KEYS), KEYS, "EPSG:3857")
-    return W.warp_nearest(targets, asset_blocks(spark, sf), KEYS, ["asset"], (16, 16))
+    return BW.warp_blocks(_block_targets(spark, sf, 0), asset_blocks(spark, sf), KEYS, ["asset"], "nearest", "EPSG:3857")
 
 
 @query("warp_bilinear_chunks", SQL["warp_bilinear"])
 def warp_bilinear_chunks(spark, sf):
-    targets = W.target_pixels(_shaped(plain_targets(spark, sf), 1, KEYS), KEYS, "EPSG:3857")
-    out = W.warp_bilinear(targets, asset_blocks(spark, sf), KEYS, ["asset"], chunk=(16, 16))
+    out = BW.warp_blocks(_block_targets(spark, sf, 1), asset_blocks(spark, sf), KEYS, ["asset"], "bilinear", "EPSG:3857")
+    return out.withColumn("value", F.round("value", 5) + 0.0)
+
+
+@query("warp_bilinear_propagate_chunks", SQL["warp_bilinear_propagate"])
+def warp_bilinear_propagate_chunks(spark, sf):
+    out = BW.warp_blocks(_block_targets(spark, sf, 1), asset_blocks(spark, sf), KEYS, ["asset"], "bilinear", "EPSG:3857", True)
     return out.withColumn("value", F.round("value", 5) + 0.0)
 
 
