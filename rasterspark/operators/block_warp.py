@@ -175,25 +175,25 @@ def warp_blocks(
     placed = points.withColumn("cy", spans["cy"]).withColumn("cx", spans["cx"])
     point = F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("frow").alias("fr"), F.col("fcol").alias("fc"))
     # the band is part of how the points are dealt out already, so this grouping needs no exchange
-    grouped = placed.groupBy(*names, "band", *_SHAPE, "cy", "cx").agg(F.collect_list(point).cast(_POINTS).alias("_points"))
+    grouped = placed.groupBy(*names, "_rows", *_SHAPE, "cy", "cx").agg(F.collect_list(point).cast(_POINTS).alias("_points"))
     stored = source.select(*join_keys, "cy", "cx", F.col("values").cast("array<double>").alias("_values"))
-    met = grouped.join(stored, [*join_keys, "cy", "cx"], "left").select(*names, "band", *_SHAPE, "cy", "cx", "_points", "_values")
+    met = grouped.join(stored, [*join_keys, "cy", "cx"], "left").select(*names, "_rows", *_SHAPE, "cy", "cx", "_points", "_values")
     types = {f.name: f.dataType for f in met.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield _bilinear(_Batch(batch), [*keys, "band"]) if bilinear else _nearest(_Batch(batch), keys)
+                yield _bilinear(_Batch(batch), [*keys, "_rows"]) if bilinear else _nearest(_Batch(batch), keys)
 
     field = lambda n, t: T.StructField(n, t)
     if not bilinear:
         schema = [field(k, types[k]) for k in keys] + [field("row", T.LongType()), field("col", T.LongType()), field("value", T.DoubleType())]
         return met.mapInArrow(run, T.StructType(schema))
     arrays = {"_row": T.IntegerType(), "_col": T.IntegerType(), "_acc": T.DoubleType(), "_weight": T.DoubleType(), "_flags": T.ByteType()}
-    schema = [field(k, types[k]) for k in [*keys, "band"]] + [field(n, T.ArrayType(t)) for n, t in arrays.items()]
-    partial = met.mapInArrow(run, T.StructType(schema)).repartition(*keys, "band")
-    each = partial.select(*keys, "band", F.inline(F.arrays_zip(*arrays)))
-    sums = each.groupBy(*keys, "band", F.col("_row").cast("long").alias("row"), F.col("_col").cast("long").alias("col")).agg(
+    schema = [field(k, types[k]) for k in [*keys, "_rows"]] + [field(n, T.ArrayType(t)) for n, t in arrays.items()]
+    partial = met.mapInArrow(run, T.StructType(schema)).repartition(*keys, "_rows")
+    each = partial.select(*keys, "_rows", F.inline(F.arrays_zip(*arrays)))
+    sums = each.groupBy(*keys, "_rows", F.col("_row").cast("long").alias("row"), F.col("_col").cast("long").alias("col")).agg(
         F.sum("_acc").alias("_acc"), F.sum("_weight").alias("_weight"), F.max(F.col("_flags").bitwiseAND(1)).alias("_missing"),
         F.max(F.shiftright("_flags", 1)).alias("_blocked"),
     )

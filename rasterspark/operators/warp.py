@@ -184,14 +184,14 @@ def target_pixels(
 
     Rows are spread over the cluster before columns are generated: one target row is the unit that
     is shuffled, its pixels are made afterwards. With ``band`` so many rows stay together, numbered in a
-    column ``band``. ``keep`` names further columns of ``shaped`` to hand on. Pixels whose point has no source position, or lies
+    column ``_rows``. ``keep`` names further columns of ``shaped`` to hand on. Pixels whose point has no source position, or lies
     outside the kernel window, are left out (they are invalid).
     """
     shaped, dst, src = _parsed(shaped, crs)
     lines = shaped.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)))
     if band is not None:
-        lines = lines.withColumn("band", F.floor(F.col("row") / band))
-    lines = lines.repartition(*keys, "row" if band is None else "band")
+        lines = lines.withColumn("_rows", F.floor(F.col("row") / band))
+    lines = lines.repartition(*keys, "row" if band is None else "_rows")
     pixels = lines.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)))
     dx = (F.col("max_x") - F.col("min_x")) / F.col("width")
     dy = (F.col("max_y") - F.col("min_y")) / F.col("height")
@@ -200,7 +200,7 @@ def target_pixels(
     )
     moved = project_points(placed, "_x", "_y", dst, src, "_p")
     at = moved.withColumn("_f", crs_to_pixel("_p_x", "_p_y", F.col("transform")))
-    geometry = ["scale_x", "scale_y", "radius_x", "radius_y", "raster_w", "raster_h", *keep, *(["band"] if band is not None else [])]
+    geometry = ["scale_x", "scale_y", "radius_x", "radius_y", "raster_w", "raster_h", *keep, *(["_rows"] if band is not None else [])]
     # The row number is a fence: a filter is never pushed below a projection that numbers its rows,
     # so the projection steps are not repeated inside the predicate.
     framed = at.select(

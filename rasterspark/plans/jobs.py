@@ -19,6 +19,7 @@ from ..functions import keys as K
 from ..functions import tiles as T
 from ..functions.crs import WEB_MERCATOR
 from ..functions.palettes import apply_palette
+from ..functions.temporal import from_unix_millis
 from ..functions.text import size_bytes
 from ..operators import block_warp as BW
 from ..operators import catalog as C
@@ -29,11 +30,15 @@ from ..operators.chunks import pack_chunks
 from ..operators.images import CHANNELS
 from ..operators.pixels import pivot_bands
 from ..operators.spatial import deepest_containing_tile
+from ..schema import PROVENANCE as PROVENANCE_TYPE
 from ..session import cut_lineage
+from ..sources.chunk_reader import allocated, read_chunk_refs
 from ..sources.exports import append_blocks
 from .materialization import materialization_plan, missing_tiles
 
+PROVENANCE = PROVENANCE_TYPE.simpleString()
 TILE = ["z", "x", "y", "granule_id"]
+BAND = [*TILE, "band", "asset", "level"]
 
 
 @dataclass(frozen=True)
@@ -108,14 +113,8 @@ def plan_tiles(layer: Layer, targets: DataFrame, max_live_bytes: int | None = No
     return materialization_plan(spans, TILE, None, layer.tile_size, max_live_bytes)
 
 
-def warp_tiles(
-    layer: Layer, targets: DataFrame, plan: DataFrame, pixels: DataFrame, chunk: tuple[int, int] | None = None
-) -> DataFrame:
-    """Band values of every planned tile pixel: ``z, x, y, granule_id, row, col, <inputs>``.
-
-    ``pixels`` is ``asset, level, row, col, value``; ``level`` is the decimation factor. With ``chunk``
-    it is stored blocks ``asset, level, cy, cx, values`` of that shape, which are never exploded.
-    """
+def shape_tiles(layer: Layer, targets: DataFrame, plan: DataFrame) -> DataFrame:
+    """Kernel geometry of every planned tile and band at the chosen level, stored as several steps read it."""
     factor = F.col("factor")
     chosen = targets.join(plan.where("chosen <> 'refuse'").select(*TILE, factor.cast("int").alias("factor")), TILE)
     level = chosen.withColumns(
@@ -126,15 +125,24 @@ def warp_tiles(
             "level": factor,
         }
     )
-    keys = [*TILE, "band", "asset", "level"]
-    bilinear = layer.resampling == "bilinear"
-    extent = W.source_extent(level, keys, WEB_MERCATOR)
-    shaped = cut_lineage(W.kernel_shape(level.join(extent, keys), 1 if bilinear else 0))
+    extent = W.source_extent(level, BAND, WEB_MERCATOR)
+    return cut_lineage(W.kernel_shape(level.join(extent, BAND), 1 if layer.resampling == "bilinear" else 0))
+
+
+def warp_tiles(layer: Layer, shaped: DataFrame, pixels: DataFrame, chunk: tuple[int, int] | None = None) -> DataFrame:
+    """Band values of every planned tile pixel: ``z, x, y, granule_id, row, col, <inputs>``.
+
+    ``pixels`` is ``asset, level, row, col, value``; ``level`` is the decimation factor. With ``chunk``
+    it is stored blocks ``asset, level, cy, cx, values`` of that shape, which are never exploded; where
+    ``shaped`` already says ``block_h, block_w``, blocks of those shapes.
+    """
     if chunk is not None:
-        values = BW.warp_blocks(BW.with_block_shape(shaped, chunk), pixels, keys, ["asset", "level"], layer.resampling, WEB_MERCATOR)
+        shaped = BW.with_block_shape(shaped, chunk)
+    if "block_h" in shaped.columns:
+        values = BW.warp_blocks(shaped, pixels, BAND, ["asset", "level"], layer.resampling, WEB_MERCATOR)
     else:
-        points = W.target_pixels(shaped, keys, WEB_MERCATOR)
-        values = (W.warp_bilinear if bilinear else W.warp_nearest)(points, pixels, keys, ["asset", "level"])
+        points = W.target_pixels(shaped, BAND, WEB_MERCATOR)
+        values = (W.warp_bilinear if layer.resampling == "bilinear" else W.warp_nearest)(points, pixels, BAND, ["asset", "level"])
     return pivot_bands(values, [*TILE, "row", "col"], list(layer.inputs))
 
 
@@ -167,13 +175,41 @@ def fill_transparent(painted: DataFrame, tiles: DataFrame, size: int) -> DataFra
     )
 
 
-def trace_rows(layer: Layer, targets: DataFrame, plan: DataFrame) -> DataFrame:
-    """One trace per tile: decision, estimated bytes, sources, source CRS."""
-    about = targets.groupBy(*TILE).agg(F.array_sort(F.collect_set("asset")).alias("sources"), F.max("src_crs").alias("crs_from"))
+def trace_rows(layer: Layer, targets: DataFrame, plan: DataFrame, granules: DataFrame, tiles: DataFrame | None = None, reads: DataFrame | None = None) -> DataFrame:
+    """One trace per tile: decision, bytes, sources in the layer's order, CRSs, plan and temporal rule.
+
+    ``reads`` holds the byte ranges of each tile (``z, x, y, granule_id, path, offset, length``); without
+    it ``bytes_read`` is the plan's estimate and ``provenance`` is NULL. ``tiles`` are the requests, whose
+    instants decide the rule; of several that meet in one tile the latest is told.
+    """
+    order = F.array_position(F.array(*[F.lit(b) for b in layer.inputs]), F.col("band"))
+    about = targets.groupBy(*TILE).agg(F.array_sort(F.collect_set(F.struct(order.alias("at"), "asset"))).alias("_s"), F.max("src_crs").alias("crs_from"))
     decision = F.when(F.col("chosen") == "overview", F.concat(F.lit("overview:"), F.col("factor").cast("string"))).otherwise(F.col("chosen"))
-    return plan.join(about, TILE).select(
-        F.lit(layer.id).alias("layer"), T.tile_key("z", "x", "y").alias("tile"), "granule_id", decision.alias("decision"),
-        F.col("cost").alias("bytes_read"), "sources", "crs_from", F.lit(WEB_MERCATOR).alias("crs_to"),
+    when = granules.where(F.col("dataset") == layer.dataset).select(F.col("id").alias("granule_id"), F.col("datetime").alias("_at"))
+    rows = plan.join(about, TILE).join(when, "granule_id", "left")
+    if tiles is not None:
+        asked = R.asof_latest(tiles.withColumn("dataset", F.lit(layer.dataset)), granules.where(F.col("dataset") == layer.dataset))
+        rows = rows.join(asked.groupBy(*TILE).agg(F.max("t_ms").alias("_asked")), TILE, "left")
+    else:
+        rows = rows.withColumn("_asked", F.lit(None).cast("long"))
+    range_ = F.struct("path", "offset", "length")
+    if reads is not None:
+        # a tile's blocks are bounded by its window
+        found = reads.groupBy(*TILE).agg(F.array_sort(F.collect_set(range_)).alias("provenance"))
+        found = found.withColumn("_bytes", F.aggregate("provenance", F.lit(0).cast("long"), lambda n, p: n + p["length"]))
+        rows = rows.join(found, TILE, "left").withColumn("bytes_read", F.coalesce("_bytes", F.lit(0)))
+        rows = rows.withColumn("provenance", F.coalesce("provenance", F.array().cast(f"array<{PROVENANCE}>")))
+    else:
+        rows = rows.withColumn("bytes_read", F.col("cost")).withColumn("provenance", F.lit(None).cast(f"array<{PROVENANCE}>"))
+    temporal = F.struct(
+        "granule_id", from_unix_millis(F.unix_millis(F.col("_at").cast("timestamp"))).alias("granule_datetime"),
+        from_unix_millis("_asked").alias("requested"), F.when(F.col("_asked").isNull(), "latest").otherwise("latest_at_or_before").alias("rule"),
+    )
+    sources = F.transform("_s", lambda s: s["asset"])
+    return rows.select(
+        F.lit(layer.id).alias("layer"), T.tile_key("z", "x", "y").alias("tile"), "granule_id", decision.alias("decision"), "bytes_read",
+        F.element_at(sources, 1).alias("source"), F.array_distinct(sources).alias("sources"), "crs_from", F.lit(WEB_MERCATOR).alias("crs_to"),
+        "provenance", F.col("considered").alias("plan"), temporal.alias("temporal"),
     )
 
 
@@ -190,7 +226,44 @@ def render(
     resolved = resolve_tiles(layer, tiles, granules)
     targets = cut_lineage(_targets(layer, resolved, granules, rasters))
     plan = cut_lineage(plan_tiles(layer, targets, max_live_bytes))
-    return paint(layer, warp_tiles(layer, targets, plan, pixels, chunk)), trace_rows(layer, targets, plan)
+    painted = paint(layer, warp_tiles(layer, shape_tiles(layer, targets, plan), pixels, chunk))
+    return painted, trace_rows(layer, targets, plan, granules, tiles)
+
+
+def tile_reads(shaped: DataFrame, refs: DataFrame) -> DataFrame:
+    """``z, x, y, granule_id, path, offset, length`` of the stored blocks in every tile's windows."""
+    touched = BW.touched_blocks(shaped, BAND)
+    return touched.join(refs.where(allocated(refs)), ["asset", "level", "cy", "cx"]).select(*TILE, "path", "offset", "length")
+
+
+def render_refs(
+    layer: Layer,
+    tiles: DataFrame,
+    granules: DataFrame,
+    rasters: DataFrame,
+    refs: DataFrame,
+    root: str = "",
+    max_live_bytes: int | None = None,
+    whole_files: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Render from byte ranges of stored files: (tile pixels, traces with the ranges each tile took).
+
+    ``refs`` is the table ``read_chunk_refs`` reads, one row per block of every asset and level; its
+    ``nodata`` defaults to the raster's. Only blocks some tile's window touches are read, each once, and
+    neighbours in a file in one request. A block that cannot be read fails the job.
+    """
+    resolved = resolve_tiles(layer, tiles, granules)
+    targets = cut_lineage(_targets(layer, resolved, granules, rasters))
+    plan = cut_lineage(plan_tiles(layer, targets, max_live_bytes))
+    shapes = refs.groupBy("asset", "level").agg(F.max("h").alias("block_h"), F.max("w").alias("block_w"))
+    shaped = cut_lineage(shape_tiles(layer, targets, plan).join(shapes, ["asset", "level"]))
+    if "nodata" not in refs.columns and "nodata" in rasters.columns:
+        refs = refs.join(rasters.select("asset", "nodata"), "asset", "left")
+    wanted = BW.keep_touched(refs, BW.touched_blocks(shaped, ["asset", "level"]), ["asset", "level"])
+    read = read_chunk_refs(wanted, root, whole_files=whole_files)
+    where = F.concat_ws(" ", F.lit("block"), "asset", "level", "cy", "cx", "error")
+    blocks = read.withColumn("values", F.when(F.col("error").isNull(), F.col("values")).otherwise(F.raise_error(where).cast("array<double>")))
+    return paint(layer, warp_tiles(layer, shaped, blocks)), trace_rows(layer, targets, plan, granules, tiles, tile_reads(shaped, refs))
 
 
 def tile_keys(layer: Layer, resolved: DataFrame) -> DataFrame:
@@ -202,7 +275,8 @@ def tile_keys(layer: Layer, resolved: DataFrame) -> DataFrame:
 
 
 def render_cached(
-    layer: Layer, tiles: DataFrame, granules: DataFrame, rasters: DataFrame, pixels: DataFrame, stored: DataFrame
+    layer: Layer, tiles: DataFrame, granules: DataFrame, rasters: DataFrame, pixels: DataFrame, stored: DataFrame,
+    chunk: tuple[int, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Render only tiles whose key is not among ``stored`` (``tile_key``): (new pixels, traces of all).
 
@@ -213,14 +287,16 @@ def render_cached(
     todo = missing_tiles(keyed, stored)
     targets = cut_lineage(_targets(layer, todo.select(*TILE), granules, rasters))
     plan = cut_lineage(plan_tiles(layer, targets))
-    fresh = paint(layer, warp_tiles(layer, targets, plan, pixels)).join(todo.select(*TILE, "tile_key"), TILE)
+    fresh = paint(layer, warp_tiles(layer, shape_tiles(layer, targets, plan), pixels, chunk)).join(todo.select(*TILE, "tile_key"), TILE)
     hits = keyed.join(stored.select("tile_key"), "tile_key", "left_semi").select(
         F.lit(layer.id).alias("layer"), T.tile_key("z", "x", "y").alias("tile"), "granule_id", F.lit("cache_hit").alias("decision"),
         F.lit(0).cast("long").alias("bytes_read"), F.array().cast("array<string>").alias("sources"),
-        F.lit(None).cast("string").alias("crs_from"), F.lit(WEB_MERCATOR).alias("crs_to"), "tile_key",
+        F.lit(None).cast("string").alias("crs_from"), F.lit(WEB_MERCATOR).alias("crs_to"),
+        F.array().cast(f"array<{PROVENANCE}>").alias("provenance"), "tile_key",
     )
     named = todo.select(T.tile_key("z", "x", "y").alias("tile"), "granule_id", "tile_key")
-    return fresh, trace_rows(layer, targets, plan).join(named, ["tile", "granule_id"]).unionByName(hits)
+    done = trace_rows(layer, targets, plan, granules, tiles).join(named, ["tile", "granule_id"])
+    return fresh, done.unionByName(hits, allowMissingColumns=True)
 
 
 def rendered_keys(traces: DataFrame) -> DataFrame:
@@ -228,20 +304,23 @@ def rendered_keys(traces: DataFrame) -> DataFrame:
     return traces.where(~F.col("decision").isin("cache_hit", "refuse")).select("tile_key").distinct()
 
 
-def preview(layer: Layer, boxes: DataFrame, granules: DataFrame, rasters: DataFrame, pixels: DataFrame, max_live_bytes: int):
+def preview(
+    layer: Layer, boxes: DataFrame, granules: DataFrame, rasters: DataFrame, pixels: DataFrame, max_live_bytes: int, chunk: tuple[int, int] | None = None
+):
     """One small render per bbox: the deepest tile that holds it whole, under a byte ceiling."""
     b = F.col("bbox")
     tile = deepest_containing_tile(b["west"], b["south"], b["east"], b["north"])
     tiles = boxes.select(tile.alias("t")).select("t.*", F.lit(None).cast("long").alias("t_ms")).distinct()
-    return render(layer, tiles, granules, rasters, pixels, max_live_bytes)
+    return render(layer, tiles, granules, rasters, pixels, max_live_bytes, chunk)
 
 
 def frame_loop(
-    layer: Layer, tiles: DataFrame, instants_ms: list[int], granules: DataFrame, rasters: DataFrame, pixels: DataFrame, stored: DataFrame
+    layer: Layer, tiles: DataFrame, instants_ms: list[int], granules: DataFrame, rasters: DataFrame, pixels: DataFrame, stored: DataFrame,
+    chunk: tuple[int, int] | None = None,
 ):
     """Every tile at every instant through the cache; the instants are a short literal list."""
     times = F.explode(F.array(*[F.lit(int(t)).cast("long") for t in instants_ms]))
-    return render_cached(layer, tiles.select("z", "x", "y", times.alias("t_ms")), granules, rasters, pixels, stored)
+    return render_cached(layer, tiles.select("z", "x", "y", times.alias("t_ms")), granules, rasters, pixels, stored, chunk)
 
 
 # --- pyramids ---

@@ -12,14 +12,16 @@ from ..functions import temporal as TM
 from ..operators import spatial as S
 from ..operators import warp as W
 from ..plans import jobs as J
+from ..operators.chunks import pack_chunks
 from ..session import checkpoint_dir
 from ..sources import granules as SG
+from ..sources.chunk_reader import write_chunk_files
 from ..streaming import ingest as SI
 from ..streaming import traces as ST
-from . import query
+from . import SQL, query
 from .imagery import quantize_sql, rescale_sql
 from .traces import MIX
-from .warping import SIZE, UTM_WARP_SQL, ZOOM, asset_pixels, utm_rasters
+from .warping import SIZE, UTM_WARP_SQL, ZOOM, asset_pixels, forward_utm_sql, shape_sql, utm_rasters
 
 
 def drain(df: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
@@ -159,3 +161,50 @@ def render_cached(spark, sf):
     stored = J.tile_keys(LAYER, J.resolve_tiles(LAYER, tiles, granules)).where("(x + y) % 2 = 0").select("tile_key")
     fresh, _ = J.render_cached(LAYER, tiles, granules, rasters, pixels, stored)
     return fresh.groupBy("granule_id", "x", "y").agg(F.count("*").alias("pixels"), F.sum("r").alias("total"))
+
+
+def stored_scene(spark, sf, chunk: int, codecs: list[str]):
+    """The scene with its bands written as blocks to files of the shared folder: (granules, rasters, references, tiles)."""
+    granules, rasters, pixels, tiles = scene(spark, sf)
+    folder = f"{checkpoint_dir(spark)}/blocks/{uuid.uuid4().hex}"
+    blocks = pack_chunks(pixels, ["asset", "level"], chunk)
+    return granules, rasters, write_chunk_files(blocks, folder, "int16", codecs, 0.0), tiles
+
+
+@query("render_refs", SQL["render_tiles"])
+def render_refs(spark, sf):
+    granules, rasters, refs, tiles = stored_scene(spark, sf, 16, ["shuffle", "zlib:4"])
+    painted, _ = J.render_refs(LAYER, tiles, granules, rasters, refs)
+    return painted.select("granule_id", "x", "y", "row", "col", "r", "g", "b", "a")
+
+
+_TILES_SQL = UTM_WARP_SQL[: UTM_WARP_SQL.index(",\ntp AS")]
+
+# A tile's window is its densified boundary in source pixels; the blocks of 16 that it overlaps are read, two bytes a sample.
+REFS_SQL = f"""{_TILES_SQL}, steps AS (SELECT asset, x, y, mx, my, span, unnest(generate_series(0, 20)) / 20.0::DOUBLE AS t FROM tb),
+edges AS (SELECT asset, x, y, unnest([mx + t * span, mx + t * span, mx, mx + span]) AS px, unnest([my, my - span, my - t * span, my - t * span]) AS py FROM steps),
+ell AS (SELECT asset, x, y, degrees(px / 6378137.0) AS lon, degrees(atan(sinh(py / 6378137.0))) AS lat FROM edges),
+{forward_utm_sql("ell", "asset, x, y")},
+ext AS (SELECT u.asset, u.x, u.y, a.w, a.h, min((ux - 453720.0 - u.asset * 2500.0) / 30.0) AS c0, max((ux - 453720.0 - u.asset * 2500.0) / 30.0) AS c1, min((4353960.0 - uy) / 30.0) AS r0, max((4353960.0 - uy) / 30.0) AS r1, {SIZE} AS dw, {SIZE} AS dh
+  FROM utm u JOIN assets a ON a.asset = u.asset GROUP BY ALL),
+near AS (SELECT * REPLACE (CASE WHEN abs(round(c0) - c0) < 1e-6 THEN round(c0) ELSE c0 END AS c0, CASE WHEN abs(round(c1) - c1) < 1e-6 THEN round(c1) ELSE c1 END AS c1,
+  CASE WHEN abs(round(r0) - r0) < 1e-6 THEN round(r0) ELSE r0 END AS r0, CASE WHEN abs(round(r1) - r1) < 1e-6 THEN round(r1) ELSE r1 END AS r1) FROM ext),
+hits AS (SELECT * FROM near WHERE NOT (c0 > w OR c1 < 0 OR r0 > h OR r1 < 0)), {shape_sql(0, "hits")},
+wins AS (SELECT asset, x, y, CAST(floor(off_x) AS BIGINT) AS a0, CAST(least(ceil(off_x + size_x), w) AS BIGINT) AS a1, CAST(floor(off_y) AS BIGINT) AS b0, CAST(least(ceil(off_y + size_y), h) AS BIGINT) AS b1 FROM kernel),
+stored AS (SELECT DISTINCT asset, prow // 16 AS cy, pcol // 16 AS cx FROM px WHERE value IS NOT NULL)"""
+
+
+@query(
+    "render_refs_traces",
+    f"""WITH {REFS_SQL}, n AS (SELECT w.asset, w.x, w.y, count(s.asset) * 2 AS blocks FROM wins w LEFT JOIN stored s ON s.asset = w.asset AND a1 > a0 AND b1 > b0 AND s.cy BETWEEN b0 // 16 AND (b1 - 1) // 16 AND s.cx BETWEEN a0 // 16 AND (a1 - 1) // 16 GROUP BY ALL)
+SELECT '{ZOOM}/' || t.x || '/' || t.y AS tile, CAST(t.asset AS VARCHAR) AS granule_id, 'live' AS decision, CAST(coalesce(blocks, 0) * 512 AS BIGINT) AS bytes_read, CAST(coalesce(blocks, 0) AS BIGINT) AS ranges,
+  t.asset || '.nir' AS source, t.asset || '.nir,' || t.asset || '.red' AS sources, 'EPSG:32613' AS crs_from, 'latest_at_or_before' AS rule, strftime(make_timestamp(t.asset * 86400000000), '%Y-%m-%d') AS granule_day, 3 AS candidates
+  FROM tls t LEFT JOIN n ON n.asset = t.asset AND n.x = t.x AND n.y = t.y""",
+)
+def render_refs_traces(spark, sf):
+    granules, rasters, refs, tiles = stored_scene(spark, sf, 16, [])
+    _, traces = J.render_refs(LAYER, tiles, granules, rasters, refs)
+    return traces.select(
+        "tile", "granule_id", "decision", "bytes_read", F.size("provenance").cast("long").alias("ranges"), "source", F.array_join("sources", ",").alias("sources"),
+        "crs_from", F.col("temporal.rule").alias("rule"), F.substring("temporal.granule_datetime", 1, 10).alias("granule_day"), F.size("plan").alias("candidates"),
+    )
