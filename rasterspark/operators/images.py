@@ -55,20 +55,24 @@ def diff_histogram(diff: DataFrame, keys: list[str]) -> DataFrame:
     return diff.where(F.col("max_diff").isNotNull()).groupBy(*keys, "max_diff").agg(F.count("*").alias("pixels"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _ordered_rgba(positions: pd.Series, words: pd.Series) -> pd.Series:
+    """Packed colours in order of position."""
+    one = lambda at, word: np.asarray(word, np.int64)[np.argsort(np.asarray(at, np.int64), kind="stable")].astype(">u4").tobytes()
+    return pd.Series([one(*r) for r in zip(positions, words)], dtype=object)
+
+
 def pack_tiles(pixels: DataFrame, keys: list[str], size: Column | int) -> DataFrame:
     """``keys..., rgba`` (row-major bytes), ``complete`` when every pixel of the tile was there.
 
-    A tile gathers ``size * size`` pixels of four bytes.
+    A tile gathers ``size * size`` pixels of one packed colour each, put in order by numpy.
     """
     width = size if isinstance(size, Column) else F.lit(size)
-    byte = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 2, "0")
-    cell = F.struct(
-        (F.col("row") * width + F.col("col")).cast("long").alias("pos"),
-        F.concat(*[byte(c) for c in CHANNELS]).alias("hex"),
-    )
-    tiles = pixels.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
-    joined = F.array_join(F.transform("_cells", lambda c: c["hex"]), "")
-    return tiles.select(*keys, F.unhex(joined).alias("rgba"), (F.size("_cells") == width * width).alias("complete"))
+    shifted = [F.col(c).cast("long") * (1 << shift) for c, shift in zip(CHANNELS, (24, 16, 8, 0))]
+    cell = F.struct((F.col("row") * width + F.col("col")).cast("int").alias("pos"), (shifted[0] + shifted[1] + shifted[2] + shifted[3]).alias("word"))
+    tiles = pixels.groupBy(*keys).agg(F.collect_list(cell).alias("_cells"), F.max((width * width).cast("int")).alias("_n"))
+    complete = F.size(F.array_distinct("_cells.pos")) == F.col("_n")
+    return tiles.select(*keys, _ordered_rgba("_cells.pos", "_cells.word").alias("rgba"), complete.alias("complete"))
 
 
 def _png_bytes(rgba: bytes, size: int) -> bytes:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.grid import level_dim
 
@@ -65,6 +70,81 @@ def build_level(pixels: DataFrame, keys: list[str], step: int, resampling: str =
     return pixels.groupBy(*keys, row, col).agg(mean)
 
 
+def _encoded(mean: np.ndarray, dtype: str) -> np.ndarray:
+    """``encode_sample`` over an array; NaN stays."""
+    if dtype == "float32":
+        return mean.astype(np.float32).astype(np.float64)
+    if dtype not in RANGES:
+        return mean
+    return np.clip(np.copysign(np.floor(np.abs(mean) + 0.5), mean), *RANGES[dtype])
+
+
+def _halved(block: np.ndarray, resampling: str, dtype: str) -> np.ndarray:
+    """A square block at half its resolution; NaN where no sample is valid."""
+    if resampling == "nearest":
+        return block[::2, ::2]
+    cells = block.reshape(block.shape[0] // 2, 2, block.shape[1] // 2, 2)
+    valid = ~np.isnan(cells)
+    count = valid.sum(axis=(1, 3))
+    total = np.where(valid, cells, 0.0).sum(axis=(1, 3))
+    return _encoded(np.where(count > 0, total / np.maximum(count, 1), np.nan), dtype)
+
+
+def _nullable(flat: np.ndarray) -> pa.Array:
+    return pa.array(flat, mask=np.isnan(flat))
+
+
+def coarser_blocks(blocks: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``keys..., cy, cx, h, w, values`` of the level above square blocks of ``size`` (even).
+
+    ``blocks`` has ``keys..., cy, cx, values, resampling, dtype``, padded with NULL. A block is halved in
+    place, so a quarter of its bytes is shuffled, and the quarters of four blocks are laid into their
+    parent; samples never become rows. ``average`` means over valid samples, ``nearest`` keeps the
+    top-left one; a parent without a valid sample is left out.
+    """
+    if size % 2:
+        raise ValueError("blocks of odd size have no halves")
+    half = size // 2
+    types = {f.name: f.dataType for f in blocks.schema.fields}
+    own = [T.StructField(k, types[k]) for k in keys]
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = zip(batch.column("resampling").to_pylist(), batch.column("dtype").to_pylist(), strict=True)
+            quarters, kept = [], []
+            for i, (resampling, dtype) in enumerate(kinds):
+                flat = batch.column("values")[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                quarter = _halved(flat.reshape(size, size), resampling, dtype).ravel()
+                if not np.isnan(quarter).all():
+                    quarters.append(quarter)
+                    kept.append(i)
+            ends = pa.array((np.arange(len(kept) + 1) * half * half).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, _nullable(np.concatenate(quarters) if quarters else np.zeros(0)))
+            names = [*keys, "cy", "cx"]
+            take = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in names), lists], [*names, "_quarter"])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.full((batch.num_rows, size, size), np.nan)
+            for i, quarters in enumerate(batch.column("_quarters")):
+                for q in quarters.values:
+                    y, x = (int(q[n].as_py()) % 2 * half for n in ("cy", "cx"))
+                    out[i, y : y + half, x : x + half] = q["_quarter"].values.to_numpy(zero_copy_only=False).reshape(half, half)
+            ends = pa.array((np.arange(batch.num_rows + 1) * size * size).astype(np.int32))
+            names = [*keys, "cy", "cx"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.ListArray.from_arrays(ends, _nullable(out.ravel()))], [*names, "values"])
+
+    place = [T.StructField("cy", T.LongType()), T.StructField("cx", T.LongType())]
+    values = T.ArrayType(T.DoubleType())
+    source = blocks.select(*keys, F.col("cy").cast("long"), F.col("cx").cast("long"), F.col("values").cast("array<double>"), "resampling", "dtype")
+    halved = source.mapInArrow(halve, T.StructType([*own, *place, T.StructField("_quarter", values)]))
+    up = lambda c: F.floor(F.col(c) / 2).alias(c)
+    family = halved.groupBy(*keys, up("cy"), up("cx")).agg(F.collect_list(F.struct("cy", "cx", "_quarter")).alias("_quarters"))
+    laid = family.mapInArrow(lay, T.StructType([*own, *place, T.StructField("values", values)]))
+    return laid.select(*keys, "cy", "cx", F.lit(size).alias("h"), F.lit(size).alias("w"), "values")
+
+
 def level_sources(factors: list[int], available: list[int] = ()) -> list[tuple[int, int]]:
     """For each factor the coarsest finer grid that divides it (1 is full resolution)."""
     ready, out = sorted({1, *available}), []

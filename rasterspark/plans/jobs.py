@@ -33,7 +33,9 @@ from ..operators.spatial import deepest_containing_tile
 from ..schema import PROVENANCE as PROVENANCE_TYPE
 from ..session import cut_lineage
 from ..sources.chunk_reader import allocated, read_chunk_refs
-from ..sources.exports import append_blocks
+from ..sources.exports import (
+    LAYOUT, append_blocks, content_fingerprint, pyramid_conflicts, record_identities, stored_identities, stored_pyramid,
+)
 from .materialization import materialization_plan, missing_tiles
 
 PROVENANCE = PROVENANCE_TYPE.simpleString()
@@ -327,42 +329,50 @@ def frame_loop(
 
 
 def materialize(
-    rasters: DataFrame, pixels: DataFrame, layer_assets: DataFrame, path: str, chunk: int = 256, min_dim: int = 256, fill: float = 0.0
+    rasters: DataFrame, source: DataFrame, layer_assets: DataFrame, path: str, chunk: int = 256, min_dim: int = 256, fill: float | None = None
 ) -> list[int]:
     """Build and store every missing overview level of the layers' assets; gives the factors written.
 
-    ``pixels`` is ``asset, level, row, col, value`` (embedded levels included); ``layer_assets`` is
-    ``asset, resampling``. All assets of one factor are one job; a level is read back from storage to
-    build the next, and storing it makes it visible at once. Conflicting resamplings refuse the job.
+    ``source`` is blocks ``asset, level, cy, cx, values`` of ``chunk`` pixels a side, or pixel rows
+    ``asset, level, row, col, value``, which are packed first (embedded levels included); ``layer_assets``
+    is ``asset, resampling``. ``rasters`` may name the source's ``fingerprint`` (see
+    ``reference_fingerprint``); otherwise it is taken from the samples. A level counts once its identity
+    is recorded after its blocks: recorded levels are skipped, unrecorded ones resume, and a level whose
+    record differs refuses the whole job, as do conflicting resamplings. Blocks are halved in place and
+    read back from storage to build the next level. ``fill`` is stored for invalid samples (default NULL).
     """
+    spark = source.sparkSession
     wanted = PY.dedup_assets(layer_assets)
     if not wanted.where("conflict").isEmpty():
         raise ValueError("an asset is used with two resamplings")
-    assets = rasters.join(wanted.select("asset", F.col("resamplings")[0].alias("resampling")), "asset").withColumn(
-        "ladder", PY.ladder_column("width", "height", F.col("overview_levels"), min_dim)
-    )
-    deepest = assets.agg(F.max(F.array_max("ladder"))).first()[0]
-    written, factor = [], 2
-    grid = pixels.where("level = 1").select("asset", "row", "col", "value")
-    while deepest and factor <= deepest:
-        needs = assets.select("asset", "resampling", "dtype", F.array_contains("ladder", factor).alias("build"))
-        source = grid.join(needs, "asset")
-        corner = (F.col("row") % 2 == 0) & (F.col("col") % 2 == 0)
-        kept = source.where((F.col("resampling") != "nearest") | corner)
-        level = kept.groupBy("asset", "dtype", F.floor(F.col("row") / 2).alias("row"), F.floor(F.col("col") / 2).alias("col"))
-        level = level.agg(F.avg("value").alias("value"))
-        encoded = F.col("value")
-        for dtype in (*PY.RANGES, "float32"):
-            encoded = F.when(F.col("dtype") == dtype, PY.encode_sample(F.col("value"), dtype)).otherwise(encoded)
-        level = level.select("asset", "row", "col", encoded.alias("value"))
-        embedded = pixels.where(F.col("level") == factor).select("asset", "row", "col", "value")
-        own = embedded.select("asset").distinct()
-        level = cut_lineage(level.join(own, "asset", "left_anti").unionByName(embedded))
-        building = needs.where("build").select("asset")
-        blocks = pack_chunks(level.join(building, "asset", "left_semi"), ["asset"], chunk, fill)
-        append_blocks(blocks.withColumn("factor", F.lit(factor)), path)
-        written.append(factor)
-        grid, factor = level, factor * 2
+    blocks = source if "values" in source.columns else pack_chunks(source, ["asset", "level"], chunk)
+    if "fingerprint" not in rasters.columns:
+        rasters = rasters.join(content_fingerprint(blocks.where("level = 1")), "asset", "left")
+    assets = rasters.join(wanted.select("asset", F.col("resamplings")[0].alias("resampling")), "asset")
+    ladder = PY.ladder_column("width", "height", F.col("overview_levels"), min_dim)
+    levels = cut_lineage(assets.select(
+        "asset", F.explode(ladder.cast("array<int>")).alias("factor"), "width", "height", "dtype", F.lit(chunk).alias("chunk"), "resampling",
+        F.lit(LAYOUT).alias("layout"), "fingerprint",
+    ))
+    known = stored_identities(spark, path)
+    if refused := pyramid_conflicts(levels, known).limit(5).collect():
+        names = ", ".join(f"{r['asset']} at {r['factor']}" for r in refused)
+        raise ValueError(f"stored levels describe another raster: {names}")
+    todo = cut_lineage(levels.join(known.select("asset", "factor"), ["asset", "factor"], "left_anti"))
+    written = sorted(r["factor"] for r in todo.select("factor").distinct().collect())
+    given = blocks.select("asset", F.col("level").cast("int").alias("factor"), "cy", "cx", "values")
+    for factor in written:
+        mine = todo.where(F.col("factor") == factor)
+        below = given
+        if (stored := stored_pyramid(spark, path)) is not None:
+            plain = F.col("values") if fill is None else F.transform("values", lambda v: F.when(v != fill, v))
+            below = given.unionByName(stored.select("asset", "factor", "cy", "cx", plain.alias("values")))
+        base = below.where(F.col("factor") == factor // 2).join(mine.select("asset", "resampling", "dtype"), "asset")
+        level = PY.coarser_blocks(base, ["asset"], chunk)
+        if fill is not None:
+            level = level.withColumn("values", F.transform("values", lambda v: F.coalesce(v, F.lit(float(fill)))))
+        append_blocks(level.withColumn("factor", F.lit(factor)), path)
+        record_identities(mine, path)
     return written
 
 

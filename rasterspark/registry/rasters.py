@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
@@ -10,6 +12,8 @@ from ..functions.text import SAMPLE_BYTES
 from ..operators import chunks as CH
 from ..operators import pyramid as PY
 from ..plans import materialization as M
+from ..session import checkpoint_dir
+from ..sources import exports as EX
 from . import query
 
 CHUNKS_SQL = f"""{X.DENSE_SQL}, chunks AS (SELECT prow // 16 AS cy, pcol // 16 AS cx, prow % 16 * 16 + pcol % 16 AS pos, value FROM dense)"""
@@ -131,6 +135,41 @@ def build_pyramid(spark, sf):
     return out.withColumn("value", F.col("value") + 0.0).select("factor", "row", "col", "value")
 
 
+STORED_SQL = """p AS (SELECT prow // 100 AS asset, prow % 100 AS prow, pcol, CASE WHEN value % 17 <> 0 THEN CAST(value AS DOUBLE) END AS value FROM dense),
+big AS (SELECT asset, greatest(64, max(prow) + 1) AS side FROM p GROUP BY asset)"""
+
+
+def _level_sql(name: str, below: str) -> str:
+    return f"""{name} AS (SELECT asset, prow // 2 AS prow, pcol // 2 AS pcol, CASE WHEN asset % 2 = 0 THEN least(greatest(round(avg(value)), -32768), 32767)
+  ELSE max(CASE WHEN prow % 2 = 0 AND pcol % 2 = 0 THEN value END) END AS value FROM {below} GROUP BY asset, prow // 2, pcol // 2)"""
+
+
+@query(
+    "materialize",
+    f"""WITH {X.DENSE_SQL}, {STORED_SQL}, {_level_sql('l2', 'p')}, {_level_sql('l4', 'l2')}, {_level_sql('l8', 'l4')}, {_level_sql('l16', 'l8')},
+every AS (SELECT 2 AS factor, * FROM l2 UNION ALL SELECT 4, * FROM l4 UNION ALL SELECT 8, * FROM l8 UNION ALL SELECT 16, * FROM l16)
+SELECT e.asset, factor, prow AS "row", pcol AS col, value FROM every e JOIN big ON big.asset = e.asset WHERE value IS NOT NULL AND ceil(side / (factor / 2)) > 16""",
+)
+def materialize(spark, sf):
+    """Overviews of every asset, block by block: the first run stores two levels, the second finds them and stores the rest."""
+    from ..plans.jobs import materialize as job
+
+    path = f"{checkpoint_dir(spark)}/pyramids/{uuid.uuid4().hex}"
+    v = F.col("value")
+    full = X.dense(spark, sf).select(
+        F.floor(F.col("row") / 100).cast("string").alias("asset"), F.lit(1).alias("level"), (F.col("row") % 100).alias("row"), "col",
+        F.when(v % 17 != 0, v.cast("double")).alias("value"),
+    )
+    dims = full.groupBy("asset").agg((F.max("row") + 1).alias("height"))
+    rasters = dims.select("asset", F.lit(64).cast("long").alias("width"), "height", F.lit("int16").alias("dtype"), F.array().cast("array<int>").alias("overview_levels"))
+    uses = dims.select("asset", F.when(F.col("asset").cast("long") % 2 == 0, "average").otherwise("nearest").alias("resampling"))
+    blocks = CH.pack_chunks(full, ["asset", "level"], 16)
+    job(rasters, blocks, uses, path, 16, 32)
+    job(rasters, blocks, uses, path, 16, 16)
+    stored = CH.explode_chunks(EX.read_pyramid(spark, path), ["asset", "factor"]).where("value IS NOT NULL")
+    return stored.select(F.col("asset").cast("long").alias("asset"), "factor", "row", "col", (F.col("value") + 0.0).alias("value"))
+
+
 @query(
     "build_level_nearest",
     f"""WITH {X.DENSE_SQL} SELECT prow // 4 AS "row", pcol // 4 AS col, value FROM dense WHERE prow % 4 = 0 AND pcol % 4 = 0""",
