@@ -109,6 +109,50 @@ def drop_manifests(spark, sf):
     )
 
 
+def _manifest():
+    """A granule as drop manifest text; some are cut short, dated badly, of an unknown band or of no dataset."""
+    b = [F.col(f"bbox.{c}") for c in ("west", "south", "east", "north")]
+    k = F.col("id") % 11
+    doc = F.to_json(F.struct(
+        F.when(k == 3, F.lit("ghost")).otherwise(F.col("dataset")).alias("dataset"), F.col("id").cast("string").alias("granule"), F.array(*b).alias("bbox"),
+        F.when(k == 4, F.lit("yesterday")).otherwise(TM.from_unix_millis(TM.instant_ms("datetime"))).alias("datetime"),
+        F.create_map(F.when(k == 5, F.lit("x-ray")).otherwise(F.lit("red")), F.lit("r.tif")).alias("assets"),
+    ))
+    return F.when(k == 6, F.substring(doc, 1, 25)).otherwise(doc).alias("value")
+
+
+def _ingested(spark, sf):
+    """Catalog and quarantine after two runs of the ingest: all granules, then every third again with a wider box."""
+    base = f"{checkpoint_dir(spark)}/ingest/{uuid.uuid4().hex}"
+    granules = X.granules(spark, sf)
+    datasets = X.datasets(spark, sf)
+    wider = granules.where("id % 3 = 0").withColumn("bbox", F.col("bbox").withField("east", F.col("bbox.east") + 1.0))
+    for part, files in ((granules, 5), (wider, 2)):
+        part.select(_manifest()).repartition(files).write.mode("append").option("compression", "none").format("text").save(f"{base}/text")
+        arrivals = SI.stream_granules(spark, f"{base}/text", max_files=2, lines=True, pattern="*.txt")
+        SI.ingest_stream(arrivals, datasets, f"{base}/catalog", f"{base}/bad", f"{base}/state").awaitTermination()
+    return SI.read_snapshot(spark, f"{base}/catalog"), spark.read.parquet(f"{base}/bad")
+
+
+@query(
+    "ingest_stream",
+    f"""WITH {X.GRANULES_SQL} SELECT dataset, CAST(id AS VARCHAR) AS id, dt_ms, west, CASE WHEN id % 3 = 0 THEN east + 1 ELSE east END AS east, true AS stamped FROM granules WHERE id % 11 NOT IN (3, 4, 5, 6) AND dataset NOT LIKE '% %'""",
+)
+def ingest_stream(spark, sf):
+    catalog, _ = _ingested(spark, sf)
+    return catalog.select("dataset", "id", TM.instant_ms("datetime").alias("dt_ms"), "bbox.west", "bbox.east", F.col("ingested_at").isNotNull().alias("stamped"))
+
+
+@query(
+    "quarantine_stream",
+    f"""WITH {X.GRANULES_SQL} SELECT CASE id % 11 WHEN 3 THEN 'dataset unknown' WHEN 4 THEN 'datetime is not RFC 3339 UTC' WHEN 6 THEN 'not a JSON object'
+  WHEN 5 THEN CASE WHEN dataset LIKE '% %' THEN 'dataset id not url-safe; band not in vocabulary' ELSE 'band not in vocabulary' END ELSE 'dataset id not url-safe' END AS reason,
+  CAST(count(*) + count(CASE WHEN id % 3 = 0 THEN 1 END) AS BIGINT) AS manifests FROM granules WHERE id % 11 IN (3, 4, 5, 6) OR dataset LIKE '% %' GROUP BY ALL""",
+)
+def quarantine_stream(spark, sf):
+    return _ingested(spark, sf)[1].groupBy("reason").agg(F.count("*").alias("manifests"))
+
+
 # --- whole jobs ---
 
 NDVI = ("divide", ("subtract", "nir", "red"), ("add", "nir", "red"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,17 +9,20 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as C
 from ..sources.granules import parse_drop_manifests
+from .delta_catalog import DeltaCatalog
 
 
-def stream_granules(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+def stream_granules(spark: SparkSession, path: str, max_files: int = 1000, lines: bool = False, pattern: str = "*.json") -> DataFrame:
     """Drop manifests as they appear, parsed, with ``arrived_at`` and ``issue``.
 
+    A file is one manifest or, with ``lines``, one manifest per line; ``pattern`` says which names count.
+
     The file source reads every name once, across restarts, from its checkpoint; staging names
     (dot or underscore) are never listed. ``arrived_at`` is the clock of the micro-batch.
     """
     raw = (
-        spark.readStream.option("pathGlobFilter", "*.json")
-        .option("wholetext", "true")
+        spark.readStream.option("pathGlobFilter", pattern)
+        .option("wholetext", str(not lines).lower())
         .option("maxFilesPerTrigger", max_files)
         .text(path)
         .select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"))
@@ -34,37 +36,26 @@ def split_arrivals(batch: DataFrame, datasets: DataFrame) -> tuple[DataFrame, Da
     broken = batch.where(F.col("issue").isNotNull()).select("name", "raw", F.col("issue").alias("reason"))
     good, bad = C.validate_granules(sound.drop("issue"), datasets)
     refused = bad.select("name", "raw", F.array_join("issues", "; ").alias("reason"))
-    return good.drop("raw", "name"), broken.unionByName(refused)
+    return good.drop("raw"), broken.unionByName(refused)
+
+
+KEYS = ["dataset", "id"]
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete version below ``path``; NULL-like None before the first."""
-    newest = _newest(spark, path)
-    return None if newest is None else spark.read.parquet(f"{path}/v={newest}")
-
-
-def _newest(spark: SparkSession, path: str) -> int | None:
-    """Version folders count once their job commit marker is there."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    versions = []
-    for status in fs.listStatus(hadoop):
-        name = status.getPath().getName()
-        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
-        if name.startswith("v=") and fs.exists(marker):
-            versions.append(int(name[2:]))
-    return max(versions, default=None)
+    """The catalog as of its last committed batch; None before the first."""
+    return DeltaCatalog(spark, path, KEYS).snapshot()
 
 
 def ingest_batch(
     datasets: DataFrame, catalog_path: str, quarantine_path: str, after: Callable[[DataFrame, int], None] | None = None
 ) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` function: quarantine, stamp, upsert into a new catalog version.
+    """The ``foreachBatch`` function: quarantine, stamp, commit to the catalog.
 
-    A batch writes version ``batch_id``, so running it again replaces its own output and nothing else.
-    ``after`` sees the accepted granules of the batch.
+    A commit writes the batch's rows and now and then merges segments of like size, so what is written
+    follows the batch, not the catalog. A batch that runs again replaces its own quarantine and is not
+    committed twice. Of several manifests of one granule in a batch the last by file name counts.
+    ``after`` sees the accepted granules once they are in the catalog.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -73,15 +64,12 @@ def ingest_batch(
         try:
             good, bad = split_arrivals(batch, datasets)
             bad.write.mode("overwrite").parquet(f"{quarantine_path}/v={batch_id}")
-            stamped = good.withColumn("ingested_at", F.col("arrived_at")).drop("arrived_at")
-            stamped = stamped.withColumn("version", F.lit(batch_id).cast("long"))
-            older = [v for v in [_newest_before(spark, catalog_path, batch_id)] if v is not None]
-            if older:
-                stored = spark.read.parquet(f"{catalog_path}/v={older[0]}")
-                merged = C.upsert(stored, stamped.select(*stored.columns), ["dataset", "id"], "version")
-            else:
-                merged = C.upsert(stamped.limit(0), stamped, ["dataset", "id"], "version")
-            merged.write.mode("overwrite").parquet(f"{catalog_path}/v={batch_id}")
+            columns = [c for c in good.columns if c not in ("name", "arrived_at")]
+            last = good.withColumn("ingested_at", F.col("arrived_at")).groupBy(*KEYS).agg(
+                F.max_by(F.struct(*[c for c in columns if c not in KEYS]), F.struct("name", F.to_json(F.struct("bbox", "datetime")))).alias("_g")
+            )
+            stamped = last.select(*KEYS, "_g.*", F.lit(batch_id).cast("long").alias("version"))
+            DeltaCatalog(spark, catalog_path, KEYS).commit(stamped, batch_id)
             if after is not None:
                 after(stamped, batch_id)
         finally:
@@ -90,20 +78,8 @@ def ingest_batch(
     return run
 
 
-def _newest_before(spark: SparkSession, path: str, batch_id: int) -> int | None:
-    """The version a batch builds on; its own output from a failed attempt does not count."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    versions = [int(n[2:]) for n in names if n.startswith("v=") and int(n[2:]) < batch_id]
-    return max(versions, default=None)
-
-
 def ingest_stream(arrivals: DataFrame, datasets: DataFrame, catalog_path: str, quarantine_path: str, checkpoint: str, after=None):
     """Start ingesting; one pass over what is there (``availableNow``), restartable."""
-    os.makedirs(checkpoint, exist_ok=True) if "://" not in checkpoint else None
     return (
         arrivals.writeStream.foreachBatch(ingest_batch(datasets, catalog_path, quarantine_path, after))
         .option("checkpointLocation", checkpoint)

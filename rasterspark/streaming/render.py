@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +17,22 @@ def stored_keys(spark: SparkSession, path: str, before: int) -> DataFrame:
     schema = "tile_key string, batch long"
     try:
         keys = spark.read.schema(schema).parquet(f"{path}/keys")
-    except Exception:  # noqa: BLE001 - nothing rendered yet: the folder does not exist
-        return spark.createDataFrame([], "tile_key string")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "tile_key string")  # nothing rendered yet
     return keys.where(F.col("batch") < before).select("tile_key")
 
 
 def render_after(
-    layer: Layer, z: int, rasters: Callable[[], DataFrame], pixels: Callable[[], DataFrame], path: str
+    layer: Layer, z: int, rasters: Callable[[], DataFrame], pixels: Callable[[], DataFrame], path: str,
+    catalog: Callable[[], DataFrame | None] | None = None, chunk: tuple[int, int] | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """An ``after`` hook for ``ingest_stream``: render the tiles new footprints touch.
 
-    Tiles already stored under the same content key are skipped. Pixels, keys and traces of a batch
+    A tile shows the granule that the whole ``catalog`` gives for the fresh one's instant, the batch
+    included (without a catalog, of the batch alone): one stored before, of the same millisecond and a
+    greater id, wins. Tiles already stored under the same content key are skipped. Pixels, keys and traces of a batch
     lie in its own ``batch=`` folder, so a repeated batch replaces its own output.
     """
 
@@ -34,7 +40,9 @@ def render_after(
         spark = granules.sparkSession
         mine = granules.where(F.col("dataset") == layer.dataset)
         tiles = fresh_tiles(mine, z).select("z", "x", "y", "t_ms")
-        fresh, traces = render_cached(layer, tiles, mine, rasters(), pixels(), stored_keys(spark, path, batch_id))
+        merged = catalog() if catalog is not None else None
+        known = mine if merged is None else merged
+        fresh, traces = render_cached(layer, tiles, known, rasters(), pixels(), stored_keys(spark, path, batch_id), chunk)
         fresh.write.mode("overwrite").parquet(f"{path}/pixels/batch={batch_id}")
         traces.write.mode("overwrite").parquet(f"{path}/traces/batch={batch_id}")
         done = rendered_keys(spark.read.parquet(f"{path}/traces/batch={batch_id}"))
