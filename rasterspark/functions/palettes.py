@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,31 +23,19 @@ RDYLGN_ANCHORS = (
     (0, 104, 55),
 )
 
-# Published entries of two perceptual maps, every 15th of 256. Entries between them are
-# interpolated here; load the full published table with ``palette_from_rows`` for exact bytes.
-VIRIDIS_STOPS = (
-    (68, 1, 84), (71, 22, 105), (71, 42, 121), (67, 60, 132), (60, 77, 138), (53, 93, 140),
-    (46, 108, 142), (40, 122, 142), (35, 137, 141), (30, 151, 138), (32, 165, 133), (46, 178, 124),
-    (69, 191, 111), (100, 203, 93), (136, 213, 71), (175, 220, 46), (215, 226, 25), (253, 231, 36),
-)
-MAGMA_STOPS = (
-    (0, 0, 3), (9, 7, 31), (26, 16, 65), (48, 16, 101), (74, 16, 121), (97, 24, 127),
-    (121, 34, 129), (145, 42, 128), (169, 50, 124), (194, 58, 117), (217, 70, 106), (236, 88, 95),
-    (247, 113, 91), (252, 142, 99), (254, 170, 116), (254, 198, 137), (253, 225, 163), (251, 252, 191),
-)
-
 Palette = list[tuple[int, int, int]]
 
 
 def palette_from_stops(stops, size: int = 256) -> Palette:
-    """Evenly spaced colours joined by straight lines; bytes drop their fraction."""
-    last = len(stops) - 1
-    out: Palette = []
-    for i in range(size):
-        at, rest = divmod(i * last, size - 1)
-        low, high = stops[at], stops[min(at + 1, last)]
-        out.append(tuple((lo * (size - 1 - rest) + hi * rest) // (size - 1) for lo, hi in zip(low, high)))
-    return out
+    """Evenly spaced colours joined by straight lines, as published segmented maps are: in doubles, bytes drop their fraction."""
+    colors = np.array(stops, float) / 255.0
+    at = np.linspace(0.0, 1.0, len(stops)) * (size - 1)
+    x = (size - 1) * np.linspace(0.0, 1.0, size)
+    upper = np.searchsorted(at, x)[1:-1]
+    share = ((x[1:-1] - at[upper - 1]) / (at[upper] - at[upper - 1]))[:, None]
+    inner = share * (colors[upper] - colors[upper - 1]) + colors[upper - 1]
+    levels = np.clip(np.concatenate([colors[:1], inner, colors[-1:]]), 0.0, 1.0)
+    return [tuple(c) for c in (levels * 255).astype(int).tolist()]
 
 
 def palette_from_rows(rows) -> Palette:
@@ -57,14 +46,24 @@ def palette_from_rows(rows) -> Palette:
     return [table[i] for i in range(256)]
 
 
-def palette(name: str) -> Palette:
-    """A built-in palette: grayscale, rdylgn, viridis, magma."""
+def load_palette(spark: SparkSession, path: str) -> Palette:
+    """A published table from a CSV file of rows ``idx,r,g,b`` (with a header)."""
+    rows = spark.read.csv(path, schema="idx int, r int, g int, b int", header=True)
+    return palette_from_rows([tuple(r) for r in rows.limit(257).collect()])
+
+
+def palette(name: str, tables: dict[str, Palette] | None = None) -> Palette:
+    """A palette by name: grayscale, rdylgn, or one of ``tables``.
+
+    Maps that follow no rule, such as viridis and magma, are given as tables of 256 rows.
+    """
+    if tables and name in tables:
+        return tables[name]
     if name == "grayscale":
         return [(i, i, i) for i in range(256)]
-    stops = {"rdylgn": RDYLGN_ANCHORS, "viridis": VIRIDIS_STOPS, "magma": MAGMA_STOPS}
-    if name not in stops:
-        raise ValueError(f"unknown palette {name!r}")
-    return palette_from_stops(stops[name])
+    if name == "rdylgn":
+        return palette_from_stops(RDYLGN_ANCHORS)
+    raise ValueError(f"palette {name!r} has no rule; give its table")
 
 
 def palette_table(spark: SparkSession, name: str) -> DataFrame:

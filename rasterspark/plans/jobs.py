@@ -76,20 +76,21 @@ class Layer:
 def resolve_tiles(layer: Layer, tiles: DataFrame, granules: DataFrame) -> DataFrame:
     """Requested tiles (``z, x, y, t_ms``) with the granule that answers them, each pair once.
 
-    Requests of different times that resolve to one granule are one tile. Tiles nothing answers drop out.
+    Requests of different times that resolve to one granule are one tile, asked for at the latest of them
+    (``requested_ms``). Tiles nothing answers drop out.
     """
     asked = tiles.withColumn("dataset", F.lit(layer.dataset))
     found = R.asof_latest(asked, granules.where(F.col("dataset") == layer.dataset))
-    return found.where(F.col("granule_id").isNotNull()).select(*TILE).distinct()
+    return found.where(F.col("granule_id").isNotNull()).groupBy(*TILE).agg(F.max("t_ms").alias("requested_ms"))
 
 
 def _targets(layer: Layer, resolved: DataFrame, granules: DataFrame, rasters: DataFrame) -> DataFrame:
     """One row per tile and input band: target grid, source raster. Tiles with a missing band or mixed
     CRSs drop out."""
     files = granules.where(F.col("dataset") == layer.dataset).select(
-        F.col("id").alias("granule_id"), F.explode("assets").alias("band", "_a")
+        F.col("id").alias("granule_id"), F.col("datetime").alias("granule_at"), F.explode("assets").alias("band", "_a")
     )
-    files = files.where(F.col("band").isin(list(layer.inputs))).select("granule_id", "band", F.col("_a.href").alias("asset"))
+    files = files.where(F.col("band").isin(list(layer.inputs))).select("granule_id", "granule_at", "band", F.col("_a.href").alias("asset"))
     # full resolution rows of the rasters, and per granule whether the inputs fit together
     rows = files.join(rasters, "asset")
     fit = rows.groupBy("granule_id").agg(F.count("*").alias("_n"), F.min("crs").alias("_lo"), F.max("crs").alias("_hi"))
@@ -100,7 +101,7 @@ def _targets(layer: Layer, resolved: DataFrame, granules: DataFrame, rasters: Da
         *TILE, "band", "asset", F.col("crs").alias("src_crs"), F.lit(WEB_MERCATOR).alias("crs"), "transform", "dtype",
         "overview_levels", F.col("width").alias("full_w"), F.col("height").alias("full_h"),
         F.lit(layer.tile_size).alias("width"), F.lit(layer.tile_size).alias("height"),
-        "_b.min_x", "_b.min_y", "_b.max_x", "_b.max_y",
+        "_b.min_x", "_b.min_y", "_b.max_x", "_b.max_y", "requested_ms", "granule_at",
     )
 
 
@@ -177,23 +178,19 @@ def fill_transparent(painted: DataFrame, tiles: DataFrame, size: int) -> DataFra
     )
 
 
-def trace_rows(layer: Layer, targets: DataFrame, plan: DataFrame, granules: DataFrame, tiles: DataFrame | None = None, reads: DataFrame | None = None) -> DataFrame:
+def trace_rows(layer: Layer, targets: DataFrame, plan: DataFrame, reads: DataFrame | None = None) -> DataFrame:
     """One trace per tile: decision, bytes, sources in the layer's order, CRSs, plan and temporal rule.
 
     ``reads`` holds the byte ranges of each tile (``z, x, y, granule_id, path, offset, length``); without
-    it ``bytes_read`` is the plan's estimate and ``provenance`` is NULL. ``tiles`` are the requests, whose
-    instants decide the rule; of several that meet in one tile the latest is told.
+    it ``bytes_read`` is the plan's estimate and ``provenance`` is NULL.
     """
     order = F.array_position(F.array(*[F.lit(b) for b in layer.inputs]), F.col("band"))
-    about = targets.groupBy(*TILE).agg(F.array_sort(F.collect_set(F.struct(order.alias("at"), "asset"))).alias("_s"), F.max("src_crs").alias("crs_from"))
+    about = targets.groupBy(*TILE).agg(
+        F.array_sort(F.collect_set(F.struct(order.alias("at"), "asset"))).alias("_s"), F.max("src_crs").alias("crs_from"),
+        F.max("requested_ms").alias("_asked"), F.max("granule_at").alias("_at"),
+    )
     decision = F.when(F.col("chosen") == "overview", F.concat(F.lit("overview:"), F.col("factor").cast("string"))).otherwise(F.col("chosen"))
-    when = granules.where(F.col("dataset") == layer.dataset).select(F.col("id").alias("granule_id"), F.col("datetime").alias("_at"))
-    rows = plan.join(about, TILE).join(when, "granule_id", "left")
-    if tiles is not None:
-        asked = R.asof_latest(tiles.withColumn("dataset", F.lit(layer.dataset)), granules.where(F.col("dataset") == layer.dataset))
-        rows = rows.join(asked.groupBy(*TILE).agg(F.max("t_ms").alias("_asked")), TILE, "left")
-    else:
-        rows = rows.withColumn("_asked", F.lit(None).cast("long"))
+    rows = plan.join(about, TILE)
     range_ = F.struct("path", "offset", "length")
     if reads is not None:
         # a tile's blocks are bounded by its window
@@ -229,7 +226,7 @@ def render(
     targets = cut_lineage(_targets(layer, resolved, granules, rasters))
     plan = cut_lineage(plan_tiles(layer, targets, max_live_bytes))
     painted = paint(layer, warp_tiles(layer, shape_tiles(layer, targets, plan), pixels, chunk))
-    return painted, trace_rows(layer, targets, plan, granules, tiles)
+    return painted, trace_rows(layer, targets, plan)
 
 
 def tile_reads(shaped: DataFrame, refs: DataFrame) -> DataFrame:
@@ -265,7 +262,7 @@ def render_refs(
     read = read_chunk_refs(wanted, root, whole_files=whole_files)
     where = F.concat_ws(" ", F.lit("block"), "asset", "level", "cy", "cx", "error")
     blocks = read.withColumn("values", F.when(F.col("error").isNull(), F.col("values")).otherwise(F.raise_error(where).cast("array<double>")))
-    return paint(layer, warp_tiles(layer, shaped, blocks)), trace_rows(layer, targets, plan, granules, tiles, tile_reads(shaped, refs))
+    return paint(layer, warp_tiles(layer, shaped, blocks)), trace_rows(layer, targets, plan, tile_reads(shaped, refs))
 
 
 def tile_keys(layer: Layer, resolved: DataFrame) -> DataFrame:
@@ -287,7 +284,7 @@ def render_cached(
     """
     keyed = cut_lineage(tile_keys(layer, resolve_tiles(layer, tiles, granules)))
     todo = missing_tiles(keyed, stored)
-    targets = cut_lineage(_targets(layer, todo.select(*TILE), granules, rasters))
+    targets = cut_lineage(_targets(layer, todo.select(*TILE, "requested_ms"), granules, rasters))
     plan = cut_lineage(plan_tiles(layer, targets))
     fresh = paint(layer, warp_tiles(layer, shape_tiles(layer, targets, plan), pixels, chunk)).join(todo.select(*TILE, "tile_key"), TILE)
     hits = keyed.join(stored.select("tile_key"), "tile_key", "left_semi").select(
@@ -297,7 +294,7 @@ def render_cached(
         F.array().cast(f"array<{PROVENANCE}>").alias("provenance"), "tile_key",
     )
     named = todo.select(T.tile_key("z", "x", "y").alias("tile"), "granule_id", "tile_key")
-    done = trace_rows(layer, targets, plan, granules, tiles).join(named, ["tile", "granule_id"])
+    done = trace_rows(layer, targets, plan).join(named, ["tile", "granule_id"])
     return fresh, done.unionByName(hits, allowMissingColumns=True)
 
 

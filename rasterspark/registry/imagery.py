@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions import bands as B
-from ..functions.palettes import RDYLGN_ANCHORS
+from ..functions.palettes import apply_palette
 from ..operators import images as I
 from ..operators import pixels as P
 from ..operators import udf as U
@@ -26,12 +26,13 @@ def quantize_sql(value: str) -> str:
     return f"CASE WHEN {value} IS NOT NULL THEN CAST(floor(least(greatest({value}, 0.0::DOUBLE), 255.0::DOUBLE)) AS SMALLINT) END"
 
 
-_stops = "[" + ", ".join(f"[{r}, {g}, {b}]" for r, g, b in RDYLGN_ANCHORS) + "]"
-LUT_SQL = f"""stops AS (SELECT {_stops} AS s), lut AS (SELECT i AS idx,
-  (s[i * 10 // 255 + 1][1] * (255 - i * 10 % 255) + s[least(i * 10 // 255 + 2, 11)][1] * (i * 10 % 255)) // 255 AS r,
-  (s[i * 10 // 255 + 1][2] * (255 - i * 10 % 255) + s[least(i * 10 // 255 + 2, 11)][2] * (i * 10 % 255)) // 255 AS g,
-  (s[i * 10 // 255 + 1][3] * (255 - i * 10 % 255) + s[least(i * 10 // 255 + 2, 11)][3] * (i * 10 % 255)) // 255 AS b
-  FROM stops, generate_series(0, 255) AS n(i))"""
+# The eleven published anchors, written out here so that the table does not come from the code it checks.
+LUT_SQL = """stops AS (SELECT [[165, 0, 38], [215, 48, 39], [244, 109, 67], [253, 174, 97], [254, 224, 139], [255, 255, 191], [217, 239, 139], [166, 217, 106], [102, 189, 99], [26, 152, 80], [0, 104, 55]] AS s),
+spots AS (SELECT s, i, 255 * (i * (1.0::DOUBLE / 255)) AS x, list_transform(range(11), lambda k: (k * 0.1::DOUBLE) * 255) AS xs FROM stops, generate_series(0, 255) AS n(i)),
+segs AS (SELECT *, least(greatest(len(list_filter(xs, lambda a: a < x)), 1), 10) AS u FROM spots),
+shares AS (SELECT *, CASE i WHEN 0 THEN 0.0::DOUBLE WHEN 255 THEN 1.0::DOUBLE ELSE (x - xs[u]) / (xs[u + 1] - xs[u]) END AS t FROM segs),
+mixes AS (SELECT i, list_transform([1, 2, 3], lambda c: CAST(floor((t * (s[u + 1][c] / 255.0::DOUBLE - s[u][c] / 255.0::DOUBLE) + s[u][c] / 255.0::DOUBLE) * 255) AS BIGINT)) AS m FROM shares),
+lut AS (SELECT i AS idx, m[1] AS r, m[2] AS g, m[3] AS b FROM mixes)"""
 
 
 def wide(spark, sf):
@@ -55,6 +56,13 @@ def render_ndvi_pixels(spark, sf):
     return P.colormap(ndvi_gray(spark, sf), "gray", "rdylgn").drop("gray")
 
 
+@query("palette_rdylgn", f"WITH {LUT_SQL}, hits AS (SELECT prow, count(*) AS n FROM (SELECT abs(value) % 256 AS prow FROM ({'WITH ' + X.DENSE_SQL} SELECT * FROM dense)) GROUP BY prow) SELECT idx, n AS pixels, CAST(r AS SMALLINT) AS r, CAST(g AS SMALLINT) AS g, CAST(b AS SMALLINT) AS b FROM hits JOIN lut ON idx = prow")
+def palette_rdylgn(spark, sf):
+    """Every byte that occurs, with its colour."""
+    gray = X.dense(spark, sf).groupBy((F.abs("value") % 256).cast("long").alias("idx")).agg(F.count("*").alias("pixels"))
+    return gray.withColumn("c", apply_palette(F.col("idx").cast("double"), "rdylgn")).select("idx", "pixels", "c.r", "c.g", "c.b")
+
+
 @query("pivot_bands", f'WITH {X.WIDE_SQL} SELECT prow AS "row", pcol AS col, red, nir, green FROM wide')
 def pivot_bands(spark, sf):
     return wide(spark, sf)

@@ -135,7 +135,7 @@ def manifest_summary(spark, sf):
 @query(
     "commit_report",
     """WITH a AS (SELECT p_partkey AS name, CASE p_partkey % 6 WHEN 0 THEN '|S' || p_size ELSE 'int16' END AS dtype, CASE p_partkey % 5 WHEN 0 THEN 'zlib:' || p_size WHEN 1 THEN 'zlib:x' WHEN 2 THEN 'szip' END AS codec FROM part)
-SELECT name, CASE WHEN name % 6 = 0 THEN 'dtype `' || dtype || '` has no mapping (metadata, not pixels)' WHEN codec = 'zlib:x' THEN 'zlib level `x` is not a number' WHEN codec = 'szip' THEN 'codec `szip` has no mapping' END AS reason FROM a""",
+SELECT name, CASE WHEN name % 6 = 0 THEN 'dtype `' || dtype || '` is not a sample type of the store' WHEN codec = 'zlib:x' THEN 'compression level `x` is no whole number of a byte' WHEN codec = 'szip' THEN 'filter `szip` is unknown to the store' END AS reason FROM a""",
 )
 def commit_report(spark, sf):
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")

@@ -275,7 +275,7 @@ p AS (SELECT n.tile, live, factor, cost, payload, live <= 6000000 AS ok, most FR
 SELECT tile, CASE WHEN payload IS NOT NULL THEN 'cache_hit' WHEN factor IS NOT NULL AND (cost <= live OR NOT ok) THEN 'overview' WHEN ok THEN 'live' ELSE 'refuse' END AS chosen,
   CASE WHEN payload IS NOT NULL THEN 0 WHEN factor IS NOT NULL AND (cost <= live OR NOT ok) THEN factor WHEN ok THEN 1 END AS factor,
   CASE WHEN payload IS NOT NULL THEN payload WHEN factor IS NOT NULL AND (cost <= live OR NOT ok) THEN cost ELSE live END AS cost,
-  CASE WHEN payload IS NOT NULL THEN 'not estimated: cache hit short-circuits' WHEN factor IS NOT NULL THEN 'coarsest overview within the oversample threshold' WHEN most = 0 THEN 'source has no overviews' ELSE 'no overview factor eligible at this zoom' END AS overview_reason FROM p""",
+  CASE WHEN payload IS NOT NULL THEN 'not weighed, the cache has it' WHEN factor IS NOT NULL THEN 'coarsest overview that is fine enough' WHEN most = 0 THEN 'no band has an overview' ELSE 'every overview is too coarse here' END AS overview_reason FROM p""",
 )
 def materialization_plan(spark, sf):
     cache = X.table(spark, sf, "orders").where(F.col("o_custkey") % 9 == 0).select(F.col("o_orderkey").alias("tile"), (F.col("o_custkey") + 100).alias("payload_bytes"))

@@ -124,13 +124,13 @@ def skip_reason(dtype: str = "dtype", codecs: str = "codecs") -> Column:
     return (
         F.when(
             ~F.col(dtype).isin(*STORE_DTYPES),
-            F.concat(F.lit("dtype `"), F.col(dtype), F.lit("` has no mapping (metadata, not pixels)")),
+            F.concat(F.lit("dtype `"), F.col(dtype), F.lit("` is not a sample type of the store")),
         )
         .when(
             first_bad.rlike(r"^zlib:"),
-            F.concat(F.lit("zlib level `"), F.substring_index(first_bad, ":", -1), F.lit("` is not a number")),
+            F.concat(F.lit("compression level `"), F.substring_index(first_bad, ":", -1), F.lit("` is no whole number of a byte")),
         )
-        .when(first_bad.isNotNull(), F.concat(F.lit("codec `"), first_bad, F.lit("` has no mapping")))
+        .when(first_bad.isNotNull(), F.concat(F.lit("filter `"), first_bad, F.lit("` is unknown to the store")))
     )
 
 

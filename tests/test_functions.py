@@ -93,7 +93,12 @@ def test_palette_stops():
     table = P.palette("rdylgn")
     stops = {0: (165, 0, 38), 64: (248, 142, 82), 128: (254, 254, 189), 192: (132, 202, 102), 255: (0, 104, 55)}
     assert {i: table[i] for i in stops} == stops
-    assert P.palette("viridis")[255] == (253, 231, 36) and P.palette("magma")[0] == (0, 0, 3)
+    table = P.palette("rdylgn")
+    assert [table[i] for i in (0, 25, 51, 101, 128, 204, 255)] == [(165, 0, 38), (214, 47, 38), (244, 109, 67), (253, 222, 137), (254, 254, 189), (102, 189, 99), (0, 104, 55)]
+    given = [(i, 255 - i, 7) for i in range(256)]
+    assert P.palette("viridis", {"viridis": given}) == given
+    with pytest.raises(ValueError):
+        P.palette("viridis")
 
 
 def test_cfgrib_names(spark):
