@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import temporal
-from .ordered import neighbour, position
+from .ordered import circle
 
 SAFE_ID = r"^[A-Za-z0-9_-]+$"
 
@@ -224,34 +224,14 @@ def upsert(catalog: DataFrame, updates: DataFrame, keys: list[str], version: str
 # --- frames ---
 
 
-def frames(granules: DataFrame, width_ms: int = 86_400_000) -> DataFrame:
+def frames(granules: DataFrame) -> DataFrame:
     """Distinct acquisition instants per dataset with index, next and after-next (wrapping round).
 
-    Granules of one instant are one frame. Instants are whole milliseconds, so a range of
-    ``width_ms`` holds at most that many frames.
+    Granules of one instant are one frame. One pass over sampled ranges gives all three.
     """
-    distinct = granules.groupBy("dataset", temporal.instant_ms("datetime").alias("frame_ms")).agg(
-        F.count("*").alias("granules")
-    )
-    indexed = position(distinct, ["dataset"], "frame_ms", "frame_index", width_ms)
-    ahead = neighbour(indexed, ["dataset"], "frame_ms", "frame_ms", "_next", 1, width_ms)
-    ahead = neighbour(ahead, ["dataset"], "frame_ms", "_next", "_after", 1, width_ms)
-    ends = distinct.groupBy("dataset").agg(
-        F.min("frame_ms").alias("_first"),
-        F.count("*").alias("_n"),
-    )
-    second = indexed.where("frame_index = 1").select("dataset", F.col("frame_ms").alias("_second"))
-    ends = ends.join(second, "dataset", "left").withColumn("_second", F.coalesce("_second", "_first"))
-    last = F.col("frame_index") == F.col("_n") - 1
-    before_last = F.col("frame_index") == F.col("_n") - 2
-    return ahead.join(ends, "dataset").select(
-        "dataset",
-        "frame_ms",
-        "frame_index",
-        "granules",
-        F.when(last, F.col("_first")).otherwise(F.col("_next")).alias("next_ms"),
-        F.when(last, F.col("_second")).when(before_last, F.col("_first")).otherwise(F.col("_after")).alias("after_next_ms"),
-    )
+    distinct = granules.groupBy("dataset", temporal.instant_ms("datetime").alias("frame_ms")).agg(F.count("*").alias("granules"))
+    found = circle(distinct, ["dataset"], "frame_ms", ("frame_index", "next_ms", "after_next_ms"))
+    return found.select("dataset", "frame_ms", "frame_index", "granules", "next_ms", "after_next_ms")
 
 
 # --- footprints ---

@@ -23,17 +23,29 @@ from rasterspark.sources import exports as EX
 
 def test_ordered_helpers_match_pandas(spark):
     rng = np.random.default_rng(7)
-    pdf = pd.DataFrame({"k": rng.choice(["hot", "cold"], 400, p=[0.9, 0.1]), "id": rng.permutation(4000)[:400], "v": rng.integers(0, 9, 400)})
+    pdf = pd.DataFrame({"k": rng.choice(["hot", "cold"], 400, p=[0.9, 0.1]), "id": rng.permutation(4000)[:400] * 982_451_653, "v": rng.integers(0, 9, 400)})
     df = spark.createDataFrame(pdf)
-    # ranges of 100 ids, blocks of 20 rows: several ranges and blocks per key
-    got = O.running_totals(df, ["k"], "id", {"total": F.col("v")}, 100).toPandas().sort_values(["k", "id"])
+    # sparse ids, a hot key over several ranges, blocks of 20 rows
+    ranges = O.sampled_ranges(df, ["k", "id"]).groupBy("_range").count().collect()
+    assert len(ranges) > 2 and max(r["count"] for r in ranges) < 250
+    got = O.running_totals(df, ["k"], "id", {"total": F.col("v")}).toPandas().sort_values(["k", "id"])
     want = pdf.sort_values(["k", "id"])
     assert list(got["total"]) == list(want.groupby("k")["v"].cumsum())
-    near = O.neighbour(df, ["k"], "id", "v", "prev", -1, 100).toPandas().sort_values(["k", "id"])
+    near = O.neighbour(df, ["k"], "id", "v", "prev", -1).toPandas().sort_values(["k", "id"])
     assert near["prev"].fillna(-1).tolist() == want.groupby("k")["v"].shift().fillna(-1).tolist()
-    blocks = O.trailing_rows(df, ["k"], "id", 7, 100, 20)
+    blocks = O.trailing_rows(df, ["k"], "id", 7, 20)
     sizes = blocks.groupBy("k", "_block").count().agg(F.max("count")).first()[0]
     assert sizes <= 26 and blocks.where("_home").count() == 400
+    placed = O.position(df, [], "id").toPandas().sort_values("id")
+    assert placed["position"].tolist() == list(range(400))
+
+
+@pytest.mark.parametrize("sizes", [{"one": 1, "two": 2, "three": 3, None: 2}, {"hot": 90, "x": 1, "y": 2}])
+def test_circle_wraps_round(spark, sizes):
+    rows = [(k, i * i * 10_007) for k, n in sizes.items() for i in range(n)]
+    got = O.circle(spark.createDataFrame(rows, "k string, v long").repartition(3), ["k"], "v", ("i", "a", "b")).collect()
+    at = lambda k, i: (i % sizes[k]) ** 2 * 10_007
+    assert sorted(map(tuple, got), key=str) == sorted(((k, at(k, i), i, at(k, i + 1), at(k, i + 2)) for k, n in sizes.items() for i in range(n)), key=str)
 
 
 @pytest.mark.parametrize("n", [1, 2, 19, 500])
@@ -192,7 +204,7 @@ def test_exported_layers_stay(spark, tmp_path):
 
 def test_windows_longer_than_a_block(spark):
     df = spark.range(700).select(F.lit("k").alias("k"), "id")
-    blocks = O.trailing_rows(df, ["k"], "id", 300, 100, 100)
+    blocks = O.trailing_rows(df, ["k"], "id", 300, 100)
     window = Window.partitionBy("k", "_block").orderBy("id").rowsBetween(-299, 0)
     got = blocks.withColumn("n", F.count("*").over(window)).where("_home").select("id", "n").collect()
     assert {r["id"]: r["n"] for r in got} == {i: min(i + 1, 300) for i in range(700)}
