@@ -219,3 +219,21 @@ def test_crossing_boxes_meet_once(spark):
     for z in (0, 1, 4):
         tiles = [tuple(r) for r in S.tiles_for_footprints(left, z).select("id", "z", "x", "y").collect()]
         assert len(tiles) == len(set(tiles)) > 0
+
+
+def test_hot_tiles_split(spark):
+    rng = np.random.default_rng(8)
+
+    def boxes(n, seed):
+        west, south = 10.0 + 4 * rng.random(n), 42.0 + 4 * rng.random(n)  # all in one tile of zoom 6
+        rows = [(int(i), (float(w), float(s), float(w + d), float(s + d))) for i, w, s, d in zip(range(n), west, south, rng.choice([0.001, 0.2, 1.5], n))]
+        rows += [(n, (-180.0, -60.0, 180.0, 60.0)), (n + 1, (170.0, 41.0, 12.0, 43.0)), (n + 2, (11.0, 42.5, 11.0, 42.5))]
+        return spark.createDataFrame(rows, "id long, bbox struct<west double, south double, east double, north double>"), rows
+
+    (left, a), (right, b) = boxes(150, 1), boxes(120, 2)
+    parts = lambda w, e: [(w, e)] if w <= e else [(w, 180.0), (-180.0, e)]
+    meet = lambda p, q: p[1] <= q[3] and p[3] >= q[1] and any(u <= y and v >= x for u, v in parts(p[0], p[2]) for x, y in parts(q[0], q[2]))
+    want = sorted((i, j) for i, p in a for j, q in b if meet(p, q))
+    for hot in (S.HOT_PAIRS, 500, 1):
+        got = S.bbox_join(left, right, hot_pairs=hot)
+        assert sorted(map(tuple, got.collect())) == want
