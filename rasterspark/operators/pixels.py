@@ -114,15 +114,24 @@ def _horn_shade(z: list[list[Column]]) -> Column:
     return B.finite_or_null(F.when(dot > 0, dot / norm).otherwise(F.when(dot.isNotNull(), F.lit(0.0))))
 
 
-def hillshade(pixels: DataFrame, keys: list[str], value: str = "value", tile_size: int | None = None) -> DataFrame:
+#: Pixels along a side of the blocks that relief is shaded in.
+SHADE_BLOCK = 512
+
+
+def hillshade(pixels: DataFrame, keys: list[str], value: str = "value", tile_size: int | None = None, block: int = SHADE_BLOCK) -> DataFrame:
     """Relief shading ``shade`` (3x3 gradient); NULL at borders and next to invalid pixels.
 
-    Two windows, each partition one raster row or one raster column. ``tile_size`` makes tile edges
-    count as borders too.
+    Pixels are dealt once to blocks with a halo of one cell, which a border pixel's neighbours need; the
+    windows across and down stay inside a block, so no partition grows with the raster. ``tile_size``
+    makes tile edges count as borders too.
     """
-    pixel_keys = [F.col(k) for k in keys]
-    across = Window.partitionBy(*pixel_keys, "row").orderBy("col")
-    down = Window.partitionBy(*pixel_keys, "col").orderBy("row")
+    near = lambda axis: F.array_distinct(F.array(F.floor((F.col(axis) - 1) / block), F.floor((F.col(axis) + 1) / block)))
+    dealt = pixels.withColumn("_by", F.explode(near("row"))).withColumn("_bx", F.explode(near("col")))
+    home = [*keys, "_by", "_bx"]
+    dealt = dealt.repartition(*home)
+    block_keys = [F.col(k) for k in home]
+    across = Window.partitionBy(*block_keys, "row").orderBy("col")
+    down = Window.partitionBy(*block_keys, "col").orderBy("row")
     # a neighbour counts only when it is the adjacent cell, since invalid pixels may have no row
     left = F.when(F.lag("col").over(across) == F.col("col") - 1, F.lag(value).over(across))
     right = F.when(F.lead("col").over(across) == F.col("col") + 1, F.lead(value).over(across))
@@ -130,13 +139,14 @@ def hillshade(pixels: DataFrame, keys: list[str], value: str = "value", tile_siz
         left.isNotNull() & right.isNotNull() & F.col(value).isNotNull(),
         F.struct(left.cast("double").alias("p"), F.col(value).cast("double").alias("q"), right.cast("double").alias("s")),
     )
-    rows = pixels.withColumn("_mid", triple)
+    rows = dealt.withColumn("_mid", triple)
     above = F.when(F.lag("row").over(down) == F.col("row") - 1, F.lag("_mid").over(down))
     below = F.when(F.lead("row").over(down) == F.col("row") + 1, F.lead("_mid").over(down))
     stacked = rows.withColumn("_up", above).withColumn("_down", below)
+    own = (F.floor(F.col("row") / block) == F.col("_by")) & (F.floor(F.col("col") / block) == F.col("_bx"))
     grid = [[F.col(f"{line}.{c}") for c in "pqs"] for line in ("_up", "_mid", "_down")]
     inside = F.lit(True)
     if tile_size is not None:
         for axis in ("row", "col"):
             inside = inside & (F.col(axis) % tile_size).between(1, tile_size - 2)
-    return stacked.withColumn("shade", F.when(inside, _horn_shade(grid))).drop("_mid", "_up", "_down")
+    return stacked.where(own).withColumn("shade", F.when(inside, _horn_shade(grid))).drop("_mid", "_up", "_down", "_by", "_bx")

@@ -8,13 +8,14 @@ A tile is the unit of work and has a fixed size, so a group is bounded.
 from __future__ import annotations
 
 import hashlib
-import inspect
 import json
-from collections.abc import Callable
+import types
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +26,52 @@ TileFunction = Callable[[Planes, Planes, dict], list[tuple[np.ndarray, np.ndarra
 OUTPUT_NAMES = {1: ["gray"], 3: ["r", "g", "b"]}
 
 
+def _content(value, seen: set[int]) -> list[str]:  # noqa: ANN001 - any value a function may refer to
+    """Texts that change whenever what a function does may change: code, constants, defaults, closures, helpers."""
+    if isinstance(value, types.ModuleType):
+        return ["module", value.__name__]
+    if isinstance(value, types.CodeType):
+        inner = [t for c in value.co_consts for t in _content(c, seen)]
+        return ["code", value.co_code.hex(), *value.co_names, *value.co_varnames, *inner]
+    if isinstance(value, types.MethodType):
+        return ["method", *_content(value.__self__, seen), *_content(value.__func__, seen)]
+    if isinstance(value, types.FunctionType):
+        if id(value) in seen:
+            return ["again", value.__qualname__]
+        seen.add(id(value))
+        cells = [t for c in value.__closure__ or () for t in _content(c.cell_contents, seen)]
+        rest = [t for d in (value.__defaults__, value.__kwdefaults__) for t in _content(d, seen)]
+        names = {n for code in _codes(value.__code__) for n in code.co_names if n in value.__globals__}
+        helpers = [t for n in sorted(names) for t in [n, *_content(value.__globals__[n], seen)]]
+        return ["function", *_content(value.__code__, seen), *cells, *rest, *helpers]
+    if isinstance(value, (list, tuple)):
+        return [type(value).__name__, *(t for v in value for t in _content(v, seen)), "end"]
+    if isinstance(value, dict):
+        return ["dict", *(t for k in sorted(value, key=repr) for t in [repr(k), *_content(value[k], seen)]), "end"]
+    if isinstance(value, np.ndarray):
+        return ["array", str(value.dtype), str(value.shape), hashlib.sha256(np.ascontiguousarray(value).tobytes()).hexdigest()]
+    if value is None or isinstance(value, (bool, int, float, complex, str, bytes, frozenset)):
+        return [type(value).__name__, repr(sorted(value, key=repr) if isinstance(value, frozenset) else value)]
+    if isinstance(value, type):
+        return ["class", value.__module__, value.__qualname__]
+    return ["pickled", hashlib.sha256(cloudpickle.dumps(value)).hexdigest()]
+
+
+def _codes(code: types.CodeType) -> Iterator[types.CodeType]:
+    """A code object and those nested in it."""
+    yield code
+    for const in code.co_consts:
+        if isinstance(const, types.CodeType):
+            yield from _codes(const)
+
+
 @dataclass(frozen=True)
 class TileUdf:
-    """A user function with what identifies it: code digest, output planes, parameters."""
+    """A user function with what identifies it: code digest, output planes, parameters.
+
+    The digest covers the function's code and all that it refers to: helpers, closures, defaults, global
+    constants; modules by name. It holds for one Python version, whose byte code it reads.
+    """
 
     fn: TileFunction
     output_planes: int
@@ -39,7 +83,7 @@ class TileUdf:
 
     @property
     def code_hash(self) -> str:
-        return hashlib.sha256(inspect.getsource(self.fn).encode()).hexdigest()
+        return hashlib.sha256("\x1f".join(_content(self.fn, set())).encode()).hexdigest()
 
     def identity(self) -> str:
         """Canonical text that goes into a tile's content key."""

@@ -8,7 +8,7 @@ the one large join is pixels against target pixels.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,7 @@ from ..operators.chunks import pack_chunks
 from ..operators.images import CHANNELS
 from ..operators.pixels import pivot_bands
 from ..operators.spatial import deepest_containing_tile
+from ..operators.udf import TileUdf, run_udf
 from ..schema import PROVENANCE as PROVENANCE_TYPE
 from ..session import cut_lineage
 from ..sources.chunk_reader import allocated, read_chunk_refs
@@ -45,7 +46,7 @@ BAND = [*TILE, "band", "asset", "level"]
 
 @dataclass(frozen=True)
 class Layer:
-    """How a dataset is shown: an expression tuple (gray) or three bands (RGB), stretch and palette."""
+    """How a dataset is shown: an expression tuple (gray), three bands (RGB) or a user function (either), stretch and palette."""
 
     id: str
     dataset: str
@@ -57,11 +58,12 @@ class Layer:
     palette: str = "grayscale"
     resampling: str = "bilinear"
     tile_size: int = 256
+    udf: TileUdf | None = None
 
     def __post_init__(self) -> None:
-        if (self.expression is None) == (self.rgb is None):
-            raise ValueError("a layer has either an expression or three bands")
-        used = self.rgb or B.referenced_bands(self.expression)
+        if sum(x is not None for x in (self.expression, self.rgb, self.udf)) != 1:
+            raise ValueError("a layer has one of an expression, three bands and a user function")
+        used = self.inputs if self.udf else self.rgb or B.referenced_bands(self.expression)
         if missing := [b for b in used if b not in self.inputs]:
             raise ValueError(f"layer {self.id!r} uses undeclared bands {missing}")
         if not self.low < self.high:
@@ -69,7 +71,9 @@ class Layer:
 
     def plan_json(self) -> str:
         """Canonical text of everything that shapes the pixels."""
-        plan = {k: v for k, v in asdict(self).items() if k not in ("id", "dataset")}
+        plan = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("id", "dataset", "udf")}
+        if self.udf is not None:
+            plan["udf"] = json.loads(self.udf.identity())
         return json.dumps(plan, sort_keys=True)
 
 
@@ -152,7 +156,13 @@ def warp_tiles(layer: Layer, shaped: DataFrame, pixels: DataFrame, chunk: tuple[
 def paint(layer: Layer, wide: DataFrame) -> DataFrame:
     """Band values to ``r, g, b, a``; every declared input must be valid."""
     valid = B.all_valid(*layer.inputs)
-    if layer.rgb:
+    if layer.udf:
+        wide = run_udf(wide, TILE, list(layer.inputs), layer.udf, layer.tile_size)
+        if layer.udf.output_planes == 3:
+            color = F.struct(*[B.quantize(B.rescale(c, layer.low, layer.high)).alias(c) for c in "rgb"])
+        else:
+            color = apply_palette(B.rescale("gray", layer.low, layer.high), layer.palette)
+    elif layer.rgb:
         shade = [B.rescale(b, layer.low, layer.high) for b in layer.rgb]
         color = F.when(valid, F.struct(*[B.quantize(s).alias(n) for s, n in zip(shade, "rgb")]))
     else:

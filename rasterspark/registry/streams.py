@@ -13,6 +13,7 @@ from ..operators import spatial as S
 from ..operators import warp as W
 from ..plans import jobs as J
 from ..operators.chunks import pack_chunks
+from ..operators.udf import TileUdf, ndvi_tile
 from ..session import checkpoint_dir
 from ..sources import granules as SG
 from ..sources.chunk_reader import write_chunk_files
@@ -60,7 +61,16 @@ def stream_trace_metrics(spark, sf):
 WINDOW w AS (PARTITION BY layer ORDER BY id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)""",
 )
 def stream_rolling_quantiles(spark, sf):
-    out = drain(ST.rolling_quantile_stream(_traces(spark, sf)), spark, "append")
+    base = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    # two passes of one query: the second takes up the windows where the first left them
+    early = X.table(spark, sf, "events").agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    for low, high in ((None, early), (early, None)):
+        rows = X.table(spark, sf, "events").where(F.col("event_id") <= high if low is None else F.col("event_id") > low)
+        rows.write.mode("append").parquet(f"{base}/in")
+        arriving = X.traces(spark, sf, spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        sink = ST.rolling_quantile_sink(f"{base}/out", f"{base}/kept")
+        arriving.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
     return out.select("layer", "id", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
@@ -196,6 +206,15 @@ def render_tiles(spark, sf):
     return painted.select("granule_id", "x", "y", "row", "col", "r", "g", "b", "a")
 
 
+@query("render_udf", SQL["render_tiles"])
+def render_udf(spark, sf):
+    """The same layer, its index computed by a user function over tiles."""
+    granules, rasters, pixels, tiles = scene(spark, sf)
+    layer = J.Layer("ndvi", "scene", ("nir", "red"), None, None, -1.0, 1.0, "grayscale", "nearest", SIZE, TileUdf(ndvi_tile, 1))
+    painted, _ = J.render(layer, tiles, granules, rasters, pixels)
+    return painted.select("granule_id", "x", "y", "row", "col", "r", "g", "b", "a")
+
+
 @query(
     "render_cached",
     f"""WITH {RENDER_SQL} SELECT CAST(asset AS VARCHAR) AS granule_id, x, y, count(*) AS pixels, CAST(sum(v) AS BIGINT) AS total FROM gray WHERE (x + y) % 2 = 1 GROUP BY ALL""",

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.traces import KINDS
+from ..operators.ordered import position
+from ..operators.traces import KINDS, rolling_quantiles
+from ..session import cut_lineage
 
-ROLLING_SCHEMA = "layer string, id long, p50 double, p95 double"
 LATEST_SCHEMA = "layer string, tile string, id long, decision string"
 LAG_SCHEMA = "producer string, received long, missed long, last_id long"
 
@@ -25,27 +25,34 @@ def trace_metrics(traces: DataFrame, keys: list[str]) -> DataFrame:
     return traces.groupBy(*keys).agg(*counts, F.try_divide(hits, F.count("*")).alias("hit_rate"), *best)
 
 
-def rolling_quantile_stream(traces: DataFrame, size: int = 200, shards: int = 1) -> DataFrame:
-    """p50 and p95 of ``total_ms`` over the last ``size`` rows per layer, emitted per trace.
+def rolling_quantile_sink(out: str, state: str, size: int = 200) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: p50 and p95 of ``total_ms`` over the last ``size`` rows per layer, for every trace.
 
-    State is a bounded list per layer. Rows of one micro-batch are taken in id order. A layer is one
-    state key because its window follows arrival order; ``rolling_quantiles`` is the batch form that
-    spreads a hot layer.
+    A layer's window follows arrival: batch after batch, by id inside a batch. Only the last ``size - 1``
+    rows of every layer are kept between batches; before a batch they are put ahead of it and the batch
+    operator does the work, which cuts a hot layer into ranges of rows. Results of a batch lie in
+    ``out/batch=``, the rows kept in one of two folders by turns, so a batch that runs again finds what
+    it built on and replaces its own output.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("id")
-        out = []
-        for trace_id, value in zip(rows["id"], rows["total_ms"]):
-            recent = (recent + [float(value)])[-size:]
-            p50, p95 = np.quantile(recent, [0.5, 0.95])
-            out.append((key[0], int(trace_id), float(p50), float(p95)))
-        state.update((recent,))
-        yield pd.DataFrame(out, columns=["layer", "id", "p50", "p95"])
-
-    grouped = traces.select("layer", "id", "total_ms").groupBy("layer")
-    return grouped.applyInPandasWithState(run, ROLLING_SCHEMA, "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.select("layer", "id", "total_ms", F.lit(True).alias("_new"))
+        if batch_id > 0:
+            kept = spark.read.parquet(f"{state}/slot={(batch_id - 1) % 2}")
+            if (found := kept.agg(F.max("batch")).first()[0]) not in (None, batch_id - 1):
+                raise ValueError(f"the rows kept are of batch {found}, not {batch_id - 1}")
+            fresh = fresh.unionByName(kept.select("layer", "id", "total_ms", F.lit(False).alias("_new")))
+        rows = cut_lineage(fresh.withColumn("_order", F.struct("_new", "id")))
+        quantiles = rolling_quantiles(rows, ["layer"], "total_ms", "_order", size)
+        done = quantiles.where("_order._new").select("layer", F.col("_order.id").alias("id"), "p50", "p95")
+        done.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        placed = position(rows, ["layer"], "_order", "_pos")
+        counts = rows.groupBy(F.col("layer").alias("_layer")).agg(F.count("*").alias("_n"))
+        last = placed.join(counts, F.col("layer").eqNullSafe(F.col("_layer"))).where(F.col("_pos") >= F.col("_n") - (size - 1))
+        last.select("layer", "id", "total_ms", F.lit(batch_id).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{state}/slot={batch_id % 2}")
+
+    return run
 
 
 def latest_tile_stream(traces: DataFrame, idle: str = "1 hour") -> DataFrame:

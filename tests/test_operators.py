@@ -237,3 +237,51 @@ def test_hot_tiles_split(spark):
     for hot in (S.HOT_PAIRS, 500, 1):
         got = S.bbox_join(left, right, hot_pairs=hot)
         assert sorted(map(tuple, got.collect())) == want
+
+
+_SHIFT = 1.0
+
+
+def _helper(x):
+    return x + _SHIFT
+
+
+def test_function_identity_covers_what_it_refers_to(monkeypatch):
+    def made(k, table=(1, 2)):
+        inner = lambda v: v * k
+        return U.TileUdf(lambda values, valid, params: [(inner(_helper(values["a"])), valid["a"])], 1, {"t": table})
+
+    one = made(2).identity()
+    assert one == made(2).identity() and one != made(3).identity() and one != made(2, (1, 3)).identity()
+    monkeypatch.setitem(globals(), "_SHIFT", 2.0)
+    assert made(2).identity() != one
+    monkeypatch.setitem(globals(), "_SHIFT", 1.0)
+    monkeypatch.setitem(globals(), "_helper", lambda x: x - _SHIFT)
+    assert made(2).identity() != one
+
+
+def test_relief_is_the_same_in_blocks(spark):
+    from rasterspark.operators.pixels import hillshade
+
+    z = np.random.default_rng(2).integers(0, 90, (9, 11))
+    df = spark.createDataFrame([(r, c, float(z[r, c])) for r in range(9) for c in range(11) if (r, c) != (4, 5)], "row long, col long, value double")
+    whole = {(r["row"], r["col"]): r["shade"] for r in hillshade(df, []).collect()}
+    small = hillshade(df, [], block=3).collect()
+    assert len(small) == len(whole) and {(r["row"], r["col"]): r["shade"] for r in small} == whole
+    assert sum(v is not None for v in whole.values()) == 7 * 9 - 9
+
+
+def test_rolling_quantiles_of_a_hot_layer_over_batches(spark, tmp_path):
+    from rasterspark.operators.traces import rolling_quantiles
+    from rasterspark.streaming.traces import rolling_quantile_sink
+
+    rng = np.random.default_rng(4)
+    rows = [("hot" if rng.random() < 0.9 else "cold", i * 7_919, float(rng.integers(0, 99))) for i in range(300)]
+    schema = "layer string, id long, total_ms double"
+    sink = rolling_quantile_sink(str(tmp_path / "out"), str(tmp_path / "kept"), 20)
+    for batch, part in enumerate((rows[:120], rows[120:125], rows[125:])):
+        for _ in range(2):  # every batch runs twice
+            sink(spark.createDataFrame(part, schema), batch)
+    got = {(r["layer"], r["id"]): (r["p50"], r["p95"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = rolling_quantiles(spark.createDataFrame(rows, schema), ["layer"], size=20).collect()
+    assert got == {(r["layer"], r["id"]): (r["p50"], r["p95"]) for r in want} and len(got) == 300
