@@ -30,6 +30,8 @@ HEADLINE = [
     "hillshade",
     "warp_nearest",
     "warp_bilinear",
+    "warp_nearest_chunks",
+    "warp_bilinear_chunks",
     "compare_manifests",
     "zonal_stats",
     "tile_content_key",
