@@ -98,3 +98,19 @@ def test_traces_round_trip(spark, tmp_path):
     write_traces(df, str(tmp_path / "t"))
     got = read_traces(spark, str(tmp_path / "t")).collect()
     assert [(r["id"], r["x"], r["trace"]["bytes_read"]) for r in got] == [(1, 1, 5)]
+
+
+def test_fresh_tiles_resolve_against_the_whole_catalog(spark, sf_dir, tmp_path):
+    from rasterspark.operators.warp import raster_bounds
+    from rasterspark.registry.warping import ZOOM, utm_rasters
+    from rasterspark.streaming.render import render_after
+
+    granules, rasters, pixels, _ = scene(spark, sf_dir)
+    boxes = raster_bounds(utm_rasters(spark, sf_dir)).select(F.col("asset").cast("string").alias("id"), F.struct("west", "south", "east", "north").alias("bbox"))
+    first = granules.where("id = '0'")
+    stored = first.withColumn("id", F.lit("z"))  # of the same millisecond, with a greater id
+    out = str(tmp_path / "out")
+    render_after(LAYER, ZOOM, lambda: rasters, lambda: pixels, out, lambda: first.unionByName(stored))(first.join(boxes, "id"), 0)
+    traces = spark.read.parquet(f"{out}/traces/batch=0").collect()
+    assert traces and {r["granule_id"] for r in traces} == {"z"}
+    assert spark.read.parquet(f"{out}/pixels/batch=0").where("granule_id <> 'z'").count() == 0
