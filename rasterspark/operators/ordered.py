@@ -100,6 +100,17 @@ def neighbour(df: DataFrame, keys: list[str], order: str, column: str, name: str
     return joined.select(*df.columns, value.alias(name))
 
 
+def last_before(df: DataFrame, keys: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """Add the last value of ``column`` that isn't null among the rows before, in ``order``."""
+    cut = sampled_ranges(df, [*keys, *order])
+    inside = Window.partitionBy("_range", *_keys(keys)).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.groupBy(*keys, "_range").agg(F.max(F.when(F.col(column).isNotNull(), F.struct("_at", column))).alias("_end"))
+    before = _whole(keys).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, "_range", F.last(F.col("_end")[column], ignorenulls=True).over(before).alias("_far"))
+    joined = _with_span(cut.withColumn("_near", F.last(column, ignorenulls=True).over(inside)), carry, keys)
+    return joined.select(*df.columns, F.coalesce("_near", "_far").alias(name))
+
+
 def circle(df: DataFrame, keys: list[str], order: str, names: tuple[str, str, str]) -> DataFrame:
     """Add the position in the key and ``order`` of the next and the next but one row, wrapping round, in one range pass."""
     index, following, second = names
