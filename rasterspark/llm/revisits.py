@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.ordered import last_before
 
 #: Headers that a not-modified answer may renew.
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
-#: Seconds of a bucket. A URL has one carried row per bucket, so its rows are spread over the clock.
-BUCKET = 86_400
+#: What names a full response, repeated ones of one content once. None of it is null.
+KEY = ("canonical", "at", "id_text", "print")
 
 
 def canonical_url(url: Column) -> Column:
@@ -32,30 +33,16 @@ def _opaque(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
-def _latest_before(asks: DataFrame, responses: DataFrame, bucket: int) -> DataFrame:
-    """Each ask with ``hit``, the latest response of its URL before it: by bucket, then what earlier buckets carry over."""
-    slot = F.floor(F.unix_timestamp("at") / bucket).alias("slot")
-    full = F.struct("at", "record_id", "headers", "payload")
-    told = responses.select("canonical", slot, full.alias("hit"))
-    # the newest of each bucket; then the newest of all buckets before: one row per bucket of a URL
-    newest = told.groupBy("canonical", "slot").agg(F.max_by("hit", F.struct("hit.at", "hit.record_id")).alias("own"))
-    needed = asks.select("canonical", slot).distinct().join(newest, ["canonical", "slot"], "full")
-    past = Window.partitionBy("canonical").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = needed.select("canonical", "slot", F.last("own", ignorenulls=True).over(past).alias("carried"))
-    asked = asks.select("canonical", slot, "at", F.struct(*asks.columns).alias("ask"))
-    kinds = asked.schema["ask"].dataType, told.schema["hit"].dataType
-    both = asked.withColumn("hit", F.lit(None).cast(kinds[1])).unionByName(
-        told.select("canonical", "slot", F.col("hit.at").alias("at"), F.lit(None).cast(kinds[0]).alias("ask"), "hit")
-    )
-    # inside a bucket, asks come before responses of the same instant: only earlier ones count
-    order = Window.partitionBy("canonical", "slot").orderBy("at", F.col("hit").isNotNull(), "hit.record_id")
-    inside = both.withColumn("near", F.last("hit", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    return inside.filter("ask is not null").join(carried, ["canonical", "slot"], "left").select(
-        "ask.*", F.coalesce("near", "carried").alias("hit")
-    )
+def _latest_before(asks: DataFrame, responses: DataFrame) -> DataFrame:
+    """Each ask with ``hit``, what tells the latest response of its URL before it, in ranges of equal row counts."""
+    told = responses.select("canonical", "at", F.lit(True).alias("told"), "record_id", "print", F.struct(*responses.columns).alias("own"))
+    asked = asks.select("canonical", "at", F.lit(False).alias("told"), F.struct(*asks.columns).alias("ask"))
+    # asks come before responses of the same instant: only earlier ones count
+    both = last_before(told.unionByName(asked, True), ["canonical"], ["at", "told", "record_id", "print"], "own", "hit")
+    return both.filter("not told").select("ask.*", "hit")
 
 
-def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """Every revisit with the response it stands for.
 
     ``records``: record_id long, type ('response' or 'revisit'), url, at timestamp, headers
@@ -64,7 +51,7 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     the URL has another validator (ETags compare weakly and decide where both have one, else
     Last-Modified); 'unchecked' where no validator is common; 'orphan' without an earlier response.
     Only 'resolved' and 'unchecked' get a payload and merged headers. Of responses at one instant the
-    greatest record_id counts; one at the revisit's own instant is not earlier. Rows with a null url or
+    greatest record_id counts (of several contents under one id any one, the same on every run); one at the revisit's own instant is not earlier. Rows with a null url or
     time are orphans, as responses they serve nobody; null headers are empty. Repeated revisits give
     repeated rows. Other columns are ignored.
     """
@@ -73,22 +60,31 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
         F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "payload",
     )
     usable = F.col("canonical").isNotNull() & F.col("at").isNotNull()
-    asks = rows.filter(F.col("type") == "revisit").select("record_id", "canonical", "at", "headers")
-    found = _latest_before(asks.filter(usable), rows.filter((F.col("type") == "response") & usable), bucket)
-    lost = asks.filter(~usable).select("*", F.lit(None).cast(found.schema["hit"].dataType).alias("hit"))
-    mine, theirs = (lambda k: F.col("headers")[k]), (lambda k: F.col("hit.headers")[k])
-    tags = mine("etag").isNotNull() & theirs("etag").isNotNull()
-    dates = mine("last-modified").isNotNull() & theirs("last-modified").isNotNull()
+    tags = F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified")
+    renewed = F.map_filter("headers", lambda k, v: k.isin(*RENEWED)).alias("renewed")
+    asks = rows.filter(F.col("type") == "revisit").select("record_id", "canonical", "at", *tags, renewed)
+    full = rows.filter((F.col("type") == "response") & usable).select(
+        "*", F.coalesce(F.col("record_id").cast("string"), F.lit("")).alias("id_text"),
+        F.xxhash64("payload", F.array_sort(F.map_entries("headers"))).alias("print"),
+    )
+    # only names and validators are ordered; payloads move once, to the revisits that get them
+    found = _latest_before(asks.filter(usable), full.select(*KEY, "record_id", *tags))
+    lost = asks.filter(~usable).withColumn("hit", F.lit(None).cast(found.schema["hit"].dataType))
+    etags = F.col("etag").isNotNull() & F.col("hit.etag").isNotNull()
+    dates = F.col("modified").isNotNull() & F.col("hit.modified").isNotNull()
     status = (
         F.when(F.col("hit").isNull(), "orphan")
-        .when(tags, F.when(_opaque(mine("etag")) == _opaque(theirs("etag")), "resolved").otherwise("changed"))
-        .when(dates, F.when(mine("last-modified") == theirs("last-modified"), "resolved").otherwise("changed"))
+        .when(etags, F.when(_opaque(F.col("etag")) == _opaque(F.col("hit.etag")), "resolved").otherwise("changed"))
+        .when(dates, F.when(F.col("modified") == F.col("hit.modified"), "resolved").otherwise("changed"))
         .otherwise("unchecked")
     )
-    renewed = F.map_filter("headers", lambda k, v: k.isin(*RENEWED))
-    merged = F.map_concat(F.map_filter("hit.headers", lambda k, v: ~F.map_contains_key(renewed, k)), renewed)
-    good = F.col("status").isin("resolved", "unchecked")
-    return found.unionByName(lost).withColumn("status", status).select(
-        "record_id", "canonical", "status", F.col("hit.record_id").alias("response_id"),
-        F.when(good, merged).alias("headers"), F.when(good, F.col("hit.payload")).alias("payload"),
+    told = found.unionByName(lost).select(
+        "record_id", F.col("canonical").alias("url"), status.alias("status"), F.col("hit.record_id").alias("response_id"),
+        "renewed", *(F.col("hit")[k].alias(k) for k in KEY),
     )
+    good = F.col("status").isin("resolved", "unchecked")
+    bodies = full.groupBy(*KEY).agg(F.first("headers").alias("headers"), F.first("payload").alias("payload"))
+    merged = F.map_concat(F.map_filter("headers", lambda k, v: ~F.map_contains_key("renewed", k)), "renewed")
+    out = ["record_id", F.col("url").alias("canonical"), "status", "response_id"]
+    served = told.filter(good).join(bodies, list(KEY)).select(*out, merged.alias("headers"), "payload")
+    return served.unionByName(told.filter(~good).select(*out, *(F.lit(None).cast(served.schema[c].dataType).alias(c) for c in ("headers", "payload"))))
