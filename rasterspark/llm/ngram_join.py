@@ -40,8 +40,9 @@ SPREAD = 256
 PARITY = [f"parity{i}" for i in range(SPREAD // 64)]
 #: Leaders that a set may meet in each round before all pairs of mixed lists are scanned.
 COLOURS = (1, 16)
-#: Rows of the bit sets that spare rows a shuffle: 64 bits each, 6 MB in all.
+#: Words of 64 bits of the sets that spare rows a shuffle, and how many of them make a row: 2 MB in all.
 FILTER_CELLS = 1 << 18
+FILTER_ROW = 64
 #: Tokens before a posting that it carries, to find a pair once instead of at each token.
 RECENT = 4
 FLUSH = 500_000
@@ -162,13 +163,16 @@ def _marked(rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:
     known = F.col(ids.columns[0])
     bits = ids.select(_cell_of(known).alias("_cell"), F.call_function("shiftleft", F.lit(1).cast("long"), _bit_of(known)).alias("_bits"))
     bits = bits.groupBy("_cell").agg(F.bit_or("_bits").alias("_bits"))
-    return _by_bits(rows, bits, _cell_of(F.col(name)), _bit_of(F.col(name)))
+    words = F.map_from_entries(F.collect_list(F.struct((F.col("_cell") % FILTER_ROW).cast("int"), "_bits")))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(FILTER_ROW - 1)), lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0).cast("long")))
+    bits = bits.groupBy(F.floor(F.col("_cell") / FILTER_ROW).alias("_slice")).agg(words.alias("_map")).select("_slice", dense.alias("_words"))
+    return _by_bits(rows, cut_lineage(bits), _cell_of(F.col(name)), _bit_of(F.col(name)))
 
 
 def _by_bits(rows: DataFrame, bits: DataFrame, cell: Column, bit: Column) -> DataFrame:
-    # at most FILTER_CELLS rows, whatever the input
-    met = rows.withColumn("_cell", cell).join(F.broadcast(bits), "_cell", "left")
-    maybe = F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False))
+    # at most FILTER_CELLS / FILTER_ROW rows, whatever the input; stored, as rows are marked in several plans
+    met = rows.withColumn("_slice", F.floor(cell / FILTER_ROW)).join(F.broadcast(bits), "_slice", "left")
+    maybe = F.coalesce(F.getbit(F.get("_words", (cell % FILTER_ROW).cast("int")), bit) == 1, F.lit(False))
     return met.select(*rows.columns, maybe.alias("maybe"))
 
 
@@ -321,11 +325,11 @@ def _only_touched(sets: DataFrame, stars: DataFrame) -> DataFrame:
         bits = np.zeros(width, np.uint64)
         for blob in rows["bits"]:
             bits |= unpack(blob, np.uint64)
-        cells = np.flatnonzero(bits)
-        return pd.DataFrame({"_cell": cells + int(rows["slice"].iloc[0]) * width, "_bits": bits[cells].view(np.int64)})
+        words = bits.view(np.int64).reshape(-1, FILTER_ROW)
+        return pd.DataFrame({"_slice": np.arange(len(words)) + int(rows["slice"].iloc[0]) * len(words), "_words": list(words)})
 
     slices = stars.filter("touched is not null").select("touched").mapInArrow(mark, "slice int, bits binary")
-    bits = slices.groupBy("slice").applyInPandas(unite, "_cell long, _bits long")
+    bits = cut_lineage(slices.groupBy("slice").applyInPandas(unite, "_slice long, _words array<long>"))
     right = lambda c, n: F.call_function("shiftrightunsigned", c, F.lit(n))
     folded = F.col("rep").bitwiseXOR(right(F.col("rep"), 24)).bitwiseXOR(right(F.col("rep"), 48))
     bit = F.pmod(right(folded, FILTER_CELLS.bit_length() - 1), F.lit(64)).cast("int")
