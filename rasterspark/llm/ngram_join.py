@@ -504,7 +504,8 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
         "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")
     )
     copies = cut_lineage(signs.filter("n > 0").select("doc_id", *key).join(classes, key).filter("doc_id != rep").drop("rep").distinct())
-    sets = _without(signs.filter("n > 0"), copies.select("doc_id", *key)).select(F.col("doc_id").alias("rep"), "n", "tokens", "spread", *PARITY)
+    # stored, as every later plan starts from it
+    sets = cut_lineage(_without(signs.filter("n > 0"), copies.select("doc_id", *key)).select(F.col("doc_id").alias("rep"), "n", "tokens", "spread", *PARITY))
     heavy = sets.filter(F.col("n") >= percent * boundary // 100).select(
         "rep", "n", *PARITY, F.when(F.col("n") > LIGHT_LIMIT, F.col("tokens")).otherwise(
             F.substring("tokens", F.lit(1), (8 * (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).cast("int"))
@@ -522,7 +523,7 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
         if colours == 1:  # sets that share no rare token with another one are done; some of them may stay
             heavy = _only_touched(heavy, stars)
         links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        left = _with_components(heavy, found)
+        left = cut_lineage(_with_components(heavy, found))
     mixed = cut_lineage(_mixed_tokens(left, buckets))
     listed = cut_lineage(_list_pairs(left, mixed, boundary, percent))
     rest = cut_lineage(_near(listed, sets, percent))
