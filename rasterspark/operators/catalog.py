@@ -20,17 +20,24 @@ def load_collection(
     bands: list[str] | None = None,
     extent: tuple[str | None, str | None] | None = None,
     vocabulary: dict[str, str] | list[str] | None = None,
+    datasets: DataFrame | None = None,
 ) -> DataFrame:
     """One row per granule and band of a dataset: ``dataset, id, datetime, bbox, band, href, kind``.
 
-    ``vocabulary`` is the dataset's band list, or a map of alias to band; an unknown band raises.
+    ``vocabulary`` is the dataset's band list, or a map of alias to band; an unknown band raises. With
+    ``datasets`` (id, bands) an unknown dataset raises too, and its bands are the vocabulary if none is given.
     """
+    if datasets is not None:
+        known = datasets.where(F.col("id") == dataset).select("bands").first()
+        if known is None:
+            raise ValueError(f"unknown dataset {dataset!r}")
+        vocabulary = vocabulary if vocabulary is not None else list(known["bands"] or [])
     out = granules.where(F.col("dataset") == dataset)
     if extent is not None:
         out = filter_temporal(out, extent)
     out = out.select("dataset", "id", "datetime", "bbox", F.explode("assets").alias("band", "asset"))
     if bands is not None:
-        names = vocabulary if isinstance(vocabulary, dict) else {b: b for b in vocabulary or bands}
+        names = vocabulary if isinstance(vocabulary, dict) else {b: b for b in (bands if vocabulary is None else vocabulary)}
         known = {**names, **{b: b for b in names.values()}}
         unknown = [b for b in bands if b not in known]
         if unknown:

@@ -404,6 +404,19 @@ def stac_collections(spark, sf):
     return back.select("id", "license", TM.from_unix_millis(TM.instant_ms("t_start")).alias("t_start"), F.col("bbox.west").alias("west"), F.col("bbox.north").alias("north"), F.array_join("bands", ",").alias("bands"))
 
 
+@query(
+    "stac_collection_layers",
+    f"""WITH {DATASETS_SQL}, b AS (SELECT id, unnest(bands) AS band FROM datasets)
+SELECT id, id || '/' || band AS layer, band, CAST(length(band) AS DOUBLE) / 2 AS high FROM b""",
+)
+def stac_collection_layers(spark, sf):
+    layer = lambda b: F.struct(F.concat("id", F.lit("/"), b).alias("name"), F.array(b).alias("bands"), (F.length(b) / 2).alias("high"))
+    healed = C.heal_extents(X.datasets(spark, sf), _g(spark, sf)).withColumn("layers", F.transform("bands", layer))
+    kind = "array<struct<name:string,bands:array<string>,high:double>>"
+    back = SG.from_stac_collections(SG.to_stac_collections(healed), layers=kind).where("issue IS NULL")
+    return back.select("id", F.explode("layers").alias("l")).select("id", F.col("l.name").alias("layer"), F.col("l.bands")[0].alias("band"), "l.high")
+
+
 @query(
     "from_stac_items",
     f"""WITH {X.FILES_SQL}, {X.GRANULES_SQL}, n AS (SELECT id, count(*) AS assets FROM files GROUP BY id)

@@ -192,9 +192,12 @@ _COLLECTION = (
 )
 
 
-def from_stac_collections(df: DataFrame, doc: str = "doc") -> DataFrame:
-    """Collection documents to datasets plus ``issue``; foreign collections lack our fields and are named so."""
-    parsed = df.withColumn("_d", F.from_json(doc, _COLLECTION, {"mode": "PERMISSIVE"}))
+def from_stac_collections(df: DataFrame, doc: str = "doc", layers: str = "array<string>") -> DataFrame:
+    """Collection documents to datasets plus ``issue``; foreign collections lack our fields and are named so.
+
+    ``layers`` is the type of the layers as they were written. A collection without any has null there.
+    """
+    parsed = df.withColumn("_d", F.from_json(doc, f"{_COLLECTION}, `{PREFIX}:layers` {layers}", {"mode": "PERMISSIVE"}))
     d = F.col("_d")
     box = F.get(d["extent"]["spatial"]["bbox"], F.lit(0))
     span = F.get(d["extent"]["temporal"]["interval"], F.lit(0))
@@ -219,5 +222,6 @@ def from_stac_collections(df: DataFrame, doc: str = "doc") -> DataFrame:
         stamp(start).alias("t_start"),
         stamp(end).alias("t_end"),
         F.array_sort(F.array_distinct(d[f"{PREFIX}:bands"])).alias("bands"),
+        d[f"{PREFIX}:layers"].alias("layers"),
         "issue",
     )

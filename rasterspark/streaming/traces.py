@@ -56,15 +56,15 @@ def rolling_quantile_sink(out: str, state: str, size: int = 200) -> Callable[[Da
 
 
 def latest_tile_stream(traces: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """Newest trace per layer and tile as it changes; state of a tile idle for ``idle`` is dropped.
+    """Newest trace per layer and tile as it changes; state of a tile idle for ``idle`` shrinks to its id.
 
-    ``traces`` carries a watermark on ``ts``. Keep the most recent 500 where the output is read.
+    So an older trace that comes later still doesn't win. ``traces`` carries a watermark on ``ts``. Keep the most recent 500 where the output is read.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            state.update((state.get[0], None))
             return
         best = state.get if state.exists else (-1, "")
         newest_ts = 0
@@ -75,7 +75,8 @@ def latest_tile_stream(traces: DataFrame, idle: str = "1 hour") -> DataFrame:
                 best = (int(top["id"]), str(top["decision"]))
         state.update(best)
         state.setTimeoutTimestamp(max(newest_ts, state.getCurrentWatermarkMs() + 1) + idle_ms)
-        yield pd.DataFrame([(*key, *best)], columns=["layer", "tile", "id", "decision"])
+        if best[1] is not None:
+            yield pd.DataFrame([(*key, *best)], columns=["layer", "tile", "id", "decision"])
 
     grouped = traces.select("layer", "tile", "id", "decision", "ts").groupBy("layer", "tile")
     return grouped.applyInPandasWithState(run, LATEST_SCHEMA, "id long, decision string", "update", GroupStateTimeout.EventTimeTimeout)

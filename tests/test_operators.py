@@ -33,6 +33,10 @@ def test_ordered_helpers_match_pandas(spark):
     assert list(got["total"]) == list(want.groupby("k")["v"].cumsum())
     near = O.neighbour(df, ["k"], "id", "v", "prev", -1).toPandas().sort_values(["k", "id"])
     assert near["prev"].fillna(-1).tolist() == want.groupby("k")["v"].shift().fillna(-1).tolist()
+    marked = df.withColumn("m", F.when(F.col("v") > 5, F.col("v")))
+    last = O.last_before(marked, ["k"], ["id"], "m", "last").toPandas().sort_values(["k", "id"])
+    known = want["v"].where(want["v"] > 5)
+    assert last["last"].fillna(-1).tolist() == known.groupby(want["k"]).transform(lambda m: m.ffill().shift()).fillna(-1).tolist()
     blocks = O.trailing_rows(df, ["k"], "id", 7, 20)
     sizes = blocks.groupBy("k", "_block").count().agg(F.max("count")).first()[0]
     assert sizes <= 26 and blocks.where("_home").count() == 400
@@ -285,3 +289,26 @@ def test_rolling_quantiles_of_a_hot_layer_over_batches(spark, tmp_path):
     got = {(r["layer"], r["id"]): (r["p50"], r["p95"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = rolling_quantiles(spark.createDataFrame(rows, schema), ["layer"], size=20).collect()
     assert got == {(r["layer"], r["id"]): (r["p50"], r["p95"]) for r in want} and len(got) == 300
+
+
+def test_interior_tiles_are_all_or_an_error(spark):
+    box = spark.createDataFrame([((0.0, 0.0, 20.0, 20.0),)], "bbox struct<west:double,south:double,east:double,north:double>")
+    tiles = S.tiles_for_footprints(box, 6, inset=1).count()
+    assert tiles > 0 and S.interior_tiles(box, 6, tiles).count() == tiles
+    for z, limit in ((6, tiles + 1), (0, 1)):
+        with pytest.raises(ValueError, match="interior tiles"):
+            S.interior_tiles(box, z, limit)
+
+
+def test_load_collection_refuses_unknown_names(spark):
+    box, asset = "bbox struct<west:double,south:double,east:double,north:double>", "map<string,struct<href:string,kind:string>>"
+    granules = spark.createDataFrame(
+        [("a", 1, datetime(2024, 1, 1), (0.0, 0.0, 1.0, 1.0), {"red": ("x", "raster")})], f"dataset string, id long, datetime timestamp, {box}, assets {asset}"
+    )
+    datasets = spark.createDataFrame([("a", ["red", "nir"]), ("bare", None)], "id string, bands array<string>")
+    assert C.load_collection(granules, "a", ["red", "nir"], datasets=datasets).count() == 1
+    for dataset, bands in (("b", None), ("b", ["red"]), ("a", ["blue"]), ("bare", ["red"])):
+        with pytest.raises(ValueError, match="unknown"):
+            C.load_collection(granules, dataset, bands, datasets=datasets)
+    with pytest.raises(ValueError, match="unknown"):
+        C.load_collection(granules, "a", ["red"], vocabulary=[])

@@ -1,12 +1,14 @@
 """Ingest end to end over files, and the composite jobs."""
 
 import json
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from rasterspark.plans import jobs as J
 from rasterspark.registry.streams import LAYER, scene
 from rasterspark.streaming import ingest as SI
+from rasterspark.streaming import traces as ST
 
 
 def _drop(folder, name, **changes):
@@ -114,3 +116,18 @@ def test_fresh_tiles_resolve_against_the_whole_catalog(spark, sf_dir, tmp_path):
     traces = spark.read.parquet(f"{out}/traces/batch=0").collect()
     assert traces and {r["granule_id"] for r in traces} == {"z"}
     assert spark.read.parquet(f"{out}/pixels/batch=0").where("granule_id <> 'z'").count() == 0
+
+
+def test_an_older_trace_never_wins_after_idle_time(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    kind = "layer string, tile string, id long, decision string, ts timestamp"
+    steps = [("a", 10, "live", 0), ("b", 11, "live", 5), ("b", 12, "live", 6), ("a", 3, "old", 7), ("b", 13, "live", 20), ("a", 14, "new", 21)]
+    arriving = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "1 minute")
+    out = []
+    # one file, one run: the state goes on from run to run
+    for n, (tile, i, decision, hour) in enumerate(steps):
+        spark.createDataFrame([("l", tile, i, decision, datetime(2024, 1, 1 + hour // 24, hour % 24))], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        changes = ST.latest_tile_stream(arriving, "1 hour").writeStream.outputMode("update")
+        changes.foreachBatch(lambda rows, _: out.extend(rows.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r.id, r.decision) for r in out if r.tile == "a"] == [(10, "live"), (14, "new")]
+    assert [r.id for r in out if r.tile == "b"] == [11, 12, 13]
