@@ -1,15 +1,18 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Each element of a page's tree is content or not. A node potential comes from its tag, the words of its
-class and id, its links and its text; an edge potential ties it to its parent. Sum-product messages go
-up and down the tree, so every element gets its exact marginal. The potentials are counted on labelled
-pages: those whose markup itself tells the article from the rest.
+class and id, its links and its text, and from whether it stands in an article or in a part that is set
+apart (menu, comments, adverts); an edge potential ties it to its parent. Sum-product messages go up and
+down the tree, so every element gets its exact marginal. The potentials are counted on labelled pages:
+those whose markup itself tells the article from the rest. Each is counted twice, the second time as if
+its markup didn't tell, so that pages without an article element are known as well.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,9 +23,14 @@ from pyspark.sql import functions as F
 
 #: Labelled pages that potentials are counted on, the first by a hash of their id.
 MAX_TRAINING_PAGES = 2_000
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[A-Za-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>?|[^<]+|<", re.S)
+# a quote opens a value only after an equals sign; elsewhere it is a plain character of a name or an unquoted value
+_VALUE = r"""=\s*+(?>"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+|)"""
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[A-Za-z](?:[^<>=]++|" + _VALUE + r")*+>?|[^<]+|<", re.S
+)
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
-_NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/<>"']++)\s*+(?:=\s*+(?>"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*+)|))?+""")
+_NAMED = frozenset("class id role".split())
 _CUE = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -43,6 +51,8 @@ BAD_CUES = frozenset(
     " sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 GOOD_CUES = frozenset("article body content entry main post story text".split())
+#: Elements that hold a page or an article whole: their class tells of the layout, not of a part set apart.
+WHOLE = HOLDERS | {"html", "body"}
 
 
 @dataclass
@@ -62,6 +72,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("html", -1, frozenset())]
     runs: list[tuple[int, str | None]] = []
     stack, links, at = [0], 0, 0
+    open_: Counter[str] = Counter()
     while (m := _TOKEN.match(page, at)) is not None:
         token, at = m.group(), m.end()
         if token[0] != "<" or token == "<":
@@ -76,26 +87,29 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = name.group(1).lower()
         if token[1] == "/":
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == tag:
-                    links -= sum(nodes[i].tag == "a" for i in stack[depth:])
-                    del stack[depth:]
+            while open_[tag]:
+                last = nodes[stack.pop()].tag
+                open_[last] -= 1
+                links -= last == "a"
+                if last == tag:
                     break
             if tag in BLOCK:
                 runs.append((stack[-1], None))
             continue
         if tag in BLOCK:
             runs.append((stack[-1], None))
-            while tag != "br" and len(stack) > 1 and nodes[stack[-1]].tag in ("p", "b", "i", "em", "strong", "span", "a", "font", "u") and any(
-                nodes[i].tag == "p" for i in stack
-            ):
-                links -= nodes[stack[-1]].tag == "a"
-                stack.pop()
+            while tag != "br" and len(stack) > 1 and nodes[stack[-1]].tag in ("p", "b", "i", "em", "strong", "span", "a", "font", "u") and open_["p"]:
+                last = nodes[stack.pop()].tag
+                open_[last] -= 1
+                links -= last == "a"
             if tag == "li" and nodes[stack[-1]].tag == "li":
-                stack.pop()
+                open_[nodes[stack.pop()].tag] -= 1
         if tag in VOID or token.endswith("/>"):
             continue
-        cues = frozenset(w for x in _NAME.finditer(token) for w in _CUE.findall((x.group(2) or x.group(3) or x.group(4) or "").lower()))
+        cues = frozenset(
+            w for x in _ATTRIBUTE.finditer(token, name.end()) if x.group(1).lower() in _NAMED
+            for w in _CUE.findall((x.group(2) or x.group(3) or x.group(4) or "").lower())
+        )
         nodes.append(Node(tag, stack[-1], cues))
         nodes[stack[-1]].children.append(len(nodes) - 1)
         if tag in RAW:
@@ -103,22 +117,45 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             at = end.end() if end else len(page)
             continue
         stack.append(len(nodes) - 1)
+        open_[tag] += 1
         links += tag == "a"
     return nodes, runs
 
 
-def features(nodes: list[Node]) -> list[list[str]]:
-    """Names of the features of each node."""
+def apart(nodes: list[Node]) -> list[bool]:
+    """Whether each node stands in a part that its markup sets apart, by tag or by a word of its class or id.
+
+    Such words don't count where the element holds an article that has none itself.
+    """
+    holds = [n.tag in WHOLE and not (n.tag in HOLDERS and n.cues & BAD_CUES) for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        if holds[i]:
+            holds[nodes[i].parent] = True
+    out = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        own = n.tag in APART | SILENT or bool(n.cues & BAD_CUES) and not holds[i]
+        out[i] = own or n.parent >= 0 and out[n.parent]
+    return out
+
+
+def features(nodes: list[Node], marked: bool = True) -> list[list[str]]:
+    """Names of the features of each node; without ``marked`` as if articles were plain elements."""
     text, linked = [n.text for n in nodes], [n.linked for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         text[nodes[i].parent] += text[i]
         linked[nodes[i].parent] += linked[i]
+    away, inside = apart(nodes), [False] * len(nodes)
     out = []
     for i, n in enumerate(nodes):
+        inside[i] = n.tag in HOLDERS or n.parent >= 0 and inside[n.parent]
         share = linked[i] / text[i] if text[i] else 0.0
+        many = 0 if share < 0.2 else 1 if share < 0.6 else 2
+        place = "apart" if away[i] else "article" if inside[i] and marked else "open"
         size = "none" if not text[i] else "short" if text[i] < 25 else "middle" if text[i] < 100 else "long"
-        cue = "bad" if n.cues & BAD_CUES else "good" if n.cues & GOOD_CUES else "none"
-        out.append([f"tag:{n.tag}", f"cue:{cue}", f"size:{size}", f"links:{0 if share < 0.2 else 1 if share < 0.6 else 2}"])
+        cue = "good" if n.cues & GOOD_CUES else "none"
+        # what an article holds is its own, long or short, linked or not
+        shape = [f"in:{place}"] if place != "open" else [f"size:{size}", f"links:{many}"]
+        out.append([f"tag:{'div' if n.tag in HOLDERS and not marked else n.tag}", f"cue:{cue}", *shape])
     return out
 
 
@@ -126,13 +163,16 @@ def labels(nodes: list[Node]) -> list[bool] | None:
     """Content or not by the page's own markup; None if it holds no article."""
     if not any(n.tag in HOLDERS for n in nodes):
         return None
-    out = [False] * len(nodes)
+    out, away = [False] * len(nodes), apart(nodes)
     for i, n in enumerate(nodes):
-        inside = n.parent >= 0 and out[n.parent]
-        out[i] = (inside or n.tag in HOLDERS) and n.tag not in APART | SILENT and not n.cues & BAD_CUES
+        out[i] = (n.parent >= 0 and out[n.parent] or n.tag in HOLDERS) and not away[i]
     return out
 
 
+#: Logarithm of the odds that markup alone gives: more than the other potentials of a node and its edges.
+FIRM = 40.0
+
+
 class TreeModel:
     """Potentials as logarithms, and marginals by messages."""
 
@@ -143,8 +183,7 @@ class TreeModel:
             f: np.log([(counts.get((f, y), 0) + 0.5) / total[y] for y in (False, True)]) for f in names
         }
         # what the few labelled pages may not show is known beforehand
-        firm = {f"tag:{t}": (4.0, 0.0) for t in APART | SILENT} | {f"tag:{t}": (0.0, 4.0) for t in HOLDERS}
-        firm |= {"cue:bad": (4.0, 0.0), "cue:good": (0.0, 1.0)}
+        firm = {"in:apart": (FIRM, 0.0), "in:article": (0.0, FIRM), "links:2": (2.0, 0.0), "size:long": (0.0, 1.0), "cue:good": (0.0, 1.0)}
         for f, (no, yes) in firm.items():
             self.node[f] = self.node.get(f, np.zeros(2)) + np.array([no, yes])
         self.edge = np.log([
@@ -190,9 +229,10 @@ def extract(page: str | None, model: TreeModel) -> tuple[str, float]:
 
 def train(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> TreeModel:
     """Potentials counted on up to ``max_pages`` labelled pages; only the counts come to the driver."""
-    chosen = pages.filter("html is not null and (html ilike '%<article%' or html ilike '%<main%')").select(
-        "html", F.xxhash64("page_id", "url").alias("place")
-    ).orderBy("place", "html").limit(max_pages).select("html")
+    able = pages.filter("html is not null and (html ilike '%<article%' or html ilike '%<main%')").select("html", F.xxhash64("page_id", "url", "html").alias("place"))
+    # only the hashes are ordered; pages are counted where they are read
+    last = able.select("place").orderBy("place").limit(max_pages).agg(F.max("place")).first()[0]
+    chosen = able.filter(F.col("place") <= F.lit(last).cast("long")).dropDuplicates(["place"]) if last is not None else able.limit(0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, int] = {}
@@ -200,9 +240,12 @@ def train(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> TreeModel:
             for page in batch["html"]:
                 nodes, _ = parse(page)
                 truth = labels(nodes)
-                for n, fs, y in zip(nodes, features(nodes), truth or [], strict=bool(truth)):
-                    for f in [*fs, *([f"edge:{truth[n.parent]}"] if n.parent >= 0 else [])]:
-                        found[f"{f} {y}"] = found.get(f"{f} {y}", 0) + 1
+                if truth is None:
+                    continue
+                for marked in (True, False):
+                    for n, fs, y in zip(nodes, features(nodes, marked), truth, strict=True):
+                        for f in [*fs, *([f"edge:{truth[n.parent]}"] if n.parent >= 0 else [])]:
+                            found[f"{f} {y}"] = found.get(f"{f} {y}", 0) + 1
         yield pd.DataFrame(list(found.items()), columns=["name", "n"])
 
     known = [f"tag:{t}" for t in BLOCK | SILENT | VOID | {"a", "b", "i", "em", "strong", "span", "code", "u", "font"}]
@@ -224,8 +267,9 @@ def extract_pages(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> Data
 
     The whole html is read. Text of elements with a content marginal of 0.5 or more is taken, character
     references decoded, white space in a block made one space, blocks joined by newlines. Null, empty
-    and unlabelled pages are no obstacle: without text the result is an empty string. Scripts, styles,
-    titles and form controls are never text. Repeated rows give equal rows; other columns are ignored.
+    and unlabelled pages are no obstacle: without text the result is an empty string, and without any
+    labelled page the potentials known beforehand decide. Scripts, styles, titles and form controls are
+    never text. Repeated rows give equal rows; other columns are ignored.
     """
     model = pages.sparkSession.sparkContext.broadcast(train(pages, max_pages))
 
