@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
-Words that repeat a license notice compress far better once the notice is known. Around lines with a
-cue, overlapping windows of about a template's length, across line ends, are compressed plainly and with
-the template as a raw zstandard dictionary. Where that saves enough, the wording is compared word by
-word; confirmed notices are ranked by the size saved, and of those that share words the first stays.
+Words that repeat a license notice compress far better once the notice is known. Overlapping windows of
+about a template's length, across line ends, that hold enough of its words are compressed plainly and with
+the template as a raw zstandard dictionary. Where that saves enough, the wording is compared word by word:
+few words may differ, and none that tells licenses apart (versions, names, qualifiers). Confirmed notices
+are ranked by the size saved, and of those that share words the first stays.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,12 +29,19 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+# The licenses' own wordings.
+WORDINGS = {
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+}
 CUES = ("licen", "rights reserved", "redistribution", "creative commons", "copyright", "permission is")
-#: Of each cue a word; a text without any of them has no cue.
-_RARE = ("licen", "reserved", "redistribution", "commons", "copyright", "permission")
+#: Words that make another license of a notice.
+QUALIFIERS = frozenset("noncommercial noderivatives noderivs sharealike nc nd sa lesser library affero academic".split())
 #: Share of the plain size that a window must save, and of words that may differ from its template.
 MIN_SAVED = 0.3
 MAX_DIFFERENCE = 0.2
+#: Cost of a word that may not differ.
+_NEVER = 1_000_000
 _WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
 
 
@@ -41,12 +50,22 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def telling_words(text: str) -> frozenset[str]:
+    """Words of a template that tell its license: with a digit, or capital inside a sentence and not just "License" or the like."""
+    plain = {"license", "version", "software", "foundation", "source", "code", "form", "work"}
+    inner = {w for m in re.finditer(r"[A-Z][A-Za-z-]*", text) if m.start() and text[: m.start()].rstrip()[-1:] not in ".!?" for w in words_of(m[0])}
+    return frozenset(w for w in words_of(text) if any(c.isdigit() for c in w) or w in inner - plain)
+
+
 class Scanner:
     """The templates as compressors, and the findings of a text."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str | tuple[str, ...]]) -> None:
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        self.words = {k: w for k, t in templates.items() if (w := words_of(t))}
+        texts = {(k, i): t for k, ts in templates.items() for i, t in enumerate((ts,) if isinstance(ts, str) else ts)}
+        self.words = {k: w for k, t in texts.items() if (w := words_of(t))}
+        self.telling = {k: telling_words(texts[k]) for k in self.words}
+        self.names = frozenset(w for x in self.telling.values() for w in x) | QUALIFIERS
         self.with_template = {
             k: zstandard.ZstdCompressor(
                 level=3, write_content_size=False,
@@ -57,26 +76,37 @@ class Scanner:
         self.ids = {w: i for i, w in enumerate(sorted({w for x in self.words.values() for w in x}))}
         self.own = {k: np.isin(np.arange(len(self.ids) + 1), [self.ids[w] for w in x]) for k, x in self.words.items()}
         self.spare = {k: int(len(w) * MAX_DIFFERENCE + 1e-9) for k, w in self.words.items()}
+        # a stretch lacks at most the spare words: it holds all telling ones, and one of any spare + 1 others
+        self.all_of = {k: tuple(sorted(x, key=len, reverse=True)) for k, x in self.telling.items()}
+        self.any_of = {k: tuple(sorted(w, key=lambda x: (-len(x), x))[: self.spare[k] + 1]) for k, w in self.words.items()}
 
-    def saved(self, words: list[str], name: str) -> float:
+    def possible(self, low: str) -> list[tuple[str, int]]:
+        """Templates that the lower-cased text may hold, by its substrings."""
+        return [k for k in self.words if all(w in low for w in self.all_of[k]) and any(w in low for w in self.any_of[k])]
+
+    def price(self, word: str) -> int:
+        """Of a word that is added: more than may differ if it tells another license."""
+        return _NEVER if word in self.names or any(c.isdigit() for c in word) else 1
+
+    def saved(self, words: list[str], name: tuple[str, int]) -> float:
         """Share of the plain compressed size that a template saves."""
         data = " ".join(words).encode()
         size = len(self.plain.compress(data))
         return (size - len(self.with_template[name].compress(data))) / size
 
-    def stretches(self, words: list[str], name: str) -> list[tuple[int, int, int]]:
+    def stretches(self, words: list[str], name: tuple[str, int]) -> list[tuple[int, int, int]]:
         """(words that differ, begin, end) of all disjoint stretches that confirm the template, best first."""
         want = self.words[name]
-        n = len(want)
-        cost, begin, found = list(range(n + 1)), [0] * (n + 1), []
+        n, drop = len(want), [_NEVER if w in self.telling[name] else 1 for w in want]
+        cost, begin, found = [sum(drop[:i]) for i in range(n + 1)], [0] * (n + 1), []
         for j, word in enumerate(words):  # cost[i]: fewest differences of the template's first i words and a stretch that ends here
-            before, before_at = cost, begin
+            before, before_at, add = cost, begin, self.price(word)
             cost, begin = [0] * (n + 1), [j + 1] * (n + 1)
             for i in range(1, n + 1):
-                if want[i - 1] == word:
+                if want[i - 1] == word:  # never worse than the other two
                     cost[i], begin[i] = before[i - 1], before_at[i - 1] if i > 1 else j
                 else:
-                    cost[i], start = min((before[i] + 1, -before_at[i]), (cost[i - 1] + 1, -begin[i - 1]))
+                    cost[i], start = min((before[i] + add, -before_at[i]), (cost[i - 1] + drop[i - 1], -begin[i - 1]))
                     begin[i] = -start
             if cost[n] <= self.spare[name]:
                 found.append((cost[n], begin[n], j + 1))
@@ -86,18 +116,24 @@ class Scanner:
                 out.append(one)
         return out
 
-    def changes(self, words: list[str], name: str) -> list[str]:
-        """Fewest words to take from (-) and to add to (+) the template."""
-        want = self.words[name]
-        same = [[0] * (len(words) + 1) for _ in range(len(want) + 1)]
-        for i in range(len(want) - 1, -1, -1):
-            for j in range(len(words) - 1, -1, -1):
-                same[i][j] = same[i + 1][j + 1] + 1 if want[i] == words[j] else max(same[i + 1][j], same[i][j + 1])
+    def changes(self, words: list[str], name: tuple[str, int]) -> list[str]:
+        """Fewest words to take from (-) and to add to (+) the template, telling ones last."""
+        want, n, m = self.words[name], len(self.words[name]), len(words)
+        drop, add = [_NEVER if w in self.telling[name] else 1 for w in want], [self.price(w) for w in words]
+        cost = [[0] * (m + 1) for _ in range(n + 1)]  # of what is left from there on
+        for i in range(n, -1, -1):
+            for j in range(m, -1, -1):
+                if i < n and j < m and want[i] == words[j]:
+                    cost[i][j] = cost[i + 1][j + 1]
+                elif i < n or j < m:
+                    less = cost[i + 1][j] + drop[i] if i < n else math.inf
+                    more = cost[i][j + 1] + add[j] if j < m else math.inf
+                    cost[i][j] = min(less, more)
         i, j, out = 0, 0, []
-        while i < len(want) or j < len(words):
-            if i < len(want) and j < len(words) and want[i] == words[j]:
+        while i < n or j < m:
+            if i < n and j < m and want[i] == words[j]:
                 i, j = i + 1, j + 1
-            elif j == len(words) or (i < len(want) and same[i + 1][j] >= same[i][j + 1]):
+            elif i < n and cost[i][j] == cost[i + 1][j] + drop[i]:
                 out.append(f"-{want[i]}")
                 i += 1
             else:
@@ -108,7 +144,8 @@ class Scanner:
     def scan(self, text: str | None) -> list[dict]:
         """The confirmed notices, and the lines with a cue and without any, by line."""
         low = (text or "").lower()
-        if not any(x in low for x in _RARE):
+        possible = self.possible(low)
+        if not possible and not any(c.split()[0] in low for c in CUES):
             return []
         at = list(_WORD.finditer(low))
         words = [m[0] for m in at]
@@ -118,20 +155,20 @@ class Scanner:
         first = np.cumsum([0, *(len(w) + 1 for w in words)])
         cues = [m.start() for c in CUES for m in re.finditer(c, joined)]
         cue_lines = {int(line[i]) for i in np.searchsorted(first, cues, "right") - 1}
-        if not cue_lines:
+        if not possible and not cue_lines:
             return []
         sums = lambda x: np.concatenate([[0], np.cumsum(x)])
-        near = sums(np.isin(line, list(cue_lines)))
         ids = np.array([self.ids.get(w, len(self.ids)) for w in words])
         best: dict[int, float] = {}
         confirmed = []
-        for name, want in self.words.items():
+        for name in possible:
+            want = self.words[name]
             # windows that hold every stretch which may confirm the template: it has its words but for the spare ones
             step = max(1, len(want) // 4)
             lo = np.arange(0, len(words), step)
             hi = np.minimum(lo + len(want) + self.spare[name] + step - 1, len(words))
             own = sums(self.own[name][ids])
-            good = np.flatnonzero((near[hi] > near[lo]) & (own[hi] - own[lo] >= len(want) - self.spare[name]))
+            good = np.flatnonzero(own[hi] - own[lo] >= len(want) - self.spare[name])
             spans: list[list[int]] = []
             for a, b in zip(lo[good].tolist(), hi[good].tolist(), strict=True):
                 saved = self.saved(words[a:b], name)
@@ -150,14 +187,14 @@ class Scanner:
         for saved, name, a, b in sorted(confirmed):
             if not taken[a:b].any():
                 taken[a:b] = True
-                found.append((a, {"line": int(line[a]), "license": name, "saved": -saved, "changes": self.changes(words[a:b], name)}))
+                found.append((a, {"line": int(line[a]), "license": name[0], "saved": -saved, "changes": self.changes(words[a:b], name)}))
         found = [x for _, x in sorted(found, key=lambda x: x[0])]
         for k in cue_lines - set(line[taken].tolist()):
             found.append({"line": k, "license": None, "saved": best.get(k, 0.0), "changes": []})
         return sorted(found, key=lambda x: x["line"])
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None) -> DataFrame:
     """(doc_id, findings array<struct<line, license, saved, changes>>) of every row of ``docs``.
 
     Whole texts are read. A finding is a confirmed notice, anywhere in a line or over several, with the
@@ -165,11 +202,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     differ; notices that share words are one finding, of the template that saves most (ties go to the smaller
     name). Or it is a line with a cue that no confirmed notice touches: its license is null, and ``saved`` is
     the best of the windows that touch it and hold enough of a template's words, 0 below ``MIN_SAVED``.
-    Notices are looked for in windows that touch a line with a cue; words are letters, digits and inner
-    points, lower-cased, so marks of comments are nothing. Null and empty texts have no findings, repeated
+    Up to ``MAX_DIFFERENCE`` of a template's words may differ, but none with a digit, none of its names (words with
+    a capital inside a sentence), and no name of another template or qualifier may be added. Whether a text is
+    looked at follows from the templates' own words. Words are letters, digits and inner points, lower-cased,
+    so marks of comments are nothing. Null and empty texts have no findings, repeated
     rows equal ones, other columns are ignored.
     """
-    known = dict(TEMPLATES if templates is None else templates)
+    known = {k: (t, *([WORDINGS[k]] if k in WORDINGS else [])) for k, t in TEMPLATES.items()} if templates is None else dict(templates)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(known)
