@@ -124,14 +124,16 @@ def contaminated(n_words: Column, n_hit: Column, share: int = 20) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """``docs`` without contaminated documents, all columns kept; matched by doc_id and text."""
+    """``docs`` without contaminated documents, all columns kept whatever their names; matched by doc_id and text.
+
+    Null and empty texts are never contaminated and stay, as does all of ``docs`` if ``items`` is empty. Rows
+    with a null or repeated doc_id are judged by their own text, so repeated rows stay or go together.
+    """
     found = contamination(docs, items, window)
     gone = found.filter(contaminated(F.col("n_words"), hit_words(F.col("spans")), share)).select(
         F.col("doc_id").alias("of_doc"), F.col("fingerprint").alias("of_text")
     ).distinct()
-    return docs.join(
-        gone, docs["doc_id"].eqNullSafe(F.col("of_doc")) & (F.xxhash64(docs["text"]) == F.col("of_text")), "left_anti"
-    )
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["of_doc"]) & (F.xxhash64(docs["text"]) == gone["of_text"]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

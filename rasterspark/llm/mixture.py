@@ -69,11 +69,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     and source; its other columns stay, except that the names given above are replaced.
     """
     own = {"size", "source_size", "weight", "target", "whole", "part", "part_start", "taken"}
-    rows = docs.select(*(c for c in docs.columns if c not in own), word_count(F.col("text")).alias("size"))
+    rows = docs.select(*(c for c in docs.columns if c.lower() not in own), word_count(F.col("text")).alias("size"))
     targets = source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, max_epochs)
     joined = rows.alias("d").join(
         targets.withColumnRenamed("source", "of_source").alias("t"), F.col("d.source").eqNullSafe(F.col("t.of_source")), "left"
-    ).drop("of_source", "weight")
+    ).select("d.*", "t.source_size", "t.target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     part = F.floor((rate - whole) * F.col("size") + unit_hash(seed, F.col("doc_id")))

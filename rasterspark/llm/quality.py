@@ -219,14 +219,16 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep_columns: bool = False) -
     """
     references = docs.sparkSession.sparkContext.broadcast(language_references(docs, rules))
     names = [c.split()[0] for c in _FOUND.split(", ")]
-    rest = [c for c in docs.columns if c not in names] if keep_columns else ["doc_id"]
-    source = docs.select(*rest, F.col("text").alias("__text"), F.col("lang").alias("__lang"))
+    rest = [c for c in docs.columns if c.lower() not in names] if keep_columns else ["doc_id"]
+    own = max((len(c) for c in rest), default=0) * "_"  # longer than any column's name, so none of them
+    own_text, own_lang = f"{own}_text", f"{own}_lang"
+    source = docs.select(*rest, F.col("text").alias(own_text), F.col("lang").alias(own_lang))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judged = _Judge(references.value, rules)
         for batch in batches:
             rows = []
-            for text, lang in zip(batch["__text"], batch["__lang"], strict=True):
+            for text, lang in zip(batch[own_text], batch[own_lang], strict=True):
                 data = encode(text)
                 words, counts = plain_counts(data, rules)
                 near = (None, None, False) if counts["base_failed"] else judged(data, words, lang)
@@ -239,5 +241,5 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep_columns: bool = False) -
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that pass, with their columns."""
+    """The documents that pass, with their columns; one that is named like a result of ``judge`` holds that result."""
     return judge(docs, rules, keep_columns=True).filter("kept").select(*docs.columns)
