@@ -166,9 +166,9 @@ class RunLengthIndex:
     def __init__(self, data: np.ndarray, bounds: np.ndarray) -> None:
         """``data`` holds the snippets, each followed by one spare byte; bounds: their starts, and the end."""
         ends = bounds[1:] - 1
+        order, place = self._suffixes(data, bounds)
         symbols = data.astype(np.int64) + len(ends)
         symbols[ends] = np.arange(len(ends))
-        order, place = self._suffixes(symbols)
         last = symbols[order - 1]  # the transform
         heads = np.flatnonzero(np.concatenate([[False], last[1:] != last[:-1]]))
         self.size, self.runs = len(data), len(heads) + 1
@@ -178,34 +178,46 @@ class RunLengthIndex:
         self.match = self._common(data, ends, self.sample, self.before)
 
     @staticmethod
-    def _suffixes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order and its inverse, by doubling; only suffixes that are still tied are sorted again."""
-        n = len(symbols)
-        padded = np.append(symbols, [0, 0])
-        bits = np.uint64(max(1, int(symbols.max()).bit_length()))
-        if 3 * int(bits) > 63:
-            raise ValueError("too many snippets for one index")
-        key = (padded[:n].astype(np.uint64) << (bits * np.uint64(2))) | (padded[1 : n + 1].astype(np.uint64) << bits) | padded[2:].astype(np.uint64)
+    def _suffixes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix order and its inverse, by doubling; only suffixes that are still tied are sorted again.
+
+        Bytes are numbered densely from 1, so that the first sort sees as many of them as fit 64 bits.
+        Every terminator is 0 there and what follows it is masked: suffixes that end alike lie in text
+        order, which is the order of their terminators, and are tied no more.
+        """
+        n, ends = len(data), bounds[1:] - 1
+        inner = np.ones(n, bool)
+        inner[ends] = False
+        used = np.bincount(data[inner], minlength=256) > 0
+        bits = max(1, int(used.sum()).bit_length())
+        span = 63 // bits
+        symbols = np.where(inner, np.cumsum(used).astype(np.uint64)[data], np.uint64(0))
+        key, shift = np.zeros(n, np.uint64), np.uint64(bits)
+        for j in range(span):
+            key <<= shift
+            key[: n - j] |= symbols[j:]
+        room = np.repeat(ends, np.diff(bounds)) - np.arange(n)
+        near = np.flatnonzero(room < span)
+        cut = ((span - room[near]) * bits).astype(np.uint64)
+        key[near] = (key[near] >> cut) << cut
         order = np.argsort(key, kind="stable")
         ordered = key[order]
-        starts = run_starts(ordered)
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) | (room[order] < span)
+        starts = np.flatnonzero(new)
         rank = np.empty(n, np.int64)
         rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
-        span = 3
-        while len(starts) < n:
-            sizes = np.diff(np.append(starts, n))
-            tied = np.repeat(sizes > 1, sizes)
-            slots = np.flatnonzero(tied)
+        slots = np.flatnonzero(~(new & np.append(new[1:], True)))
+        while len(slots):
             at = order[slots]
-            next_rank = np.where(at + span < n, rank[np.minimum(at + span, n - 1)], -1)
-            again = np.lexsort((next_rank, rank[at]))
-            at, next_rank = at[again], next_rank[again]
+            # a tied suffix has no terminator in its first ``span`` symbols, so at + span is inside its snippet
+            pair = rank[at] * n + rank[at + span]
+            again = np.argsort(pair)
+            at, pair = at[again], pair[again]
             order[slots] = at
-            own = rank[at]
-            new = np.concatenate([[True], (own[1:] != own[:-1]) | (next_rank[1:] != next_rank[:-1])])
+            new = np.concatenate([[True], pair[1:] != pair[:-1]])
             heads = np.flatnonzero(new)
             rank[at] = np.repeat(slots[heads], np.diff(np.append(heads, len(at))))
-            starts = np.union1d(np.flatnonzero(~tied), slots[heads])
+            slots = slots[~(new & np.append(new[1:], True))]
             span *= 2
         return order, rank
 
