@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import north_up
 from ..functions.text import dtype_from_tags
+from ..session import deal_out
 
 
 def raster_info(ifds: DataFrame) -> DataFrame:
@@ -72,11 +73,12 @@ def tile_refs(rasters: DataFrame, blocks: DataFrame) -> DataFrame:
     across = F.ceil(F.col("width") / F.col("tile_w")).cast("long")
     down = F.ceil(F.col("height") / F.col("tile_h")).cast("long")
     zero = F.lit(0).cast("long")
-    grid = good.withColumn("_n", across).withColumn("cy", F.explode(F.sequence(zero, down - 1)))
+    grid = deal_out(good, "asset").withColumn("_n", across).withColumn("cy", F.explode(F.sequence(zero, down - 1)))
     grid = grid.withColumn("cx", F.explode(F.sequence(zero, F.col("_n") - 1)))
     numbered = grid.withColumn("block", F.col("cy") * F.col("_n") + F.col("cx"))
     key = F.concat_ws(".", F.col("cy").cast("string"), F.col("cx").cast("string"))
-    return numbered.join(blocks, ["asset", "level", "block"], "left").select(
+    # sorted and merged: both sides are far larger than what they are made from, so an estimate would broadcast one
+    return numbered.join(blocks.hint("merge"), ["asset", "level", "block"], "left").select(
         "asset", "level", "cy", "cx", key.alias("key"), F.col("asset").alias("path"), "offset", "length"
     )
 

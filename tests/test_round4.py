@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rasterspark.operators import pyramid as PY
+from rasterspark.sources import rasters as RS
 
 
 def plan_of(df):
@@ -18,3 +19,15 @@ def test_materialize_report_broadcasts_no_grid(spark):
     got = {(r["asset"], r["factor"]): (r["to_write"], r["skipped"], r["complete"]) for r in report.collect()}
     assert len(got) == 100
     assert got[0, 2] == (0, 4, True) and got[10, 2] == (2, 2, False) and got[0, 4] == (0, 1, True)
+
+
+def test_tile_refs_broadcast_no_blocks(spark):
+    rasters = spark.range(9).select(
+        F.concat(F.lit("a"), "id").alias("asset"), F.lit(0).alias("level"), F.lit(600).alias("width"), F.lit(300).alias("height"),
+        F.lit(256).alias("tile_w"), F.lit(256).alias("tile_h"), F.lit(False).alias("planar"),
+    )
+    blocks = rasters.select("asset", "level", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("block"))
+    refs = RS.tile_refs(rasters, blocks.select("*", (F.col("block") * 10).alias("offset"), F.lit(7).alias("length")))
+    assert "BroadcastHashJoin" not in plan_of(refs)
+    got = {(r["asset"], r["key"]): r["offset"] for r in refs.collect()}
+    assert len(got) == 54 and got["a3", "1.1"] == 40 and got["a3", "1.2"] is None
