@@ -27,6 +27,9 @@ BAND_ROWS = 64
 #: Up to so many touched blocks (about 100 bytes each) are broadcast to prune the source; more are joined by shuffle.
 BROADCAST_BLOCKS = 200_000
 
+#: Points and samples that a task lays out at once, about 200 bytes each.
+AT_ONCE = 250_000
+
 _SHAPE = ["scale_x", "scale_y", "radius_x", "radius_y", "raster_w", "raster_h", "block_h", "block_w"]
 _POINTS = "array<struct<row: int, col: int, fr: double, fc: double>>"
 
@@ -77,6 +80,17 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     return sizes, column.flatten()
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows that hold up to ``AT_ONCE`` points and samples, or one row."""
+    load = _lists(batch.column("_points"))[0] + _lists(batch.column("_values"))[0]
+    ends, start = np.cumsum(load), 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + AT_ONCE, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 class _Batch:
     """One batch of (points, block) rows, laid out flat."""
 
@@ -159,12 +173,17 @@ def warp_blocks(
     or NaN for invalid samples. ``kernel`` is ``nearest`` or ``bilinear``, ``propagate`` as in
     ``warp_bilinear``. Blocks that are not stored hold no valid sample.
     """
-    bilinear = kernel == "bilinear"
     if kernel not in ("nearest", "bilinear"):
         raise ValueError(f"unknown kernel {kernel!r}")
-    names = list(dict.fromkeys([*keys, *join_keys]))
     source = keep_touched(blocks, touched_blocks(shaped, join_keys), join_keys)
     points = target_pixels(shaped, keys, crs, band=BAND_ROWS, keep=["block_h", "block_w"])
+    return sample_blocks(points, source, keys, join_keys, kernel, propagate)
+
+
+def sample_blocks(points: DataFrame, source: DataFrame, keys: list[str], join_keys: list[str], kernel: str, propagate: bool = False) -> DataFrame:
+    """What ``warp_blocks`` gives, for target pixels with their source position, band ``_rows`` and block shape."""
+    bilinear = kernel == "bilinear"
+    names = list(dict.fromkeys([*keys, *join_keys]))
     spans = {}
     for axis, position, top, size in (("y", "frow", "raster_h", "block_h"), ("x", "fcol", "raster_w", "block_w")):
         low, high = _span(axis, position, bilinear)
@@ -182,8 +201,8 @@ def warp_blocks(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield _bilinear(_Batch(batch), [*keys, "_rows"]) if bilinear else _nearest(_Batch(batch), keys)
+            for part in _slices(batch):
+                yield _bilinear(_Batch(part), [*keys, "_rows"]) if bilinear else _nearest(_Batch(part), keys)
 
     field = lambda n, t: T.StructField(n, t)
     if not bilinear:
