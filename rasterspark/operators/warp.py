@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import crs as C
 from ..functions.grid import crs_to_pixel, pixel_to_crs, triangle, window
+from ..session import deal_out
+from .chunks import pack_chunks
 
 # Boundary density, index epsilon, weight cut-offs, decimation threshold.
 EDGE_SAMPLES = 21
@@ -21,6 +23,9 @@ MIN_WEIGHT = 1e-6
 UNIT_WEIGHT_SLACK = 1e-5
 DECIMATING = 0.95
 
+#: Side of the blocks that pixel rows are packed into for the bilinear filter.
+PACKED = 32
+
 EXTENT = ["min_col", "max_col", "min_row", "max_row"]
 
 
@@ -191,7 +196,7 @@ def target_pixels(
     lines = shaped.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)))
     if band is not None:
         lines = lines.withColumn("_rows", F.floor(F.col("row") / band))
-    lines = lines.repartition(*keys, "row" if band is None else "_rows")
+    lines = deal_out(lines, *keys, "row" if band is None else "_rows")
     pixels = lines.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)))
     dx = (F.col("max_x") - F.col("min_x")) / F.col("width")
     dy = (F.col("max_y") - F.col("min_y")) / F.col("height")
@@ -304,14 +309,12 @@ def warp_bilinear(
 ) -> DataFrame:
     """``keys..., row, col, value`` of valid target pixels under the (scaled) triangle filter.
 
-    ``source`` holds pixel rows; NULL (or absent) samples are invalid. Stored blocks: ``warp_blocks``.
+    ``source`` holds pixel rows, one per sample; NULL, NaN or absent samples are invalid. They are packed into
+    blocks, so a target pixel is shuffled once for each block it reaches, not once for each sample. Stored
+    blocks: ``warp_blocks``.
     """
-    support = kernel_weights(targets)
-    inside = (
-        (F.col("_sr") >= 0) & (F.col("_sc") >= 0) & (F.col("_sr") < F.col("raster_h")) & (F.col("_sc") < F.col("raster_w"))
-    )
-    slim = support.select(
-        *dict.fromkeys([*keys, *join_keys]), "row", "col", "_sr", "_sc", "w", "gate", inside.alias("gate_counts")
-    )
-    joined = attach_samples(slim, source, join_keys)
-    return weighted_mean(joined, [*keys, "row", "col"], "v", propagate).where(F.col("value").isNotNull())
+    from . import block_warp as BW
+
+    rows = F.floor(F.col("row") / BW.BAND_ROWS)
+    points = targets.withColumns({"_rows": rows, "block_h": F.lit(PACKED), "block_w": F.lit(PACKED)})
+    return BW.sample_blocks(points, pack_chunks(source, join_keys, PACKED), keys, join_keys, "bilinear", propagate)

@@ -1,8 +1,11 @@
 """What grows with the input: joins of multiplied rows, equal boxes, batches of points."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from rasterspark.operators import block_warp as BW
 from rasterspark.operators import pyramid as PY
+from rasterspark.operators import warp as W
 from rasterspark.sources import rasters as RS
 
 
@@ -31,3 +34,26 @@ def test_tile_refs_broadcast_no_blocks(spark):
     assert "BroadcastHashJoin" not in plan_of(refs)
     got = {(r["asset"], r["key"]): r["offset"] for r in refs.collect()}
     assert len(got) == 54 and got["a3", "1.1"] == 40 and got["a3", "1.2"] is None
+
+
+def test_batches_of_points_are_laid_out_in_bounded_slices():
+    point = {"row": 0, "col": 0, "fr": 0.5, "fc": 0.5}
+    batch = pa.RecordBatch.from_pydict({"_points": [[point] * 1000] * 300 + [None], "_values": [[1.0] * 1000] * 300 + [[1.0] * 600_000]})
+    parts = list(BW._slices(batch))
+    assert [p.num_rows for p in parts] == [125, 125, 50, 1]
+    assert pa.Table.from_batches(parts).combine_chunks().to_batches()[0].equals(batch)
+
+
+def test_bilinear_rows_shuffle_points_not_samples(spark):
+    cells = spark.range(40 * 40).select(F.lit(0).alias("asset"), F.floor(F.col("id") / 40).alias("row"), (F.col("id") % 40).alias("col"))
+    source = cells.withColumn("value", F.when((F.col("row") + F.col("col")) % 7 != 0, F.col("row") * 3.0 + F.col("col")))
+    one = {"scale_x": 1.0, "scale_y": 1.0, "radius_x": 1, "radius_y": 1, "raster_w": 40, "raster_h": 40}
+    points = cells.select("asset", "row", "col", (F.col("col") + 0.8).alias("fcol"), (F.col("row") + 0.7).alias("frow"), *[F.lit(v).alias(k) for k, v in one.items()])
+    inside = (F.col("_sr") < 40) & (F.col("_sc") < 40) & (F.col("_sr") >= 0) & (F.col("_sc") >= 0)
+    support = W.kernel_weights(points).withColumn("gate_counts", inside)
+    for propagate in (False, True):
+        out = W.warp_bilinear(points, source, ["asset"], ["asset"], propagate)
+        assert "MapInArrow" in plan_of(out)
+        want = W.weighted_mean(W.attach_samples(support, source, ["asset"]), ["asset", "row", "col"], "v", propagate).where("value IS NOT NULL")
+        key = lambda df: {(r["row"], r["col"]): round(r["value"], 9) for r in df.collect()}
+        assert key(out) == key(want)
