@@ -171,8 +171,10 @@ def parse_eos_grids(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
 
     def field(name: str) -> Column:
-        hit = F.regexp_extract("_b", rf"\n{name}=([^\n]*)\n", 1)
-        return F.when(F.col("_b").rlike(rf"\n{name}=[^\n]*\n"), hit)
+        # NULL without a hit: the text after the first ``\nname=``, up to the end of that line
+        at = F.instr("_b", f"\n{name}=")
+        rest = F.substring(F.col("_b"), at + len(name) + 2, F.length("_b"))
+        return F.when(at > 0, F.substring_index(rest, "\n", 1))
 
     raw = blocks.select(key, "block", *[field(n).alias(n) for n in EOS_FIELDS])
 

@@ -3,8 +3,10 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from rasterspark import registry
 from rasterspark.operators import block_warp as BW
 from rasterspark.operators import pyramid as PY
+from rasterspark.operators import spatial as S
 from rasterspark.operators import warp as W
 from rasterspark.sources import rasters as RS
 
@@ -57,3 +59,9 @@ def test_bilinear_rows_shuffle_points_not_samples(spark):
         want = W.weighted_mean(W.attach_samples(support, source, ["asset"]), ["asset", "row", "col"], "v", propagate).where("value IS NOT NULL")
         key = lambda df: {(r["row"], r["col"]): round(r["value"], 9) for r in df.collect()}
         assert key(out) == key(want)
+
+
+def test_grids_are_parsed_in_more_than_one_task(spark, sf_dir):
+    registry.load()
+    text = registry.QUERIES["parse_eos_grids"](spark, sf_dir)
+    assert "REPARTITION_BY_NUM" in plan_of(text)
