@@ -65,3 +65,19 @@ def test_grids_are_parsed_in_more_than_one_task(spark, sf_dir):
     registry.load()
     text = registry.QUERIES["parse_eos_grids"](spark, sf_dir)
     assert "REPARTITION_BY_NUM" in plan_of(text)
+
+
+def test_equal_boxes_are_matched_once(spark, monkeypatch):
+    box = lambda w, s: F.struct(w.alias("west"), s.alias("south"), (w + 3.0).alias("east"), (s + 2.0).alias("north"))
+    i = F.col("id")
+    left = spark.range(600).select("id", box(F.when(i % 7 == 0, 178.0).otherwise(i % 5 * 2.0) , i % 3 * 2.0).alias("bbox"))
+    # boxes across the antimeridian have west > east
+    wrapped = F.col("bbox").withField("east", F.when(F.col("bbox.east") > 180, F.col("bbox.east") - 360).otherwise(F.col("bbox.east")))
+    left = left.withColumn("bbox", wrapped)
+    right = left.where("id % 4 = 1").unionByName(spark.range(1).select((i + 5000).alias("id"), box(F.lit(-179.5), F.lit(1.0)).alias("bbox")))
+    seen = []
+    plain = S._meeting
+    monkeypatch.setattr(S, "_meeting", lambda a, b, *rest: seen.append((a.count(), b.count())) or plain(a, b, *rest))
+    monkeypatch.setattr(S, "LISTED_IDS", 7)
+    got = sorted(tuple(r) for r in S.bbox_join(left, right).collect())
+    assert seen[0][0] <= 18 and got == sorted(tuple(r) for r in plain(left, right, 6, "bbox", S.HOT_PAIRS).collect()) and len(got) > 5000
