@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, store_columns
 from .blobs import arrow_batches, pack, partitions, pieces, run_starts, unpack
 from .bytewords import encode, mix, shingle_sets
 from .components import components
@@ -491,7 +491,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
 
 def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
-    signs = cut_lineage(_signatures(docs, words, percent))
+    signs, delete_signs = store_columns(_signatures(docs, words, percent))
     stats = signs.filter("n > 0").groupBy(F.least("n", F.lit(LIGHT_LIMIT + 1)).alias("n")).agg(
         F.count("*").alias("k"), F.sum(F.length("tokens") / 8).alias("postings")
     ).collect()
@@ -500,12 +500,13 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     key = ["n", "h1", "h2"]
     classes = signs.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    member = signs.select("doc_id", *key).join(classes, key, "left").select(
+    member = cut_lineage(signs.select("doc_id", *key).join(classes, key, "left").select(
         "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")
-    )
+    ))
     copies = cut_lineage(signs.filter("n > 0").select("doc_id", *key).join(classes, key).filter("doc_id != rep").drop("rep").distinct())
     # stored, as every later plan starts from it
-    sets = cut_lineage(_without(signs.filter("n > 0"), copies.select("doc_id", *key)).select(F.col("doc_id").alias("rep"), "n", "tokens", "spread", *PARITY))
+    sets, delete_sets = store_columns(_without(signs.filter("n > 0"), copies.select("doc_id", *key)).select(F.col("doc_id").alias("rep"), "n", "tokens", "spread", *PARITY))
+    delete_signs()
     heavy = sets.filter(F.col("n") >= percent * boundary // 100).select(
         "rep", "n", *PARITY, F.when(F.col("n") > LIGHT_LIMIT, F.col("tokens")).otherwise(
             F.substring("tokens", F.lit(1), (8 * (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).cast("int"))
@@ -513,7 +514,7 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     )
 
     links, left = _light_links(sets, boundary, percent), heavy.withColumn("component", F.col("rep"))
-    found = None
+    found = delete_left = None
     for colours in COLOURS:
         stars = cut_lineage(_star_pairs(left, buckets, colours, percent))
         # buckets name a pair again, and what is known of its sets is much wider
@@ -523,7 +524,9 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
         if colours == 1:  # sets that share no rare token with another one are done; some of them may stay
             heavy = _only_touched(heavy, stars)
         links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        left = cut_lineage(_with_components(heavy, found))
+        if delete_left is not None:
+            delete_left()
+        left, delete_left = store_columns(_with_components(heavy, found))
     mixed = cut_lineage(_mixed_tokens(left, buckets))
     listed = cut_lineage(_list_pairs(left, mixed, boundary, percent))
     rest = cut_lineage(_near(listed, sets, percent))
@@ -531,6 +534,8 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # all documents of a class, also those whose doc_id has several texts, meet
     same = member.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     last = components(links.unionAll(more).unionAll(same))
+    delete_sets()
+    delete_left()
 
     named = member.select("doc_id", F.col("n").alias("n_shingles")).join(
         last.withColumnRenamed("node", "doc_id"), "doc_id", "left"
