@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
-from ..session import deal_out
+from ..session import deal_out, tasks_for
 from ..sources import manifests as MF
 from ..sources import rasters as RS
 from . import query
@@ -85,21 +85,32 @@ REFS_SQL = """ra AS (SELECT l_suppkey AS source, l_partkey AS name, l_orderkey |
 rb AS (SELECT source, name, key, "offset" + CASE WHEN length % 97 = 0 THEN 1 ELSE 0 END AS "offset", length FROM ra WHERE "offset" % 1300 <> 0 AND name % 50 <> 49)"""
 
 
+#: Order lines of a task; what a task holds then stays the same as the table grows.
+LINES_PER_TASK = 500_000
+
+
+def _tasks(spark, sf):
+    return tasks_for(spark, X.table(spark, sf, "lineitem").count(), LINES_PER_TASK)
+
+
 def _refs(spark, sf):
-    a = X.table(spark, sf, "lineitem").groupBy(
+    lines = X.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("name"),
         F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("key"),
-    ).agg(F.min(F.col("l_orderkey") * 100).alias("offset"), F.max(F.col("l_partkey") + 10).alias("length"))
+        (F.col("l_orderkey") * 100).alias("_o"), (F.col("l_partkey") + 10).alias("_l"),
+    )
+    lines = deal_out(lines, "source", "name", "key", tasks=_tasks(spark, sf))
+    a = lines.groupBy("source", "name", "key").agg(F.min("_o").alias("offset"), F.max("_l").alias("length"))
     shifted = F.col("offset") + F.when(F.col("length") % 97 == 0, 1).otherwise(0)
     b = a.where("offset % 1300 <> 0 AND name % 50 <> 49").withColumn("offset", shifted)
     return a, b
 
 
-def _manifest_arrays(refs, changed: bool):
+def _manifest_arrays(refs, changed: bool, tasks: int):
     k = F.col("name")
     codec = F.concat(F.lit("zlib:"), (k % 9).cast("string"))
     shape = F.array(k + 1, F.lit(64).cast("long"))
-    return refs.select("source", "name").distinct().select(
+    return deal_out(refs.select("source", "name"), "source", "name", tasks=tasks).distinct().select(
         "source", "name", shape.alias("shape"), F.array(F.lit(16).cast("long"), F.lit(16).cast("long")).alias("chunks"),
         (F.when(k % 40 == 3, "float32").otherwise("int16") if changed else F.lit("int16")).alias("dtype"), F.array(F.lit("shuffle"), codec).alias("codecs"),
     )
@@ -125,7 +136,8 @@ SELECT g.source, arrays_a, arrays_b, matched_arrays, grid_mismatches, CAST(coale
 )
 def compare_manifests(spark, sf):
     a, b = _refs(spark, sf)
-    return MF.compare_manifests(_manifest_arrays(a, False), a, _manifest_arrays(b, True), b)
+    tasks = _tasks(spark, sf)
+    return MF.compare_manifests(_manifest_arrays(a, False, tasks), a, _manifest_arrays(b, True, tasks), b, tasks)
 
 
 @query("manifest_summary", f"WITH {REFS_SQL} SELECT source, count(DISTINCT name) AS arrays, count(*) AS refs FROM ra GROUP BY source")

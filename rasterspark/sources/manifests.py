@@ -9,6 +9,7 @@ from ..functions.grid import north_up
 from ..functions.text import STORE_DTYPES
 from ..operators.ordered import position
 from ..schema import MANIFEST
+from ..session import deal_out
 
 MANIFEST_VERSION = 1
 
@@ -64,14 +65,19 @@ def compare_arrays(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def _matched(a: DataFrame, b: DataFrame) -> DataFrame:
+    """References of both sides by ``source, name, key``, with ``_a`` and ``_b``; sides that are dealt by these lie as they are."""
+    left = a.select("source", "name", "key", F.struct("offset", "length").alias("_a"))
+    right = b.select("source", "name", "key", F.struct("offset", "length").alias("_b"))
+    return left.join(right, ["source", "name", "key"], "full")
+
+
 def compare_refs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Chunks of arrays both sides have that disagree: ``source, name, key, issue``.
 
     Chunks only B has are not listed one by one; they show as a count difference of the array.
     """
-    left = a.select("source", "name", "key", F.struct("offset", "length").alias("_a"))
-    right = b.select("source", "name", "key", F.struct("offset", "length").alias("_b"))
-    both = left.join(right, ["source", "name", "key"], "full")
+    both = _matched(a, b)
     counts = both.groupBy("source", "name").agg(F.count("_a").alias("_na"), F.count("_b").alias("_nb"))
     per_array = counts.where(F.col("_na") != F.col("_nb")).select(
         "source", "name", F.lit(None).cast("string").alias("key"), F.lit("ref count differs").alias("issue")
@@ -81,14 +87,22 @@ def compare_refs(a: DataFrame, b: DataFrame) -> DataFrame:
     return per_chunk.select("source", "name", "key", "issue").unionByName(per_array)
 
 
-def compare_manifests(arrays_a: DataFrame, refs_a: DataFrame, arrays_b: DataFrame, refs_b: DataFrame) -> DataFrame:
-    """One row per source: array counts, mismatch counts and ``equivalent``."""
-    left = refs_a.select("source", "name", "key", F.struct("offset", "length").alias("_a"))
-    right = refs_b.select("source", "name", "key", F.struct("offset", "length").alias("_b"))
-    chunks = left.join(right, ["source", "name", "key"], "full").groupBy("source", "name").agg(
-        F.count_if(F.col("_a").isNotNull() & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("_bad"),
-        (F.count("_a") != F.count("_b")).cast("int").alias("_uneven"),
-    )
+def compare_manifests(arrays_a: DataFrame, refs_a: DataFrame, arrays_b: DataFrame, refs_b: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row per source: array counts, mismatch counts and ``equivalent``.
+
+    With ``tasks``, the chunks of an array are counted in that many tasks, so that it can follow the tables' rows (an
+    array's chunks then meet as short rows). References that are dealt by ``source, name, key`` and arrays that are
+    dealt by ``source, name`` are matched as they lie.
+    """
+    both = _matched(refs_a, refs_b)
+    if tasks is not None:
+        same = F.when(F.col("_a").isNotNull(), F.col("_a").eqNullSafe(F.col("_b"))).alias("_same")
+        both = deal_out(both.select("source", "name", same, F.col("_b").isNotNull().alias("_in_b")), "source", "name", tasks=tasks)
+        bad, uneven = F.count_if(~F.col("_same")), F.count("_same") != F.count_if("_in_b")
+    else:
+        bad = F.count_if(F.col("_a").isNotNull() & ~F.col("_a").eqNullSafe(F.col("_b")))
+        uneven = F.count("_a") != F.count("_b")
+    chunks = both.groupBy("source", "name").agg(bad.alias("_bad"), uneven.cast("int").alias("_uneven"))
     # chunk differences only count for arrays both sides have; the others are grid mismatches already
     matched = F.col("in_a") & F.col("in_b")
     issues = F.when(matched, F.coalesce(F.col("_bad") + F.col("_uneven"), F.lit(0))).otherwise(0)
