@@ -87,12 +87,18 @@ class EliasFano:
         high = (self._select(i, True) - i).astype(np.uint64)
         return (high << np.uint64(self.low_bits)) | self._low(i)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of the first number not below each value (successor search)."""
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first number not below each value (successor search), and whether it is that value."""
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - np.maximum(high - 1, 0), 0)
-        hi = self._select(high, False) - high
+        # numbers with the same high bits lie between two zeros; each run of equal high bits is searched once
+        starts = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))[: len(high)]
+        tops = high[starts]
+        ends = self._select(tops, False) - tops
+        begins = np.where(tops > 0, self._select(np.maximum(tops - 1, 0), False) - np.maximum(tops - 1, 0), 0)
+        times = np.diff(np.append(starts, len(high)))
+        lo, end = np.repeat(begins, times), np.repeat(ends, times)
+        hi = end.copy()
         low = values & np.uint64((1 << self.low_bits) - 1)
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
@@ -101,7 +107,7 @@ class EliasFano:
             lo[open_[smaller]] = mid[smaller] + 1
             hi[open_[~smaller]] = mid[~smaller]
             open_ = open_[lo[open_] < hi[open_]]
-        return lo
+        return lo, (lo < end) & (self._low(np.minimum(lo, self.n - 1)) == low)
 
     @property
     def nbytes(self) -> int:
@@ -109,7 +115,7 @@ class EliasFano:
 
 
 class BigramTrie:
-    """Contexts, monotone pointers to their successors, the successors, and a 16-bit code for each.
+    """Contexts, monotone pointers to their successors, the successors, and a code for each.
 
     Successors are numbered relative to their context: context number * width + rank of the word among
     the words of this trie, so one monotone sequence holds them all and a lookup is a successor search.
@@ -136,8 +142,9 @@ class BigramTrie:
         i = np.zeros(len(values), np.int64)
         for lo in range(0, len(values), _PIECE):
             part, good = slice(lo, lo + _PIECE), inside[lo : lo + _PIECE]
-            i[part][good] = level.find(values[part][good])
-            good &= level[np.minimum(i[part], level.n - 1)] == values[part].astype(np.uint64)
+            at, hit = level.find(values[part][good])
+            i[part][good] = at
+            good[good] = hit
         return i, inside
 
     def lookup(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +154,7 @@ class BigramTrie:
         c, known = self._at(self.contexts, names)
         words, which = np.unique(word, return_inverse=True)
         w, there = self._at(self.words, words)
-        found, code = np.zeros(len(context), bool), np.zeros(len(context), np.uint16)
+        found, code = np.zeros(len(context), bool), np.zeros(len(context), self.codes.dtype)
         at = np.flatnonzero(known[own] & there[which])
         if len(at):
             own = own[at]

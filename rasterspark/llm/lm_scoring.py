@@ -7,17 +7,22 @@ once (the mass of unseen ones after Good and Turing). A text's first token has t
 more; where a context is unknown the order below stands. All of it sums to one over the known words and
 one unknown word.
 
-Texts are dealt into blocks. A block asks for each of its words once, for each of its pairs once and for
-each of its triples of two known pairs once (no other was seen); all questions carry the block's training
-counts, so the same exchange counts the corpus and looks it up, and what is frequent is one entry per
-block. Pairs go to the shard of their context, triples to that of the pair which is their context (or of
-context and word for contexts too frequent for one shard). Each shard builds its level of the trie in
-memory-mapped files and looks all its questions up; it numbers its pairs, and the level below points to them.
+Texts are dealt into blocks, compressed on the way, and read once: a block's tokens are kept as numbers of its
+words. A block asks for each of its words once, for each of its pairs once and for each of its triples of two
+known pairs once (no other was seen); all questions carry the block's training counts, so the same exchange
+counts the corpus and looks it up, and what is frequent is one entry per block. Pairs go to the shard of their
+context, triples to that of the pair which is their context (or of context and word for contexts too frequent
+for one shard). Each shard builds its level of the trie in memory-mapped files and looks all its questions up;
+it numbers its pairs, and the level below points to them. The trie holds counts: a block knows its contexts'
+counts and the orders below, so probabilities are made where they are summed and none is shuffled. Questions are
+sorted and sent as differences.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,26 +37,28 @@ from .elias_fano import BigramTrie
 BLOCK_BYTES = 8 << 20
 #: Training occurrences of a context above which its words are spread over several shards.
 HOT_CONTEXT = 1_000_000
-#: Steps of a quantised log10 probability.
+#: A token's score may differ from the model's by less than one of so many steps of log10.
 STEP = 2000
 _END = np.uint64(0x454E44454E44454E)
 _KIND = "bucket int, block int, kind int, a binary, b binary, c binary, d binary, e binary, n long, v long"
-_WORDS, _PAIRS, _TOTALS, _TRIPLES = 0, 1, 2, 3
+_WORDS, _PAIRS, _TOTALS, _TRIPLES, _TOKENS, _LEVEL = 0, 1, 2, 3, 4, 5
 _LEVELS = 64
 #: Words of the longest n-grams.
 ORDER = 3
 
 
 def pack(values: np.ndarray) -> bytes:
-    """A numpy array as zstandard bytes, with its numbers' first bytes first, then their second bytes, and so on."""
+    """Numbers from 0 up in the fewest bytes that hold all, as zstandard bytes: their first bytes first, then their second bytes, and so on."""
     values = np.ascontiguousarray(values)
-    return blobs.pack(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    values = values.astype(kind)
+    return bytes([kind.itemsize]) + blobs.pack(values.view(np.uint8).reshape(len(values), kind.itemsize).T)
 
 
-def unpack(blob: bytes, dtype: type) -> np.ndarray:
+def unpack(blob: bytes, dtype: type = np.int64) -> np.ndarray:
     """The array that ``pack`` was given."""
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(blobs.unpack(blob, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    size = blob[0]
+    return np.ascontiguousarray(blobs.unpack(blob[1:], np.uint8).reshape(size, -1).T).view(f"u{size}").ravel().astype(dtype)
 
 
 def held_out(doc_id: int | None) -> bool | None:
@@ -59,93 +66,142 @@ def held_out(doc_id: int | None) -> bool | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
+def read_texts(rows: pd.DataFrame, shards: int) -> tuple[_Block, list[tuple]]:
+    """A block of texts, and its words with their training counts: (shard, hashes, counts)."""
+    ids, texts = [], []
+    for packed_ids, sizes, packed in zip(rows["ids"], rows["sizes"], rows["texts"], strict=True):
+        raw, sizes = blobs.unpack(packed, np.uint8).tobytes(), unpack(sizes)
+        ends = np.cumsum(sizes)
+        ids += json.loads(packed_ids)
+        texts += [raw[e - n : e].lower() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    words, doc = [], []
+    for lo, hi in chunks(texts):
+        w, d = word_hashes(texts[lo:hi])
+        words.append(w)
+        doc.append(d + lo)
+    words, doc = np.concatenate(words), np.concatenate(doc)
+    sizes = np.bincount(doc, minlength=len(texts)) + 1
+    tokens = np.full(len(words) + len(texts), _END)
+    tokens[np.delete(np.arange(len(tokens)), np.cumsum(sizes) - 1)] = words
+    names, own = np.unique(tokens, return_inverse=True)
+    # words are numbered in order of their shard
+    to = (mix(names) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    names, to = names[order], to[order]
+    block = _Block(ids, sizes, place[own], len(names), int(np.flatnonzero(names == _END)[0]))
+    counts = np.bincount(block.own[block.teach], minlength=len(names))
+    cuts = np.append(run_starts(to), len(to))
+    return block, [(int(to[a]), names[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class _Block:
-    """Tokens of a block's texts as numbers of its distinct words."""
-
-    def __init__(self, rows: pd.DataFrame) -> None:
-        self.ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"]]
-        texts = [encode(t if isinstance(t, str) else None).lower() for t in rows["text"]]
-        words, doc = [], []
-        for lo, hi in chunks(texts):
-            w, d = word_hashes(texts[lo:hi])
-            words.append(w)
-            doc.append(d + lo)
-        words, doc = np.concatenate(words), np.concatenate(doc)
-        self.sizes = np.bincount(doc, minlength=len(texts)) + 1
-        ends = np.cumsum(self.sizes) - 1
-        tokens = np.full(len(words) + len(texts), _END)
-        tokens[np.delete(np.arange(len(tokens)), ends)] = words
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        self.teach = np.array([held_out(i) is False for i in self.ids])[self.doc]
-        self.words, self.own = np.unique(tokens, return_inverse=True)
-        self.counts = np.bincount(self.own[self.teach], minlength=len(self.words))
-
-    def by_shard(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the words by shard, and the shards in that order."""
-        to = (mix(self.words) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        return order, to[order]
-
-    def answers(self, rows: pd.DataFrame, shards: int) -> None:
-        """Take the corpus counts and numbers of the words."""
-        order, to = self.by_shard(shards)
-        self.total, self.number = np.zeros(len(self.words), np.int64), np.full(len(self.words), -1)
-        starts = dict(zip(to[run_starts(to)].tolist(), run_starts(to).tolist(), strict=True))
-        for shard, total, number in zip(rows["n"], rows["a"], rows["b"], strict=True):
-            total, number = unpack(total, np.int64), unpack(number, np.int64)
-            at = order[starts[int(shard)] : starts[int(shard)] + len(total)]
-            self.total[at], self.number[at] = total, number
+    """Tokens of a block's texts as numbers of its distinct words, which stand in order of their shard until they are answered."""
+
+    def __init__(self, ids: list[int | None], sizes: np.ndarray, own: np.ndarray, words: int, end: int) -> None:
+        self.ids, self.sizes, self.own, self.words, self.end = ids, sizes, own, words, end
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.teach = np.array([held_out(i) is False for i in ids], bool)[self.doc]
+
+    def store(self) -> tuple[bytes, ...]:
+        """The block in bytes; frequent words take few."""
+        by_count = np.argsort(-np.bincount(self.own, minlength=self.words), kind="stable")
+        rank = np.empty(self.words, np.int64)
+        rank[by_count] = np.arange(self.words)
+        return pack(rank[self.own]), pack(by_count), pack(self.sizes), json.dumps(self.ids).encode()
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> _Block:
+        """The block that ``store`` put into the one row of tokens among ``rows``."""
+        row = rows[rows["kind"] == _TOKENS].iloc[0]
+        by_count = unpack(row["b"])
+        return cls(json.loads(row["d"]), unpack(row["c"]), by_count[unpack(row["a"])], len(by_count), int(row["n"]))
+
+    def answers(self, rows: pd.DataFrame) -> None:
+        """Take the corpus counts and numbers of the words, which are renumbered in order of their numbers in the corpus."""
+        rows = rows[rows["kind"] == _WORDS].sort_values("n")
+        total, number = (np.concatenate([unpack(x) for x in rows[k]]) for k in "ab")
+        order = np.argsort(number)
+        rank = np.empty(self.words, np.int64)
+        rank[order] = np.arange(self.words)
+        self.total, self.number = total[order], number[order]
+        self.own, self.end = rank[self.own], int(rank[self.end])
 
     def pairs(self, shards: int) -> None:
-        """The distinct pairs of known words, in order of their shard."""
-        end = int(np.searchsorted(self.words, _END))
-        before = np.concatenate([[end], self.own[:-1]])
-        self.before = before
+        """The distinct pairs of known words, in order of their shard, context and word."""
+        self.before = before = np.concatenate([[self.end], self.own[:-1]])
         good = (self.total[before] > 0) & (self.total[self.own] > 0)
         self.known_pair = good
-        key = before[good] * len(self.words) + self.own[good]
-        unique, inverse = np.unique(key, return_inverse=True)
-        v, w = unique // len(self.words), unique % len(self.words)
+        unique, inverse = np.unique(before[good] * self.words + self.own[good], return_inverse=True)
+        v, w = unique // self.words, unique % self.words
         seen = np.bincount(inverse[self.teach[good]], minlength=len(unique))
         to = _shard(self.number[v], self.number[w], self.total[v], shards)
         order = np.argsort(to, kind="stable")
-        self.place = np.empty(len(unique), np.int64)
-        self.place[order] = np.arange(len(unique))
-        self.inverse, self.shard = inverse, to[order]
-        self.v, self.w, self.seen = v[order], w[order], seen[order]
+        place = np.empty(len(unique), np.int64)
+        place[order] = np.arange(len(unique))
+        self.shard, self.v, self.w, self.seen = to[order], v[order], w[order], seen[order]
+        self.pair = np.full(len(self.own), -1)
+        self.pair[good] = place[inverse]
 
-    def pair_answers(self, rows: pd.DataFrame) -> None:
-        """Take the codes, corpus counts and numbers of the pairs, and set what each token's pair and context are."""
+    def pair_answers(self, rows: pd.DataFrame, shards: int) -> None:
+        """Take the corpus counts and numbers of the pairs, and set what each token's context is."""
         size = len(self.shard)
-        self.code, self.pair_total, self.pair_number = np.zeros(size, np.uint16), np.zeros(size, np.int64), np.full(size, -1)
-        begin = _begins(self.shard)
-        for shard, *packed in zip(rows["n"], rows["a"], rows["b"], rows["c"], strict=True):
-            code, total, number = map(unpack, packed, (np.uint16, np.int64, np.int64))
-            at = slice(begin[int(shard)], begin[int(shard)] + len(code))
-            self.code[at], self.pair_total[at], self.pair_number[at] = code, total, number
-        self.pair = np.full(len(self.own), -1)
-        self.pair[self.known_pair] = self.place[self.inverse]
+        self.pair_total, self.pair_number = np.zeros(size, np.int64), np.full(size, -1)
+        begin, rows = _begins(self.shard), rows[rows["kind"] == _PAIRS]
+        for shard, total, steps in zip(rows["n"], rows["a"], rows["b"], strict=True):
+            total = unpack(total)
+            at = begin[int(shard)] + np.arange(len(total))
+            self.pair_total[at] = total
+            self.pair_number[at[total > 0]] = np.cumsum(unpack(steps)) * shards + int(shard)
         self.context = np.full(len(self.own), -1)  # the pair before, if training has it
         follows = np.flatnonzero((self.doc[1:] == self.doc[:-1]) & (self.pair[:-1] >= 0))
         follows = follows[self.pair_total[self.pair[follows]] > 0]
         self.context[follows + 1] = self.pair[follows]
 
     def triples(self, shards: int) -> None:
-        """The distinct triples of known pairs, in order of their shard and context."""
+        """The distinct triples of known pairs, in order of their shard, context and word."""
         good = (self.context >= 0) & (self.pair >= 0)
         good[good] = self.pair_total[self.pair[good]] > 0
         self.known_triple = good
-        key = self.context[good] * len(self.words) + self.own[good]
-        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        context, w = unique // max(len(self.words), 1), unique % max(len(self.words), 1)
+        by_number = np.argsort(self.pair_number)
+        rank = np.empty(len(by_number), np.int64)
+        rank[by_number] = np.arange(len(by_number))
+        unique, inverse = np.unique(rank[self.context[good]] * self.words + self.own[good], return_inverse=True)
+        context, w = by_number[unique // self.words], unique % self.words
         seen = np.bincount(inverse[self.teach[good]], minlength=len(unique))
         to = _shard(self.pair_number[context], self.number[w], self.pair_total[context], shards)
-        order = np.lexsort((self.number[w], self.pair_number[context], to))
+        order = np.argsort(to, kind="stable")
         self.triple_place = np.empty(len(unique), np.int64)
         self.triple_place[order] = np.arange(len(unique))
         self.triple_inverse, self.triple_shard = inverse, to[order]
         self.triple_context, self.triple_w, self.triple_seen = context[order], w[order], seen[order]
-        self.below = self.code[self.pair[good][first]][order]
+
+    def triple_answers(self, rows: pd.DataFrame) -> None:
+        """Take the corpus counts of the triples."""
+        self.triple_total = np.zeros(len(self.triple_shard), np.int64)
+        begin, rows = _begins(self.triple_shard), rows[rows["kind"] == _TRIPLES]
+        for shard, total in zip(rows["n"], rows["a"], strict=True):
+            total = unpack(total)
+            self.triple_total[begin[int(shard)] : begin[int(shard)] + len(total)] = total
+
+    def model(self, n: int, v: int, rest: np.ndarray, rest3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities of every token: base and model."""
+        one = (self.total + 0.5) / (n + 0.5 * (v + 1))
+        base = np.log10(one)[self.own]
+        after = self.total[self.before]
+        model = base + np.where(after > 0, np.log10(np.maximum(rest[_level(after)], 1e-12)), 0.0)
+        count = self.total[self.v]
+        share = rest[_level(count)]
+        two = (1 - share) * self.pair_total / np.maximum(count, 1) + share * one[self.w]
+        model[self.known_pair] = np.log10(two)[self.pair[self.known_pair]]
+        known = self.context >= 0
+        model[known] += np.log10(np.maximum(rest3[_level(self.pair_total[self.context[known]])], 1e-12))
+        count = self.pair_total[self.triple_context]
+        share = rest3[_level(count)][self.triple_place[self.triple_inverse]]
+        seen = (self.triple_total / np.maximum(count, 1))[self.triple_place[self.triple_inverse]]
+        model[self.known_triple] = np.log10((1 - share) * seen + share * two[self.pair[self.known_triple]])
+        return base, model
 
 
 def _shard(context: np.ndarray, word: np.ndarray, total: np.ndarray, shards: int) -> np.ndarray:
@@ -158,10 +214,6 @@ def _begins(shard: np.ndarray) -> dict[int, int]:
     return dict(zip(shard[starts].tolist(), starts.tolist(), strict=True))
 
 
-def _codes(chance: np.ndarray) -> np.ndarray:
-    return np.minimum(65535, np.round(-np.log10(np.maximum(chance, 1e-33)) * STEP)).astype(np.uint16)
-
-
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _KIND.split(", ")])
 
@@ -184,22 +236,35 @@ def score_documents(docs: DataFrame) -> DataFrame:
     blocks = partitions(spark, known, BLOCK_BYTES)
     shards = blocks
     place = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")
-    texts = docs.select("doc_id", "text", place.alias("bucket")).repartition(blocks, "bucket")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), place.alias("bucket"))
+
+    def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Texts of one block that lie in one batch as one row of bytes."""
+        for batch in batches:
+            out = []
+            for bucket, rows in batch.groupby("bucket"):
+                raw = [encode(t if isinstance(t, str) else None) for t in rows["text"]]
+                ids = json.dumps([None if pd.isna(i) else int(i) for i in rows["doc_id"]])
+                sizes = pack(np.array([len(t) for t in raw]))
+                out.append((int(bucket), ids, sizes, blobs.pack(np.frombuffer(b"".join(raw), np.uint8))))
+            yield pd.DataFrame(out, columns=["bucket", "ids", "sizes", "texts"])
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
-        block, name = _Block(rows), int(rows["bucket"].iloc[0])
-        order, to = block.by_shard(shards)
-        cuts = np.append(run_starts(to), len(to))
-        return _frame([
-            (int(to[a]), name, _WORDS, pack(block.words[order[a:b]]), pack(block.counts[order[a:b]]), None, None, None, None, None)
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True)
-        ])
+        name = int(rows["bucket"].iloc[0])
+        block, words = read_texts(rows, shards)
+        out = [
+            (shard, name, _WORDS, names.tobytes(), pack(counts), None, None, None, None, None) for shard, names, counts in words
+        ]
+        return _frame([*out, (name, name, _TOKENS, *block.store(), None, block.end, None)])
 
     def count_words(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["bucket"].iloc[0])
-        words = [unpack(x, np.uint64) for x in rows["a"]]
+        rows = rows[rows["kind"] == _WORDS]
+        if not len(rows):
+            return _frame([])
+        words = [np.frombuffer(x, np.uint64) for x in rows["a"]]
         names, inverse = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([unpack(x, np.int64) for x in rows["b"]])).astype(np.int64)
+        total = np.bincount(inverse, np.concatenate([unpack(x) for x in rows["b"]])).astype(np.int64)
         number = np.empty(len(names), np.int64)
         number[np.argsort(-total, kind="stable")] = np.arange(len(names)) * shards + shard
         cuts = np.cumsum([0, *map(len, words)])
@@ -209,114 +274,104 @@ def score_documents(docs: DataFrame) -> DataFrame:
         ]
         return _frame([*out, (-1, -1, _TOTALS, None, None, None, None, None, int(total.sum()), int((total > 0).sum()))])
 
-    def ask_pairs(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
+    def question(shard: int, name: int, kind: int, v: np.ndarray, w: np.ndarray, seen: np.ndarray, count: np.ndarray) -> tuple:
+        """A block's questions to a shard, sorted: steps of the context, words (steps inside a context), training counts, and counts of
+        the contexts that are spread over shards (0 elsewhere, as there the shard has all of them)."""
+        same = np.concatenate([[False], v[1:] == v[:-1]])
+        words = np.where(same, w - np.concatenate([[0], w[:-1]]), w)
+        hot = np.where(count >= HOT_CONTEXT, count, 0)
+        return shard, name, kind, pack(np.diff(v, prepend=0)), pack(words), pack(seen), pack(hot) if hot.any() else None, None, None, None
+
+    def ask_pairs(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not (tokens["kind"] == _TOKENS).any():
             return _frame([])
-        block, name = _Block(rows), int(rows["bucket"].iloc[0])
-        block.answers(answers, shards)
+        block, name = _Block.of(tokens), int(tokens["bucket"].iloc[0])
+        block.answers(answers)
         block.pairs(shards)
         cuts = np.append(run_starts(block.shard), len(block.shard))
         return _frame([
-            (
-                int(block.shard[a]), name, _PAIRS, pack(block.number[block.v[a:b]]), pack(block.number[block.w[a:b]]),
-                pack(block.seen[a:b]), pack(block.total[block.v[a:b]]), pack(block.total[block.w[a:b]]), None, None,
+            question(
+                int(block.shard[a]), name, _PAIRS, block.number[block.v[a:b]], block.number[block.w[a:b]], block.seen[a:b], block.total[block.v[a:b]]
             )
             for a, b in zip(cuts[:-1], cuts[1:], strict=True)
         ])
 
-    def ask_triples(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
+    def ask_triples(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not (tokens["kind"] == _TOKENS).any():
             return _frame([])
-        block, name = _Block(rows), int(rows["bucket"].iloc[0])
-        block.answers(answers[answers["kind"] == _WORDS], shards)
+        block, name = _Block.of(tokens), int(tokens["bucket"].iloc[0])
+        block.answers(answers)
         block.pairs(shards)
-        block.pair_answers(answers[answers["kind"] == _PAIRS])
+        block.pair_answers(answers, shards)
         block.triples(shards)
         cuts = np.append(run_starts(block.triple_shard), len(block.triple_shard))
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            context = block.pair_number[block.triple_context[a:b]]
-            out.append((
-                int(block.triple_shard[a]), name, _TRIPLES, pack(np.diff(context, prepend=0)), pack(block.number[block.triple_w[a:b]]), pack(block.triple_seen[a:b]),
-                pack(block.pair_total[block.triple_context[a:b]][run_starts(context)]), pack(block.below[a:b]), None, None,
-            ))
-        return _frame(out)
+        return _frame([
+            question(
+                int(block.triple_shard[a]), name, _TRIPLES, block.pair_number[block.triple_context[a:b]], block.number[block.triple_w[a:b]],
+                block.triple_seen[a:b], block.pair_total[block.triple_context[a:b]],
+            )
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True)
+        ])
 
     def asked(row: tuple) -> tuple[np.ndarray, ...]:
-        """Context, word, training count, count of the context, and count of the word (or code of the pair below) of a block's questions."""
-        kind, *packed = row
-        a, b, c, d, e = map(unpack, packed, (np.int64,) * 4 + (np.int64 if kind == _PAIRS else np.uint16,))
-        if kind == _TRIPLES:
-            a = np.cumsum(a)
-            d = np.repeat(d, np.diff(np.append(run_starts(a), len(a))))
-        return a, b, c, d, e
+        """Context, word, training count and, for spread contexts, count of the context of a block's questions."""
+        v, w, seen = map(unpack, row[:3])
+        starts = run_starts(np.cumsum(v))
+        v, sums = np.cumsum(v), np.cumsum(w)
+        w = sums - np.repeat(sums[starts] - w[starts], np.diff(np.append(starts, len(v))))
+        return v, w, seen, np.zeros(len(v), np.int64) if row[3] is None else unpack(row[3])
 
     def gathered(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        """Distinct pairs or triples in order with their counts, which of them each question is, and where each block's questions begin."""
-        parts = [asked(x) for x in zip(rows["kind"], *(rows[k] for k in "abcde"), strict=True)]
-        v, w, seen, cv, below = map(np.concatenate, zip(*parts, strict=True))
+        """Distinct pairs or triples in order with their counts and their contexts', which of them each question is, and where each block's questions begin."""
+        parts = [asked(x) for x in zip(*(rows[k] for k in "abcd"), strict=True)]
+        v, w, seen, hot = map(np.concatenate, zip(*parts, strict=True))
         width = int(w.max()) + 1
         order = np.argsort(v * width + w) if int(v.max()) + 1 < (1 << 63) // width else np.lexsort((w, v))
         new = np.concatenate([[True], (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])])
         which = np.empty(len(v), np.int64)
         which[order] = np.cumsum(new) - 1
         first = order[new]
-        return v, w, which, first, np.bincount(which, seen).astype(np.int64), cv, below, np.cumsum([0, *(len(x[0]) for x in parts)])
+        v, w, hot, total = v[first], w[first], hot[first], np.bincount(which, seen).astype(np.int64)
+        starts = run_starts(v)
+        # whatever follows a context follows it in training too, so its count is the sum over its words
+        count = np.repeat(np.add.reduceat(total, starts), np.diff(np.append(starts, len(v))))
+        return v, w, which, total, np.where(hot > 0, hot, count), np.cumsum([0, *(len(x[0]) for x in parts)])
 
     def spread(rows: pd.DataFrame) -> pd.DataFrame:
-        """For each power of two of the context's count: pairs (or triples) seen once, and occurrences."""
-        _, _, _, first, seen, cv, _, _ = gathered(rows)
-        level = _level(cv[first])
-        return pd.DataFrame({
-            "level": np.arange(_LEVELS), "once": np.bincount(level, seen == 1, _LEVELS), "all": np.bincount(level, seen, _LEVELS),
-        })
+        """What the shards that answered into this bucket say on each power of two of a context's count: pairs (or triples) seen once, and occurrences."""
+        rows = rows[rows["kind"] == _LEVEL]
+        levels = [(np.arange(_LEVELS), unpack(a), unpack(b)) for a, b in zip(rows["a"], rows["b"], strict=True)]
+        return pd.concat([pd.DataFrame(dict(zip(("level", "once", "all"), x, strict=True))) for x in levels] or [pd.DataFrame(columns=["level", "once", "all"])])
 
     def look_up(rows: pd.DataFrame) -> pd.DataFrame:
-        v, w, which, first, seen, cv, below, cuts = gathered(rows)
+        v, w, which, seen, count, cuts = gathered(rows)
         kind, shard = int(rows["kind"].iloc[0]), int(rows["bucket"].iloc[0])
-        if kind == _PAIRS:
-            share = np.array(rows["rest"].iloc[0])[_level(cv)]
-            lower = (below + 0.5) / (rows["all_n"].iloc[0] + 0.5 * (rows["all_v"].iloc[0] + 1))
-        else:
-            share, lower = np.array(rows["rest3"].iloc[0])[_level(cv)], 10.0 ** (below / -float(STEP))
         there = seen > 0
-        chance = (1 - share[first]) * seen / np.maximum(cv[first], 1) + share[first] * lower[first]
-        trie = BigramTrie(v[first][there], w[first][there], _codes(chance[there]))
-        found, hit = trie.lookup(v[first], w[first])
-        codes = np.where(hit, found, _codes(share[first] * lower[first]))[which]
-        if kind == _TRIPLES:
-            more = lambda a, b: (None, None)
-        else:
-            number = np.where(there, (np.cumsum(there) - 1) * shards + shard, -1)
-            more = lambda a, b: (pack(seen[which[a:b]]), pack(number[which[a:b]]))
-        return _frame([
-            (int(block), int(block), kind, pack(codes[a:b]), *more(a, b), None, None, shard, None)
-            for block, a, b in zip(rows["block"], cuts[:-1], cuts[1:], strict=True)
-        ])
+        counts, codes = np.unique(seen[there], return_inverse=True)
+        found, hit = BigramTrie(v[there], w[there], codes.astype(np.min_scalar_type(len(counts)))).lookup(v, w)
+        total = np.zeros(len(v), np.int64)
+        total[hit] = counts[found[hit]]
+        total, number = total[which], (np.cumsum(there) - 1)[which]
+        level = _level(count)
+        once, every = (np.bincount(level, x, _LEVELS).astype(np.int64) for x in (seen == 1, seen))
+        out = [(shard, -1, _LEVEL, pack(once), pack(every), None, None, None, None, None)]
+        for block, a, b in zip(rows["block"], cuts[:-1], cuts[1:], strict=True):
+            steps = pack(np.diff(number[a:b][total[a:b] > 0], prepend=0)) if kind == _PAIRS else None
+            out.append((int(block), int(block), kind, pack(total[a:b]), steps, None, None, None, shard, None))
+        return _frame(out)
 
-    def score(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
+    def score(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not (tokens["kind"] == _TOKENS).any():
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        block = _Block(rows)
-        block.answers(answers[answers["kind"] == _WORDS], shards)
-        block.pairs(shards)
-        block.pair_answers(answers[answers["kind"] == _PAIRS])
-        block.triples(shards)
-        codes = np.zeros(len(block.triple_shard), np.uint16)
-        begin = _begins(block.triple_shard)
-        triples = answers[answers["kind"] == _TRIPLES]
-        for shard, blob in zip(triples["n"], triples["a"], strict=True):
-            part = unpack(blob, np.uint16)
-            codes[begin[int(shard)] : begin[int(shard)] + len(part)] = part
+        block = _Block.of(tokens)
         n, v = int(answers["all_n"].iloc[0]), int(answers["all_v"].iloc[0])
         rest, rest3 = (np.array(answers[k].iloc[0]) for k in ("rest", "rest3"))
-        base = np.log10((block.total + 0.5) / (n + 0.5 * (v + 1)))[block.own]
-        after = block.total[block.before]
-        model = base + np.where(after > 0, np.log10(np.maximum(rest[_level(after)], 1e-12)), 0.0)
-        model[block.known_pair] = block.code[block.pair[block.known_pair]] / -float(STEP)
-        known = block.context >= 0
-        model[known] += np.log10(np.maximum(rest3[_level(block.pair_total[block.context[known]])], 1e-12))
-        model[block.known_triple] = codes[block.triple_place[block.triple_inverse]] / -float(STEP)
+        block.answers(answers)
+        block.pairs(shards)
+        block.pair_answers(answers, shards)
+        block.triples(shards)
+        block.triple_answers(answers)
+        base, model = block.model(n, v, rest, rest3)
         count = len(block.ids)
         return pd.DataFrame({
             "doc_id": pd.array(block.ids, "Int64"), "held_out": pd.array([held_out(i) for i in block.ids], "boolean"),
@@ -324,28 +379,28 @@ def score_documents(docs: DataFrame) -> DataFrame:
             "train_tokens": n, "base_score": np.bincount(block.doc, base, count), "score": np.bincount(block.doc, model, count),
         })
 
-    def shares(questions: DataFrame, name: str) -> DataFrame:
+    def shares(found: DataFrame, name: str) -> DataFrame:
         """One row: the share of unseen pairs or triples for each of 64 levels."""
-        levels = questions.groupBy("bucket").applyInPandas(spread, "level int, once double, all double")
+        levels = found.groupBy("bucket").applyInPandas(spread, "level int, once double, all double")
         share = F.when(F.sum("all") > 0, F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.sum("once") / F.sum("all")))).otherwise(1.0)
         row = levels.groupBy("level").agg(share.alias("share")).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("level", "share"))), lambda x: x["share"]).alias(name)
         )
         return F.broadcast(row.select(F.when(F.size(name) > 0, F.col(name)).otherwise(F.array_repeat(F.lit(1.0), _LEVELS)).alias(name)))
 
-    by_block = texts.groupBy("bucket")
-    words = by_block.applyInPandas(ask, _KIND).repartition(shards, "bucket").groupBy("bucket").applyInPandas(count_words, _KIND)
+    packed = texts.mapInPandas(compress, "bucket int, ids string, sizes binary, texts binary").repartition(blocks, "bucket")
+    # words and tokens go through one exchange, so that texts are read once
+    by_block = packed.groupBy("bucket").applyInPandas(ask, _KIND).repartition(shards, "bucket").groupBy("bucket")
+    words = by_block.applyInPandas(count_words, _KIND)
     totals = words.filter(F.col("kind") == _TOTALS).agg(F.sum("n").alias("all_n"), F.sum("v").alias("all_v"))
-    answers = words.filter(F.col("kind") == _WORDS)
+    answers = words.filter(F.col("kind") == _WORDS).repartition(blocks, "bucket")
     pairs = by_block.cogroup(answers.groupBy("bucket")).applyInPandas(ask_pairs, _KIND).repartition(shards, "bucket")
-    model = totals.crossJoin(shares(pairs, "rest"))
-    found = pairs.crossJoin(F.broadcast(model)).groupBy("bucket").applyInPandas(look_up, _KIND)
-    # shuffled once for both readers
-    known_pairs = answers.unionByName(found).repartition(blocks, "bucket")
+    found = pairs.groupBy("bucket").applyInPandas(look_up, _KIND).repartition(blocks, "bucket")
+    known_pairs = answers.unionByName(found)
     triples = by_block.cogroup(known_pairs.groupBy("bucket")).applyInPandas(ask_triples, _KIND).repartition(shards, "bucket")
-    model = model.crossJoin(shares(triples, "rest3"))
-    found = triples.crossJoin(F.broadcast(model)).groupBy("bucket").applyInPandas(look_up, _KIND)
-    back = known_pairs.unionByName(found.repartition(blocks, "bucket")).crossJoin(F.broadcast(model))
+    found3 = triples.groupBy("bucket").applyInPandas(look_up, _KIND).repartition(blocks, "bucket")
+    model = totals.crossJoin(shares(found, "rest")).crossJoin(shares(found3, "rest3"))
+    back = known_pairs.unionByName(found3).crossJoin(F.broadcast(model))
     return by_block.cogroup(back.groupBy("bucket")).applyInPandas(
         score,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

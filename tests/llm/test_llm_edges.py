@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from rasterspark.llm import (
@@ -256,6 +258,18 @@ def test_language_model_by_brute_force(spark, monkeypatch, block_bytes):
         assert abs(got[i].score - want) <= len(s) * 1.5 / lm_scoring.STEP
 
 
+def test_language_model_keeps_tokens_in_few_bytes():
+    values = np.array([0, 7, 300, 1 << 40])
+    assert (lm_scoring.unpack(lm_scoring.pack(values)) == values).all() and len(lm_scoring.unpack(lm_scoring.pack(values[:0]))) == 0
+    # 100,000 small numbers travel in less than a byte each; a block's tokens come back as they were
+    small = np.random.default_rng(1).integers(0, 16, 100_000)
+    assert len(lm_scoring.pack(small)) < 100_000
+    block = lm_scoring._Block([4, None], np.array([3, 1]), np.array([2, 0, 1, 1]), 3, 1)
+    row = dict(zip("abcd", block.store(), strict=True)) | {"kind": lm_scoring._TOKENS, "n": block.end}
+    again = lm_scoring._Block.of(pd.DataFrame([row]))
+    assert again.ids == [4, None] and (again.own == block.own).all() and again.end == 1 and (again.teach == block.teach).all()
+
+
 def test_licenses(spark, docs, none):
     texts = spark.createDataFrame(
         [(1, "a\nreleased under the  MIT license\nb"), (2, "Licensed under the Apache License, Version 2.0."), (3, "my licence to drive"),
